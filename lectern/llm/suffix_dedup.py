@@ -7,8 +7,8 @@ hold their sampled place at the same distance, so windows need only be compared
 1. Sort samples: sampled grams get names (hashes); names that occur once leave, by a Bloom filter and then exactly.
 2. Recurse on names: consecutive windows that share a sample form a run; (name of the sample, name of the run's whole
    text) is the run's name. Runs whose name repeats are repeated throughout and are settled in one comparison.
-3. Merge the rest: what is left are the borders of repeats. Their windows are named one by one and met with the
-   windows of one representative of every other run of the same sample.
+3. Merge the rest: what is left are the borders of repeats. Their texts meet those of one representative of every
+   other run of the same sample, and the names of all windows are sorted together.
 4. Adjacent equal names are repeats; their spans go back to the documents, merged there.
 
 Names are 64-bit polynomial hashes; windows meet under two of them, of the sample and of the window. Every shuffle
@@ -32,6 +32,8 @@ from . import bloom
 from ._common import materialize, text_or_empty
 
 LENGTH, GRAM = 200, 64
+#: A sample with more different runs than this is compared window by window, in no task as a whole.
+CROWD = 4096
 _SEGMENT = 1 << 17  # windows handled at a time
 _PLACE = (1 << 18) - 1
 
@@ -106,7 +108,78 @@ def _signed(parts: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def _named_windows(batch: pa.RecordBatch | pa.Table, hasher: Hasher, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of border runs (d, t, i, a, w, text): the row, place in the run's text and name of each window."""
+    texts = batch.column(5)
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    rows, places, names, k = [], [], [], 0
+    while k < len(texts):
+        end = max(k + 1, int(np.searchsorted(at, at[k] + _SEGMENT, "right")) - 1)
+        prefix = hasher.prefix(data[at[k] : at[end]])
+        count = at[k + 1 : end + 1] - at[k:end] - length + 1
+        row = np.repeat(np.arange(k, end), count)
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start = at[row] - at[k] + place
+        rows.append(row)
+        places.append(place)
+        names.append(mixed(hasher.parts(prefix, start, start + length)))
+        k = end
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(names)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], length: int, block: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Border runs sorted by sample -> spans of the windows that a second run of the same sample holds too."""
+    hasher, held, rows = Hasher(_SEGMENT + 2 * length, 1), [], 0
+
+    def solve(part: pa.Table) -> pa.RecordBatch:
+        row, place, name = _named_windows(part, hasher, length)
+        sample, first, weight = (part.column(c).to_numpy() for c in (3, 2, 4))
+        name = name ^ mixed(sample.astype(np.int64).view(np.uint64))[row]
+        order = np.argsort(name, kind="stable")
+        equal = name[order][1:] == name[order][:-1]  # adjacent names
+        twice = np.zeros(len(name), bool)
+        twice[order[1:][equal]] = twice[order[:-1][equal]] = True
+        twice &= weight[row] == 1
+        at = np.flatnonzero(twice)  # rows, then places, ascend: neighbours make one span
+        opens = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(row[at]) != 0))) if len(at) else np.empty(0, bool)
+        closes = np.concatenate((opens[1:], [True])) if len(at) else opens
+        begin, end = at[opens], at[closes]
+        own = row[begin]
+        take = pa.array(own)
+        ids = [part.column(c).combine_chunks().take(take) for c in (0, 1)]
+        ids = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in ids]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(first[own] + place[begin]), pa.array(first[own] + place[end] + length)], names=["d", "t", "s", "e"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= block:
+            table = pa.Table.from_batches(held).combine_chunks()
+            sample = table.column(3).to_numpy()
+            cut = int(np.searchsorted(sample, sample[-1], "left"))
+            if cut:
+                yield solve(table.slice(0, cut).combine_chunks())
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+    if rows:
+        yield solve(pa.Table.from_batches(held).combine_chunks())
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Border runs -> each of their windows with its name."""
+    hasher = Hasher(_SEGMENT + 2 * length, 1)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = pa.Table.from_batches([batch.slice(at, 2000)]).combine_chunks()
+            row, place, name = _named_windows(part, hasher, length)
+            take = pa.array(row)
+            columns = [pa.concat_arrays(part.column(c).take(take).chunks) for c in (0, 1, 3)]
+            first, weight = (part.column(c).to_numpy() for c in (2, 4))
+            yield pa.RecordBatch.from_arrays([*columns, _signed([name]), pa.array(first[row] + place), pa.array(weight[row])], names=["d", "t", "a", "h", "s", "w"])
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with_text: kept, binary) for each row of docs."""
     text = text_or_empty(docs, text_col)
     plain = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("t"), text.cast("binary").alias("text"))
@@ -139,39 +212,39 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     whole = some.join(named.filter("times > 1").select(F.col("a").alias("_a"), F.col("r").alias("_r")), (F.col("a") == F.col("_a")) & (F.col("r") == F.col("_r")), "left_semi")
     spans = whole.select("d", "t", F.col("i").alias("s"), (F.col("i") + F.col("n") - 1 + length).alias("e"))
 
-    # the borders: windows of every run that is alone of its name, and of one of each repeated run beside them
+    # the borders: every run that is alone of its name, and one of each repeated run beside them, with their texts
     lone = named.filter("shapes > 1")
-    asked = lone.select("one.d", "one.t", F.struct("one.i", "one.n", F.col("a"), F.least("times", F.lit(2)).alias("w")).alias("x"))
+    asked = lone.select("one.d", "one.t", F.struct("one.i", "one.n", F.col("a"), F.least("times", F.lit(2)).alias("w"), F.col("shapes")).alias("x"))
     asked = materialize(asked.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.sort_array(F.collect_list("x")).alias("x")), "borders")  # a document's own runs
     bordering = _only(plain, asked).join(asked, F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("d", "t", "text", "x")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(size, 1)
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, a, h, s, w = [], [], [], [], []
-            lists = batch.column(3)
+            row, texts, fields = [], [], []
             for k, value in enumerate(batch.column(2)):
-                data, x = _bytes(value), lists[k].values
-                first, count, sample, weight = (x.field(c).to_numpy(zero_copy_only=False) for c in range(4))
-                part, at, prefix = None, 0, None
-                for f, c, name, much in zip(first.tolist(), count.tolist(), sample.tolist(), weight.tolist()):
-                    if part is None or f - at + c + length > len(part):
-                        at = f
-                        part = data[at : at + size]
-                        prefix = hasher.prefix(part)
-                    own = np.arange(f - at, f - at + c)
-                    row.append(np.full(c, k))
-                    a.append(np.full(c, name))
-                    h.append(mixed(hasher.parts(prefix, own, own + length)))
-                    s.append(own + at)
-                    w.append(np.full(c, much))
+                data, x = value.as_py(), batch.column(3)[k].values
+                row.append(np.full(len(x), k))
+                fields.append(x)
+                first, count = (x.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                texts += [data[i:e] for i, e in zip(first.tolist(), (first + count - 1 + length).tolist())]
             take = _signed(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), _signed(a), _signed(h), _signed(s), _signed(w)], names=["d", "t", "a", "h", "s", "w"])
-
-    each = materialize(bordering.mapInArrow(windows, f"d {kind}, t long, a long, h long, s long, w long"), "border-windows")
-    met = each.groupBy("a", "h").agg(F.sum("w").alias("much")).filter("much > 1").select(F.col("a").alias("_a"), F.col("h").alias("_h"))
-    single = each.filter("w = 1").join(met, (F.col("a") == F.col("_a")) & (F.col("h") == F.col("_h")), "left_semi")
-    spans = spans.unionByName(single.select("d", "t", "s", (F.col("s") + length).alias("e")))
+            own = [pa.concat_arrays([x.field(c) for x in fields]) if fields else pa.array([], pa.int64()) for c in (0, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *own, pa.array(texts, pa.binary())], names=["d", "t", "i", "a", "w", "shapes", "text"])
+
+    each = bordering.mapInArrow(contexts, f"d {kind}, t long, i long, a long, w long, shapes long, text binary")
+    hot = not lone.filter(F.col("shapes") > crowd).isEmpty()
+    if hot:
+        each = materialize(each, "border-runs")
+    columns = f"d {kind}, t long, s long, e long"
+    near = each.filter(F.col("shapes") <= crowd) if hot else each
+    near = near.drop("shapes").repartition("a").sortWithinPartitions("a")
+    spans = spans.unionByName(near.mapInArrow(lambda batches: _compare(batches, length), columns))
+    if hot:  # samples that very many runs share: their windows are named and counted one by one, in no task together
+        one = each.filter(F.col("shapes") > crowd).drop("shapes").mapInArrow(lambda batches: _windows(batches, length), f"d {kind}, t long, a long, h long, s long, w long")
+        one = materialize(one, "border-windows")
+        met = one.groupBy("a", "h").agg(F.sum("w").alias("much")).filter("much > 1").select(F.col("a").alias("_a"), F.col("h").alias("_h"))
+        single = one.filter("w = 1").join(met, (F.col("a") == F.col("_a")) & (F.col("h") == F.col("_h")), "left_semi")
+        spans = spans.unionByName(single.select("d", "t", "s", (F.col("s") + length).alias("e")))
     found = spans.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("x"))
     found = materialize(found, "spans")
 
