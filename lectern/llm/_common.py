@@ -49,3 +49,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def power_of_two(n: int, least: int, most: int) -> int:
     return max(least, min(most, 1 << max(0, int(n) - 1).bit_length()))
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts: at most `rows` rows, so that a batch of long texts fits a worker. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

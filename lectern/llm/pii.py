@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, short_batches
 
 DISCLOSURE, SUPPORT, REACH, SLICE = 0.9, 3, 6, 4_000_000
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -158,6 +158,7 @@ class _Membership(dict):
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int = REACH) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined) for each row."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    short_batches(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     terms = materialize(disclosing_terms(texts, disclosure, support, reach), "disclosing")
     flagged = np.array([r[0] for r in terms.toLocalIterator()], np.int64)  # 8 bytes for each term that gives an entity away

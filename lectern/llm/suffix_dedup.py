@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from ._common import materialize, text_or_empty
+from ._common import materialize, short_batches, text_or_empty
 
 LENGTH, GRAM = 200, 64
 #: A sample with more different runs than this is compared window by window, in no task as a whole.
@@ -181,6 +181,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with_text: kept, binary) for each row of docs."""
+    short_batches(docs.sparkSession)
     text = text_or_empty(docs, text_col)
     plain = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("t"), text.cast("binary").alias("text"))
     kind = plain.schema["d"].dataType.simpleString()
@@ -273,9 +274,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 gone.append(lost)
                 many.append(count)
                 shas.append(hashlib.sha256(rest).hexdigest())
-                left.append(rest)
+                if with_text:
+                    left.append(rest)
             columns = [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(shas, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(left, pa.binary())][: 6 if with_text else 5], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5])
+            columns += [pa.array(left, pa.binary())] if with_text else []
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5])
 
     changed = told.filter("_cut").join(found, F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left").select("d", "text", "x")
     changed = changed.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
