@@ -35,7 +35,11 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", expe
     alone = rows.filter("not _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     some = rows.filter("_maybe")
     groups = some.groupBy("_sha").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
-    met = some.join(groups, "_sha").select("doc_id", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_keep._row")).alias("kept"), sha)
+    groups = materialize(groups.filter("group_size > 1"), "groups")  # a table of its own, so that a hot group's rows can be split in the join
+    met = some.join(groups, "_sha", "left").withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
+    several = F.col("_keep").isNotNull()
+    keep_id = F.when(several, F.col("_keep.doc_id")).otherwise(F.col("doc_id"))
+    met = met.select("doc_id", keep_id.alias("keep_id"), "group_size", (~several | (F.col("_row") == F.col("_keep._row"))).alias("kept"), sha)
     return alone.unionByName(met)
 
 
