@@ -11,6 +11,7 @@ packed one by one; an empty table gives an empty result; other columns are not l
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -25,23 +26,46 @@ from ._common import materialize, power_of_two, short_batches
 
 CAPACITY, CLOSING_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Chunks between white space whose ids a task remembers at a time.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+
+
+#: Chunks of these characters alone need no Unicode normalisation and split as the tokenizer's own pattern splits them.
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: The byte-level alphabet: bytes without a visible Latin-1 character stand at 256 and after, in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
 class _Ids(dict):
     """White-space separated chunk of UTF-8 -> its ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so chunks are encoded by themselves.
+    The tokenizer drops white space and never joins across it, so chunks are encoded by themselves. A new chunk of
+    plain characters is put together from its parts, which are far fewer; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+
+    def part(self, text: str) -> bytes:
+        out = self.parts.get(text)
+        if out is None:
+            if len(self.parts) > REMEMBERED:
+                self.parts.clear()
+            word = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            out = self.parts[text] = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        return out
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
-        out = self[chunk] = np.array(ids, "<u4").tobytes()
+        text = chunk.decode("utf-8")
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            out = b"".join(map(self.part, _PARTS.findall(text.lower())))
+        else:
+            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = out
         return out
 
 
