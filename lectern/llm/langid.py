@@ -27,15 +27,20 @@ from ._common import short_batches
 from .quality import remainder
 
 WORD_BITS, GRAM_BITS, PENALTY, FLOOR = 18, 16, 4.0, 0.01
+#: Words whose scores a task remembers at a time.
+REMEMBERED = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of scripts, in order; a script reaches to the next entry.
 SCRIPT_STARTS = [(0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han")]
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
+_LATIN = SCRIPTS.index("latin")
 _STARTS = np.array([a for a, _ in SCRIPT_STARTS])
 _SCRIPT_AT = (1 << WORD_BITS) + (1 << GRAM_BITS)
 
 
 def script(word: str) -> int:
+    if word[0] < "\u0370":
+        return _LATIN
     return SCRIPTS.index(SCRIPT_STARTS[int(np.searchsorted(_STARTS, ord(word[0]), "right")) - 1][1])
 
 
@@ -74,15 +79,19 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict:
 
     may = docs.filter(F.col(lang_col).isNotNull() & F.coalesce(remainder(F.col(id_col), 5) != 0, F.lit(True)))
     counts = may.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(count, "lang string, place int, n long")
-    rows = counts.groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()  # at most the places, for each language
-    langs = sorted(rows["lang"].unique())
+    rows = counts.groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()  # at most the places, for each language
+    names = rows.column("lang").combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    langs = sorted(names.dictionary.to_pylist())
+    order = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
     table = np.zeros((_SCRIPT_AT + len(SCRIPTS), len(langs)), np.float32)
-    table[rows["place"].to_numpy(), np.searchsorted(langs, rows["lang"].to_numpy().astype(str)) if len(langs) else []] = rows["n"].to_numpy()
+    if langs:
+        table[rows.column("place").to_numpy(), order[names.indices.to_numpy()]] = rows.column("n").to_numpy()
     return {"langs": langs, "table": table}
 
 
-class _Scores(dict):
-    """word -> log scores of the languages."""
+class _Scores:
+    """Log scores of words, a row of a growing table for each word seen; new words are scored many at a time."""
 
     def __init__(self, model: dict):
         table = model["table"]
@@ -91,58 +100,70 @@ class _Scores(dict):
         self.words = words / np.maximum(words.sum(axis=0), 1) * max(1.0, float(words.sum() / max(1, n)))
         self.grams = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * len(grams)))
         self.allowed = scripts >= 0.001 * np.maximum(scripts.sum(axis=0), 1)
-        self.n = n
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > 200_000:
-            self.clear()
-        w, grams, s = places(word)
-        allowed = self.allowed[s - _SCRIPT_AT]
-        if allowed.any():
-            guess = self.grams[np.array(grams) - (1 << WORD_BITS)].sum(axis=0)
-            guess = np.exp(guess - guess.max())
-            mass = (self.words[w] + 2 * guess / guess.sum()) * allowed
-            out = np.log(np.maximum(mass / mass.sum(), FLOOR)).astype(np.float32)
-        else:
-            out = np.zeros(self.n, np.float32)
-        self[word] = out
-        return out
-
-
-def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
-    """Best path of each document, many documents at a time: each step is a few operations on (documents, languages)."""
-    out: list = [None] * len(scores)
-    order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, n), np.float32)
+
+    def prepare(self, words: list[list[str]]) -> None:
+        """Make sure that every word has a row."""
+        if len(self.at) > REMEMBERED:
+            self.at.clear()
+        new = list(set().union(*words).difference(self.at))
+        if not new:
+            return
+        found = [places(w) for w in new]
+        grams = np.fromiter((g for _, gs, _ in found for g in gs), np.int64)
+        starts = np.cumsum([0, *(len(gs) for _, gs, _ in found[:-1])])
+        guess = np.add.reduceat(self.grams[grams - (1 << WORD_BITS)], starts, axis=0)
+        guess = np.exp(guess - guess.max(axis=1, keepdims=True))
+        allowed = self.allowed[np.array([s for _, _, s in found]) - _SCRIPT_AT]
+        mass = (self.words[np.array([w for w, _, _ in found])] + 2 * guess / guess.sum(axis=1, keepdims=True)) * allowed
+        total = mass.sum(axis=1, keepdims=True)
+        out = np.where(total > 0, np.log(np.maximum(mass / np.where(total > 0, total, 1), FLOOR)), 0.0)
+        first = len(self.at)
+        while first + len(new) > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        self.rows[first : first + len(new)] = out
+        self.at.update(zip(new, range(first, first + len(new))))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))
+
+
+def viterbi(words: list[np.ndarray], rows: np.ndarray, penalty: float) -> list[np.ndarray]:
+    """Best path of each document, given the rows of its words; many documents at a time, longest first, so that each
+    step is a few operations on (documents that have a word there, languages)."""
+    out: list = [None] * len(words)
+    order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+    n = rows.shape[1]
     while order:
-        longest = len(scores[order[0]])
-        some, order = order[: max(1, min(512, 1_000_000 // max(1, longest)))], order[max(1, min(512, 1_000_000 // max(1, longest))) :]
-        n = scores[some[0]].shape[1]
+        longest = len(words[order[0]])
+        take = max(1, min(512, 1_000_000 // longest))
+        some, order = order[:take], order[take:]
+        ends = np.array([len(words[k]) for k in some])
         s = np.zeros((longest, len(some), n), np.float32)
         for j, k in enumerate(some):
-            s[: len(scores[k]), j] = scores[k]
-        best = s[0].copy()
+            s[: ends[j], j] = rows[words[k]]
+        best, line = s[0].copy(), np.arange(len(some))
         came = np.zeros((longest, len(some)), np.int16)
         jump = np.zeros((longest, len(some), n), bool)
-        line = np.arange(len(some))
-        live = len(some)
-        ends = np.array([len(scores[k]) for k in some])
+        live = np.searchsorted(-ends, -np.arange(longest), "left")  # documents longer than t
         for t in range(1, longest):
-            while ends[live - 1] <= t:
-                live -= 1
-            now = best[:live]
-            top = now.argmax(axis=1)
-            switched = now[line[:live], top][:, None] - penalty
-            came[t, :live] = top
-            np.greater(switched, now, out=jump[t, :live])
-            best[:live] = np.maximum(now, switched) + s[t, :live]
+            m = live[t]
+            now = best[:m]
+            came[t, :m] = top = now.argmax(axis=1)
+            switched = now[line[:m], top][:, None] - penalty
+            np.greater(switched, now, out=jump[t, :m])
+            np.maximum(now, switched, out=now)
+            now += s[t, :m]
+        at = best.argmax(axis=1).astype(np.int16)
+        path = np.zeros((longest, len(some)), np.int16)
+        for t in range(longest - 1, 0, -1):
+            m = live[t]
+            path[t, :m] = at[:m]
+            np.copyto(at[:m], came[t, :m], where=jump[t, line[:m], at[:m]])
+        path[0] = at
         for j, k in enumerate(some):
-            at = int(best[j].argmax())
-            path = np.empty(ends[j], np.int16)
-            for t in range(ends[j] - 1, -1, -1):
-                path[t] = at
-                if jump[t, j, at]:
-                    at = int(came[t, j])
-            out[k] = path
+            out[k] = path[: ends[j], j].copy()
     return out
 
 
@@ -156,31 +177,46 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = told.value
         langs, scores = model["langs"], _Scores(model)
+        held: list[tuple[pa.RecordBatch, list[str], list]] = []
+
+        def label() -> Iterator[pa.RecordBatch]:
+            lists = [w for _, _, words in held for w in words]
+            scores.prepare(lists)
+            some = [k for k, w in enumerate(lists) if w]
+            paths = dict(zip(some, viterbi([scores.of(lists[k]) for k in some], scores.rows, penalty)))
+            k = 0
+            for batch, texts, words in held:
+                preds, shares, spans = [], [], []
+                for text in texts:
+                    path = paths.get(k)
+                    k += 1
+                    if path is None:
+                        preds.append("und")
+                        shares.append(0.0)
+                        spans.append("")
+                        continue
+                    count = np.bincount(path, minlength=len(langs))
+                    preds.append(langs[int(count.argmax())])
+                    shares.append(float(count.max() / len(path)))
+                    if with_spans:
+                        at = [m.span() for m in WORD.finditer(text)]
+                        cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+                        spans.append(",".join(f"{langs[path[a]]}:{at[a][0]}:{at[b - 1][1]}" for a, b in zip(cut, cut[1:])))
+                made = [batch.column(0), batch.column(1), pa.array(preds, pa.string()), pa.array(shares, pa.float64())] + ([pa.array(spans, pa.string())] if with_spans else [])
+                yield pa.RecordBatch.from_arrays(made, names=names)
+            held.clear()
+
+        n = 0
         for batch in batches:
-            preds, shares, spans, pending, rows = [], [], [], [], []
             texts = batch.column(2).to_pylist()
-            for k, text in enumerate(texts):
-                words = WORD.findall(text.lower()) if text and langs else ()
-                if words:
-                    rows.append(k)
-                    pending.append(np.array([scores[w] for w in words]))
-            paths = dict(zip(rows, viterbi(pending, penalty)))
-            for k, text in enumerate(texts):
-                if k not in paths:
-                    preds.append("und")
-                    shares.append(0.0)
-                    spans.append("")
-                    continue
-                path = paths[k]
-                count = np.bincount(path, minlength=len(langs))
-                preds.append(langs[int(count.argmax())])
-                shares.append(float(count.max() / len(path)))
-                if with_spans:
-                    at = [m.span() for m in WORD.finditer(text.lower())]
-                    cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-                    spans.append(",".join(f"{langs[path[a]]}:{at[a][0]}:{at[b - 1][1]}" for a, b in zip(cut, cut[1:])))
-            made = [batch.column(0), batch.column(1), pa.array(preds, pa.string()), pa.array(shares, pa.float64())] + ([pa.array(spans, pa.string())] if with_spans else [])
-            yield pa.RecordBatch.from_arrays(made, names=names)
+            # words are found before they are lower-cased, which can change their length
+            words = [[w.lower() for w in WORD.findall(t)] if with_spans else WORD.findall(t.lower()) for t in (x or "" for x in texts)]
+            held.append((batch, texts, words if langs else [[] for _ in words]))
+            n += sum(map(len, words))
+            if n > 1_000_000:  # the longer the run, the fewer steps with few documents
+                yield from label()
+                n = 0
+        yield from label()
 
     held = F.coalesce(remainder(F.col(id_col), 5) == 0, F.lit(False))
     schema = f"doc_id {kind}, held_out boolean, lang_pred string, score double" + (", spans string" if with_spans else "")
