@@ -1,0 +1 @@
+"""Operators of the curation and lookup engine."""

@@ -1,0 +1 @@
+"""Sources of the curation and lookup engine."""

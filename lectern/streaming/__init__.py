@@ -1,0 +1 @@
+"""Streaming of the curation and lookup engine."""
