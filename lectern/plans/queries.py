@@ -362,7 +362,7 @@ def w8_first_wins_index(t):
 
 @query("SELECT n_name, row_number() OVER (ORDER BY n_name) AS k FROM nation ORDER BY n_name LIMIT 10")
 def w7_head_sample(t):
-    return t("nation").withColumn("k", F.row_number().over(Window.orderBy("n_name"))).select("n_name", "k").orderBy("n_name").limit(10)
+    return t("nation").withColumn("k", F.row_number().over(Window.orderBy("n_name")).cast("long")).select("n_name", "k").orderBy("n_name").limit(10)
 
 
 @query(f"""WITH q AS (SELECT p_partkey, {_sql('normalize', "upper(p_name) || ' 500mg tablet'")} AS n FROM part)
@@ -391,22 +391,22 @@ def j8_fuzzy_topk(t):
 
 @query()
 def t11_collapse_blocks(t):
-    return t("documents").select("doc_id", T.cleaner(T.collapse_blocks)("text").alias("clean"))
+    return T.spread(t("documents")).select("doc_id", T.cleaner(T.collapse_blocks)("text").alias("clean"))
 
 
 @query()
 def t16_clean_warnings(t):
-    return t("documents").select("doc_id", T.cleaner(T.clean_warnings)("text").alias("clean"))
+    return T.spread(t("documents")).select("doc_id", T.cleaner(T.clean_warnings)("text").alias("clean"))
 
 
 @query()
 def t17_clean_long_text(t):
-    return t("documents").select("doc_id", T.cleaner(T.clean_long_text)("text").alias("clean"))
+    return T.spread(t("documents")).select("doc_id", T.cleaner(T.clean_long_text)("text").alias("clean"))
 
 
 @query()
 def t18_display_text(t):
-    return t("documents").select("doc_id", T.cleaner(T.display_text)("text").alias("clean"))
+    return T.spread(t("documents")).select("doc_id", T.cleaner(T.display_text)("text").alias("clean"))
 
 
 @query()
