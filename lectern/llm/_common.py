@@ -56,3 +56,12 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def boxed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct column, so that none clashes with an operator's own."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_box")
+
+
+def unboxed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("_box").getField(c).alias(c) for c in docs.columns])

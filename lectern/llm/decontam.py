@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, text_or_empty
+from ._common import ascii_lower, boxed, text_or_empty, unboxed
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fingerprints of a benchmark are broadcast up to this many, 16 bytes each; beyond it they are joined by shuffle.
@@ -100,4 +100,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without a benchmark window, with all their columns."""
     bad = decontaminate(docs, benchmark, id_col, text_col, **options).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    own = docs.select(boxed(docs), docs[id_col].alias("_id"))
+    return unboxed(own.join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti"), docs)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from ._common import ascii_lower, materialize, text_or_empty
+from ._common import ascii_lower, boxed, materialize, text_or_empty, unboxed
 
 
 def _flagged(docs: DataFrame, text_col: str, expected_rows: int | None, max_bits: int) -> DataFrame:
@@ -45,9 +45,10 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", expe
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", expected_rows: int | None = None, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """The rows of docs that stay, with all their columns. Texts that cannot have an equal never shuffle."""
-    rows = _flagged(docs, text_col, expected_rows, max_bits)
+    own = docs.select(boxed(docs), docs[id_col].alias("_id"), docs[text_col].alias("text"))
+    rows = _flagged(own, "text", expected_rows, max_bits).select("_box", "_id", "_sha", "_maybe")
     some = rows.filter("_maybe")
-    keepers = some.groupBy("_sha").agg(F.max(id_col).alias("_keep"))
-    stay = some.join(keepers.withColumnRenamed("_sha", "_k"), (F.col("_sha") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    keepers = some.groupBy("_sha").agg(F.max("_id").alias("_keep")).withColumnRenamed("_sha", "_k")
+    stay = some.join(keepers, (F.col("_sha") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
     stay = stay.dropDuplicates(["_sha"])  # repeated rows that share the largest doc_id
-    return rows.filter("not _maybe").unionByName(stay).select(*docs.columns)
+    return unboxed(rows.filter("not _maybe").unionByName(stay), docs)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, short_batches
+from ._common import boxed, materialize, short_batches, unboxed
 from .components import components
 
 RADIUS, SHINGLE, SEED, CELL, LEVELS = 3, 3, 42, 2048, 5
@@ -134,4 +134,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of docs that stay: of each component the document with the smallest doc_id, which must be unique."""
     stay = near_duplicates(docs, id_col, text_col, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    own = docs.select(boxed(docs), docs[id_col].alias("_id"))
+    return unboxed(own.join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi"), docs)

@@ -1,0 +1,166 @@
+"""Building blocks of the operators, by properties and small cases."""
+
+from collections import Counter
+
+import numpy as np
+from brute import op6, op9, roots
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lectern.llm import langid, packing, pii, quality, queries, resharding, simhash
+from lectern.llm.components import components
+
+SF = "/root/testdata/sf0.01"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=3), st.integers(0, 4))
+def test_every_pair_within_the_radius_shares_a_cell(fp, flips, level):
+    other = fp
+    for b in flips:
+        other ^= 1 << b
+    assert any((fp & m % 2**64) == (other & m % 2**64) for m in simhash.masks(3, level))
+
+
+def test_links_of_crowded_cells(spark):
+    r = np.random.RandomState(2)
+    base = int(r.randint(0, 2**62))
+    fps = {base}
+    while len(fps) < 300:  # a dense cluster, and strangers
+        fps.add(base ^ sum(1 << int(b) for b in r.choice(12, 3)))
+    fps |= {int(x) for x in r.randint(0, 2**62, 50)}
+    distinct = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = roots(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3])
+    for cell in (2048, 8):  # 8: cells are dealt out again
+        pairs = [(p["u"], p["v"]) for p in simhash.links(distinct, cell=cell).collect()]
+        assert all((a ^ b).bit_count() <= 3 for a, b in pairs)
+        assert roots(fps, pairs) == want
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 200)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = roots({x for e in edges for x in e}, edges)
+    assert got == {n: r for n, r in want.items() if n != r}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 400), max_size=30))
+def test_packing_plan_holds_every_item_once(histogram):
+    runs, n = packing.plan(histogram, 64)
+    seen, load = Counter(), Counter()
+    for length, first, after, base, times, _ in runs.tolist():
+        seen[length] += after - first
+        for k in range((after - first) // times):
+            load[base + k] += times * length
+        assert (after - first) % times == 0
+    assert seen == Counter(histogram)
+    assert max(load.values(), default=0) <= 64 and len(load) == n
+    least = max(sum(v for k, v in histogram.items() if k > 32), sum(k * v for k, v in histogram.items()) / 64)  # no packing needs fewer bins
+    assert n <= 1.5 * least + 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=5), st.lists(st.integers(0, 60), min_size=1, max_size=5))
+def test_flow_moves_the_fewest_bytes(supply, capacity):
+    if sum(supply) > sum(capacity):
+        return
+    flow = resharding.min_cost_flow(supply, capacity, lambda i, j: int(i != j))
+    for i, s in enumerate(supply):
+        assert sum(v for (a, _), v in flow.items() if a == i) == s
+    for j, c in enumerate(capacity):
+        assert sum(v for (_, b), v in flow.items() if b == j) <= c
+    stay = sum(min(s, c) for s, c in zip(supply, capacity))
+    assert sum(v for (a, b), v in flow.items() if a != b) == sum(supply) - stay
+
+
+def test_resharding_is_even_and_rewrites(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    placed = queries.op3_resharding(spark, SF).cache()
+    sizes = {r[0]: r[1] for r in placed.groupBy("shard").sum("size").collect()}
+    largest = placed.agg({"size": "max"}).first()[0]
+    assert set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= largest
+    for r in placed.groupBy("shard").agg({"slot": "max", "size": "count"}).collect():
+        assert r["max(slot)"] == r["count(size)"] - 1
+    touched = resharding.rewrite(docs, placed, str(tmp_path / "shards"))
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == placed.filter(placed.shard.isin(touched)).count()
+
+
+def test_quality_on_held_out_labels(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    out = [(labels[r["doc_id"]], r["score"], r["predicted"]) for r in queries.op4_quality(spark, SF).filter("held_out").collect() if r["doc_id"] in labels]
+    good, bad = ([s for y, s, _ in out if y == k] for k in (1, 0))
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert auc > 0.97
+    assert np.mean([y == p for y, _, p in out]) > 0.93
+
+
+def test_language_on_held_out_documents(spark):
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = [(lang[r["doc_id"]], r["lang_pred"]) for r in queries.op5_language_id(spark, SF).filter("held_out").collect() if lang[r["doc_id"]]]
+    assert np.mean([a == b for a, b in out]) > 0.97
+
+
+def test_language_spans_of_mixed_text(spark):
+    en, ru = "the cat sat on the mat and saw the dog", "мама мыла раму и папа читал газету"
+    docs = spark.createDataFrame([(i, en if i % 2 else ru, "en" if i % 2 else "ru") for i in range(40)] + [(1000, f"{en}. {ru}", None), (1001, "12 34", None)], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in langid.identify(docs, with_spans=True).collect()}
+    assert out[1000]["spans"] == f"en:0:{len(en)},ru:{len(en) + 2}:{len(en) + 2 + len(ru)}"
+    assert out[1000]["lang_pred"] == "en"
+    assert (out[1001]["lang_pred"], out[1001]["score"]) == ("und", 0.0)
+
+
+def test_viterbi_against_plain_decoding():
+    r = np.random.RandomState(4)
+    rows = r.randn(50, 3).astype(np.float32)
+    words = [r.randint(0, 50, n) for n in (1, 7, 30, 2)]
+    for w, path in zip(words, langid.viterbi(words, rows, 1.0)):
+        value = lambda p, w=w: sum(rows[k, s] for k, s in zip(w, p)) - sum(a != b for a, b in zip(p, p[1:]))
+        best = {s: (rows[w[0], s], [s]) for s in range(3)}
+        for k in w[1:]:
+            best = {s: max(((v + rows[k, s] - (p[-1] != s), [*p, s]) for v, p in best.values()), key=lambda x: x[0]) for s in range(3)}
+        assert abs(value(list(path)) - max(v for v, _ in best.values())) < 1e-4
+
+
+def test_dual_coordinate_descent_separates():
+    rows = [np.array([i % 2, 2 + i % 3]) for i in range(60)]
+    y = np.array([1.0 if i % 2 else -1.0 for i in range(60)])
+    w = quality.dual_coordinate_descent(rows, y, quality.log_count_ratios(rows, y, 5))
+    values = quality.log_count_ratios(rows, y, 5)
+    assert all(t * ((w[:-1] * values)[x].sum() + w[-1]) > 0 for x, t in zip(rows, y))
+
+
+def test_terms_that_give_an_entity_away(spark):
+    fill = [f"plain words number {w} about nothing" for w in ("alpha", "beta", "gamma", "delta", "epsilon") for _ in range(40)]
+    told = [f"{w} reach Zorblatt under zed@corp.example for {w} things" for w in ("kilo", "lima", "mike", "november")]
+    docs = spark.createDataFrame(list(enumerate(fill + told + ["Zorblatt is here"])), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert out[204]["spans"] == "term:0:8" and out[0]["spans"] == ""
+    assert "term:" in out[200]["spans"] and "email:" in out[200]["spans"] and "term" not in pii.find(docs.filter("doc_id < 202")).filter("doc_id = 200").first()["spans"]
+    assert pii.sanitise("Zorblatt is here", "term:0:8") == "[TERM] is here"
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs, sf = spark.read.parquet(f"{SF}/documents.parquet"), SF
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        out = stage(spark, docs, sf)
+        if name == "packing":
+            assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {d for d, _ in before}
+            break
+        left = {r["doc_id"] for r in out.collect()}
+        assert out.columns == docs.columns and left
+        if name == "exact_dedup":
+            assert left == {d for d, v in op6(before).items() if v[2]}
+        if name == "near_dedup":
+            fps = {d: simhash.fingerprint((t or "").encode()) % 2**64 for d, t in before}
+            ids = sorted(fps)
+            group = roots(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 3])
+            assert left == {d for d, g in group.items() if d == g}
+        if name == "decontamination":
+            assert left == {d for d, v in op9(before, items).items() if not v[4]}
+        docs = out.cache()
