@@ -18,7 +18,15 @@ ORACLE: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            def read(name: str) -> DataFrame:
+                df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                return T.spread(df) if name == "documents" else df  # long texts in one small file
+
+            return f(read)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -391,22 +399,22 @@ def j8_fuzzy_topk(t):
 
 @query()
 def t11_collapse_blocks(t):
-    return T.spread(t("documents")).select("doc_id", T.cleaner(T.collapse_blocks)("text").alias("clean"))
+    return t("documents").select("doc_id", T.cleaner(T.collapse_blocks)("text").alias("clean"))
 
 
 @query()
 def t16_clean_warnings(t):
-    return T.spread(t("documents")).select("doc_id", T.cleaner(T.clean_warnings)("text").alias("clean"))
+    return t("documents").select("doc_id", T.cleaner(T.clean_warnings)("text").alias("clean"))
 
 
 @query()
 def t17_clean_long_text(t):
-    return T.spread(t("documents")).select("doc_id", T.cleaner(T.clean_long_text)("text").alias("clean"))
+    return t("documents").select("doc_id", T.cleaner(T.clean_long_text)("text").alias("clean"))
 
 
 @query()
 def t18_display_text(t):
-    return T.spread(t("documents")).select("doc_id", T.cleaner(T.display_text)("text").alias("clean"))
+    return t("documents").select("doc_id", T.cleaner(T.display_text)("text").alias("clean"))
 
 
 @query()
