@@ -2,8 +2,8 @@
 
 Every value that a pattern finds (an address, a number) is an entity to protect. A term near an entity discloses
 it by their pointwise mutual information, measured over all documents; a term whose information reaches the
-share `disclosure` of the entity's own information content, in at least `support` different contexts, gives the
-entity away and is a span of kind `term` wherever it occurs. Pairs and term counts are aggregated before they are
+share `disclosure` of the entity's own information content, in at least `support` different contexts that are
+no fewer than the share `diversity` of its occurrences (copies of one document show nothing), gives the entity away and is a span of kind `term` wherever it occurs. Pairs and term counts are aggregated before they are
 shuffled; only terms with the support reach the driver, 8 bytes each and in slices of at most SLICE.
 
 Defined cases: a null text is empty and has no spans; repeated rows each get their row; an empty table gives an
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, short_batches
 
-DISCLOSURE, SUPPORT, REACH, SLICE = 0.9, 3, 6, 4_000_000
+DISCLOSURE, SUPPORT, DIVERSITY, REACH, SLICE = 0.9, 3, 0.5, 6, 4_000_000
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -110,7 +110,7 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
     near = near.groupBy("e", "t", "c").agg(F.count("*").alias("n")).groupBy("e", "t").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
     near = materialize(near, "near-terms")
     alone = near.filter("t = 0").select(F.col("e").alias("_e"), F.col("n_both").alias("n_entity"))
-    both = near.filter((F.col("t") != 0) & (F.col("contexts") >= support)).join(alone, F.col("e") == F.col("_e")).select("t", "n_both", "n_entity")
+    both = near.filter((F.col("t") != 0) & (F.col("contexts") >= support) & (F.col("contexts") >= DIVERSITY * F.col("n_both"))).join(alone, F.col("e") == F.col("_e")).select("t", "n_both", "n_entity")
     both = materialize(both, "supported-terms")
     terms = both.select("t").distinct()
     slices = max(1, math.ceil(terms.count() / SLICE))
