@@ -1,11 +1,14 @@
 """The engine's queries against DuckDB, and its parts against values worked out by hand."""
 
 import json
+import subprocess
+import sys
 
 import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -45,6 +48,13 @@ def test_other_queries_run(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
 
+def test_python_travels_by_value():
+    """Workers of a cluster have no copy of the package: nothing pickled may refer to it by name."""
+    for f in (T.clean_warnings, T.clean_long_text, T.collapse_blocks, T.display_text, S.best_matches):
+        code = "import pickle, sys; pickle.loads(sys.stdin.buffer.read())"
+        subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(f), cwd="/", env={"PATH": ""}, check=True)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
