@@ -4,7 +4,8 @@ Every value that a pattern finds (an address, a number) is an entity to protect.
 it by their pointwise mutual information, measured over all documents; a term whose information reaches the
 share `disclosure` of the entity's own information content, in at least `support` different contexts that are
 no fewer than the share `diversity` of its occurrences (copies of one document show nothing), gives the entity away and is a span of kind `term` wherever it occurs. Pairs and term counts are aggregated before they are
-shuffled; only terms with the support reach the driver, 8 bytes each and in slices of at most SLICE.
+shuffled; only terms with the support reach the driver, 8 bytes each and in slices of at most SLICE. Up to SLICE terms
+that give an entity away are broadcast; more of them meet the documents' own terms in a join.
 
 Defined cases: a null text is empty and has no spans; repeated rows each get their row; an empty table gives an
 empty result; other columns are not looked at.
@@ -15,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,10 @@ from ._common import materialize, short_batches
 
 DISCLOSURE, SUPPORT, DIVERSITY, REACH, SLICE = 0.9, 3, 0.5, 6, 4_000_000
 KINDS = ("email", "ip", "card", "phone", "term")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
+#: A match can only begin where a run of digits begins, and takes each run whole: one pass, however long the runs are.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
@@ -42,7 +46,7 @@ def luhn(digits: str) -> bool:
 
 
 def _ip_ok(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in text.split(".")))
 
 
 def _card_ok(text: str) -> bool:
@@ -54,11 +58,21 @@ def _phone_ok(text: str) -> bool:
     return 9 <= len(NOT_DIGIT.sub("", text)) <= 15
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping addresses. Each @ is met once: what may stand before it is read backwards from it."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(LOCAL_CHARS))
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+        free = domain.end() if domain else at + 1
+        at = text.find("@", free)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of kind, end), sorted."""
-    out = []
-    if "@" in text:  # the pattern backtracks over every word, so it looks only where it can match
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out = [(a, 0, b) for a, b in emails(text)]
     if "." in text:
         out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if _ip_ok(m[0])]
     out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 12 and _card_ok(m[0])]
@@ -79,12 +93,31 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+class _Covered:
+    """Tells whether a range overlaps any of the given spans, by binary search in their union."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, _, b in spans:  # sorted by start
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlaps(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1  # the last that begins before b
+        return k >= 0 and self.ends[k] > a
+
+
 def _near(text: str, spans: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[int, list[int]]]:
     """Each entity of a text with the keys of up to `reach` terms on each side of it."""
     span = 40 * reach
+    covered = _Covered(spans)
     for a, kind, b in spans:
-        left = [m[0] for m in TERM.finditer(text, max(0, a - span), a) if not any(s < m.end() and m.start() < e for s, _, e in spans)][-reach:]
-        right = [m[0] for m in TERM.finditer(text, b, min(len(text), b + span)) if not any(s < m.end() and m.start() < e for s, _, e in spans)][:reach]
+        left = [m[0] for m in TERM.finditer(text, max(0, a - span), a) if not covered.overlaps(*m.span())][-reach:]
+        right = [m[0] for m in TERM.finditer(text, b, min(len(text), b + span)) if not covered.overlaps(*m.span())][:reach]
         yield _entity(text[a:b], kind), [_key(t) for t in left + right]
 
 
@@ -144,7 +177,7 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
 class _Membership(dict):
     """word -> its key if that is wanted, else 0; forgets when it has grown large."""
 
-    def __init__(self, wanted: np.ndarray):
+    def __init__(self, wanted: Iterable[int]):
         self.wanted = {int(x) & 0xFFFFFFFFFFFFFFFF for x in wanted}
 
     def __missing__(self, word: str) -> int:
@@ -155,34 +188,60 @@ class _Membership(dict):
         return key
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int = REACH) -> DataFrame:
+def _own_terms(plain: DataFrame, terms: DataFrame) -> DataFrame:
+    """plain (doc_id, text) with _own: which of the terms each document holds; documents without any have null."""
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    keyed = plain.withColumn("_t", F.xxhash64("text"))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                keys = {_key(w) for w in set(TERM.findall(text or ""))}
+                row += [k] * len(keys)
+                found += keys
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), _signed(found)], names=["d", "h", "t"])
+
+    pairs = keyed.mapInArrow(held, f"d {kind}, h long, t long")
+    own = pairs.join(terms.select(F.col("t").alias("_k")), F.col("t") == F.col("_k"), "left_semi").groupBy("d", "h").agg(F.collect_set("t").alias("_own"))  # a document's own terms
+    return keyed.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_t") == F.col("h")), "left").select("doc_id", "text", "_own")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int = REACH, most_told: int = SLICE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined) for each row."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     short_batches(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     terms = materialize(disclosing_terms(texts, disclosure, support, reach), "disclosing")
-    flagged = np.array([r[0] for r in terms.toLocalIterator()], np.int64)  # 8 bytes for each term that gives an entity away
-    told = spark.sparkContext.broadcast(flagged)
+    few = terms.limit(most_told + 1).count() <= most_told
+    told = spark.sparkContext.broadcast(np.array([r[0] for r in terms.toLocalIterator()] if few else [], np.int64))  # at most most_told numbers
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not few:
+        plain = _own_terms(plain, terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Membership(told.value)
         joined = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
         for batch in batches:
             counts, shas, every = [[], [], [], []], [], []
-            for text in batch.column(1).to_pylist():
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 text = text or ""
                 base = base_spans(text)
                 spans = base
+                if not few:
+                    known = _Membership(batch.column(2)[k].as_py() or [])
                 if known.wanted:
-                    more = [(m.start(), 4, m.end()) for m in TERM.finditer(text) if known[m[0]]]
-                    spans = sorted(base + [x for x in more if not any(a < x[2] and x[0] < b for a, _, b in base)]) if more else base
+                    covered = _Covered(base)
+                    more = [(m.start(), 4, m.end()) for m in TERM.finditer(text) if known[m[0]] and not covered.overlaps(*m.span())]
+                    spans = sorted(base + more) if more else base
                 for i in range(4):
                     counts[i].append(sum(k == i for _, k, _ in base))
                 shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 every.append(joined(spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(every, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return plain.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def sanitise(text: str | None, spans: str) -> str:

@@ -1,5 +1,7 @@
 """Building blocks of the operators, by properties and small cases."""
 
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -138,9 +140,30 @@ def test_terms_that_give_an_entity_away(spark):
     out = {r["doc_id"]: r for r in pii.find(docs).collect()}
     assert out[204]["spans"] == "term:0:8" and out[0]["spans"] == ""
     assert "term:" in out[200]["spans"] and "email:" in out[200]["spans"] and "term" not in pii.find(docs.filter("doc_id < 202")).filter("doc_id = 200").first()["spans"]
+    joined = {r["doc_id"]: r for r in pii.find(docs, most_told=0).collect()}  # more terms than may be broadcast
+    assert joined == out
     assert pii.sanitise("Zorblatt is here", "term:0:8") == "[TERM] is here"
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("aZ09._%+-@ (é"), max_size=40))
+def test_patterns_in_one_pass_find_what_the_plain_ones_find(text):
+    plain = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")]
+    assert list(pii.emails(text)) == [m.span() for m in re.finditer(plain[0][1], text)]
+    assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in re.finditer(plain[1][1], text)]
+
+
+def test_long_runs_and_crowds_of_entities_take_linear_time():
+    started = time.perf_counter()
+    assert pii.base_spans("a" * 350_000 + " x@y.com") == [(350_001, 0, 350_008)]
+    assert pii.base_spans("1" * 350_000 + ".") == []
+    assert pii.base_spans("0" * 5_000 + ".0.0.1") == [(0, 1, 5_006)]
+    many = "ann@b.com word " * 20_000
+    spans = pii.base_spans(many)
+    assert len(spans) == 20_000 and sum(1 for _ in pii._near(many, spans, 6)) == 20_000
+    assert time.perf_counter() - started < 60
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
