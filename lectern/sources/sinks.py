@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,3 +28,12 @@ def write_json_report(report: dict, path: str) -> None:
 def coverage_metrics(df: DataFrame, columns: list[str]) -> DataFrame:
     """rows and, for each column, how many are not blank: one pass."""
     return df.agg(F.count("*").alias("row_count"), *[F.count_if(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "").alias(f"{c}_filled") for c in columns])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; what is written there goes when the driver's JVM ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lectern-")
+    path = f"{shared.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
