@@ -27,8 +27,10 @@ from ._common import short_batches
 from .quality import remainder
 
 WORD_BITS, GRAM_BITS, PENALTY, FLOOR = 18, 16, 4.0, 0.01
-#: Words whose scores a task remembers at a time.
-REMEMBERED = 300_000
+#: Words whose scores a task remembers at a time, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 20_000_000
+#: Characters of text a task counts words of before it hands its counts on.
+COUNTED_CHARS = 100_000_000
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of scripts, in order; a script reaches to the next entry.
 SCRIPT_STARTS = [(0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han")]
@@ -69,12 +71,15 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict:
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["lang", "place", "n"])
 
+        read = 0
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
                     words[lang].update(WORD.findall(text.lower()))
-                    if sum(map(len, words.values())) > 400_000:
+                    read += len(text)
+                    if read > COUNTED_CHARS or sum(map(len, words.values())) > 400_000:
                         yield tell()
+                        read = 0
         yield tell()
 
     may = docs.filter(F.col(lang_col).isNotNull() & F.coalesce(remainder(F.col(id_col), 5) != 0, F.lit(True)))
@@ -101,12 +106,14 @@ class _Scores:
         self.grams = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * len(grams)))
         self.allowed = scripts >= 0.001 * np.maximum(scripts.sum(axis=0), 1)
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.rows = np.zeros((1024, n), np.float32)
 
     def prepare(self, words: list[list[str]]) -> None:
         """Make sure that every word has a row."""
-        if len(self.at) > REMEMBERED:
+        if len(self.at) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.at.clear()
+            self.chars = 0
         new = list(set().union(*words).difference(self.at))
         if not new:
             return
@@ -124,6 +131,7 @@ class _Scores:
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
         self.rows[first : first + len(new)] = out
         self.at.update(zip(new, range(first, first + len(new))))
+        self.chars += sum(map(len, new))
 
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))

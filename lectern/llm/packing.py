@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, power_of_two, short_batches
+from ._common import LONGEST_REMEMBERED, materialize, power_of_two, short_batches
 
 CAPACITY, CLOSING_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Chunks between white space whose ids a task remembers at a time.
@@ -56,7 +56,9 @@ class _Ids(dict):
             if len(self.parts) > REMEMBERED:
                 self.parts.clear()
             word = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LEVEL)
-            out = self.parts[text] = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+            out = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+            if len(text) <= LONGEST_REMEMBERED:
+                self.parts[text] = out
         return out
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -65,7 +67,8 @@ class _Ids(dict):
             out = b"".join(map(self.part, _PARTS.findall(text.lower())))
         else:
             out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = out
+        if len(chunk) <= LONGEST_REMEMBERED:
+            self[chunk] = out
         return out
 
 

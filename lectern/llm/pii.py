@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, short_batches
+from ._common import LONGEST_REMEMBERED, materialize, short_batches
 
 DISCLOSURE, SUPPORT, DIVERSITY, REACH, SLICE = 0.9, 3, 0.5, 6, 4_000_000
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -181,10 +181,12 @@ class _Membership(dict):
         self.wanted = {int(x) & 0xFFFFFFFFFFFFFFFF for x in wanted}
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
         key = _key(word)
-        self[word] = key = key if key in self.wanted else 0
+        key = key if key in self.wanted else 0
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = key
         return key
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import short_batches
+from ._common import LONGEST_REMEMBERED, short_batches
 
 BITS, PER_CLASS, THRESHOLD, LEVELS = 18, 4000, 0.7, (0.0, 0.01, 0.05, 0.15, 0.4)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -44,9 +44,11 @@ def shape(token: str) -> str:
 
 class _Shapes(dict):
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        out = self[token] = xxhash.xxh64_intdigest(shape(token.decode("utf-8", "replace")))
+        out = xxhash.xxh64_intdigest(shape(token.decode("utf-8", "replace")))
+        if len(token) <= LONGEST_REMEMBERED:
+            if len(self) > 300_000:
+                self.clear()
+            self[token] = out
         return out
 
 

@@ -153,6 +153,29 @@ def test_patterns_in_one_pass_find_what_the_plain_ones_find(text):
     assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in re.finditer(plain[1][1], text)]
 
 
+def test_long_words_are_not_remembered():
+    ids, shapes, known = packing._Ids(packing.vocabulary_path()), quality._Shapes(), pii._Membership([pii._key("y" * 20_000)])
+    for k in range(10):
+        long, short = f"{k}" + "y" * 20_000, f"w{k}"
+        assert ids[long.encode()] == np.array(ids.tokenizer.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
+        assert shapes[long.encode()] == shapes[b"1y"] and shapes[short.encode()] == shapes[b"w1"]
+        assert known["y" * 20_000] and not known[short]
+    assert max(map(len, ids), default=0) <= 128 and max(map(len, ids.parts), default=0) <= 128 and max(map(len, shapes)) <= 128 and max(map(len, known)) <= 128
+
+
+def test_language_scores_survive_forgetting(monkeypatch):
+    model = {"langs": ["aa", "bb"], "table": np.random.RandomState(1).randint(0, 9, (langid._SCRIPT_AT + len(langid.SCRIPTS), 2)).astype(np.float32)}
+    words = [[f"{a}{b}" for b in "abcdefgh"] for a in "klmnop"]
+    whole, small = langid._Scores(model), langid._Scores(model)
+    for some in words:
+        whole.prepare([some])
+    monkeypatch.setattr(langid, "REMEMBERED_CHARS", 20)
+    for some in words:
+        small.prepare([some])
+        assert np.allclose(small.rows[small.of(some)], whole.rows[whole.of(some)])
+    assert len(small.at) < len(whole.at)
+
+
 def test_long_runs_and_crowds_of_entities_take_linear_time():
     started = time.perf_counter()
     assert pii.base_spans("a" * 350_000 + " x@y.com") == [(350_001, 0, 350_008)]
