@@ -12,12 +12,12 @@ from ..sources.readers import add_missing
 CORE_COLUMNS = ["drug_id", "generic_name", "generic_name_clean", "brand_names", "drug_class", "route", "indications", "dosage_and_administration", "warnings", "contraindications", "side_effects_all", "side_effects_label_confirmed", "sources", "last_updated"]
 
 
-def surrogate_keys(df: DataFrame, order: list[str], column: str = "drug_id", pattern: str = "DRUG_%06d") -> DataFrame:
-    """Keys 1, 2, ... in the given order, without bringing the rows to one task.
+def surrogate_keys(df: DataFrame, order: list[str], column: str = "drug_id", pattern: str = "DRUG_%06d", ties: list[str] | None = None) -> DataFrame:
+    """Keys 1, 2, ... in the given order, without bringing the rows to one task; rows equal in it follow the order of `ties`.
 
     Rows are range-partitioned and sorted; the rank of a row is its place in its partition after the counts of those before.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order, *(ties or [])).withColumn("_id", F.monotonically_increasing_id())
     ranged = ranged.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select(F.col("_part").alias("_p"), "_before")
@@ -39,5 +39,7 @@ def core_table(raw: DataFrame, run_date: str, strict: bool = True) -> DataFrame:
     keep = ~E.looks_bad_generic("generic_name_clean") & F.coalesce(E.route_ok("route"), F.lit(False)) & E.is_single_name("generic_name_clean") & core_rule(strict)
     for b in banned:
         keep = keep & ~b
-    out = surrogate_keys(df.filter(keep), ["generic_name_clean", "brand_names", "route", "drug_class"])
+    order = ["generic_name_clean", "brand_names", "route", "drug_class"]
+    ties = [c for c in CORE_COLUMNS if c not in ("drug_id", "last_updated", *order)]  # rows equal in all of them are the same row
+    out = surrogate_keys(df.filter(keep), order, ties=ties)
     return out.withColumn("last_updated", F.lit(run_date)).select(*CORE_COLUMNS)

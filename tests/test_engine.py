@@ -147,6 +147,14 @@ def test_lookup_cascade(spark):
     assert lookup.lookup_one(spark, "nurofen", drugs)["match_type"] == "exact"
 
 
+def test_core_table_keys_every_tied_row_in_one_order(spark):
+    raw = [("alpha", "ORAL", "C", f"use {k:02d}") for k in range(30)] + [("beta", "ORAL", "C", "x")]
+    want = [(f"DRUG_{k + 1:06d}", *raw[k][::3]) for k in range(31)]
+    for rows in (raw, raw[::-1], raw[7:] + raw[:7]):
+        out = core.core_table(spark.createDataFrame(rows, "generic_name string, route string, drug_class string, indications string"), "2026-01-01")
+        assert sorted((r["drug_id"], r["generic_name_clean"], r["indications"]) for r in out.collect()) == want
+
+
 def test_core_table_and_mart(spark):
     raw = spark.createDataFrame([("Zeta", "ORAL", "C", "fine"), ("alpha", "oral, x", "C", "ok"), ("herbal tea", "ORAL", "C", "x"), ("beta", "dental", "C", "x"), ("gamma", "NASAL", None, "x")], "generic_name string, route string, drug_class string, indications string")
     out = core.core_table(raw, "2026-01-01").orderBy("drug_id").collect()
