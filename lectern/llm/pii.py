@@ -2,8 +2,9 @@
 
 Every value that a pattern finds (an address, a number) is an entity to protect. A term near an entity discloses
 it by their pointwise mutual information, measured over all documents; a term whose information reaches the
-share `disclosure` of the entity's own information content, in at least `support` different contexts that are
-no fewer than the share `diversity` of its occurrences (copies of one document show nothing), gives the entity away and is a span of kind `term` wherever it occurs. Pairs and term counts are aggregated before they are
+share `disclosure` of the entity's own information content, in at least `support` different contexts, gives the entity
+away and is a span of kind `term` wherever it occurs. Pairs, entities and terms count once for each distinct text that
+holds them, so copies of a document neither show nor hide anything. Pairs and term counts are aggregated before they are
 shuffled; only terms with the support reach the driver, 8 bytes each and in slices of at most SLICE. Up to SLICE terms
 that give an entity away are broadcast; more of them meet the documents' own terms in a join.
 
@@ -17,7 +18,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 
 from ._common import LONGEST_REMEMBERED, materialize, short_batches
 
-DISCLOSURE, SUPPORT, DIVERSITY, REACH, SLICE = 0.9, 3, 0.5, 6, 4_000_000
+DISCLOSURE, SUPPORT, REACH, SLICE = 0.9, 3, 6, 4_000_000
+#: Hashes of repeated texts are broadcast up to this many, 16 bytes each; beyond it they are joined by shuffle.
+COPIED = 1_000_000
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
@@ -126,10 +129,11 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e, t, c = [], [], []
+            e, t, c, h = [], [], [], []
             for text in batch.column(0).to_pylist():
-                once = set()
+                once, digest = set(), None
                 for entity, terms in _near(text, base_spans(text), reach) if text else ():
+                    digest = digest or xxhash.xxh64_intdigest(text)
                     context = xxhash.xxh64_intdigest(np.array(terms, np.uint64).tobytes())
                     for term in {0, *terms}:  # 0 stands for the entity itself
                         if (entity, term) not in once:
@@ -137,17 +141,18 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
                             e.append(entity)
                             t.append(term)
                             c.append(context)
-            yield pa.RecordBatch.from_arrays([_signed(e), _signed(t), _signed(c)], names=["e", "t", "c"])
+                            h.append(digest)
+            yield pa.RecordBatch.from_arrays([_signed(e), _signed(t), _signed(c), _signed(h)], names=["e", "t", "c", "h"])
 
-    near = texts.mapInArrow(pairs, "e long, t long, c long")
-    near = near.groupBy("e", "t", "c").agg(F.count("*").alias("n")).groupBy("e", "t").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
+    near = texts.mapInArrow(pairs, "e long, t long, c long, h long")
+    near = near.groupBy("e", "t").agg(F.count_distinct("h").alias("n_both"), F.count_distinct("c").alias("contexts"))
     near = materialize(near, "near-terms")
     alone = near.filter("t = 0").select(F.col("e").alias("_e"), F.col("n_both").alias("n_entity"))
-    both = near.filter((F.col("t") != 0) & (F.col("contexts") >= support) & (F.col("contexts") >= DIVERSITY * F.col("n_both"))).join(alone, F.col("e") == F.col("_e")).select("t", "n_both", "n_entity")
+    both = near.filter((F.col("t") != 0) & (F.col("contexts") >= support)).join(alone, F.col("e") == F.col("_e")).select("t", "n_both", "n_entity")
     both = materialize(both, "supported-terms")
     terms = both.select("t").distinct()
     slices = max(1, math.ceil(terms.count() / SLICE))
-    counted = None
+    counted, weighed = None, _copies(texts)
     for k in range(slices):
         wanted = np.array(sorted(r[0] for r in terms.filter(F.pmod("t", F.lit(slices)) == k).toLocalIterator()), np.int64)
         if not len(wanted):
@@ -155,18 +160,20 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
         told = texts.sparkSession.sparkContext.broadcast(wanted)  # at most SLICE numbers
 
         def count(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            wanted, total = told.value, Counter()
+            wanted, totals = told.value, defaultdict(Counter)
             known = _Membership(wanted)
             for batch in batches:
-                for text in batch.column(0).to_pylist():
+                for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if text:
-                        total.update(filter(None, {known[w] for w in set(TERM.findall(text))}))
-            yield pa.RecordBatch.from_arrays([_signed(list(total)), pa.array(list(total.values()), pa.int64())], names=["t", "n"])
+                        totals[copies].update(filter(None, {known[w] for w in set(TERM.findall(text))}))
+            for copies, total in totals.items():
+                yield pa.RecordBatch.from_arrays([_signed(list(total)), pa.array([copies] * len(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["t", "copies", "n"])
 
-        part = texts.mapInArrow(count, "t long, n long")
+        part = weighed.mapInArrow(count, "t long, copies long, n long")
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         return terms
+    counted = counted.groupBy("t", "copies").agg(F.expr("sum(n) div copies").alias("n"))  # all copies of a text hold its terms
     counted = counted.groupBy("t").agg(F.sum("n").alias("n_term")).withColumnRenamed("t", "_t")
     n = max(2, texts.count())
     information = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
@@ -174,6 +181,14 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
     return both.join(counted, F.col("t") == F.col("_t")).filter((content > 0) & (information >= disclosure * content)).select("t").distinct()
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """text, copies: how many rows have the same text. Only hashes of repeated texts are joined, up to COPIED by broadcast."""
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    repeated = materialize(texts.select(own.alias("_h")).groupBy("_h").agg(F.count("*").alias("_m")).filter("_m > 1"), "repeated")
+    repeated = F.broadcast(repeated) if repeated.limit(COPIED + 1).count() <= COPIED else repeated
+    return texts.join(repeated, own == F.col("_h"), "left").select("text", F.coalesce("_m", F.lit(1).cast("long")).alias("copies"))
+
+
 class _Membership(dict):
     """word -> its key if that is wanted, else 0; forgets when it has grown large."""
 

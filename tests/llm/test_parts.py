@@ -145,6 +145,22 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.sanitise("Zorblatt is here", "term:0:8") == "[TERM] is here"
 
 
+def test_copies_neither_show_nor_hide_terms(spark, monkeypatch):
+    fill = [f"plain words number {w} about nothing" for w in ("alpha", "beta", "gamma", "delta", "epsilon") for _ in range(40)]
+    told = [f"{w} reach Zorblatt under zed@corp.example for {w} things" for w in ("kilo", "lima", "mike", "november")]
+    rows = fill + told + ["Zorblatt is here"]
+    spans = lambda more: {r["text"]: r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(rows + more)), "doc_id long, text string")).join(spark.createDataFrame(list(enumerate(rows + more)), "doc_id long, text string"), "doc_id").collect()}
+    once = spans([])
+    assert once["Zorblatt is here"] == "term:0:8"
+    for copied in (told[:1] * 5, told * 3 + ["Zorblatt is here"] * 50):
+        assert spans(copied) == once
+    monkeypatch.setattr(pii, "COPIED", 0)  # more repeated texts than may be broadcast
+    assert spans(told[:1] * 5) == once
+    few = [told[0]] * 9 + [told[1]] * 9  # two contexts, however often they are copied
+    out = pii.find(spark.createDataFrame(list(enumerate(fill + few)), "doc_id long, text string"))
+    assert out.filter("spans like '%term%'").count() == 0
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.sampled_from("aZ09._%+-@ (é"), max_size=40))
 def test_patterns_in_one_pass_find_what_the_plain_ones_find(text):
