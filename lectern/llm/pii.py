@@ -128,6 +128,7 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
     """texts: one column text. t: keys of the terms that give an entity away."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda *lists: pa.RecordBatch.from_arrays([_signed(x) for x in lists], names=["e", "t", "c", "h"])
         for batch in batches:
             e, t, c, h = [], [], [], []
             for text in batch.column(0).to_pylist():
@@ -136,13 +137,16 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
                     digest = digest or xxhash.xxh64_intdigest(text)
                     context = xxhash.xxh64_intdigest(np.array(terms, np.uint64).tobytes())
                     for term in {0, *terms}:  # 0 stands for the entity itself
-                        if (entity, term) not in once:
-                            once.add((entity, term))
+                        if (entity, term, context) not in once:
+                            once.add((entity, term, context))
                             e.append(entity)
                             t.append(term)
                             c.append(context)
                             h.append(digest)
-            yield pa.RecordBatch.from_arrays([_signed(e), _signed(t), _signed(c), _signed(h)], names=["e", "t", "c", "h"])
+                if len(e) > 100_000:
+                    yield made(e, t, c, h)
+                    e, t, c, h = [], [], [], []
+            yield made(e, t, c, h)
 
     near = texts.mapInArrow(pairs, "e long, t long, c long, h long")
     near = near.groupBy("e", "t").agg(F.count_distinct("h").alias("n_both"), F.count_distinct("c").alias("contexts"))

@@ -145,6 +145,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.sanitise("Zorblatt is here", "term:0:8") == "[TERM] is here"
 
 
+def test_contexts_of_one_long_document_all_count(spark):
+    fill = [f"plain words number {k} about nothing" for k in range(200)]
+    thread = " ".join(f"{w} reach Zorblatt under zed@corp.example for {w} things and so on and on and on." for w in ("kilo", "lima", "mike", "november"))
+    docs = spark.createDataFrame(list(enumerate([*fill, thread])), "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    at = thread.index("Zorblatt")
+    assert f"term:{at}:{at + 8}" in out[200].split(",")
+
+
 def test_copies_neither_show_nor_hide_terms(spark, monkeypatch):
     fill = [f"plain words number {w} about nothing" for w in ("alpha", "beta", "gamma", "delta", "epsilon") for _ in range(40)]
     told = [f"{w} reach Zorblatt under zed@corp.example for {w} things" for w in ("kilo", "lima", "mike", "november")]
