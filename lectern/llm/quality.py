@@ -1,9 +1,10 @@
 """Quality classifier: Naive Bayes support vectors.
 
 Features are indicators of n-grams of token shapes (letter case, digits and punctuation of a word, and whether it
-repeats the word before), each at several levels of frequency within the text, hashed into 2^BITS places. An
-indicator's value is its class log-count ratio; a linear hinge-loss model over them is fitted by dual coordinate
-descent, and its margin is turned into a probability by a logistic fit on documents that the fit had left out.
+repeats the word before; a word of more than RUNS runs is as many words as its pieces), each at several levels of
+frequency within the text, hashed into 2^BITS places. An indicator's value is its class log-count ratio; a linear
+hinge-loss model over them is fitted by dual coordinate descent, and its margin is turned into a probability by a
+logistic fit on documents that the fit had left out.
 
 The model is fitted on at most `per_class` labelled documents of each class, those with the smallest hash of doc_id;
 everything else reads every whole text. Weights are 2^BITS numbers, whatever the input.
@@ -26,25 +27,43 @@ from pyspark.sql import functions as F
 
 from ._common import LONGEST_REMEMBERED, short_batches
 
-BITS, PER_CLASS, THRESHOLD, LEVELS = 18, 4000, 0.7, (0.0, 0.01, 0.05, 0.15, 0.4)
+BITS, PER_CLASS, THRESHOLD, LEVELS, RUNS, SEVERAL = 18, 4000, 0.7, (0.0, 0.01, 0.05, 0.15, 0.4), 8, 0
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL_KEYS = np.arange(len(LEVELS), dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shape(token: str) -> str:
+def _runs(token: str) -> tuple[list[str], list[int]]:
+    """The shapes of the runs of like characters, and where each begins."""
     out: list[str] = []
-    for c in token[:64]:
+    starts: list[int] = []
+    for at, c in enumerate(token):
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1][0] != k:
             out.append(k)
+            starts.append(at)
         elif len(out[-1]) == 1 and k != "a":
             out[-1] += "+"
-    return "".join(out[:8])
+    return out, starts
+
+
+def shape(token: str) -> str:
+    return "".join(_runs(token)[0])
+
+
+def pieces(token: bytes) -> tuple[list[bytes], list[int]]:
+    """The whole token in consecutive pieces of at most RUNS runs, and the key of each piece's shape."""
+    text = token.decode("utf-8", "replace")
+    runs, starts = _runs(text)
+    cuts = [*starts[::RUNS], len(text)]
+    return [text[a:b].encode() for a, b in zip(cuts, cuts[1:])], [xxhash.xxh64_intdigest("".join(runs[k : k + RUNS])) for k in range(0, len(runs), RUNS)]
 
 
 class _Shapes(dict):
+    """token -> the key of its shape, or SEVERAL if it has more than one piece."""
+
     def __missing__(self, token: bytes) -> int:
-        out = xxhash.xxh64_intdigest(shape(token.decode("utf-8", "replace")))
+        keys = pieces(token)[1]
+        out = keys[0] if len(keys) == 1 else SEVERAL
         if len(token) <= LONGEST_REMEMBERED:
             if len(self) > 300_000:
                 self.clear()
@@ -58,6 +77,10 @@ def features(text: bytes | None, shapes: _Shapes, bits: int = BITS) -> np.ndarra
     if not tokens:
         return np.zeros(1, np.int64)
     one = np.fromiter(map(shapes.__getitem__, tokens), np.uint64, len(tokens))
+    if (one == SEVERAL).any():  # from here on, their pieces stand for them
+        split = [pieces(t) if k == SEVERAL else ([t], [k]) for t, k in zip(tokens, one.tolist())]
+        tokens = [t for part, _ in split for t in part]
+        one = np.array([k for _, keys in split for k in keys], np.uint64)
     same = np.fromiter(map(bytes.__eq__, tokens, tokens[1:]), bool, len(tokens) - 1)
     two = (one[:-1] * _SPREAD) ^ one[1:] ^ (same * np.uint64(0xA5A5A5A5))
     grams, counts = np.unique(np.concatenate((one, two, two[same] * np.uint64(0) + np.uint64(77))), return_counts=True)

@@ -98,6 +98,18 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([y == p for y, _, p in out]) > 0.93
 
 
+def test_shapes_read_whole_tokens():
+    found = lambda text: set(quality.features(text.encode(), quality._Shapes()).tolist())
+    assert found("x" * 64) == found("x" * 350_000) != found("x" * 64 + "$$$%%%###" * 9)
+    assert found("a1b2c3d4") != found("a1b2c3d4!") != found("a1b2c3d4!?")
+    cjk = "天地玄黄，宇宙洪荒。" * 40
+    assert found(cjk) != found(cjk + "@@##") and found("天地，") == found("玄黄宇，")
+    token = "Ab1-" * 5_000 + "é✓"
+    parts, keys = quality.pieces(token.encode())
+    assert b"".join(parts).decode() == token and len(parts) == len(keys) == 2_501
+    assert all(quality.pieces(p) == ([p], [k]) for p, k in zip(parts[:3] + parts[-3:], keys[:3] + keys[-3:]))
+
+
 def test_language_on_held_out_documents(spark):
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     out = [(lang[r["doc_id"]], r["lang_pred"]) for r in queries.op5_language_id(spark, SF).filter("held_out").collect() if lang[r["doc_id"]]]
