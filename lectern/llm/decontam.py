@@ -62,6 +62,12 @@ def _phrase() -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 6, broadcast_prints: int = BROADCAST_PRINTS) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    out = _decided(docs, benchmark, id_col, text_col, item_col, item_text_col, window, gram, broadcast_prints)
+    return out.drop("_t")
+
+
+def _decided(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 6, broadcast_prints: int = BROADCAST_PRINTS) -> DataFrame:
+    """As decontaminate(), with _t, the hash of the text: doc_id may be null or repeated."""
     items = benchmark.select(F.col(item_col).cast("string").alias("_item"), _once(words_of(text_or_empty(benchmark, item_text_col)))).filter(F.size("_w") > 0)
     short = sorted(r[0] for r in items.filter(F.size("_w") < window).select(F.size("_w")).distinct().collect())  # at most window - 1 numbers
     fits = (F.size("_w") >= window) if not short else (F.col("_m") == F.least(F.size("_w"), F.lit(window)))
@@ -94,11 +100,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = found.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_dt"), covered.alias("n_hit"), ids.alias("_ids"))
     out = plain.select("doc_id", "_t", F.size(words_of(F.col("_text"))).cast("long").alias("n_words")).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_dt")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.when(F.col("_ids").isNull(), F.lit(0)).otherwise(F.size("_ids")).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("_ids", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "_t", "n_words", n_hit.alias("n_hit"), F.when(F.col("_ids").isNull(), F.lit(0)).otherwise(F.size("_ids")).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("_ids", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without a benchmark window, with all their columns."""
-    bad = decontaminate(docs, benchmark, id_col, text_col, **options).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    own = docs.select(boxed(docs), docs[id_col].alias("_id"))
-    return unboxed(own.join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti"), docs)
+    bad = _decided(docs, benchmark, id_col, text_col, **options).filter("contaminated").select(F.col("doc_id").alias("_bad"), F.col("_t").alias("_bt")).distinct()
+    own = docs.select(boxed(docs), docs[id_col].alias("_id"), F.xxhash64(text_or_empty(docs, text_col)).alias("_t"))
+    return unboxed(own.join(bad, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_t") == F.col("_bt")), "left_anti"), docs)

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import boxed, materialize, short_batches, unboxed
+from ._common import boxed, materialize, short_batches, text_or_empty, unboxed
 from .components import components
 
 RADIUS, SHINGLE, SEED, CELL, LEVELS = 3, 3, 42, 2048, 5
@@ -46,16 +46,23 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """doc_id, fp for each row of docs; with `hashed` also _t, the hash of the text."""
     short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [fingerprint(t.as_py()) for t in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    more = ["_t"] if hashed else []
+    text = F.col(text_col).cast("string").alias("text")
+    return docs.select(F.col(id_col).alias("doc_id"), text, *[_text_hash(docs, text_col).alias(c) for c in more]).mapInArrow(run, f"doc_id {kind}, fp long" + ", _t long" * hashed)
+
+
+def _text_hash(docs: DataFrame, text_col: str) -> Column:
+    return F.xxhash64(text_or_empty(docs, text_col))
 
 
 def masks(radius: int, level: int) -> list[int]:
@@ -120,19 +127,28 @@ def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL, levels: i
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for each row of docs."""
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    out = _placed(fingerprints(docs, id_col, text_col), radius)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _placed(prints: DataFrame, radius: int) -> DataFrame:
+    """prints with component_id, and with _component, which is never null."""
+    prints = materialize(prints, "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("_least"))
     rooted = components(links(nodes.select("fp"), radius))
     root = F.coalesce("root", "fp")
     member = materialize(nodes.join(rooted, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "_least", root.alias("_root")), "members")
     heads = member.groupBy("_root").agg(F.min("_least").alias("component_id")).withColumnRenamed("_root", "_r")
-    member = member.join(heads, F.col("_root") == F.col("_r")).select("_fp", "component_id")
-    out = prints.join(member, F.col("fp") == F.col("_fp"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = member.join(heads, F.col("_root") == F.col("_r")).select("_fp", "component_id", F.col("_r").alias("_component"))
+    return prints.join(member, F.col("fp") == F.col("_fp"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay: of each component the document with the smallest doc_id, which must be unique."""
-    stay = near_duplicates(docs, id_col, text_col, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay"))
-    own = docs.select(boxed(docs), docs[id_col].alias("_id"))
-    return unboxed(own.join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi"), docs)
+    """The rows of docs that stay: of each component those of the smallest doc_id, and if that has several texts, of one of them.
+
+    Rows equal in doc_id and text stay or go together.
+    """
+    first = _placed(fingerprints(docs, id_col, text_col, hashed=True), radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = first.groupBy("_component").agg(F.min("component_id").alias("_stay"), F.min("_t").alias("_st")).select("_stay", "_st")
+    own = docs.select(boxed(docs), docs[id_col].alias("_id"), _text_hash(docs, text_col).alias("_t"))
+    return unboxed(own.join(stay, F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_t") == F.col("_st")), "left_semi"), docs)

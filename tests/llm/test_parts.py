@@ -9,7 +9,7 @@ from brute import op6, op9, roots
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm import langid, packing, pii, quality, queries, resharding, simhash
+from lectern.llm import decontam, langid, packing, pii, quality, queries, resharding, simhash
 from lectern.llm.components import components
 
 SF = "/root/testdata/sf0.01"
@@ -224,6 +224,18 @@ def test_long_runs_and_crowds_of_entities_take_linear_time():
     assert time.perf_counter() - started < 60
 
 
+def test_stages_decide_by_row_where_ids_are_null_or_repeated(spark):
+    leak, fine = " ".join(f"leak{k}" for k in range(12)), [f"text {w} stands alone {w}" for w in ("one", "two", "three")]
+    item = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows = [(None, leak), (None, fine[0]), (5, leak), (5, fine[1]), (6, fine[2]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in decontam.clean(docs, item).collect()} == {(None, fine[0]), (5, fine[1]), (6, fine[2]), (None, None)}
+    # null ids: a component of their own stays once, and the others go with the document they are near to
+    rows = [(None, fine[0]), (None, fine[0].upper()), (None, fine[1]), (7, fine[1].upper()), (7, fine[2]), (3, fine[2].upper())]
+    out = [tuple(r) for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(out) == 3 and set(out[:]) & set(rows[:2]) and {(7, fine[1].upper()), (3, fine[2].upper())} < set(out)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
