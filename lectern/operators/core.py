@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import exprs as E
+from ..sources import sinks
 from ..sources.readers import add_missing
 
 CORE_COLUMNS = ["drug_id", "generic_name", "generic_name_clean", "brand_names", "drug_class", "route", "indications", "dosage_and_administration", "warnings", "contraindications", "side_effects_all", "side_effects_label_confirmed", "sources", "last_updated"]
@@ -15,14 +16,18 @@ CORE_COLUMNS = ["drug_id", "generic_name", "generic_name_clean", "brand_names",
 def surrogate_keys(df: DataFrame, order: list[str], column: str = "drug_id", pattern: str = "DRUG_%06d", ties: list[str] | None = None) -> DataFrame:
     """Keys 1, 2, ... in the given order, without bringing the rows to one task; rows equal in it follow the order of `ties`.
 
-    Rows are range-partitioned and sorted; the rank of a row is its place in its partition after the counts of those before.
+    Rows are range-partitioned, sorted and written once, each with the number of its partition and its place there; counts
+    and keys are both read from that table, so they cannot disagree. The rank of a row is its place after the counts of
+    the partitions before. Rows equal in `order` are spread by `ties`, so that a common key fills no single partition.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order, *(ties or [])).withColumn("_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+    keys = [*order, *(ties or [])]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.monotonically_increasing_id().alias("_id"))
+    ranged = sinks.materialize(ranged.select("_row", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "ranged")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select(F.col("_part").alias("_p"), "_before")
+    before = counts.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     out = ranged.join(F.broadcast(before), F.col("_part") == F.col("_p"))
-    return out.withColumn(column, F.format_string(pattern, F.col("_before") + F.col("_at") + 1)).drop("_part", "_at", "_p", "_before")
+    key = F.format_string(pattern, F.col("_before") + F.col("_at") + 1).alias(column)
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in df.columns if c != column], key)
 
 
 def core_rule(strict: bool = True) -> Column:

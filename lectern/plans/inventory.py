@@ -54,8 +54,7 @@ _BANNED = " OR ".join(f"contains(lower(generic || '|' || brand || '|' || ind), '
 
 
 @query(f"""WITH r AS ({_CORE}), k AS (SELECT * FROM r WHERE route <> 'dental' AND (class IS NOT NULL OR label IS NOT NULL) AND length(generic) <= 32 AND NOT ({_BANNED}))
-    SELECT printf('DRUG_%06d', row_number() OVER (ORDER BY generic, brand, route, coalesce(class, ''))) AS drug_id, generic AS generic_name_clean, brand AS brand_names, route, coalesce(class, '') AS drug_class, trim(ind) AS indications, CASE WHEN label IS NULL THEN '' ELSE 'nausea, itch' END AS side_effects FROM k
-    QUALIFY count(*) OVER (PARTITION BY generic, brand, route, coalesce(class, '')) = 1""")
+    SELECT printf('DRUG_%06d', row_number() OVER (ORDER BY generic, brand, route, coalesce(class, ''), trim(ind), coalesce(label, ''))) AS drug_id, generic AS generic_name_clean, brand AS brand_names, route, coalesce(class, '') AS drug_class, trim(ind) AS indications, CASE WHEN label IS NULL THEN '' ELSE 'nausea, itch' END AS side_effects FROM k""")
 def p10_f7_core_table(t):
     k, name = F.col("p_partkey"), F.col("p_name")
     raw = t("part").select(
@@ -63,8 +62,6 @@ def p10_f7_core_table(t):
         F.when(k % 8 == 0, "nausea, Nausea,itch").alias("side_effects_label_confirmed"), F.when(k % 7 == 0, "Nicotine relief").otherwise(F.concat(F.lit(" For "), name, F.lit(" "))).alias("indications"),
     )
     out = core.core_table(raw, "2024-01-31")
-    same = Window.partitionBy("generic_name_clean", "brand_names", "route", "drug_class")  # rows that tie in all sort columns have no order of their own
-    out = out.withColumn("_n", F.count("*").over(same)).filter("_n = 1")
     return out.select("drug_id", "generic_name_clean", "brand_names", "route", F.coalesce("drug_class", F.lit("")).alias("drug_class"), "indications", F.coalesce("side_effects_label_confirmed", F.lit("")).alias("side_effects"))
 
 

@@ -20,9 +20,15 @@ def write_offenders(offenders: DataFrame, path: str) -> None:
 
 
 def write_json_report(report: dict, path: str) -> None:
-    """Counts stay numbers."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, indent=2, ensure_ascii=False, default=str)
+    """Counts stay numbers. path may lie in any file system that Spark knows."""
+    told = json.dumps(report, indent=2, ensure_ascii=False, default=str)
+    context = SparkSession.active().sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(context._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(told.encode("utf-8"))
+    finally:
+        out.close()
 
 
 def coverage_metrics(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,10 +36,27 @@ def coverage_metrics(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("row_count"), *[F.count_if(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "").alias(f"{c}_filled") for c in columns])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a local master may do with a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; what is written there goes when the driver's JVM ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lectern-")
-    path = f"{shared.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: its rows are fixed from here on, and outlive executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
