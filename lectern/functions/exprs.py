@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 
-PY_SPACE = r"(?U)\s"  # \s of Python's re, but for U+001C to U+001F
+#: What Python's str.strip() takes off: fixed values.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def text(c: Column | str) -> Column:
@@ -24,8 +25,8 @@ def sub(c: Column, pattern: str, to: str = " ") -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Python's str.strip(): all white space, where trim() takes spaces only."""
-    return sub(c, r"(?U)^\s+|\s+$", "")
+    """Python's str.strip(): all white space, where trim() takes spaces only. Looks at the ends alone, not at every run of blanks."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -97,12 +98,12 @@ def limit_text(c: Column | str, n: int) -> Column:
 def hard_cap(c: Column | str, n: int) -> Column:
     """At most n characters, the last one an ellipsis if anything was cut."""
     base = strip(text(c))
-    return F.when(F.length(base) <= n, base).otherwise(F.concat(sub(F.left(base, F.lit(n - 1)), r"(?U)\s+$", ""), F.lit("…")))
+    return F.when(F.length(base) <= n, base).otherwise(F.concat(F.rtrim(F.left(base, F.lit(n - 1)), F.lit(BLANKS)), F.lit("…")))
 
 
 def soft_cap(c: Column | str, n: int = 1500) -> Column:
     base = text(c)
-    return F.when(F.length(base) > n, F.concat(sub(F.left(base, F.lit(n)), r"(?U)\s+$", ""), F.lit("…"))).otherwise(base)
+    return F.when(F.length(base) > n, F.concat(F.rtrim(F.left(base, F.lit(n)), F.lit(BLANKS)), F.lit("…"))).otherwise(base)
 
 
 def canonical_breaks(c: Column | str) -> Column:
@@ -209,8 +210,8 @@ def _number(c: Column) -> Column:
 
 
 def lenient_int(c: Column | str) -> Column:
-    """Whole part of a number; 0 where there is none."""
-    return F.coalesce((F.col(c) if isinstance(c, str) else c).try_cast("double"), F.lit(0.0)).cast("int")
+    """Whole part of a number as a 64-bit integer; 0 where there is none: text, NULL, NaN, infinities and what is out of range."""
+    return F.coalesce(F.nanvl((F.col(c) if isinstance(c, str) else c).try_cast("double"), F.lit(0.0)).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def priority(c: Column | str, table: dict[str, int], other: int = 99) -> Column:

@@ -204,7 +204,7 @@ def f1_f6_conjunctive_mask(t):
 # joins ------------------------------------------------------------------------------------------
 
 
-@query("SELECT c_custkey, c_name, coalesce(o.orders, 0)::INT AS orders, coalesce(o.top_status, '') AS top_status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, max(o_orderstatus) AS top_status FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey")
+@query("SELECT c_custkey, c_name, coalesce(o.orders, 0)::BIGINT AS orders, coalesce(o.top_status, '') AS top_status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, max(o_orderstatus) AS top_status FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey")
 def j1_left_join_fill(t):
     side = t("orders").groupBy(F.col("o_custkey").cast("string").alias("key")).agg(F.count("*").alias("orders"), F.max("o_orderstatus").alias("top_status"))
     base = t("customer").select("c_custkey", "c_name", F.col("c_custkey").cast("string").alias("key"))
@@ -349,9 +349,17 @@ def a16_quality_summary(t):
 # keys, casts, index -----------------------------------------------------------------------------
 
 
-@query("SELECT event_id, coalesce(trunc(try_cast(replace(replace(props, '{\"k\": ', ''), '}', '') AS DOUBLE)), 0)::INT AS k, coalesce(trunc(try_cast(event_type AS DOUBLE)), 0)::INT AS none FROM events")
+_CELLS = ["NaN", "1000000000000", "-2.9", "Infinity", "1e300", "x", None]
+_WHOLE = "coalesce(try_cast(CASE WHEN isnan(try_cast({0} AS DOUBLE)) THEN 0 ELSE trunc(try_cast({0} AS DOUBLE)) END AS BIGINT), 0)"
+
+
+@query(
+    "SELECT event_id, " + _WHOLE.format("replace(replace(props, '{\"k\": ', ''), '}', '')") + " AS k, " + _WHOLE.format("event_type") + " AS none, " + _WHOLE.format("odd") + " AS odd FROM (SELECT *, CASE event_id % 7 "
+    + " ".join(f"WHEN {i} THEN {'NULL' if v is None else repr(v)}" for i, v in enumerate(_CELLS)) + " END AS odd FROM events)"
+)
 def p8_lenient_cast(t):
-    return t("events").select("event_id", E.lenient_int(F.expr("replace(replace(props, '{\"k\": ', ''), '}', '')")).alias("k"), E.lenient_int("event_type").alias("none"))
+    odd = F.get(F.array(*[F.lit(v) for v in _CELLS]), (F.col("event_id") % 7).cast("int"))
+    return t("events").select("event_id", E.lenient_int(F.expr("replace(replace(props, '{\"k\": ', ''), '}', '')")).alias("k"), E.lenient_int("event_type").alias("none"), E.lenient_int(odd).alias("odd"))
 
 
 @query("SELECT p_partkey, printf('DRUG_%06d', row_number() OVER (ORDER BY p_name, p_partkey)) AS drug_id FROM part")

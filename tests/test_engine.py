@@ -155,6 +155,34 @@ def test_core_table_keys_every_tied_row_in_one_order(spark):
         assert sorted((r["drug_id"], r["generic_name_clean"], r["indications"]) for r in out.collect()) == want
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_surrogate_keys_lose_and_repeat_nothing(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 200_000
+        rows = spark.range(n).select((F.col("id") % 977).alias("a"), F.col("id"), F.repeat(F.lit("wide "), 40).alias("payload"), F.lit(None).cast("string").alias("_part"))
+        hot = rows.withColumn("a", F.when(F.col("a") % 3 == 0, 0).otherwise(F.col("a")))
+        for df in (rows, hot):
+            out = core.surrogate_keys(df, ["a"], pattern="%d", ties=["id"])
+            assert out.columns == [*df.columns, "drug_id"]
+            key = F.col("drug_id").cast("long")
+            assert tuple(out.agg(F.count("*"), F.count_distinct("drug_id"), F.min(key), F.max(key), F.count_distinct("id")).first()) == (n, n, 1, n, n)
+            place = out.select("a", "id", key.alias("k")).orderBy("k").toPandas()
+            assert place[["a", "id"]].equals(place.sort_values(["a", "id"])[["a", "id"]])
+        nulls = spark.createDataFrame([(None, 1), ("b", 2), (None, 3), ("a", 4)], "a string, id int")
+        assert {r["id"]: r["drug_id"] for r in core.surrogate_keys(nulls, ["a"], pattern="%d", ties=["id"]).collect()} == {1: "1", 3: "2", 4: "3", 2: "4"}
+        assert core.surrogate_keys(nulls.limit(0), ["a"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_lenient_int_is_total(spark):
+    cells = {"NaN": 0, "1000000000000": 10**12, "-2.9": -2, "Infinity": 0, "1e300": 0, "": 0, "x": 0, None: 0, " 7 ": 7}
+    out = spark.createDataFrame([(c,) for c in cells], "x string").select("x", E.lenient_int("x").alias("n")).collect()
+    assert {r["x"]: r["n"] for r in out} == cells
+
+
 def test_core_table_and_mart(spark):
     raw = spark.createDataFrame([("Zeta", "ORAL", "C", "fine"), ("alpha", "oral, x", "C", "ok"), ("herbal tea", "ORAL", "C", "x"), ("beta", "dental", "C", "x"), ("gamma", "NASAL", None, "x")], "generic_name string, route string, drug_class string, indications string")
     out = core.core_table(raw, "2026-01-01").orderBy("drug_id").collect()
