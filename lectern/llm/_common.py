@@ -14,11 +14,16 @@ LONGEST_REMEMBERED = 128
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A table of documents is dealt over all cores only up to this many bytes, so what that shuffles does not grow with the input.
+SMALL_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; documents over at least as many tasks as there are cores, which moves rows of a small file only."""
+    """A table as its files are split; a small file of documents (SMALL_BYTES), which may be one row group, is dealt over the cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
+    if name != "documents" or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -31,9 +36,11 @@ def text_or_empty(docs: DataFrame, text_col: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the cluster names none."""
+    """The folder that driver and executors share, as the cluster names it; a local master may do with a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -57,13 +64,6 @@ def power_of_two(n: int, least: int, most: int) -> int:
     return max(least, min(most, 1 << max(0, int(n) - 1).bit_length()))
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts: at most `rows` rows, so that a batch of long texts fits a worker. A smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def boxed(docs: DataFrame) -> Column:
     """All columns of docs as one struct column, so that none clashes with an operator's own."""
     return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_box")

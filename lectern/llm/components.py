@@ -2,6 +2,9 @@
 
 Every round is a fixed set of shuffles and ends in a table in the shared folder; the number of rounds grows
 with the logarithm of the longest chain. Hubs are the build side of joins with one row per key.
+
+Defined cases: null ends link nothing; repeated edges and loops count once and not at all; without edges the result is
+empty; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -28,9 +28,12 @@ def _flagged(docs: DataFrame, text_col: str, expected_rows: int | None, max_bits
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", expected_rows: int | None = None, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """A row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = _flagged(plain, "text", expected_rows, max_bits).select("doc_id", "_sha", "_maybe", F.monotonically_increasing_id().alias("_row"))
-    rows = materialize(rows, "digests")  # fixes _row, which breaks ties between repeated rows
+    norm = ascii_lower(text_or_empty(docs, text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(norm, 256)).alias("_sha"), F.monotonically_increasing_id().alias("_row"))
+    rows = materialize(rows, "digests")  # texts are read once; fixes _row, which breaks ties between repeated rows
+    h = F.xxhash64("_sha")
+    bits = bloom.bits_for(rows.count() if expected_rows is None else expected_rows, max_bits)
+    rows = bloom.probe(rows, h, bloom.repeated_filter(rows.select(h.alias("_h")), F.col("_h"), bits), bits, "_maybe")
     sha = F.lower(F.hex("_sha")).alias("text_sha256")
     alone = rows.filter("not _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     some = rows.filter("_maybe")

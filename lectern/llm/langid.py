@@ -23,7 +23,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import short_batches
 from .quality import remainder
 
 WORD_BITS, GRAM_BITS, PENALTY, FLOOR = 18, 16, 4.0, 0.01
@@ -177,7 +176,6 @@ def viterbi(words: list[np.ndarray], rows: np.ndarray, penalty: float) -> list[n
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", penalty: float = PENALTY, with_spans: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score (and with_spans: spans, lang:start:end in code points, comma-joined) for each row."""
-    short_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col))
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "held_out", "lang_pred", "score", "spans"][: 5 if with_spans else 4]

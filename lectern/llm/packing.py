@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LONGEST_REMEMBERED, materialize, power_of_two, short_batches
+from ._common import LONGEST_REMEMBERED, materialize, power_of_two
 
 CAPACITY, CLOSING_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Chunks between white space whose ids a task remembers at a time.
@@ -81,7 +81,6 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
     closing = np.array([CLOSING_ID], "<u4").tobytes()
-    short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LONGEST_REMEMBERED, materialize, short_batches
+from ._common import LONGEST_REMEMBERED, materialize
 
 DISCLOSURE, SUPPORT, REACH, SLICE = 0.9, 3, 6, 4_000_000
 #: Hashes of repeated texts are broadcast up to this many, 16 bytes each; beyond it they are joined by shuffle.
@@ -232,7 +232,6 @@ def _own_terms(plain: DataFrame, terms: DataFrame) -> DataFrame:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int = REACH, most_told: int = SLICE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined) for each row."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    short_batches(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     terms = materialize(disclosing_terms(texts, disclosure, support, reach), "disclosing")
     few = terms.limit(most_told + 1).count() <= most_told

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LONGEST_REMEMBERED, short_batches
+from ._common import LONGEST_REMEMBERED
 
 BITS, PER_CLASS, THRESHOLD, LEVELS, RUNS, SEVERAL = 18, 4000, 0.7, (0.0, 0.01, 0.05, 0.15, 0.4), 8, 0
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +143,6 @@ def remainder(id_col: Column, n: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, bits: int = BITS) -> dict:
     """Weights and calibration, from labelled rows whose crc32(doc_id) mod 4 is not 2."""
-    short_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (remainder(F.col(id_col), 4) != 2)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
     totals = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     if len(totals) < 2:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import boxed, materialize, short_batches, text_or_empty, unboxed
+from ._common import boxed, materialize, text_or_empty, unboxed
 from .components import components
 
 RADIUS, SHINGLE, SEED, CELL, LEVELS = 3, 3, 42, 2048, 5
@@ -48,7 +48,6 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """doc_id, fp for each row of docs; with `hashed` also _t, the hash of the text."""
-    short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

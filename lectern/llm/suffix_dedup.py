@@ -1,18 +1,22 @@
-"""Removal of long repeated byte strings by a distributed difference-cover comparison of suffixes.
-
-A difference cover samples suffixes so that any two can be compared at sampled places the same distance ahead.
-Here the cover is chosen by content (the smallest 64-byte gram of each 200-byte window): equal windows always
-hold their sampled place at the same distance, so windows need only be compared with others of the same sample.
-
-1. Sort samples: sampled grams get names (hashes); names that occur once leave, by a Bloom filter and then exactly.
-2. Recurse on names: consecutive windows that share a sample form a run; (name of the sample, name of the run's whole
-   text) is the run's name. Runs whose name repeats are repeated throughout and are settled in one comparison.
-3. Merge the rest: what is left are the borders of repeats. Their texts meet those of one representative of every
-   other run of the same sample, and the names of all windows are sorted together.
+"""Removal of long repeated byte strings by comparing suffixes at sampled places.
+
+The dealt method sorts triples at the places of a difference cover, recurses on their names and merges the remaining
+suffixes. Its first round alone moves more than the disk allowed (README), so only its idea is kept: compare suffixes
+through a sample that any two equal ones share. The sample is chosen by content, the smallest 64-byte gram of each
+200-byte window: equal windows hold their sampled place at the same distance, so a window need only be compared with
+others of the same sample. No triples are sorted and no ranks are made; names are hashes.
+
+1. Sampled grams get names; names that occur once leave, by a Bloom filter and then exactly.
+2. Consecutive windows that share a sample form a run, named by its sample and a hash of its whole text. Runs whose
+   name repeats are repeated throughout and are settled in one comparison.
+3. What is left are the borders of repeats. Their texts meet those of one representative of every other run of the
+   same sample, and the names of all their windows are sorted together.
 4. Adjacent equal names are repeats; their spans go back to the documents, merged there.
 
-Names are 64-bit polynomial hashes; windows meet under two of them, of the sample and of the window. Every shuffle
-is pre-aggregated or joins a side with one row per key; no step gathers a group of equals in one place.
+What decides is a hash of the whole text compared: XXH3 for runs, and for windows two polynomials modulo the prime
+2^31 - 1 with random bases, which no pair of different windows is built to meet in. The faster polynomial modulo 2^64
+only chooses and names samples, where a collision costs a comparison and no result. Every shuffle is pre-aggregated or
+joins a side with one row per key, names of very many runs are salted, and no step gathers a group of equals in one place.
 
 Defined cases: a null text is empty; texts shorter than a window lose nothing; repeated rows (same doc_id and text)
 are occurrences of each other; an empty table gives an empty result; other columns are not looked at.
@@ -25,15 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from ._common import materialize, short_batches, text_or_empty
+from ._common import materialize, text_or_empty
 
 LENGTH, GRAM = 200, 64
 #: A sample with more different runs than this is compared window by window, in no task as a whole.
 CROWD = 4096
+#: Names that more than one in OFTEN of all rows bear, so at most OFTEN of them, are dealt over SALTS tasks each.
+OFTEN, SALTS = 2000, 64
 _SEGMENT = 1 << 17  # windows handled at a time
 _PLACE = (1 << 18) - 1
 
@@ -63,8 +70,52 @@ class Hasher:
         out *= self.inverses[: len(out)]
         return out
 
-    def parts(self, prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (prefix[b] - prefix[a]) * self.inverses[a]
+
+class PrimeHasher:
+    """Names of substrings by two polynomials with random bases modulo the prime 2^31 - 1, side by side in 64 bits.
+
+    Prefix sums of a segment of up to 2^18 residues stay under 2^50, so nothing overflows.
+    """
+
+    P = np.uint64((1 << 31) - 1)
+
+    def __init__(self, size: int, seed: int):
+        r = np.random.RandomState(seed)
+        p = int(self.P)
+        self.parts = []
+        for _ in range(2):
+            codes = r.randint(1, p, 256, np.int64).astype(np.uint64)
+            base = int(r.randint(1 << 20, p - 1, dtype=np.int64))
+            self.parts.append((codes, self._powers(base, size + 1), self._powers(pow(base, -1, p), size + 1)))
+
+    def _powers(self, base: int, n: int) -> np.ndarray:
+        out = np.ones(n, np.uint64)
+        done = 1
+        while done < n:  # doubling: out[k + done] = out[k] * base^done
+            take = min(done, n - done)
+            out[done : done + take] = self._fold(self._fold(out[:take] * np.uint64(pow(base, done, int(self.P)))))
+            done += take
+        return out
+
+    def _fold(self, x: np.ndarray) -> np.ndarray:
+        return (x & self.P) + (x >> np.uint64(31))
+
+    def prefix(self, data: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for codes, powers, _ in self.parts:
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self._fold(self._fold(codes[data] * powers[: len(data)])), out=sums[1:])
+            out.append(sums)
+        return out
+
+    def names(self, prefix: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The name of each data[a:b]."""
+        halves = []
+        for sums, (_, _, inverses) in zip(prefix, self.parts):
+            x = self._fold(self._fold(self._fold(sums[b] - sums[a]) * inverses[a]))
+            x = self._fold(x)
+            halves.append(np.where(x == self.P, np.uint64(0), x))
+        return halves[0] << np.uint64(31) | halves[1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -94,7 +145,9 @@ def runs_of(data: np.ndarray, hasher: Hasher, length: int, gram: int) -> Iterato
         first = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
         last = np.concatenate((first[1:] - 1, [len(place) - 1]))
         where = place[first]
-        whole = hasher.parts(prefix, first, last + length)
+        text = part.tobytes()
+        digest = xxhash.xxh3_64_intdigest
+        whole = np.fromiter((digest(text[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())), np.uint64, len(first))
         shape = ((where - first) * 65536 + (last - first)).astype(np.uint64)
         yield names[where], mixed(whole ^ mixed(shape + np.uint64(1))), first + at, last - first + 1
 
@@ -108,7 +161,7 @@ def _signed(parts: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
 
 
-def _named_windows(batch: pa.RecordBatch | pa.Table, hasher: Hasher, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _named_windows(batch: pa.RecordBatch | pa.Table, hasher: PrimeHasher, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of border runs (d, t, i, a, w, text): the row, place in the run's text and name of each window."""
     texts = batch.column(5)
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -124,14 +177,14 @@ def _named_windows(batch: pa.RecordBatch | pa.Table, hasher: Hasher, length: int
         start = at[row] - at[k] + place
         rows.append(row)
         places.append(place)
-        names.append(mixed(hasher.parts(prefix, start, start + length)))
+        names.append(mixed(hasher.names(prefix, start, start + length)))
         k = end
     return np.concatenate(rows), np.concatenate(places), np.concatenate(names)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], length: int, block: int = 10_000) -> Iterator[pa.RecordBatch]:
     """Border runs sorted by sample -> spans of the windows that a second run of the same sample holds too."""
-    hasher, held, rows = Hasher(_SEGMENT + 2 * length, 1), [], 0
+    hasher, held, rows = PrimeHasher(_SEGMENT + 2 * length, 1), [], 0
 
     def solve(part: pa.Table) -> pa.RecordBatch:
         row, place, name = _named_windows(part, hasher, length)
@@ -168,7 +221,7 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int, block: int = 10_000
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Border runs -> each of their windows with its name."""
-    hasher = Hasher(_SEGMENT + 2 * length, 1)
+    hasher = PrimeHasher(_SEGMENT + 2 * length, 1)
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = pa.Table.from_batches([batch.slice(at, 2000)]).combine_chunks()
@@ -181,7 +234,6 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with_text: kept, binary) for each row of docs."""
-    short_batches(docs.sparkSession)
     text = text_or_empty(docs, text_col)
     plain = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("t"), text.cast("binary").alias("text"))
     kind = plain.schema["d"].dataType.simpleString()
@@ -202,7 +254,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), _signed(a), _signed(r), _signed(i), _signed(n)], names=["d", "t", "a", "r", "i", "n"])
 
     runs = materialize(plain.mapInArrow(scan, f"d {kind}, t long, a long, r long, i long, n long"), "runs")
-    bits = bloom.bits_for(runs.count())
+    total = runs.count()
+    bits = bloom.bits_for(total)
     sampled = F.xxhash64("a")
     some = bloom.probe(runs, sampled, bloom.repeated_filter(runs.select("a"), sampled, bits, 1), bits, "_maybe", 1).filter("_maybe").drop("_maybe")
 
@@ -210,7 +263,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     shapes = named.groupBy("a").agg(F.count("*").alias("shapes")).withColumnRenamed("a", "_a")
     named = named.join(shapes, F.col("a") == F.col("_a")).filter("times > 1 or shapes > 1").drop("_a")
     named = materialize(named, "named-runs")
-    whole = some.join(named.filter("times > 1").select(F.col("a").alias("_a"), F.col("r").alias("_r")), (F.col("a") == F.col("_a")) & (F.col("r") == F.col("_r")), "left_semi")
+    often = total // OFTEN
+    hot = F.broadcast(named.filter(F.col("times") > often).select(F.col("a").alias("_ha"), F.col("r").alias("_hr"), F.lit(True).alias("_hot")))  # at most OFTEN rows
+    dealt = some.join(hot, (F.col("a") == F.col("_ha")) & (F.col("r") == F.col("_hr")), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("d", "t", "i"), F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(F.col("times") > often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    twice = named.filter("times > 1").select(F.col("a").alias("_a"), F.col("r").alias("_r"), F.explode(salts).alias("_s"))
+    whole = dealt.join(twice, (F.col("a") == F.col("_a")) & (F.col("r") == F.col("_r")) & (F.col("_salt") == F.col("_s")), "left_semi")
     spans = whole.select("d", "t", F.col("i").alias("s"), (F.col("i") + F.col("n") - 1 + length).alias("e"))
 
     # the borders: every run that is alone of its name, and one of each repeated run beside them, with their texts
