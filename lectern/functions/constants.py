@@ -42,9 +42,37 @@ WARNING_SECTIONS = [
 OPENFDA_HEADINGS = ["BOXED WARNING", "WARNINGS AND PRECAUTIONS", "WARNINGS", "PRECAUTIONS", "CONTRAINDICATIONS", "ADVERSE REACTIONS", "DRUG INTERACTIONS", "USE IN SPECIFIC POPULATIONS", "PREGNANCY", "LACTATION", "OVERDOSAGE", "DOSAGE AND ADMINISTRATION"]
 LONG_TEXT_HEADINGS = ["INDICATIONS", "INDICATIONS AND USAGE", "DOSAGE AND ADMINISTRATION", "CONTRAINDICATIONS", "WARNINGS", "WARNINGS AND PRECAUTIONS", "PRECAUTIONS", "ADVERSE REACTIONS", "CLINICAL PHARMACOLOGY", "DESCRIPTION", "HOW SUPPLIED"]
 HEADLINE_STARTS = ("warning:", "warnings:", "boxed warning")
+WARNING_STARTS = ("warning", "boxed warning")
 HEADLINE_BREAK = r"(?i)(?<!^)\s+(?=(?:boxed warning\b|warning\s*:|warnings\s*:))"
 UNIT_BREAK = (
     r"(?i)(?<!^)(?<!\n)\s*(?=(?:keep out of reach of children|keep away from fire|for external use only|boxed warning\b|warning\b|warnings\b|precautions\b|do not use\b"
     r"|when using this product\b|ask a doctor before use\b|ask a doctor or pharmacist before use\b|stop use and ask (?:a )?doctor\b|if swallowed\b|in case of overdose\b|poison control\b))"
 )
+SENTENCE_END = r"(?<=[.!?])\s+"
+#: Where a sentence begins that no stop precedes: what is found, and what stands in its place.
+SENTENCE_MARKS = [(r"(?i)\bDirections\b\s*:?", "\nDirections:\n"), (r"(\(\s*\d+(?:\.\d+)*\s*\))", r"\n\1 "), (r"(?<!\w)(\d+(?:\.\d+)*)(?=\s+[A-Z])", r"\n\1")]
+#: Texts that say the same: kept ones looked back at, ratio, coverage of the shorter one.
+SAME_HEADLINE, SAME_WARNING, SAME_UNIT, SAME_SENTENCE, SAME_LINE = (6, 0.88, 0.55), (6, 0.86, 0.55), (4, 0.92, None), (10, 0.88, 0.70), (4, 0.92, 0.70)
+SAME_RATIO, COVERED_LEAST, SAME_HALVES = 0.92, 60, 0.94
+SAME_BODY, COVERED_BODY, COVERED_OVERDOSE = 0.90, 0.70, 0.40
+OVERDOSE_PAIR = {"warnings", "overdosage"}
+TINY_CHARS, TINY_WORDS = 18, 4
+#: A prefix told again: least length of the text, characters probed, of the snippet at most and at least, where to look from, share of the text before it, least to keep.
+PREFIX = {"text": 350, "probe": 220, "most": 180, "least": 80, "after": 120, "share": 0.75, "keep": 120}
+WINDOW_KEEP, WINDOW_PASSES, HALVES_KEY, HALVES_KEEP, SENTENCES_FROM = 180, 4, 320, 120, 220
+#: Space that punctuation does not take when words are put together again.
+SPACING = [(r"\s+([,.;:!?])", r"\1"), (r"\s+([\)\]\}])", r"\1"), (r"([\(\[\{])\s+", r"\1"), (r"\s{2,}", " ")]
+BULLETS = "[■▪•]"
+#: Remarks that go from long texts if there are at least so many of them.
+REMARKS = [(r"(?i)\bclick (?:or tap )?here to enter text\.?\b", 0), (r"\(\s*\d+(?:\.\d+)*\s*\)", 3), (r"(?i)\[\s*see [^\]]+\]", 2)]
+CUT_NAMES = r"(?i)\bcetamin(?:ophen|o)\b"
+ONLY_PUNCTUATION, LEADING_PUNCTUATION = r"^[:;\-–—•\.\s]+$", r"^\s*[:;\-–—•]+\s*"
+SHOWN_TEXT, SHOWN_LINE = 1500, 20
 SIDE_EFFECT_BUCKETS = ["common", "less_common", "rare", "postmarketing", "unknown_frequency"]
+#: Rank of a frequency word, by the summary and by the buckets.
+PRIORITY_SUMMARY = {"very common": 1, "common": 2, "frequent": 2, "uncommon": 3, "rare": 4, "very rare": 5, "postmarketing": 6}
+PRIORITY_BUCKETS = {"very common": 1, "common": 2, "frequent": 3, "infrequent": 4, "uncommon": 4, "rare": 5, "very rare": 6, "postmarketing": 7}
+FREQUENCY_WORDS = {"common": ["very common", "common", "frequent"], "less_common": ["uncommon", "infrequent"], "rare": ["rare", "very rare"], "postmarketing": ["postmarketing"]}
+ROUTE_CODES = ["iv", "im", "sc", "sq", "po"]
+NAME_PREFIXES = [r"^\(.*?\)\s*", r"^\d+(\.\d+)?%\s*", r"\bto deliver\b"]
+NAME_CHARS, GENERIC_CHARS = r"[^a-z0-9\s\-]+", r"[^a-z0-9\s\-/+.]"

@@ -50,14 +50,13 @@ def strip_dosage_and_form(c: Column | str) -> Column:
 
 def normalize_text(c: Column | str) -> Column:
     base = F.replace(strip(F.lower(text(c))), F.lit("_"), F.lit(" "))
-    return strip_dosage_and_form(squeeze(sub(base, r"[^a-z0-9\s\-]+")))
+    return strip_dosage_and_form(squeeze(sub(base, C.NAME_CHARS)))
 
 
 def clean_generic(c: Column | str) -> Column:
     base = strip(F.lower(text(c)))
-    base = sub(sub(base, r"^\(.*?\)\s*", ""), r"^\d+(\.\d+)?%\s*", "")
-    base = sub(base, r"\bto deliver\b", "")
-    return sub(squeeze(sub(base, r"[^a-z0-9\s\-/+.]")), "^0xygen", "oxygen")
+    base = reduce(lambda e, p: sub(e, p, ""), C.NAME_PREFIXES, base)
+    return sub(squeeze(sub(base, C.GENERIC_CHARS)), "^0xygen", "oxygen")
 
 
 def short_brand_key(c: Column | str, words: int = 3) -> Column:
@@ -112,6 +111,37 @@ def canonical_breaks(c: Column | str) -> Column:
     return strip(sub(sub(F.replace(base, F.lit("\\n"), F.lit("\n")), r"[ \t]+"), r"\n{3,}", "\n\n"))
 
 
+def display_text(c: Column | str, n: int = C.SHOWN_TEXT, least: int = C.SHOWN_LINE) -> Column:
+    """For display: line breaks stay; lines of punctuation, labels told twice and lines under `least` characters go."""
+    joined = lambda lines: strip(sub(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    lines = lambda t, f: joined(f(F.transform(F.split(t, "\n"), strip)))
+    bare = lambda x: F.when(x == "", x).otherwise(strip(sub(x, "(?U)" + C.LEADING_PUNCTUATION, "")))
+    out = lines(canonical_breaks(c), lambda a: F.transform(F.filter(a, lambda x: ~x.rlike("(?U)" + C.ONLY_PUNCTUATION)), bare))
+    labels = sorted(C.LABELS, key=len, reverse=True)
+    for again in (r"{0}\b[: ]*", r"{0}:\s*$"):  # below its label, a label that opens a line or is one
+        for x in labels:
+            out = sub(out, r"(?dmiU)^{0}:\s*\n\s*".format(x) + again.format(x), x + (":\n" if again.endswith("*") else ":"))
+    out = lines(out, lambda a: F.transform(a, lambda x: strip(sub(x, r"[ \t]+"))))
+    return soft_cap(lines(out, lambda a: F.filter(a, lambda x: (x == "") | (F.length(x) >= least) | x.endswith(":"))), n)
+
+
+def sections(c: Column | str) -> Column:
+    """(title, body) of each block between blank lines; a block without a title line has an empty title."""
+
+    def parted(b: Column) -> Column:
+        at = F.locate(":\n", b)
+        titled = F.struct(strip(F.left(b, at - 1)).alias("title"), strip(F.substr(b, at + 2)).alias("body"))
+        return F.when(at > 0, titled).otherwise(F.struct(F.lit("").alias("title"), b.alias("body")))
+
+    blocks = F.filter(_parts(strip(text(c)), r"\n{2,}"), lambda b: b != "")
+    return F.transform(blocks, parted)
+
+
+def join_sections(a: Column) -> Column:
+    """The text of which sections(text) would be a, its blocks stripped."""
+    return F.array_join(F.transform(a, lambda x: F.when(x["title"] == "", x["body"]).otherwise(F.concat(x["title"], F.lit(":\n"), x["body"]))), "\n\n")
+
+
 # lists in a cell --------------------------------------------------------------------------------
 
 
@@ -140,7 +170,7 @@ def normalize_route(c: Column | str) -> Column:
 
 
 def _route(p: Column) -> Column:
-    return F.when(F.lower(p).isin("iv", "im", "sc", "sq", "po"), F.upper(p)).otherwise(F.initcap(p))
+    return F.when(F.lower(p).isin(C.ROUTE_CODES), F.upper(p)).otherwise(F.initcap(p))
 
 
 def title_case(c: Column) -> Column:
@@ -151,7 +181,7 @@ def title_case(c: Column) -> Column:
 
 
 def normalize_route_service(c: Column | str) -> Column:
-    up = lambda p: F.when(F.lower(p).isin("iv", "im", "sc", "sq", "po"), F.upper(p)).otherwise(title_case(p))
+    up = lambda p: F.when(F.lower(p).isin(C.ROUTE_CODES), F.upper(p)).otherwise(title_case(p))
     return F.array_join(distinct_keep_first(_parts(text(c), r"[,|/;]+", lambda p: up(strip(p)))), ", ")
 
 
@@ -194,10 +224,7 @@ def frequency_bucket(c: Column | str) -> Column:
     f = norm_term(c)
     share = F.when(f.endswith("%"), _number(F.rtrim(f, F.lit("%"))))
     return (
-        F.when(f.isin("very common", "common", "frequent"), "common")
-        .when(f.isin("uncommon", "infrequent"), "less_common")
-        .when(f.isin("rare", "very rare"), "rare")
-        .when(f == "postmarketing", "postmarketing")
+        reduce(lambda e, kv: e.when(f.isin(kv[1]), kv[0]), list(C.FREQUENCY_WORDS.items()), F.when(F.lit(False), ""))
         .when(share >= 1, "common")
         .when(share >= 0.1, "less_common")
         .when(share.isNotNull(), "rare")

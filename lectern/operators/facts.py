@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import exprs as E
 
-PRIORITY_SUMMARY = {"very common": 1, "common": 2, "frequent": 2, "uncommon": 3, "rare": 4, "very rare": 5, "postmarketing": 6}
-PRIORITY_BUCKETS = {"very common": 1, "common": 2, "frequent": 3, "infrequent": 4, "uncommon": 4, "rare": 5, "very rare": 6, "postmarketing": 7}
-
-
 def last_wins(names: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """One value for each key: that of the last row."""
     return names.groupBy(key).agg(F.max_by(value, order).alias(value))
