@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine-word-like step per character of b (bit-parallel)."""
@@ -72,8 +74,59 @@ def weighted_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
     return best if best >= cutoff else 0.0
 
 
-def best_matches(query: str, keys: list[str], cutoff: float, limit: int) -> list[tuple[str, float]]:
-    """Keys scoring at least cutoff, best first; equal scores in the order of keys."""
-    found = [(weighted_ratio(query, k), i) for i, k in enumerate(keys)]
-    found = sorted((x for x in found if x[0] >= cutoff), key=lambda x: (-x[0], x[1]))[:limit]
-    return [(keys[i], s) for s, i in found]
+def _counts(names: list[str], letters: dict[str, int]) -> np.ndarray:
+    """How often each name has each letter."""
+    out = np.zeros((len(names), len(letters)), np.int16)
+    for i, name in enumerate(names):
+        for c in name:
+            out[i, letters[c]] += 1
+    return out
+
+
+def _told_twice(name: str) -> bool:
+    words = name.split()
+    return len(set(words)) < len(words)
+
+
+def _at_most(query: str, own: np.ndarray, counts: np.ndarray, lengths: np.ndarray, loose: np.ndarray) -> np.ndarray:
+    """What the weighted ratio of a query with each key can reach at most: a common subsequence is no longer than the letters
+    in common. loose: keys that have a word in common with the query, or a word twice, whose token ratios can be anything."""
+    n, common = len(query), np.minimum(counts, own).sum(axis=1).astype(float)
+    short, long = np.minimum(lengths, n), np.maximum(lengths, n)
+    plain = 200.0 * common / (lengths + n)
+    fit = np.minimum(common, short)
+    part = 200.0 * fit / np.maximum(short + fit, 1)  # a stretch is at least as long as what it has in common
+    near = long < 1.5 * short
+    scale = np.where(near, 1.0, np.where(long <= 8 * short, 0.9, 0.6))
+    words = np.where(loose, 100.0, np.where(near, plain, part))
+    return np.maximum(plain, scale * np.maximum(0.95 * words, np.where(near, 0.0, part)))
+
+
+def best_of_all(queries: list[str], keys: list[str], cutoff: float, limit: int) -> list[tuple[str, list[tuple[int, float]]]]:
+    """For each query the places of its best keys with their scores, best first, equal scores in the order of keys. Keys
+    are scored from the highest score possible downwards, until no other can be among the best."""
+    letters = {c: i for i, c in enumerate(sorted({c for s in (*queries, *keys) for c in s}))}
+    counts, lengths = _counts(keys, letters), np.array([len(k) for k in keys])
+    twice = np.array([_told_twice(k) for k in keys], bool)
+    words: dict[str, list[int]] = {}
+    for i, k in enumerate(keys):
+        for w in set(k.split()):
+            words.setdefault(w, []).append(i)
+    out = []
+    for q in queries:
+        if not q or not keys:
+            out.append((q, []))
+            continue
+        loose = twice | _told_twice(q)
+        for w in set(q.split()):
+            loose[words.get(w, [])] = True
+        bound = _at_most(q, _counts([q], letters)[0], counts, lengths, loose) + 1e-9
+        best: list[tuple[float, int]] = []
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if bound[i] < cutoff or len(best) == limit and bound[i] < -best[-1][0]:
+                break
+            score = weighted_ratio(q, keys[i])
+            if score >= cutoff:
+                best = sorted([*best, (-score, i)])[:limit]
+        out.append((q, [(i, -s) for s, i in best]))
+    return out

@@ -1,24 +1,46 @@
-"""Name lookup: exact, then alias, then fuzzy, for many queries at a time.
+"""Name lookup: exact, then alias, then fuzzy, for many queries at a time, against a store of keys.
 
-Only queries that neither an exact key nor an alias answers reach the scorer, and each of them meets the keys inside
-one Arrow UDF that returns its best few: no cross join is made. Keys travel in slices of at most SLICE.
+The store is made once: rows ready for display, keys with their rows, and what the keys are found by. Queries that neither
+an exact key nor an alias answers look for candidates by shared grams, in a join; only candidates are scored, pair by pair.
+That loses no match (see grams()) from a least score of 80 on. Suggestions have a lower one, at which no gram need be
+shared: there, queries meet all keys of the pool in blocks of bounded size, best possible scores first.
+No key travels in a closure and nothing is collected but counts.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import exprs as E
 from ..functions import similarity
-from ..functions.textclean import cleaner, display_text
+from ..sources import readers, sinks
 
-SLICE = 200_000
+#: Keys and queries that meet in one task of a scan.
+BLOCK_KEYS, BLOCK_QUERIES = 20_000, 1_000
+#: Of the pairs of characters that a match must share, so many are asked for.
+SHARED = 3
+#: The least score from which candidates are joined by grams; below it, all keys are scanned.
+JOINED_FROM = 80.0
 MATCHES = "array<struct<match: string, score: double, row_no: bigint>>"
+SHOWN = ["drug_id", "generic_name", "generic_name_clean", "brand_names", "drug_class", "route", *C.TEXT_LIMITS, "sources", "last_updated"]
+
+
+# store ------------------------------------------------------------------------------------------
+
+
+class Store(NamedTuple):
+    """rows: row_no and the columns of an answer. keys: key, row_no, is_primary, name. grams: gram, key, length, rare, twice, need."""
+
+    rows: DataFrame
+    keys: DataFrame
+    grams: DataFrame
 
 
 def build_keys(drugs: DataFrame) -> DataFrame:
@@ -29,25 +51,176 @@ def build_keys(drugs: DataFrame) -> DataFrame:
     return out.groupBy("key").agg(F.min(F.struct("row_no", "pos")).alias("_f"), F.max("is_primary").alias("is_primary")).select("key", F.col("_f.row_no").alias("row_no"), "is_primary")
 
 
-def _top(cutoff: float, limit: int, keys: list[str]):
-    @F.pandas_udf("array<struct<match: string, score: double>>")
-    def run(queries: pd.Series) -> pd.Series:
-        known = {q: similarity.best_matches(q, keys, cutoff, limit) for q in queries.unique()}
-        return queries.map(lambda q: [{"match": k, "score": s} for k, s in known[q]])
+def build_store(drugs: DataFrame) -> Store:
+    """The store of a table of drugs (row_no, generic_name_clean, generic_name, brand_names, and what else an answer shows)."""
+    drugs = readers.add_missing(drugs, [c for c in SHOWN if c != "route"] + ["route"])
+    rows = sinks.materialize(match_rows(drugs).withColumn("generic_name_raw", E.text("generic_name")), "lookup-rows")
+    named = rows.select(F.col("row_no").alias("_r"), F.coalesce(F.nullif("generic_name_clean", F.lit("")), F.nullif("generic_name_raw", F.lit(""))).alias("name"))
+    keys = build_keys(drugs)
+    keys = sinks.materialize(keys.join(named, F.col("row_no") == F.col("_r")).select("key", "row_no", "is_primary", F.coalesce("name", "key").alias("name")), "lookup-keys")
+    grams = sinks.materialize(keys.select("key", F.length("key").alias("length"), F.explode(grams_of(F.col("key"))).alias("gram")), "lookup-grams")
+    common = grams.groupBy("gram").agg(F.count("*").alias("_n"))
+    grams = grams.join(common, "gram").groupBy("key", "length").agg(F.array_sort(F.collect_list(F.struct("_n", "gram"))).alias("_g"))  # a key's own grams
+    grams = grams.select("key", "length", F.posexplode("_g").alias("_at", "_x")).select("key", "length", F.col("_x.gram").alias("gram"), (F.col("_at") < _prefix("key", "length")).alias("_first"))
+    grams = grams.withColumns({"rare": _rare("gram", "length", "_first"), "twice": _told_twice("key"), "need": _need("key")}).drop("_first")
+    return Store(rows, keys, sinks.materialize(grams, "lookup-rare"))
+
+
+_STORES: dict[str, Store] = {}
+
+
+def init_store(spark: SparkSession, path: str | None = None) -> Store:
+    """The store of the catalogue at path (DRUG_DATASET_PATH if none is given), made at the first call; later calls return
+    it, whatever path they name. Raises FileNotFoundError, or ValueError where a required column is missing."""
+    known = _STORES.get(spark.sparkContext.applicationId)
+    if known is None:
+        drugs = readers.read_csv(spark, path or readers.resolve_path("DRUG_DATASET_PATH", "data/processed/drug_knowledge_bot_ready_clean.csv"))
+        readers.require_columns(drugs, ["drug_id", "generic_name", "generic_name_clean"])
+        drugs = sinks.materialize(readers.add_missing(drugs, ["brand_names"]).withColumn("row_no", F.monotonically_increasing_id()), "catalogue")
+        known = _STORES[spark.sparkContext.applicationId] = build_store(drugs)
+    return known
+
+
+def match_rows(drugs: DataFrame) -> DataFrame:
+    """drugs with the columns of an answer, cleaned for display. Built-in expressions only."""
+    texts = {c: E.display_text(c) for c in C.TEXT_LIMITS if c in drugs.columns}
+    buckets = {b.replace("_frequency", ""): F.col(f"{b}_side_effects") for b in C.SIDE_EFFECT_BUCKETS if f"{b}_side_effects" in drugs.columns}
+    more = {"side_effects_buckets": E.side_effect_map(buckets) if buckets else F.lit(None).cast("map<string,string>")}
+    plain = {c: E.text(c) for c in ("drug_id", "generic_name", "generic_name_clean", "drug_class", "sources", "last_updated") if c in drugs.columns}
+    return drugs.withColumns(plain | {"brand_names": E.trim_brand_names("brand_names"), "route": E.normalize_route_service("route")} | texts | more)
+
+
+# candidates -------------------------------------------------------------------------------------
+
+
+def grams_of(c: Column) -> Column:
+    """What two names of a weighted ratio of 80 or more share, as strings: numbered pairs of neighbouring characters of
+    the name between blanks, its characters, its words.
+
+    Names with a word in common share that word. Of others, let the shorter one have n characters, its words counted
+    once. By the plain ratio, or that of sorted words, which have the same pairs (the blanks are part of them), at most
+    0.2 of all characters are inserted or deleted; a deletion breaks two of the n + 1 pairs of the shorter name and an
+    insertion one, so 0.4 n + 1 of them are left in the other name. By a stretch of the longer name, of which 80 needs a
+    ratio of 80 / 0.9, 0.6 n - 1 of the n - 1 pairs inside are left. So at least t, the lesser of these, are left, and of
+    the n + 1 - t + m rarest pairs of the shorter name its match holds m or more (_prefix; m is SHARED, or t if that is
+    less). One character alone has no pair inside, and is found by itself. A name that says a word twice is compared without the second, of which
+    all this need not hold: it is looked for, and found, by every gram.
+    """
+    padded = F.concat(F.lit(" "), c, F.lit(" "))
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
+    numbered = E._let(pairs, lambda a: F.transform(a, lambda x, i: F.concat(x, (i - F.array_position(a, x) + 1).cast("string"))))
+    chars = F.transform(F.array_distinct(F.split(c, "")), lambda x: F.concat(F.lit("c:"), x))
+    words = F.transform(F.array_distinct(F.split(c, " ")), lambda x: F.concat(F.lit("w:"), x))
+    return F.concat(numbered, chars, words)
+
+
+def _left(name: str) -> Column:
+    """How many pairs of a name a longer match holds at least."""
+    n = F.length(F.array_join(F.array_distinct(F.split(F.col(name), " ")), " "))
+    return F.greatest(F.lit(1), F.ceil(F.least(0.4 * n + 1, 0.6 * n - 1))).cast("int")
+
+
+def _need(name: str) -> Column:
+    return F.least(_left(name), F.lit(SHARED))
+
+
+def _prefix(name: str, length: str) -> Column:
+    """How many of the first grams of a name, its rarest, must be looked at; characters and words in between only add to them."""
+    others = F.size(F.array_distinct(F.split(F.col(name), ""))) + F.size(F.array_distinct(F.split(F.col(name), " ")))
+    return F.col(length) + 1 - _left(name) + _need(name) + others
+
+
+def _told_twice(name: str) -> Column:
+    words = F.split(F.col(name), " ")
+    return F.size(F.array_distinct(words)) < F.size(words)
+
+
+def _rare(gram: str, length: str, first: str) -> Column:
+    """Whether a shorter name is looked for by this gram."""
+    g = F.col(gram)
+    return g.startswith("w:") | F.when(F.col(length) == 1, g.startswith("c:")).otherwise(F.col(first) & ~g.startswith("c:"))
+
+
+def _score(cutoff: float):
+    @F.pandas_udf("double")
+    def run(queries: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([similarity.weighted_ratio(q, k, cutoff) for q, k in zip(queries, keys)], dtype=float)
 
     return run
 
 
-def fuzzy_top(queries: DataFrame, column: str, keys: DataFrame, cutoff: float, limit: int) -> Column | DataFrame:
-    """queries with _top: the best keys of each (match, score), best first, ties by key. keys: a column key."""
-    n = keys.count()
-    slices = max(1, -(-n // SLICE))
-    tops = []
-    for k in range(slices):
-        some = sorted(r[0] for r in keys.filter(F.pmod(F.xxhash64("key"), F.lit(slices)) == k).select("key").collect())  # at most about SLICE
-        tops.append(_top(cutoff, limit, some)(F.col(column)))
-    best = F.array_sort(F.flatten(F.array(*tops)), lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["match"] < b["match"], -1).when(a["match"] > b["match"], 1).otherwise(0))
-    return queries.withColumn("_top", F.slice(best, 1, limit))
+def _best(pairs: DataFrame, limit: int, order: list[Column]) -> DataFrame:
+    """q, _top: the best of (q, match, score, ...) for each q, in order."""
+    fields = [c for c in pairs.columns if c != "q"]
+    ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), *order))).filter(F.col("place") <= limit)
+    top = F.transform(F.array_sort(F.collect_list(F.struct("place", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    return ranked.groupBy("q").agg(top.alias("_top"))  # at most `limit` rows each
+
+
+def candidates(queries: DataFrame, grams: DataFrame) -> DataFrame:
+    """queries: q, once each. q, match: pairs among which are all with a score of JOINED_FROM or more. The shorter name is looked for by its rare grams."""
+    asked = queries.select("q", F.length("q").alias("_length"), F.explode(grams_of(F.col("q"))).alias("_gram"))
+    common = grams.groupBy(F.col("gram").alias("_common")).agg(F.count("*").alias("_n"))
+    asked = asked.join(common, F.col("_gram") == F.col("_common"), "left").select("q", "_length", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram")).alias("_x"))
+    asked = asked.groupBy("q", "_length").agg(F.array_sort(F.collect_list("_x")).alias("_g")).select("q", "_length", F.posexplode("_g").alias("_at", "_x"))  # a query's own grams
+    asked = asked.select("q", "_length", F.col("_x.gram").alias("_gram"), (F.col("_at") < _prefix("q", "_length")).alias("_first"))
+    asked = asked.select("q", "_length", "_gram", _rare("_gram", "_length", "_first").alias("_rare"), _told_twice("q").alias("_twice"), _need("q").alias("_need"))
+    meet = (F.col("_gram") == F.col("gram")) & (F.col("_twice") | F.col("twice") | F.when(F.col("_length") <= F.col("length"), F.col("_rare")).otherwise(F.col("rare")))
+    alone = F.col("_twice") | F.col("twice") | F.col("gram").startswith("w:") | (F.least("_length", "length") == 1)
+    need = F.when(F.col("_length") <= F.col("length"), F.col("_need")).otherwise(F.col("need"))
+    met = asked.join(grams, meet).groupBy("q", F.col("key").alias("match")).agg(F.max(alone).alias("_alone"), F.count("*").alias("_n"), F.max(need).alias("_least"))
+    return met.filter(F.col("_alone") | (F.col("_n") >= F.col("_least"))).select("q", "match")
+
+
+def scan(queries: DataFrame, pool: DataFrame, cutoff: float, limit: int) -> DataFrame:
+    """queries: q, once each; pool: match, rank. The best of the pool for each query, ties by rank: every query meets every
+    block of keys, a bounded number of both in a task, and hands on its best of the block."""
+    blocks = max(1, math.ceil(pool.count() / BLOCK_KEYS))
+    chunks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("q", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int").alias("chunk"), every(blocks).alias("block"))
+    known = pool.select("match", "rank", F.pmod(F.xxhash64("match"), F.lit(blocks)).cast("int").alias("block"), every(chunks).alias("chunk"))
+
+    def meet(some: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        keys = keys.sort_values("rank", kind="stable")
+        names, ranks = keys["match"].tolist(), keys["rank"].tolist()
+        found = [(q, names[i], ranks[i], s) for q, best in similarity.best_of_all(some["q"].tolist(), names, cutoff, limit) for i, s in best]
+        return pd.DataFrame(found, columns=["q", "match", "rank", "score"])
+
+    return asked.groupBy("block", "chunk").cogroup(known.groupBy("block", "chunk")).applyInPandas(meet, "q string, match string, rank string, score double")
+
+
+def fuzzy_top(queries: DataFrame, column: str, store: Store, cutoff: float = C.MIN_SCORE, limit: int = 10) -> DataFrame:
+    """column, _top: for each of queries the best keys (match, score), best first, ties by key."""
+    asked = queries.select(F.col(column).alias("q")).distinct()
+    if cutoff >= JOINED_FROM:
+        found = candidates(asked, store.grams)
+        found = found.withColumn("score", _score(cutoff)("q", "match")).filter(F.col("score") >= cutoff)
+    else:
+        found = scan(asked, store.keys.select(F.col("key").alias("match"), F.col("key").alias("rank")), cutoff, limit).drop("rank")
+    return _best(found, limit, [F.col("match")]).withColumnRenamed("q", column)
+
+
+def suggestion_pool(store: Store) -> DataFrame:
+    """match, rank, name: names of rows in order, then the aliases that are none."""
+    primary = store.keys.filter("is_primary").select(F.col("key").alias("match"), F.concat(F.lit("0"), "key").alias("rank"), "name")
+    aliases = store.keys.sparkSession.createDataFrame([(a, f"1{i:03d}") for i, a in enumerate(C.ALIASES)], "match string, rank string").withColumn("name", F.col("match"))
+    own = aliases.select(F.col("match").alias("_a"), F.lit(True).alias("_own"))
+    primary = primary.join(F.broadcast(own), F.col("match") == F.col("_a"), "left").select("match", "rank", F.when(F.col("_own"), F.col("match")).otherwise(F.col("name")).alias("name"))
+    return primary.unionByName(aliases.join(primary.select(F.col("match").alias("_p")), F.col("match") == F.col("_p"), "left_anti"))
+
+
+def suggest(queries: DataFrame, column: str, store: Store, cutoff: float, top_k: int = C.TOP_K) -> DataFrame:
+    """column, suggestions: names of the rows whose keys come nearest, normalised, each once, at most top_k."""
+    pool = suggestion_pool(store)
+    found = scan(queries.select(F.col(column).alias("q")).distinct(), pool, cutoff, max(top_k, 15))
+    named = found.join(pool.select(F.col("match").alias("_m"), "name"), F.col("match") == F.col("_m")).select("q", "match", "score", "rank", "name")
+    best = _best(named, max(top_k, 15), [F.col("rank")])
+    names = E.distinct_keep_first(F.transform("_top", lambda x: E.normalize_text(x["name"])), lambda k: k)
+    return best.select(F.col("q").alias(column), F.slice(names, 1, top_k).alias("suggestions"))
+
+
+# cascade ----------------------------------------------------------------------------------------
 
 
 def _typo() -> Column:
@@ -59,65 +232,81 @@ def _typo() -> Column:
     return (q.contains("para") | q.startswith("par")) & (F.when(q.contains("para") | q.startswith("par"), near(q)).otherwise(0.0) >= C.TYPO_THRESHOLD)
 
 
-def resolve(queries: DataFrame, keys: DataFrame, top_k: int = C.TOP_K, min_score: float = C.MIN_SCORE) -> DataFrame:
-    """query, normalized_query, match_type (exact, alias, fuzzy, none), matches (match, score, row_no), suggestions."""
-    q = queries.select("query", E.normalize_text("query").alias("normalized_query"))
-    # one answer per distinct query; hot queries are joined back at the end
-    q = q.distinct()
-    alias = reduce(lambda c, kv: c.when(F.col("normalized_query") == kv[0], kv[1]), list(C.ALIASES.items())[1:], F.when(F.col("normalized_query") == next(iter(C.ALIASES)), next(iter(C.ALIASES.values()))))
-    hit = keys.select(F.col("key").alias("_key"), F.col("row_no").alias("_row"))
-    empty = F.lit(None).cast("array<string>")
-    one = lambda score: F.array(F.struct(F.col("_key").alias("match"), F.lit(score).alias("score"), F.col("_row").alias("row_no")))
-    exact = q.join(hit, F.col("normalized_query") == F.col("_key")).select("query", "normalized_query", F.lit("exact").alias("match_type"), one(100.0).alias("matches"), empty.alias("suggestions"))
-    rest = q.join(hit, F.col("normalized_query") == F.col("_key"), "left_anti")
-    blank = rest.filter("normalized_query = ''").select("query", "normalized_query", F.lit("none").alias("match_type"), F.array().cast(MATCHES).alias("matches"), empty.alias("suggestions"))
-    rest = rest.filter("normalized_query <> ''").withColumn("_target", F.coalesce(alias, F.when(_typo(), "acetaminophen")))
-    aliased = rest.join(hit, F.col("_target") == F.col("_key"))
+def alias_target(c: Column) -> Column:
+    """What an alias stands for, else NULL."""
+    return F.create_map(*[F.lit(x) for kv in C.ALIASES.items() for x in kv])[c]
+
+
+def exact_hits(queries: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of queries whose column is a key, with key and row_no."""
+    hit = keys.select("key", "row_no")
+    return queries.join(hit, F.col(column) == F.col("key"))
+
+
+def resolve(queries: DataFrame, store: Store, top_k: int = C.TOP_K, min_score: float = C.MIN_SCORE) -> DataFrame:
+    """query, normalized_query, match_type (exact, alias, fuzzy, none), target, matches (match, score, row_no), suggestions; once for each different query."""
+    keys = store.keys
+    q = queries.select("query", E.normalize_text("query").alias("normalized_query")).distinct()
+    columns = ["query", "normalized_query", "match_type", "target", "matches", "suggestions"]
+    nothing = F.array().cast("array<string>")
+    one = lambda score: F.array(F.struct(F.col("key").alias("match"), F.lit(score).alias("score"), "row_no"))
+    exact = exact_hits(q, keys, "normalized_query").withColumns({"match_type": F.lit("exact"), "target": F.col("normalized_query"), "matches": one(100.0), "suggestions": nothing})
+    rest = q.join(keys.select("key"), F.col("normalized_query") == F.col("key"), "left_anti")
+    blank = rest.filter("normalized_query = ''").withColumns({"match_type": F.lit("none"), "target": F.lit(""), "matches": F.array().cast(MATCHES), "suggestions": nothing})
+    rest = rest.filter("normalized_query <> ''").withColumn("_target", F.coalesce(alias_target(F.col("normalized_query")), F.when(_typo(), "acetaminophen")))
     family = F.array(F.col("_target"), *[F.when(F.col("_target") == t, F.lit(a)) for a, t in C.ALIASES.items()])
-    aliased = aliased.select("query", "normalized_query", F.lit("alias").alias("match_type"), one(C.ALIAS_SCORE).alias("matches"), F.slice(F.array_compact(family), 1, top_k).alias("suggestions"))
-    rest = rest.join(hit, F.col("_target") == F.col("_key"), "left_anti").select("query", "normalized_query")
-    fuzzy = fuzzy_top(rest, "normalized_query", keys, min_score, max(top_k, 10))
-    pool = keys.filter("is_primary").select("key").union(rest.sparkSession.createDataFrame([(a,) for a in C.ALIASES], "key string")).distinct()
-    fuzzy = fuzzy_top(fuzzy.withColumnRenamed("_top", "_best"), "normalized_query", pool, max(0.0, min_score - 35), max(top_k, 15)).withColumnRenamed("_top", "_near")
-    # rows of the keys, a drug once, in order
-    ranked = fuzzy.select("query", "normalized_query", "_near", F.posexplode_outer("_best").alias("_pos", "_m"))
-    ranked = ranked.join(hit, F.col("_m.match") == F.col("_key"), "left")
-    listed = F.sort_array(F.collect_list(F.when(F.col("_m").isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col("_m.match").alias("match"), F.col("_m.score").alias("score"), F.col("_row").alias("row_no")))))
-    ranked = ranked.groupBy("query", "normalized_query").agg(listed.alias("_l"), F.first("_near").alias("_near"))
-    rows = F.transform("_l", lambda x: x["row_no"])
-    matches = F.slice(F.transform(F.filter("_l", lambda x, i: F.array_position(rows, x["row_no"]) == i + 1), lambda x: F.struct(x["match"], x["score"], x["row_no"])), 1, top_k)
-    near = F.slice(E.distinct_keep_first(F.transform("_near", lambda x: E.normalize_text(x["match"])), lambda k: k), 1, top_k)
-    fuzzy = ranked.select("query", "normalized_query", matches.alias("matches"), near.alias("suggestions"))
-    best = F.get("matches", F.lit(0))["score"]
-    fuzzy = fuzzy.select("query", "normalized_query", F.when(F.size("matches") == 0, "none").when(best >= 99.9, "exact").otherwise("fuzzy").alias("match_type"), "matches", "suggestions")
-    parts = [p.withColumn("matches", F.col("matches").cast(MATCHES)) for p in (exact, blank, aliased, fuzzy)]
+    aliased = exact_hits(rest, keys, "_target").withColumns({"match_type": F.lit("alias"), "target": F.col("_target"), "matches": one(C.ALIAS_SCORE), "suggestions": F.slice(F.array_compact(family), 1, top_k)})
+    rest = sinks.materialize(rest.join(keys.select("key"), F.col("_target") == F.col("key"), "left_anti").select("query", "normalized_query"), "lookup-rest")
+    parts = [p.select(*columns[:4], F.col("matches").cast(MATCHES).alias("matches"), "suggestions") for p in (exact, blank, aliased, _fuzzy(rest, store, top_k, min_score))]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _fuzzy(rest: DataFrame, store: Store, top_k: int, min_score: float) -> DataFrame:
+    """The best keys, a drug once: of equal, not blank drug_ids the first counts. Without a match only suggestions are left."""
+    top = fuzzy_top(rest, "normalized_query", store, min_score, max(top_k, 10)).select(F.col("normalized_query").alias("_q"), F.posexplode("_top").alias("_place", "_m"))
+    top = top.join(store.keys.select("key", "row_no"), F.col("_m.match") == F.col("key")).join(store.rows.select(F.col("row_no").alias("_r"), "drug_id", "generic_name_clean"), F.col("row_no") == F.col("_r"))
+    listed = F.array_sort(F.collect_list(F.struct("_place", F.col("_m.match").alias("match"), F.col("_m.score").alias("score"), "row_no", "drug_id", "generic_name_clean")))  # at most ten
+    top = top.groupBy("_q").agg(listed.alias("_l"))
+    ids = F.transform("_l", lambda x: x["drug_id"])
+    once = F.filter("_l", lambda x, i: (x["drug_id"] == "") | (F.array_position(ids, x["drug_id"]) == i + 1))
+    top = top.select("_q", F.slice(once, 1, top_k).alias("_l"))
+    near = suggest(rest, "normalized_query", store, max(0.0, min_score - 35), top_k).withColumnRenamed("normalized_query", "_s")
+    out = rest.join(top, F.col("normalized_query") == F.col("_q"), "left").join(near, F.col("normalized_query") == F.col("_s"), "left")
+    first = F.get("_l", F.lit(0))
+    matches = F.coalesce(F.transform("_l", lambda x: F.struct(x["match"], x["score"], x["row_no"])), F.array().cast(MATCHES))
+    kind = F.when(first.isNull(), "none").when(first["score"] >= 99.9, "exact").otherwise("fuzzy")
+    target = F.coalesce(F.nullif(first["generic_name_clean"], F.lit("")), F.col("normalized_query"))
+    return out.select("query", "normalized_query", kind.alias("match_type"), target.alias("target"), matches.alias("matches"), F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
+
+
 def responses(resolved: DataFrame) -> DataFrame:
-    """resolved with confidence, best_score, status, normalized, resolution_path and message."""
+    """resolved with normalized, confidence, best_score, best_match, status, resolution_path and message."""
     best = F.get("matches", F.lit(0))
     out = resolved.withColumns({"best_score": F.round(F.coalesce(best["score"], F.lit(0.0)), 2), "confidence": E.score_to_confidence(best["score"]), "best_match": best["match"]})
-    target = F.coalesce(F.col("best_match"), F.col("normalized_query"))
-    path = F.array_compact(F.array("query", "normalized_query", "best_match"))
-    message = F.when(F.col("normalized_query") == "", "Empty query").when(F.col("match_type") == "none", "No match found").otherwise("Match found")
-    return out.withColumns({"status": E.classify_status(F.col("confidence"), F.col("best_match").isNotNull()), "normalized": target, "resolution_path": E.dedupe_path(path), "message": message, "suggestions": F.coalesce("suggestions", F.array().cast("array<string>"))})
+    path = F.array_compact(F.array("query", "normalized_query", F.when(F.col("match_type") == "alias", F.col("target"))))
+    message = F.when(F.col("normalized_query") == "", "Empty query").when(F.col("best_match").isNull(), "No confident match found").otherwise("OK")
+    return out.withColumns({"status": E.classify_status(F.col("confidence"), F.col("best_match").isNotNull()), "normalized": F.col("target"), "resolution_path": E.dedupe_path(path), "message": message}).drop("target")
 
 
-def match_rows(drugs: DataFrame) -> DataFrame:
-    """drugs with the columns of an answer, cleaned for display."""
-    shown = cleaner(display_text)
-    texts = {c: shown(F.col(c)) for c in C.TEXT_LIMITS if c in drugs.columns}
-    buckets = {b.replace("_frequency", ""): F.col(f"{b}_side_effects") for b in C.SIDE_EFFECT_BUCKETS if f"{b}_side_effects" in drugs.columns}
-    more = {"side_effects_buckets": E.side_effect_map(buckets)} if buckets else {}
-    return drugs.withColumns({"brand_names": E.trim_brand_names("brand_names"), "route": E.normalize_route_service("route")} | texts | more)
+def with_rows(answers: DataFrame, store: Store) -> DataFrame:
+    """answers with every match as its whole row: match, score, row_no, what the row shows, and its side effects."""
+    shown = [*SHOWN, "side_effects_buckets"]
+    each = answers.select("query", F.posexplode("matches").alias("_place", "_m")).join(store.rows.select(F.col("row_no").alias("_r"), *shown), F.col("_m.row_no") == F.col("_r"))
+    full = F.struct("_place", F.struct(F.col("_m.match").alias("match"), F.col("_m.score").alias("score"), F.col("_m.row_no").alias("row_no"), *shown).alias("row"))
+    each = each.groupBy(F.col("query").alias("_query")).agg(F.collect_list(full).alias("_rows"))  # at most top_k
+    ordered = F.transform(F.array_sort("_rows", lambda a, b: a["_place"] - b["_place"]), lambda x: x["row"])
+    out = answers.join(each, F.col("query").eqNullSafe(F.col("_query")), "left")
+    empty = F.array().cast(each.select(ordered.alias("x")).schema["x"].dataType)
+    return out.withColumn("matches", F.coalesce(ordered, empty)).drop("_query", "_rows")
 
 
-def lookup_batch(queries: DataFrame, drugs: DataFrame, top_k: int = C.TOP_K, min_score: float = C.MIN_SCORE) -> DataFrame:
-    """An answer for each row of queries (a column query). drugs: row_no, generic_name_clean, generic_name, brand_names."""
-    answers = responses(resolve(queries, build_keys(drugs), top_k, min_score)).withColumnRenamed("query", "_query")
+def lookup_batch(queries: DataFrame, drugs: DataFrame | Store, top_k: int = C.TOP_K, min_score: float = C.MIN_SCORE) -> DataFrame:
+    """An answer for each row of queries (a column query). drugs: a store, or a table as build_store() takes it."""
+    store = drugs if isinstance(drugs, Store) else build_store(drugs)
+    answers = with_rows(responses(resolve(queries, store, top_k, min_score)), store).withColumnRenamed("query", "_query")
     return queries.select("query").join(answers, F.col("query").eqNullSafe(F.col("_query"))).drop("_query")
 
 
-def lookup_one(spark: SparkSession, query: str, drugs: DataFrame, **options) -> dict:
-    return lookup_batch(spark.createDataFrame([(query,)], "query string"), drugs, **options).first().asDict(recursive=True)
+def lookup_one(spark: SparkSession, query: str, drugs: DataFrame | Store | None = None, **options) -> dict:
+    """The answer to one query, from the store of init_store() unless drugs are given."""
+    return lookup_batch(spark.createDataFrame([(query,)], "query string"), init_store(spark) if drugs is None else drugs, **options).first().asDict(recursive=True)

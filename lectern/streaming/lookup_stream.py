@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.lookup import lookup_batch
+from ..operators.lookup import Store, build_store, lookup_batch
 
 
-def stream_lookup(queries: DataFrame, drugs: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def stream_lookup(queries: DataFrame, drugs: DataFrame | Store, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Answers each micro-batch of queries (a column query) with the batch cascade and appends them to path.
 
     A batch is a folder of its own and is overwritten if it is run again, so a restart repeats nothing.
     """
+    store = drugs if isinstance(drugs, Store) else build_store(drugs)  # once, not for each batch
 
     def answer(batch: DataFrame, number: int) -> None:
-        lookup_batch(batch, drugs).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        lookup_batch(batch, store).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
