@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import exprs as E
+from ..sources import readers, sinks
 
 
 def _long(row: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
@@ -62,3 +63,11 @@ def report(df: DataFrame, keys: list[str], critical: list[str]) -> dict:
     """The validation report as plain values; every part is an aggregate."""
     rows = lambda d: [r.asDict() for r in d.collect()]  # noqa: E731  a row per column at most
     return {"columns": df.columns, "missing": rows(missing_profile(df)), "duplicates": rows(duplicate_profile(df, keys))[0], "types": type_profile(df), "completeness": rows(completeness_profile(df))[0], "critical_fields": rows(critical_fields(df, critical)), "row_count": df.count(), "column_count": len(df.columns)}
+
+
+def report_file(spark: SparkSession, path: str, keys: list[str], critical: list[str], out: str | None = None) -> dict:
+    """The report of the CSV file at path, where NA values are missing; written to out as JSON if that is given."""
+    told = report(readers.read_csv(spark, path, na="null"), keys, critical)
+    if out:
+        sinks.write_json_report(told, out)
+    return told

@@ -11,8 +11,9 @@ from ..functions import constants as C
 from ..functions import exprs as E
 from ..functions import textclean as T
 from ..operators import core, facts, lookup
+from ..operators import relational as R
 from ..sources import readers, sinks
-from .queries import _BUCKETS, _LIST, _asked, _docs, _drugs, _first_of_each, _sql, query
+from .queries import _BUCKETS, _LIST, _SHOWN, _answered, _asked, _docs, _drugs, _first_of_each, _sql, query
 
 
 def _quoted(text: str) -> str:
@@ -40,12 +41,16 @@ def p1_p6_column_ops(t):
 @query("SELECT c_custkey, coalesce(o.last_status, '') AS last_status, coalesce(o.n, 0) AS n, coalesce(o.rank, 99) AS rank FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS last_status, count(*) AS n, min(left(o_orderpriority, 1)::INT) AS rank FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey")
 def p7_null_fill(t):
     side = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderstatus").alias("last_status"), F.count("*").alias("n"), F.min(F.left("o_orderpriority", F.lit(1)).cast("int")).alias("rank"))
-    return t("customer").select("c_custkey").join(side, "c_custkey", "left").na.fill({"last_status": "", "n": 0, "rank": 99})
+    return R.null_fill(t("customer").select("c_custkey").join(side, "c_custkey", "left"), {"last_status": "", "n": 0, "rank": 99, "absent": ""})
 
 
-@query("SELECT o_orderkey, CASE lower(o_orderstatus) WHEN 'f' THEN 1 WHEN 'o' THEN 2 ELSE 99 END AS rank, CASE o_orderstatus WHEN 'f' THEN 1 ELSE 99 END AS raw_rank FROM orders")
+_RAW_FREQUENCY = "CASE o_orderkey % 6 WHEN 0 THEN 'Very common' WHEN 1 THEN 'frequent' WHEN 2 THEN 'infrequent' WHEN 3 THEN 'rare' WHEN 4 THEN 'Uncommon' END"
+
+
+@query("SELECT o_orderkey, CASE lower(f) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.PRIORITY_BUCKETS.items()) + " ELSE 99 END AS bucket_rank, CASE f " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.PRIORITY_SUMMARY.items()) + f" ELSE 99 END AS summary_rank FROM (SELECT o_orderkey, {_RAW_FREQUENCY} AS f FROM orders)")
 def p9_value_map(t):
-    return t("orders").select("o_orderkey", E.priority(F.lower("o_orderstatus"), {"f": 1, "o": 2}).alias("rank"), E.priority("o_orderstatus", {"f": 1}).alias("raw_rank"))
+    raw = F.expr(_RAW_FREQUENCY)
+    return t("orders").select("o_orderkey", E.priority(F.lower(raw), C.PRIORITY_BUCKETS).alias("bucket_rank"), E.priority(raw, C.PRIORITY_SUMMARY).alias("summary_rank"))
 
 
 _CORE = """SELECT p_name AS generic, p_brand AS brand, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS class, CASE p_partkey % 3 WHEN 0 THEN 'Oral' WHEN 1 THEN 'other, nasal' ELSE 'dental' END AS route, CASE WHEN p_partkey % 8 = 0 THEN 'nausea, Nausea,itch' END AS label,
@@ -159,7 +164,7 @@ def n24_canonical_breaks(t):
 
 @query("SELECT source, count(lang) AS known, round(count(lang) / count(*) * 100, 4) AS known_pct FROM documents GROUP BY source")
 def n25_percent(t):
-    return t("documents").groupBy("source").agg(F.count("lang").alias("known"), F.round(E.percent(F.count("lang"), F.count("*")), 4).alias("known_pct"))
+    return R.share_known(t("documents"), "source", "lang")
 
 
 @query(_first_of_each("string_split(text, ' ')", 50) + " SELECT doc_id, coalesce(s, '') AS items FROM documents LEFT JOIN g USING (doc_id)")
@@ -180,7 +185,7 @@ def j2_left_join_buckets(t):
 
 @query("SELECT user_id, event_type, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY user_id, event_type")
 def a2_group_list(t):
-    return t("events").groupBy("user_id", "event_type").agg(F.array_join(F.sort_array(F.collect_list("event_id")).cast("array<string>"), ",").alias("ids"))
+    return R.group_list(t("events"), ["user_id", "event_type"], "event_id", "ids")
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1")
@@ -190,7 +195,7 @@ def a6_keep_first(t):
 
 @query("SELECT DISTINCT lower(p_brand) AS brand FROM part")
 def a7_unique_set(t):
-    return t("part").select(F.lower("p_brand").alias("brand")).distinct()
+    return R.unique_set(t("part"), F.lower("p_brand"), "brand")
 
 
 @query("SELECT count(*) AS row_count, count(lang) FILTER (WHERE trim(lang) <> '') AS lang_filled, count(source) FILTER (WHERE trim(source) <> '') AS source_filled, count(text) FILTER (WHERE trim(text) <> '') AS text_filled FROM documents")
@@ -200,44 +205,38 @@ def a10_k5_coverage(t):
 
 @query("SELECT lang, doc_id, length(text) AS n FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) = 1")
 def a17_longest_by_key(t):
-    best = F.max(F.struct(F.length("text").cast("long").alias("n"), (-F.col("doc_id")).alias("d")))
-    return t("documents").groupBy("lang").agg(best.alias("b")).select("lang", (-F.col("b.d")).alias("doc_id"), "b.n")
+    return R.longest_by_key(t("documents"), "lang", "text", "doc_id")
 
 
 @query("SELECT o_orderpriority, o_orderdate, o_orderkey FROM orders ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 300")
 def w1_w2_sorted_head(t):
-    return t("orders").select("o_orderpriority", "o_orderdate", "o_orderkey").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(300)
+    return R.sorted_head(t("orders").select("o_orderpriority", "o_orderdate", "o_orderkey"), ["o_orderpriority", "o_orderdate", "o_orderkey"], 300)
 
 
 @query("""WITH r AS (SELECT event_type, user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 10),
     d AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC, event_id) = 1)
     SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id)::INT AS place FROM d QUALIFY place <= 5""")
 def w3_w4_ranked_dedupe(t):
-    best = [F.desc("value"), F.col("event_id")]
-    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
-    top = t("events").select("event_type", "user_id", "event_id", "value").withColumn("place", place("event_type")).filter("place <= 10")
-    once = top.withColumn("place", place("event_type", "user_id")).filter("place = 1")
-    return once.withColumn("place", place("event_type")).filter("place <= 5").drop("value")
+    some = t("events").select("event_type", "user_id", "event_id", "value")
+    return R.ranked_dedupe(some, "event_type", "user_id", [F.desc("value"), F.col("event_id")], 10, 5).drop("value")
 
 
 @query("SELECT l_partkey, array_to_string(list_sort(list_distinct(list(l_shipdate::DATE::VARCHAR)))[1:8], ', ') AS days FROM lineitem GROUP BY l_partkey")
 def w6_first_of_sorted_set(t):
-    days = F.array_sort(F.collect_set(F.date_format("l_shipdate", "yyyy-MM-dd")))
-    return t("lineitem").groupBy("l_partkey").agg(F.array_join(F.slice(days, 1, 8), ", ").alias("days"))
+    return R.first_of_sorted_set(t("lineitem"), "l_partkey", F.date_format("l_shipdate", "yyyy-MM-dd"), 8, "days")
 
 
 @query("SELECT 'c' AS kind, c_name AS name FROM customer UNION ALL SELECT 's', s_name FROM supplier UNION ALL SELECT 'c', c_name FROM customer WHERE c_acctbal < 0")
 def u1_union_all(t):
     own = t("customer").select(F.lit("c").alias("kind"), F.col("c_name").alias("name"), "c_acctbal")
-    both = own.drop("c_acctbal").unionByName(t("supplier").select(F.col("s_name").alias("name"), F.lit("s").alias("kind")))
-    return both.unionByName(own.filter("c_acctbal < 0").drop("c_acctbal"))
+    return R.union_all(own.drop("c_acctbal"), t("supplier").select(F.col("s_name").alias("name"), F.lit("s").alias("kind")), own.filter("c_acctbal < 0").drop("c_acctbal"))
 
 
-@query("SELECT key, min(place) AS place FROM (SELECT lower(p_brand) AS key, p_partkey AS place FROM part UNION ALL SELECT lower(p_type), 1000000000 + p_partkey FROM part) GROUP BY key")
+@query("WITH u AS (SELECT lower(p_brand) AS key, 0 AS part, p_partkey AS place FROM part UNION ALL SELECT lower(p_type), 1, p_partkey FROM part UNION ALL SELECT lower(p_brand), 2, -p_partkey FROM part) SELECT key, part, place FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY part, place) = 1")
 def u2_ordered_union(t):
-    first = t("part").select(F.lower("p_brand").alias("key"), F.col("p_partkey").alias("place"))
-    second = t("part").select(F.lower("p_type").alias("key"), (F.col("p_partkey") + 1_000_000_000).alias("place"))
-    return first.unionByName(second).groupBy("key").agg(F.min("place").alias("place"))
+    brands = t("part").select(F.lower("p_brand").alias("key"), F.col("p_partkey").alias("place"))
+    types = t("part").select(F.lower("p_type").alias("key"), F.col("p_partkey").alias("place"))
+    return R.ordered_union([brands, types, brands.withColumn("place", -F.col("place"))], "key", "place")
 
 
 # files ------------------------------------------------------------------------------------------
@@ -283,20 +282,16 @@ def s8_xml_classes(t):
 # lookup -----------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, 'acetaminophen' AS normalized, 'alias' AS match_type, 'ok' AS status, 0.95::DOUBLE AS confidence FROM part")
+@query("SELECT p_partkey, 'acetaminophen' AS normalized, 'alias' AS match_type, 'ok' AS status, 0.95::DOUBLE AS confidence, 95.0::DOUBLE AS best_score, 'acetaminophen' AS best_match, 'OK' AS message, CASE p_partkey % 4 WHEN 0 THEN 'Panadol 500 mg' WHEN 1 THEN 'APAP' WHEN 2 THEN 'tylenol tablet' ELSE 'paracetamol' END || ' > acetaminophen' AS resolution_path, 'acetaminophen|paracetamol|panadol|tylenol|apap' AS suggestions, 1 AS n_matches, 'acetaminophen' AS match_match, 95.0::DOUBLE AS match_score, 1::BIGINT AS match_row_no, " + _SHOWN.format(g="'Acetaminophen'", c="'acetaminophen'", b="'Pain Free, Other'") + " FROM part")
 def q5_alias_branch(t):
     word = F.get(F.array(*[F.lit(w) for w in ("Panadol 500 mg", "APAP", "tylenol tablet", "paracetamol")]), (F.col("p_partkey") % 4).cast("int"))
-    asked = t("part").select("p_partkey", word.alias("query"))
-    answers = lookup.lookup_batch(asked.select("query").distinct(), _drugs(t)).select("query", "normalized", "match_type", "status", "confidence")
-    return asked.join(F.broadcast(answers), "query").drop("query")  # a row for each of four words
+    return _answered(t("part").select("p_partkey", word.alias("query")), _drugs(t), "p_partkey")
 
 
 @query()
 def j9_suggestions(t):
-    keys = lookup.build_keys(_drugs(t)).filter("is_primary").select("key")
-    pool = keys.unionByName(keys.sparkSession.createDataFrame([(a,) for a in C.ALIASES], "key string")).distinct()
-    asked = _asked(t).select(E.normalize_text("query").alias("q")).filter("q <> ''").distinct()
-    return lookup.fuzzy_top(asked, "q", pool, C.MIN_SCORE - 35, 15).select("q", F.posexplode("_top").alias("place", "m")).select("q", "place", "m.match", "m.score")
+    asked = _asked(t).select(E.normalize_text("query").alias("q")).filter("q <> ''")
+    return lookup.suggest(asked, "q", lookup.build_store(_drugs(t)), C.MIN_SCORE - 35).select("q", F.array_join("suggestions", "|").alias("suggestions"))
 
 
 @query()
@@ -309,7 +304,28 @@ def q8_match_rows(t):
     return rows.select([F.to_json(c).alias(c) if rows.schema[c].dataType.typeName() in ("struct", "map", "array") else F.col(c) for c in rows.columns])
 
 
-# text cleaners, which have no form in SQL -------------------------------------------------------
+# text cleaners -------------------------------------------------------
+
+_SECTION = "CASE WHEN contains(b, ':' || chr(10)) THEN {0} ELSE {1} END"
+
+
+@query(
+    "WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(replace(text, '. ', ':' || chr(10)), '^\\s+|\\s+$', '', 'g'), '\\n{2,}'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents), "
+    "b AS (SELECT doc_id, unnest(l) AS b, generate_subscripts(l, 1)::INT AS place FROM s) SELECT doc_id, place, "
+    + _SECTION.format(_STRIP.format("split_part(b, ':' || chr(10), 1)"), "''") + " AS title, " + _SECTION.format(_STRIP.format("substr(b, strpos(b, ':' || chr(10)) + 2)"), "b") + " AS body FROM b"
+)
+def t13_sections(t):
+    told = F.posexplode(E.sections(F.replace("text", F.lit(". "), F.lit(":\n")))).alias("place", "s")
+    return t("documents").select("doc_id", told).select("doc_id", (F.col("place") + 1).alias("place"), "s.title", "s.body")
+
+
+@query()
+def t19_clean_table(t):
+    listed = F.concat(F.regexp_replace(F.left("text", F.lit(300)), " ", ", "), F.lit(";x"))
+    return T.clean_table(t("documents").select("doc_id", *[F.col("text").alias(c) for c in T.CLEANERS], listed.alias("brand_names"), F.lit("oral, ORAL|nasal").alias("route"), listed.alias("rare_side_effects"), F.lit("  as it is ").alias("other")))
+
+
+# without a form in SQL ---
 
 CLEANERS = {
     "t3_cut_repeated_prefix": T.cut_repeated_prefix, "t5_cut_at_repeated_window": T.cut_at_repeated_window, "t6_drop_repeated_windows": T.drop_repeated_windows, "t7_dedupe_headlines": T.dedupe_headlines,

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import exprs as E
 from ..functions import textclean as T
 from ..operators import core, facts, lookup, profile
+from ..operators import relational as R
+from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,7 +24,7 @@ def query(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             def read(name: str) -> DataFrame:
                 df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-                return T.spread(df) if name == "documents" else df  # long texts in one small file
+                return readers.deal_small(df) if name == "documents" else df  # long texts in one small file
 
             return f(read)
 
@@ -235,8 +237,8 @@ def j4_coalesced_lookup(t):
 
 @query("SELECT count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def j5_semi_core(t):
-    core_ids = t("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id")).distinct()
-    return t("events").join(core_ids, "user_id", "left_semi").agg(F.count("*").alias("n"))
+    core_ids = t("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    return R.semi_join(t("events"), core_ids, "user_id").agg(F.count("*").alias("n"))
 
 
 def _drugs(t) -> DataFrame:
@@ -256,17 +258,16 @@ def _asked(t) -> DataFrame:
 
 @query(f"""WITH k AS (SELECT DISTINCT {_sql('normalize', 'p_name')} AS key FROM part) SELECT p_partkey, key FROM (SELECT p_partkey, {_sql('normalize', "upper(p_name) || ' 500mg tablet'")} AS q FROM part) JOIN k ON q = key""")
 def j6_exact_lookup(t):
-    keys = t("part").select(E.normalize_text("p_name").alias("key")).distinct()
-    asked = t("part").select("p_partkey", E.normalize_text(F.concat(F.upper("p_name"), F.lit(" 500mg tablet"))).alias("key"))
-    return asked.join(keys, "key").select("p_partkey", "key")
+    keys = lookup.build_keys(t("part").select(F.col("p_partkey").alias("row_no"), F.col("p_name").alias("generic_name_clean"), F.lit("").alias("generic_name"), F.lit("").alias("brand_names")))
+    asked = t("part").select("p_partkey", E.normalize_text(F.concat(F.upper("p_name"), F.lit(" 500mg tablet"))).alias("q"))
+    return lookup.exact_hits(asked, keys, "q").select("p_partkey", "key")
 
 
 @query("""WITH a(alias, target) AS (VALUES ('paracetamol', 'acetaminophen'), ('panadol', 'acetaminophen'), ('tylenol', 'acetaminophen'), ('apap', 'acetaminophen'))
     SELECT event_id, target FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'panadol' WHEN 1 THEN 'apap' WHEN 2 THEN 'tylenol' WHEN 3 THEN 'aspirin' ELSE 'paracetamol' END AS q FROM events) JOIN a ON q = alias""")
 def j7_alias_lookup(t):
     asked = F.get(F.array(*[F.lit(w) for w in ("Panadol 500 mg", "APAP", "tylenol", "aspirin", "paracetamol")]), (F.col("event_id") % 5).cast("int"))
-    target = F.create_map(*[F.lit(x) for kv in C.ALIASES.items() for x in kv])[E.normalize_text(asked)]
-    return t("events").select("event_id", target.alias("target")).filter("target IS NOT NULL")
+    return t("events").select("event_id", lookup.alias_target(E.normalize_text(asked)).alias("target")).filter("target IS NOT NULL")
 
 
 # aggregates -------------------------------------------------------------------------------------
@@ -297,18 +298,17 @@ def a4_best_priority(t):
 @query("SELECT DISTINCT l_partkey AS id, l_returnflag AS kind, 'all' AS source FROM lineitem UNION ALL SELECT DISTINCT l_partkey, l_returnflag, 'label_confirmed' FROM lineitem WHERE l_linestatus = 'F'")
 def a5_distinct_union(t):
     own = t("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("kind"), "l_linestatus")
-    both = own.withColumn("source", F.lit("all")).unionByName(own.filter("l_linestatus = 'F'").withColumn("source", F.lit("label_confirmed")))
-    return both.drop("l_linestatus").dropDuplicates()
+    return R.tagged_distinct({"all": own.drop("l_linestatus"), "label_confirmed": own.filter("l_linestatus = 'F'").drop("l_linestatus")}, "source")
 
 
 @query("SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
 def a8_count_distinct(t):
-    return t("lineitem").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
+    return R.count_distinct(t("lineitem"), {"l_partkey": "parts", "l_suppkey": "suppliers"})
 
 
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")
 def a9_value_counts(t):
-    return t("documents").groupBy("source", "lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "lang")
+    return R.value_counts(t("documents"), ["source", "lang"])
 
 
 def _labelled(t) -> DataFrame:
@@ -378,15 +378,29 @@ def w8_first_wins_index(t):
 
 @query("SELECT n_name, row_number() OVER (ORDER BY n_name) AS k FROM nation ORDER BY n_name LIMIT 10")
 def w7_head_sample(t):
-    return t("nation").withColumn("k", F.row_number().over(Window.orderBy("n_name")).cast("long")).select("n_name", "k").orderBy("n_name").limit(10)
+    return R.head_sample(t("nation").select("n_name"), "n_name", 10)
 
 
-@query(f"""WITH q AS (SELECT p_partkey, {_sql('normalize', "upper(p_name) || ' 500mg tablet'")} AS n FROM part)
-    SELECT p_partkey, n AS normalized, 'exact' AS match_type, 'ok' AS status, 1.0::DOUBLE AS confidence, 100.0::DOUBLE AS best_score FROM q""")
+_FIELDS = ["normalized", "match_type", "status", "confidence", "best_score", "best_match", "message"]
+
+
+def _answered(asked: DataFrame, drugs: DataFrame, key: str) -> DataFrame:
+    """Every field of the answers, lists joined, and what the first match shows."""
+    out = lookup.lookup_batch(asked.select("query").distinct(), drugs)
+    m = F.get("matches", F.lit(0))
+    shown = [m[c].alias(f"match_{c}") for c in ("match", "score", "row_no", "drug_id", "generic_name", "generic_name_clean", "brand_names", "drug_class", "route", "indications")]
+    out = out.select("query", *_FIELDS, F.array_join("resolution_path", " > ").alias("resolution_path"), F.array_join("suggestions", "|").alias("suggestions"), F.size("matches").alias("n_matches"), *shown)
+    return asked.join(out, "query").drop("query").select(key, *out.columns[1:])
+
+
+_SHOWN = "'' AS match_drug_id, {g} AS match_generic_name, {c} AS match_generic_name_clean, {b} AS match_brand_names, '' AS match_drug_class, '' AS match_route, '' AS match_indications"
+
+
+@query(f"""WITH q AS (SELECT p_partkey, p_name, {_sql('normalize', "upper(p_name) || ' 500mg tablet'")} AS n FROM part), d AS (SELECT p_name, min(p_partkey) + 10 AS row_no FROM part GROUP BY p_name)
+    SELECT p_partkey, n AS normalized, 'exact' AS match_type, 'ok' AS status, 1.0::DOUBLE AS confidence, 100.0::DOUBLE AS best_score, n AS best_match, 'OK' AS message, upper(p_name) || ' 500mg tablet' AS resolution_path, '' AS suggestions,
+    1 AS n_matches, n AS match_match, 100.0::DOUBLE AS match_score, row_no AS match_row_no, {_SHOWN.format(g="upper(p_name)", c="p_name", b="p_name || ' brand extra'")} FROM q JOIN d USING (p_name)""")
 def q9_response_struct(t):
-    parts = t("part").select("p_partkey", F.concat(F.upper("p_name"), F.lit(" 500mg tablet")).alias("query"))
-    out = lookup.lookup_batch(parts.select("query").distinct(), _drugs(t))
-    return parts.join(out, "query").select("p_partkey", "normalized", "match_type", "status", "confidence", "best_score")
+    return _answered(t("part").select("p_partkey", F.concat(F.upper("p_name"), F.lit(" 500mg tablet")).alias("query")), _drugs(t), "p_partkey")
 
 
 # without a form in SQL --------------------------------------------------------------------------
@@ -400,9 +414,8 @@ def q3_lookup_cascade(t):
 
 @query()
 def j8_fuzzy_topk(t):
-    keys = lookup.build_keys(_drugs(t))
-    asked = _asked(t).select(E.normalize_text("query").alias("q")).filter("q <> ''").distinct()
-    return lookup.fuzzy_top(asked, "q", keys, C.MIN_SCORE, 10).select("q", F.posexplode("_top").alias("place", "m")).select("q", "place", "m.match", "m.score")
+    asked = _asked(t).select(E.normalize_text("query").alias("q")).filter("q <> ''")
+    return lookup.fuzzy_top(asked, "q", lookup.build_store(_drugs(t)), C.MIN_SCORE, 10).select("q", F.posexplode("_top").alias("place", "m")).select("q", "place", "m.match", "m.score")
 
 
 @query()
@@ -422,9 +435,14 @@ def t17_clean_long_text(t):
 
 @query()
 def t18_display_text(t):
-    return t("documents").select("doc_id", T.cleaner(T.display_text)("text").alias("clean"))
+    return t("documents").select("doc_id", E.display_text("text").alias("clean"))
 
 
-@query()
+@query(
+    " UNION ALL ".join(
+        f"SELECT doc_id AS row_id, 'text' AS column_name, '{name}' AS check_name FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE {test}"
+        for name, test in (("bad_encoding", f"regexp_matches(text, '(?i){C.BAD_ENCODING}')"), ("repeated", _REPEATED), ("too_long", f"length(text) > {C.LONG_TEXT}"), ("label_repeats", _LABELS))
+    )
+)
 def k2_offenders(t):
     return profile.offenders(t("documents"), "doc_id", ["text"]).drop("cell")

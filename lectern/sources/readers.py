@@ -48,6 +48,17 @@ def add_missing(df: DataFrame, columns: list[str], value: Column | None = None)
     return df.withColumns({c: F.lit("") if value is None else value for c in columns if c not in df.columns})
 
 
+#: A table is dealt over all cores only up to this many bytes, so what that shuffles does not grow with the input.
+SMALL_BYTES = 64 << 20
+
+
+def deal_small(df: DataFrame) -> DataFrame:
+    """A small file, which may be one row group, over all cores; anything larger as it is split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
+
+
 def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     rows = spark.read.option("sep", sep).option("header", True).option("escape", '"').option("maxColumns", 20480).csv(path)
     return rows.columns
@@ -66,6 +77,13 @@ def read_csv(spark: SparkSession, path: str, na: str = "keep", columns: list[str
     return df.select([F.when(~F.col(f"`{c}`").isin(NA_VALUES), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of schema (as in "id int, name string") with their types; NA_VALUES and cells that are not of their type are NULL. Columns that the file lacks are an error."""
+    wanted = T._parse_datatype_string(schema)
+    df = require_columns(read_csv(spark, path, na="null"), wanted.names)
+    return df.select([F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
+
+
 def read_tsv(spark: SparkSession, path: str, names: list[str], na: str = "null") -> DataFrame:
     """A file without a header, addressed by position; fields beyond names are dropped."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])

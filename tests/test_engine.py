@@ -1,6 +1,8 @@
 """The engine's queries against DuckDB, and its parts against values worked out by hand."""
 
 import json
+import random
+import re
 import subprocess
 import sys
 
@@ -12,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lectern.functions import constants as C
 from lectern.functions import exprs as E
 from lectern.functions import similarity as S
 from lectern.functions import textclean as T
@@ -50,7 +53,7 @@ def test_other_queries_run(spark, name):
 
 def test_python_travels_by_value():
     """Workers of a cluster have no copy of the package: nothing pickled may refer to it by name."""
-    for f in (T.clean_warnings, T.clean_long_text, T.collapse_blocks, T.display_text, S.best_matches):
+    for f in (T.clean_warnings, T.clean_long_text, T.collapse_blocks, T.UNITS, S.best_of_all):
         code = "import pickle, sys; pickle.loads(sys.stdin.buffer.read())"
         subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(f), cwd="/", env={"PATH": ""}, check=True)
 
@@ -102,18 +105,160 @@ def test_cleaners():
     sentence = "Take one tablet by mouth every day with a full glass of water. "
     assert T.clean_long_text(sentence * 8) == sentence.strip()
     assert T.clean_warnings("Do not use with any other medicine here. Do not use with any other medicine here.") == "Do not use:\nwith any other medicine here"
-    assert T.display_text("Liver Warning:\nLiver Warning This product contains acetaminophen\n:\nshort") == "Liver Warning:\nThis product contains acetaminophen"
     assert T.alike("Same text here", "same  text, here") and not T.alike("", "")
     assert T.coverage("x" * 30, "x" * 90) == 0.0
     assert T.merge_sections("A:\nthis body is told twice in the text\n\nB:\nthis body is told twice in the text!!") == "B:\nthis body is told twice in the text!!"
     long = "Warnings:\n" + "word " * 300
     assert len(T.cap_sections(long)) <= 1200 and T.cap_sections(long).endswith("…")
-    for f in (T.clean_long_text, T.clean_warnings, T.clean_openfda_blocks, T.collapse_blocks, T.display_text):
+    for f in (T.clean_long_text, T.clean_warnings, T.clean_openfda_blocks, T.collapse_blocks):
         assert f("") == "" and f(None) == ""
     blocks = "INDICATIONS: short. WARNINGS: be careful with this. INDICATIONS: the longer text wins."
     assert T.dedupe_heading_blocks(blocks, ["INDICATIONS", "WARNINGS"]) == "WARNINGS: be careful with this.\n\nINDICATIONS: the longer text wins."
 
 
+P = "Acetaminophen tablets relieve minor aches and pains and lower fever when they are taken as told on the label"  # 107 characters
+BODY = "This medicine may cause drowsiness and should be kept away from small children at all times of the day"
+W18 = " ".join(f"w{i}" for i in range(18))
+
+
+@pytest.mark.parametrize(
+    ("f", "x", "want"),
+    [
+        # The beginning, found again without punctuation, from 350 characters on and before three quarters of the text
+        (T.cut_repeated_prefix, f"{P} {P} " + "y" * 200 + " z" * 100, f"{P} {P} " + "y" * 200 + " z" * 100),
+        (T.cut_repeated_prefix, " ".join([f"{P} and so on"] * 4), f"{P} and so on {P} and so on"),  # looked for from 120 on: the second copy begins before
+        (T.cut_repeated_prefix, f"{P} {P}", f"{P} {P}"),
+        # T5: cut where the first window comes for the second time, if 180 characters are left
+        (T.cut_at_repeated_window, f"{BODY} {P} {W18}. {BODY} {W18} end of it", f"{BODY} {P} {W18}"),
+        (T.cut_at_repeated_window, f"{BODY} {W18}. {BODY} {W18} end of it", f"{BODY} {W18}. {BODY} {W18} end of it"),
+        (T.cut_at_repeated_window, f"{W18} {W18} x", f"{W18} {W18} x"),
+        # Later windows go, punctuation stays with its word, leading punctuation is lost
+        (T.drop_repeated_windows, f"(start {W18}, mid ; {W18} end .", f"start {W18}, mid; end."),
+        (T.drop_repeated_windows, "a b c", "a b c"),
+        # A headline that a kept headline says too; other units stay, even if told twice
+        (T.dedupe_headlines, "WARNING: keep away from fire Warning: keep away from fire! Boxed warning other words", "WARNING: keep away from fire\nBoxed warning other words"),
+        (T.dedupe_headlines, "told twice\ntold twice", "told twice\ntold twice"),
+        # Starter phrases need no word boundary before them; equal units go
+        (T.dedupe_units, "Take one. For external use only. Take one. For external use only.", "Take one.\nFor external use only. Take one.\nFor external use only."),
+        (T.dedupe_units, "Forewarning of it\n• Forewarning of it", "Fore\nwarning of it"),
+        (T.dedupe_units, "• only one", "• only one"),
+        # Breaks at Directions and numbers; short pieces go; equal and covered sentences go
+        (T.dedupe_sentences, "Take it with water every day. Ok. Take it with water, every day! Directions take it with water now", "Take it with water every day. take it with water now"),
+        (T.dedupe_sentences, f"{BODY}. Note that {BODY.lower()} or so.", f"{BODY}."),
+        # List order shadows the longer heading; text before the first goes; the longest block stays
+        (lambda t: T.dedupe_heading_blocks(t, ["INDICATIONS", "INDICATIONS AND USAGE"]), "intro. INDICATIONS AND USAGE for pain", "INDICATIONS AND USAGE for pain"),
+        (lambda t: T.dedupe_heading_blocks(t, ["DOSE", "USE"], True), "Use one. 1.2 dose two. USE the longer one", "1.2 dose two.\n\nUSE the longer one"),
+        # Blocks told twice, halves that say the same
+        (T.collapse_blocks, "one block here\n\nanother block\n\nOne block, here", "one block here\nanother block"),
+        (T.collapse_blocks, f"{BODY} {P} {BODY} {P}", f"{BODY} {P}"),
+        # Caps by title, whole lines of bullets
+        (T.cap_sections, "Pregnancy:\n" + "x" * 300, "Pregnancy:\n" + "x" * 219 + "…"),
+        (T.cap_sections, "Lactation:\n" + "\n".join("• " + c * 97 for c in "abc"), "Lactation:\n" + "\n".join("• " + c * 97 for c in "ab")),
+        # The longer body takes the slot with its own title; a third section stays
+        (T.merge_sections, f"A:\n{BODY}\n\nB:\nsomething else\n\nC:\n{BODY} indeed", f"C:\n{BODY} indeed\n\nB:\nsomething else"),
+        (T.merge_sections, f"Warnings:\n{BODY[:70]}\n\nOverdosage:\n{BODY[:40]} call a doctor or a poison control center", f"Overdosage:\n{BODY[:40]} call a doctor or a poison control center"),
+        # Fixed order of headings, the longest of each, without the heading
+        (T.clean_openfda_blocks, "WARNINGS: first words here. CONTRAINDICATIONS: none are known. WARNINGS: these are the longer words here.", "Warnings:\nthese are the longer words here.\nContraindications:\nnone are known."),  # units are joined by single breaks
+        (T.clean_openfda_blocks, "no heading  at all", "no heading at all"),
+        # Sections in fixed order, hyphens go, bullets for the last one; without a section as T15
+        (T.clean_warnings, "Stop use and ask a doctor if pain gets worse after a week. Do not use if the seal is broken or missing", "Do not use:\nif the seal is broken or missing\nStop use and ask a doctor if:\npain gets worse after a week"),
+        (T.clean_warnings, "WARNINGS: over-the-counter drug", "Warnings:\nover the counter drug"),
+        # Remarks go, sentences told twice go
+        (T.clean_long_text, "Use as told ( 1.1 ) here ( 1.2 ) and there ( 1.3 ).  Click here to enter text", "Use as told here and there ."),
+        (T.clean_long_text, "Use ( 1.1 ) here", "Use ( 1.1 ) here"),
+    ],
+)
+def test_cleaners_by_hand(f, x, want):
+    assert f(x) == want
+
+
+@pytest.mark.parametrize(
+    ("x", "want"),
+    [
+        ("Liver Warning:\nLiver Warning This product contains acetaminophen\n:\nshort", "Liver Warning:\nThis product contains acetaminophen"), ("For pain.", ""), (None, ""), ("...\n- – •", ""),
+        ("- a line that is long enough\r\n\r\n\r\n\r\nand\\nanother line of some length\ttoo", "a line that is long enough\n\nanother line of some length too"), ("Do not use:\nDO NOT USE:\nwith any other medicine here", "Do not use:\n\nwith any other medicine here"),
+        ("x" * 1600, "x" * 1500 + "…"),
+    ],
+)
+def test_display_text(spark, x, want):
+    assert one(spark, E.display_text, x) == want
+
+
+def test_sections(spark):
+    for f in (lambda x: one(spark, lambda c: F.to_json(E.sections(c)), x), lambda x: json.dumps([dict(zip(("title", "body"), s)) for s in T.sections(x)])):
+        assert json.loads(f(" A :\n one\ntwo \n\n\nplain\n\nB:\n")) == [{"title": "A", "body": "one\ntwo"}, {"title": "", "body": "plain"}, {"title": "", "body": "B:"}]
+    assert one(spark, lambda c: E.join_sections(E.sections(c)), " A:\none\n\n\nplain ") == "A:\none\n\nplain" == T.joined(T.sections(" A:\none\n\n\nplain "))
+
+
+def test_clean_table_skips_missing_columns(spark):
+    df = spark.createDataFrame([(1, "Take it ( 1 ) a ( 2 ) b ( 3 )", "a|A; b", "oral, ORAL", "Rash.| rash", " x ")], "id int, indications string, brand_names string, route string, rare_side_effects string, other string")
+    out = T.clean_table(df)
+    assert out.columns == df.columns
+    assert tuple(out.first()) == (1, "Take it a b", "a, b", "Oral", "Rash", " x ")
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [
+        ("paracetmol", "paracetamol", 2000 / 21), ("abc", "abc", 100.0), ("", "abc", 0.0), ("ab", "axb", 80.0), ("a", "aspirin", 90.0), ("zz", "aspirin", 0.0),
+        ("b a", "a b", 95.0), ("a a b", "b a", 85.5), ("a b b", "b a c", 95.0), ("calpol", "calpol six plus", 90.0), ("plus extra", "calpol six plus", 85.5), ("ab", "ab" + "x" * 18, 60.0), ("vitamin c", "vitamin d", 800 / 9),
+    ],
+)
+def test_weighted_ratio_by_hand(a, b, want):
+    assert S.weighted_ratio(a, b) == pytest.approx(want)
+
+
+NAMES = st.lists(st.sampled_from(["a", "b", "ab", "aab", "para", "cetamol", "paracetamol", "ibuprofen", "xyz", "calpol", "six", "plus", "zinc", "z"]), min_size=1, max_size=4).map(" ".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(NAMES | st.text("abcp ", min_size=1, max_size=9).map(lambda s: " ".join(s.split()) or "q"), min_size=1, max_size=3), st.lists(NAMES, min_size=1, max_size=12, unique=True), st.sampled_from([0.0, 45.0, 80.0]), st.integers(1, 5))
+def test_best_of_all_scores_as_all_pairs(queries, keys, cutoff, limit):
+    for q, best in S.best_of_all(queries, keys, cutoff, limit):
+        every = sorted(((S.weighted_ratio(q, k), -i) for i, k in enumerate(keys)), reverse=True)
+        assert best == [(-i, s) for s, i in every if s >= cutoff][:limit]
+
+
+def test_candidates_hold_every_match(spark):
+    """Against all pairs, for names of one letter up, with words in common, turned around, told twice, and with letters changed."""
+    r = random.Random(4)
+    parts = ["a", "b", "ab", "xy", "para", "cetamol", "ibuprofen", "profen", "calpol", "six", "plus", "zinc", "acid", "extra", "vitamin", "c", "sodium", "chloride"]
+    keys = sorted({" ".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(220)} | set(parts))
+
+    def bent(k):
+        k = list(k)
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(k))
+            k[at : at + r.randint(0, 1)] = r.choice(["", "q", "e", ""])
+            k = k or ["q"]
+        return " ".join("".join(k).split()) or "q"
+
+    queries = sorted({bent(r.choice(keys)) for _ in range(140)} | {"a", "c", "z", "q", "ab", "a a a a b", "plus plus plus", "c vitamin"})
+    rows = spark.createDataFrame([(i, k, "", "") for i, k in enumerate(keys)], "row_no long, generic_name_clean string, generic_name string, brand_names string")
+    store = lookup.build_store(rows)
+    known = sorted(x["key"] for x in store.keys.collect())
+    asked = spark.createDataFrame([(q,) for q in queries], "q string")
+    want = {(q, k) for q in queries for k in known if S.weighted_ratio(q, k) >= 80}
+    pairs = {tuple(x) for x in lookup.candidates(asked, store.grams).collect()}
+    assert want <= pairs
+    for cutoff, limit in ((80.0, 10), (45.0, 15)):
+        got = {x["q"]: [(m["match"], round(m["score"], 6)) for m in x["_top"]] for x in lookup.fuzzy_top(asked, "q", store, cutoff, limit).collect()}
+        for q in queries:
+            best = sorted(((-S.weighted_ratio(q, k), k) for k in known if S.weighted_ratio(q, k) >= cutoff))[:limit]
+            assert got.get(q, []) == [(k, round(-s, 6)) for s, k in best]
+
+
+def test_candidates_are_few_among_varied_names(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("aeioubcdfghlmnprstvxz", k=r.randint(5, 12)))
+    keys = sorted({f"{word()} {word()}" if r.random() < 0.5 else word() for _ in range(3000)})
+    queries = [k[:2] + k[3:] for k in r.sample(keys, 60)]
+    rows = spark.createDataFrame([(i, k, "", "") for i, k in enumerate(keys)], "row_no long, generic_name_clean string, generic_name string, brand_names string")
+    pairs = [tuple(x) for x in lookup.candidates(spark.createDataFrame([(q,) for q in queries], "q string"), lookup.build_store(rows).grams).collect()]
+    want = {(q, k) for q in queries for k in keys if S.weighted_ratio(q, k) >= 80}
+    assert want <= set(pairs) and len(pairs) < 0.15 * len(queries) * len(keys)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab c", max_size=12), st.text("ab c", max_size=12))
 def test_similarity(a, b):
@@ -147,6 +292,99 @@ def test_lookup_cascade(spark):
     assert lookup.lookup_one(spark, "nurofen", drugs)["match_type"] == "exact"
 
 
+CATALOGUE = [
+    ("D1", "Acetaminophen", "acetaminophen", "Calpol, Calpol; Other", "analgesic", "oral/iv", "For pain relief of many kinds in adults.", "common: nausea"),
+    ("D2", "Ibuprofen", "ibuprofen", "Nurofen Extra Strong Tablets", "nsaid", "ORAL", "short", ""), ("D2", "Ibuprofen", "ibuprofen lysine", "Nurofen Plus", "", "", "", ""),
+    ("", "Ibuprofen A", "ibuprofen a", "", "", "", "", ""), ("", "Ibuprofen B", "ibuprofen b", "", "", "", "", ""), ("D7", "Zincum", "", "", "", "", "", ""), ("D8", "", "", "Lost Brand", "", "", "", ""),
+]
+
+
+def restated(query, rows, top_k=5, least=80.0):
+    """The cascade for one query, row by row, from its description. rows: dictionaries in order."""
+    norm = lambda s: re.sub(r"\s+", " ", re.sub(f"(?i){C.DOSAGE}", " ", re.sub(r"[^a-z0-9\s\-]+", " ", (s or "").lower().strip().replace("_", " ")))).strip()
+    index, primary = {}, set()
+    for r in rows:
+        names = [k for k in (norm(r["generic_name_clean"]), norm(r["generic_name"])) if k]
+        if names:
+            primary |= set(names)
+            for k in [*names, " ".join(norm(r["brand_names"]).split()[:3])]:
+                if k:
+                    index.setdefault(k, r)
+    q = norm(query)
+    path = [p for p in (query, q) if p is not None]
+    done = lambda normalized, kind, hits, near, path, message: {
+        "normalized": normalized, "match_type": kind, "matches": [(k, round(s, 6), index[k]["drug_id"], index[k]["generic_name"]) for k, s in hits], "suggestions": near, "message": message,
+        "resolution_path": [p for i, p in enumerate(path) if norm(p) and norm(p) not in [norm(x) for x in path[:i]]], "best_match": hits[0][0] if hits else None, "best_score": round(hits[0][1], 2) if hits else 0.0,
+        "confidence": round(hits[0][1] / 100, 4) if hits else 0.0, "status": "no_match" if not hits or hits[0][1] < 60 else "ok" if hits[0][1] >= 85 else "low_confidence",
+    }
+    if not q:
+        return done("", "none", [], [], path, "Empty query")
+    if q in index:
+        return done(q, "exact", [(q, 100.0)], [], path, "OK")
+    typo = ("para" in q or q.startswith("par")) and S.weighted_ratio(q, "paracetamol") >= 85
+    target = C.ALIASES.get(q, "acetaminophen" if typo else None)
+    if target in index:
+        return done(target, "alias", [(target, 95.0)], [target, *[a for a, t in C.ALIASES.items() if t == target]][:top_k], [query, q, target], "OK")
+    ranked = lambda pool, cutoff, n: sorted(((-S.weighted_ratio(q, k), i, k) for i, k in enumerate(pool) if S.weighted_ratio(q, k) >= cutoff))[:n]
+    near = []
+    for _, _, k in ranked([*sorted(primary), *[a for a in C.ALIASES if a not in primary]], least - 35, 15):
+        name = norm(k if k in C.ALIASES else index[k]["generic_name_clean"] or index[k]["generic_name"] or k)
+        near += [name] if name and name not in near else []
+    hits, ids = [], set()
+    for s, _, k in ranked(sorted(index), least, 10):
+        if index[k]["drug_id"] not in ids or not index[k]["drug_id"]:
+            ids.add(index[k]["drug_id"])
+            hits.append((k, -s))
+    if not hits:
+        return done(q, "none", [], near[:top_k], path, "No confident match found")
+    return done(index[hits[0][0]]["generic_name_clean"] or q, "exact" if hits[0][1] >= 99.9 else "fuzzy", hits[:top_k], near[:top_k], path, "OK")
+
+
+FIELDS = ["normalized", "match_type", "suggestions", "message", "resolution_path", "best_match", "best_score", "confidence", "status"]
+
+
+def test_lookup_equals_the_cascade_row_by_row(spark):
+    names = ["drug_id", "generic_name", "generic_name_clean", "brand_names", "drug_class", "route", "indications", "common_side_effects"]
+    rows = [dict(zip(names, r)) for r in CATALOGUE]
+    drugs = spark.createDataFrame([(i, *r) for i, r in enumerate(CATALOGUE)], "row_no long, " + ", ".join(f"{n} string" for n in names))
+    asked = ["nurofenol extra strng", "ibuprofen c", "ibuprofin", "zincu", "zincum", "calpol other", "lost brand", "paracetamol", "Panadol", "paracetmol", "zzzzzz", "Oral", "", None, "a", "b", "x ibuprofen", "acetaminofen 500 mg", "tylenols", "nurofen"]
+    store = lookup.build_store(drugs)
+    out = {r["query"]: r for r in lookup.lookup_batch(spark.createDataFrame([(a,) for a in asked], "query string"), store).collect()}
+    for a in asked:
+        want, got = restated(a, rows), out[a]
+        assert {f: got[f] for f in FIELDS} == {f: want[f] for f in FIELDS}, a
+        assert [(m["match"], round(m["score"], 6), m["drug_id"], m["generic_name"]) for m in got["matches"]] == want["matches"], a
+    assert out["nurofenol extra strng"]["normalized"] == "ibuprofen" and out["nurofenol extra strng"]["best_match"] == "nurofen extra strong"
+    assert [m["drug_id"] for m in out["ibuprofen c"]["matches"]].count("") == 2  # blank ids are never one drug
+    shown = out["Panadol"]["matches"][0].asDict()
+    assert (shown["brand_names"], shown["route"], shown["indications"], shown["drug_class"], shown["side_effects_buckets"]) == ("Calpol, Other", "Oral, IV", "For pain relief of many kinds in adults.", "analgesic", {"common": "common: nausea"})
+    exact = lookup.lookup_one(spark, "Ibuprofen", store)["matches"][0]
+    assert (exact["indications"], exact["side_effects_buckets"]) == ("", None)
+
+
+def test_lookup_query_equals_the_cascade(spark):
+    t = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    rows = [{"drug_id": "", **r.asDict()} for r in plans._drugs(t).orderBy("row_no").collect()]
+    for r in lookup.lookup_batch(plans._asked(t).distinct(), plans._drugs(t)).collect():
+        want = restated(r["query"], rows)
+        assert {f: r[f] for f in FIELDS} == {f: want[f] for f in FIELDS}, r["query"]
+
+
+def test_store_is_made_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lookup, "_STORES", {})
+    with pytest.raises(FileNotFoundError):
+        lookup.init_store(spark, str(tmp_path / "none.csv"))
+    (tmp_path / "bad.csv").write_text("drug_id,generic_name\n1,x\n")
+    with pytest.raises(ValueError, match="generic_name_clean"):
+        lookup.init_store(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "a.csv").write_text("drug_id, generic_name ,generic_name_clean\nD1,Alpha,alpha\nD2,Alpha,alpha\n")
+    monkeypatch.setenv("DRUG_DATASET_PATH", str(tmp_path / "a.csv"))
+    store = lookup.init_store(spark)
+    (tmp_path / "a.csv").unlink()
+    assert lookup.init_store(spark, str(tmp_path / "none.csv")) is store
+    assert lookup.lookup_one(spark, "ALPHA 5 mg")["matches"][0]["drug_id"] == "D1"
+
+
 def test_core_table_keys_every_tied_row_in_one_order(spark):
     raw = [("alpha", "ORAL", "C", f"use {k:02d}") for k in range(30)] + [("beta", "ORAL", "C", "x")]
     want = [(f"DRUG_{k + 1:06d}", *raw[k][::3]) for k in range(31)]
@@ -223,6 +461,16 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in readers.read_class_xml(spark, str(tmp_path / "c.xml")).collect()] == [("abc", "P")]
     with pytest.raises(FileNotFoundError):
         readers.read_csv(spark, str(tmp_path / "none.csv"))
+    (tmp_path / "t.csv").write_text("a,b,c,d\n1,1.5,x,9\nNA,bad,,9\n")
+    typed = readers.read_typed(spark, str(tmp_path / "t.csv"), "b double, a int, c string")
+    assert typed.dtypes == [("b", "double"), ("a", "int"), ("c", "string")] and [tuple(r) for r in typed.collect()] == [(1.5, 1, "x"), (None, None, None)]
+    with pytest.raises(ValueError, match="missing columns: z"):
+        readers.read_typed(spark, str(tmp_path / "t.csv"), "z int")
+    report = profile.report_file(spark, str(tmp_path / "t.csv"), ["d"], ["c"], str(tmp_path / "report.json"))
+    assert report["duplicates"]["duplicates"] == 1 and json.loads((tmp_path / "report.json").read_text()) == report
+    freq = "\t".join("abcdefghij")
+    (tmp_path / "f.tsv").write_text(freq + "\n")
+    assert tuple(readers.read_tsv(spark, str(tmp_path / "f.tsv"), [f"c{i}" for i in range(10)]).first()) == tuple("abcdefghij")
     with pytest.raises(ValueError, match="missing columns: q"):
         readers.require_columns(spark.range(1), ["q"])
     assert readers.add_missing(spark.range(1), ["id", "z"]).columns == ["id", "z"]
