@@ -21,9 +21,10 @@ SMALL_BYTES = 64 << 20
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as its files are split; a small file of documents (SMALL_BYTES), which may be one row group, is dealt over the cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name != "documents" or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+    cores = spark.sparkContext.defaultParallelism
+    if name != "documents" or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES or df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    return df.repartition(cores)
 
 
 def ascii_lower(c: Column) -> Column:
