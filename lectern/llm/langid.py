@@ -1,14 +1,18 @@
 """Language identification of mixed text.
 
-The script of a word (by Unicode range) narrows the candidate languages; each word is scored per language from word
-counts, with character trigrams behind them for rare words; Viterbi decoding with a penalty for switching labels
-spans, and the language with most words is the document's.
+The scripts of a word (by Unicode range, letter by letter) narrow the candidate languages: one that is not written in
+all of them cannot label the word. Each word is scored per remaining language from word counts, with character trigrams
+behind them for rare words; Viterbi decoding with a penalty for switching labels spans, and the language with most words
+is the document's. A word is a run of letters (str.isalpha), lower-cased.
 
 Word, trigram and script counts are taken over every document that may be learned from, aggregated per partition
-before they are shuffled, in 2^WORD_BITS + 2^GRAM_BITS hashed places for each language.
+before they are shuffled, in 2^WORD_BITS + 2^GRAM_BITS hashed places; the driver gets one row for each place, with a
+number for each language, whatever the input.
 
-Defined cases: null and letterless texts are `und` with score 0; without anything to learn from all is `und`; ties go
-to the language that sorts first; repeated rows each get their row; other columns are not looked at.
+Defined cases: null and letterless texts (digits, number signs, punctuation) are `und` with score 0; without anything to
+learn from all is `und`; a word in scripts that no language is written in favours none; ties go to the language that
+sorts first; repeated rows each get their row; a null doc_id is learned from and not held out; texts may be of any
+length; an empty table gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +34,12 @@ WORD_BITS, GRAM_BITS, PENALTY, FLOOR = 18, 16, 4.0, 0.01
 REMEMBERED, REMEMBERED_CHARS = 300_000, 20_000_000
 #: Characters of text a task counts words of before it hands its counts on.
 COUNTED_CHARS = 100_000_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Log score of a language that a word's scripts exclude.
+EXCLUDED = -1e6
+_ALNUM = r"[^\W\d_]"
+WORD = re.compile(_ALNUM + "+")
+#: Letters only: number signs such as U+00B2 or U+2167, which re counts among word characters, left out.
+LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in re.findall(_ALNUM, "".join(map(chr, range(0x80, 0x110000)))) if not c.isalpha()) + "]+")
 #: First code points of scripts, in order; a script reaches to the next entry.
 SCRIPT_STARTS = [(0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han")]
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
@@ -39,17 +48,28 @@ _STARTS = np.array([a for a, _ in SCRIPT_STARTS])
 _SCRIPT_AT = (1 << WORD_BITS) + (1 << GRAM_BITS)
 
 
-def script(word: str) -> int:
-    if word[0] < "\u0370":
-        return _LATIN
-    return SCRIPTS.index(SCRIPT_STARTS[int(np.searchsorted(_STARTS, ord(word[0]), "right")) - 1][1])
+def lowered(text: str) -> str:
+    """text in lower case, character by character: only U+0130 would become two."""
+    return text.replace("\u0130", "i").lower()
 
 
-def places(word: str) -> tuple[int, list[int], int]:
-    """Places of a word, of its trigrams and of its script."""
+def found_words(low: str) -> list[str]:
+    return (WORD if low.isascii() else LETTERS).findall(low)
+
+
+def scripts(word: str) -> list[int]:
+    """The scripts of a word's letters."""
+    if word.isascii() or max(word) < "\u0370":
+        return [_LATIN]
+    at = np.searchsorted(_STARTS, np.fromiter(map(ord, word), np.int64, len(word)), "right") - 1
+    return sorted({SCRIPTS.index(SCRIPT_STARTS[k][1]) for k in set(at.tolist())})
+
+
+def places(word: str) -> tuple[int, list[int], list[int]]:
+    """Places of a word, of its trigrams and of its scripts."""
     bound = f"^{word}$"
     grams = [(1 << WORD_BITS) + (xxhash.xxh32_intdigest(bound[i : i + 3]) >> (32 - GRAM_BITS)) for i in range(len(bound) - 2)]
-    return xxhash.xxh32_intdigest(word) >> (32 - WORD_BITS), grams, _SCRIPT_AT + script(word)
+    return xxhash.xxh32_intdigest(word) >> (32 - WORD_BITS), grams, [_SCRIPT_AT + s for s in scripts(word)]
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict:
@@ -61,10 +81,9 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict:
             for lang, seen in words.items():
                 total: Counter = Counter()
                 for word, n in seen.items():
-                    w, grams, s = places(word)
+                    w, grams, own = places(word)
                     total[w] += n
-                    total[s] += n
-                    for g in grams:
+                    for g in grams + own:
                         total[g] += n
                 out += [(lang, k, n) for k, n in total.items()]
             words.clear()
@@ -74,7 +93,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict:
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
-                    words[lang].update(WORD.findall(text.lower()))
+                    words[lang].update(found_words(lowered(text)))
                     read += len(text)
                     if read > COUNTED_CHARS or sum(map(len, words.values())) > 400_000:
                         yield tell()
@@ -83,14 +102,12 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict:
 
     may = docs.filter(F.col(lang_col).isNotNull() & F.coalesce(remainder(F.col(id_col), 5) != 0, F.lit(True)))
     counts = may.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(count, "lang string, place int, n long")
-    rows = counts.groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()  # at most the places, for each language
-    names = rows.column("lang").combine_chunks().dictionary_encode()
-    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
-    langs = sorted(names.dictionary.to_pylist())
-    order = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
+    langs = sorted(r[0] for r in may.select(F.col(lang_col).cast("string").alias("lang")).distinct().collect())  # the languages
     table = np.zeros((_SCRIPT_AT + len(SCRIPTS), len(langs)), np.float32)
     if langs:
-        table[rows.column("place").to_numpy(), order[names.indices.to_numpy()]] = rows.column("n").to_numpy()
+        summed = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).cast("float").alias(f"n{i}") for i, lang in enumerate(langs)]
+        rows = counts.groupBy("place").agg(*summed).toArrow()  # a row for each place, 4 bytes for each language
+        table[rows.column("place").to_numpy()] = np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1)
     return {"langs": langs, "table": table}
 
 
@@ -121,10 +138,14 @@ class _Scores:
         starts = np.cumsum([0, *(len(gs) for _, gs, _ in found[:-1])])
         guess = np.add.reduceat(self.grams[grams - (1 << WORD_BITS)], starts, axis=0)
         guess = np.exp(guess - guess.max(axis=1, keepdims=True))
-        allowed = self.allowed[np.array([s for _, _, s in found]) - _SCRIPT_AT]
+        allowed = self.allowed[np.array([own[0] for _, _, own in found]) - _SCRIPT_AT]
+        for k, (_, _, own) in enumerate(found):
+            for s in own[1:]:
+                allowed[k] &= self.allowed[s - _SCRIPT_AT]
         mass = (self.words[np.array([w for w, _, _ in found])] + 2 * guess / guess.sum(axis=1, keepdims=True)) * allowed
         total = mass.sum(axis=1, keepdims=True)
-        out = np.where(total > 0, np.log(np.maximum(mass / np.where(total > 0, total, 1), FLOOR)), 0.0)
+        likely = np.where(allowed, np.log(np.maximum(mass / np.where(total > 0, total, 1), FLOOR)), EXCLUDED)
+        out = np.where(total > 0, likely, 0.0)
         first = len(self.at)
         while first + len(new) > len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
@@ -205,7 +226,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     preds.append(langs[int(count.argmax())])
                     shares.append(float(count.max() / len(path)))
                     if with_spans:
-                        at = [m.span() for m in WORD.finditer(text)]
+                        at = [m.span() for m in LETTERS.finditer(text)]
                         cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
                         spans.append(",".join(f"{langs[path[a]]}:{at[a][0]}:{at[b - 1][1]}" for a, b in zip(cut, cut[1:])))
                 made = [batch.column(0), batch.column(1), pa.array(preds, pa.string()), pa.array(shares, pa.float64())] + ([pa.array(spans, pa.string())] if with_spans else [])
@@ -214,9 +235,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
         n = 0
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            # words are found before they are lower-cased, which can change their length
-            words = [[w.lower() for w in WORD.findall(t)] if with_spans else WORD.findall(t.lower()) for t in (x or "" for x in texts)]
+            texts = [lowered(x or "") for x in batch.column(2).to_pylist()]
+            words = [found_words(t) for t in texts]
             held.append((batch, texts, words if langs else [[] for _ in words]))
             n += sum(map(len, words))
             if n > 1_000_000:  # the longer the run, the fewer steps with few documents
