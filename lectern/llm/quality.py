@@ -1,18 +1,20 @@
 """Quality classifier: Naive Bayes support vectors.
 
-Features are indicators of n-grams of token shapes (letter case, digits and punctuation of a word, and whether it
-repeats the word before; a word of more than RUNS runs is as many words as its pieces), each at several levels of
-frequency within the text, hashed into 2^BITS places. An indicator's value is its class log-count ratio; a linear
-hinge-loss model over them is fitted by dual coordinate descent, and its margin is turned into a probability by a
-logistic fit on documents that the fit had left out.
+Features are indicators of n-grams, one and two long, of two kinds: of words (lower-cased white-space tokens), and of
+token shapes (letter case, digits and punctuation of a word, and whether it repeats the word before; a word of more than
+RUNS runs is as many words as its pieces), each shape at several levels of frequency within the text. They are hashed
+into 2^BITS places. An indicator's value is its class log-count ratio; a linear hinge-loss model over them is fitted by
+dual coordinate descent, and its margin is turned into a probability by a logistic fit on documents that the fit had
+left out.
 
 The model is fitted on at most `per_class` labelled documents of each class, those with the smallest hash of doc_id;
 everything else reads every whole text. Weights are 2^BITS numbers, whatever the input.
 
 Defined cases: null and empty texts have only the feature "no token" and are scored like others; labels without a
 document, null labels and repeated labels (the lowest counts) are allowed; if a class has no labelled document,
-nothing can be learned: the score is 0 if all labels are 0, else 1; repeated rows each get
-their row; other columns are not looked at.
+nothing can be learned: the score is 0 if all labels are 0, else 1; repeated rows each get their row; a null doc_id is
+never learned from and not held out; texts and tokens may be of any length; an empty table gives an empty result; other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._common import LONGEST_REMEMBERED
 
-BITS, PER_CLASS, THRESHOLD, LEVELS, RUNS, SEVERAL = 18, 4000, 0.7, (0.0, 0.01, 0.05, 0.15, 0.4), 8, 0
+BITS, PER_CLASS, THRESHOLD, LEVELS, RUNS, SEVERAL = 20, 4000, 0.7, (0.0, 0.01, 0.05, 0.15, 0.4), 8, 0
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL_KEYS = np.arange(len(LEVELS), dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -71,22 +73,42 @@ class _Shapes(dict):
         return out
 
 
-def features(text: bytes | None, shapes: _Shapes, bits: int = BITS) -> np.ndarray:
+class _Words(dict):
+    """token -> the key of the token in lower case."""
+
+    def __missing__(self, token: bytes) -> int:
+        out = xxhash.xxh64_intdigest(token.lower(), 5)
+        if len(token) <= LONGEST_REMEMBERED:
+            if len(self) > 300_000:
+                self.clear()
+            self[token] = out
+        return out
+
+
+def _grams(one: np.ndarray, same: np.ndarray | None = None) -> np.ndarray:
+    """Keys of the pairs of neighbours; same tells which of them are one token twice."""
+    two = (one[:-1] * _SPREAD) ^ one[1:]
+    return two if same is None else two ^ (same * np.uint64(0xA5A5A5A5))
+
+
+def features(text: bytes | None, shapes: _Shapes, words: _Words, bits: int = BITS) -> np.ndarray:
     """Distinct places of the indicators of a text."""
     tokens = (text or b"").split()
     if not tokens:
         return np.zeros(1, np.int64)
+    said = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+    said = np.concatenate((said, _grams(said) + np.uint64(1)))
     one = np.fromiter(map(shapes.__getitem__, tokens), np.uint64, len(tokens))
     if (one == SEVERAL).any():  # from here on, their pieces stand for them
         split = [pieces(t) if k == SEVERAL else ([t], [k]) for t, k in zip(tokens, one.tolist())]
         tokens = [t for part, _ in split for t in part]
         one = np.array([k for _, keys in split for k in keys], np.uint64)
     same = np.fromiter(map(bytes.__eq__, tokens, tokens[1:]), bool, len(tokens) - 1)
-    two = (one[:-1] * _SPREAD) ^ one[1:] ^ (same * np.uint64(0xA5A5A5A5))
+    two = _grams(one, same)
     grams, counts = np.unique(np.concatenate((one, two, two[same] * np.uint64(0) + np.uint64(77))), return_counts=True)
     share = counts / len(tokens)
     found = [grams[share > level] + key for key, level in zip(_LEVEL_KEYS, LEVELS)]
-    x = np.concatenate(found)
+    x = np.concatenate([*found, said])
     x = (x ^ (x >> np.uint64(31))) * _SPREAD
     return np.unique((x >> np.uint64(64 - bits)).astype(np.int64))
 
@@ -151,9 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = chosen[0].unionByName(chosen[1])  # at most 2 x per_class ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = _Shapes()
+        shapes, words = _Shapes(), _Words()
         for batch in batches:
-            found = [features(t.as_py(), shapes, bits).astype(np.int32).tobytes() for t in batch.column(1).cast(pa.large_binary())]
+            found = [features(t.as_py(), shapes, words, bits).astype(np.int32).tobytes() for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["y", "x"])
 
     plain = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
@@ -180,13 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _scorer(model: dict):
-    shapes = _Shapes()
+    shapes, words = _Shapes(), _Words()
 
     def score(text: bytes | None) -> float:
         if "constant" in model:
             return model["constant"]
         w = model["weights"]
-        margin = float(w[features(text, shapes, model["bits"])].sum() + w[-1])
+        margin = float(w[features(text, shapes, words, model["bits"])].sum() + w[-1])
         return float(1 / (1 + np.exp(-np.clip(model["a"] * margin + model["b"], -30, 30))))
 
     return score
