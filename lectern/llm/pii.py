@@ -1,25 +1,26 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms around them.
 
-Every value that a pattern finds (an address, a number) is an entity to protect. A term near an entity discloses
-it by their pointwise mutual information, measured over all documents; a term whose information reaches the
-share `disclosure` of the entity's own information content, in at least `support` different contexts, gives the entity
-away and is a span of kind `term` wherever it occurs. Pairs, entities and terms count once for each distinct text that
-holds them, so copies of a document neither show nor hide anything. Pairs and term counts are aggregated before they are
-shuffled; only terms with the support reach the driver, 8 bytes each and in slices of at most SLICE. Up to SLICE terms
-that give an entity away are broadcast; more of them meet the documents' own terms in a join.
-
-Defined cases: a null text is empty and has no spans; repeated rows each get their row; an empty table gives an
-empty result; other columns are not looked at.
+Every value that a pattern finds (an address, a number) is an entity to protect. A term (a run of three letters or more)
+among the `reach` terms on either side of an entity, however far they are, discloses it by their pointwise mutual
+information, measured over all documents; a term whose information reaches the share `disclosure` of the entity's own
+information content, in at least `support` different contexts, gives the entity away and is a span of kind `term`
+wherever it occurs. Pairs, entities and terms count once for each distinct text that holds them, so copies of a document
+neither show nor hide anything. Pairs and term counts are aggregated before they are shuffled, and terms are counted in
+one pass over the texts. Up to `most_told` keys of terms are broadcast, 8 bytes each, as a sorted array that tasks search;
+more of them meet the documents' own terms in a join, with equal results.
+
+Defined cases: a null text is empty and has no spans; repeated rows each get their row; a null doc_id is a value like
+others; copies of a text count once; texts may be of any length; a term equal to part of an entity is no span inside it;
+an empty table gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._common import LONGEST_REMEMBERED, materialize
 
-DISCLOSURE, SUPPORT, REACH, SLICE = 0.9, 3, 6, 4_000_000
+DISCLOSURE, SUPPORT, REACH, TOLD, COUNTED = 0.9, 3, 6, 4_000_000, 2_000_000
 #: Hashes of repeated texts are broadcast up to this many, 16 bytes each; beyond it they are joined by shuffle.
 COPIED = 1_000_000
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -115,16 +116,16 @@ class _Covered:
 
 
 def _near(text: str, spans: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[int, list[int]]]:
-    """Each entity of a text with the keys of up to `reach` terms on each side of it."""
-    span = 40 * reach
+    """Each entity of a text with the keys of the `reach` terms before it and the `reach` after it, however far they are; terms inside a span do not count."""
     covered = _Covered(spans)
+    terms = [m.span() for m in TERM.finditer(text) if not covered.overlaps(*m.span())] if spans else []
+    starts = [t[0] for t in terms]
     for a, kind, b in spans:
-        left = [m[0] for m in TERM.finditer(text, max(0, a - span), a) if not covered.overlaps(*m.span())][-reach:]
-        right = [m[0] for m in TERM.finditer(text, b, min(len(text), b + span)) if not covered.overlaps(*m.span())][:reach]
-        yield _entity(text[a:b], kind), [_key(t) for t in left + right]
+        k = bisect_left(starts, a)
+        yield _entity(text[a:b], kind), [_key(text[x:y]) for x, y in terms[max(0, k - reach) : k] + terms[bisect_left(starts, b) :][:reach]]
 
 
-def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: int) -> DataFrame:
+def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: int, most_told: int = TOLD) -> DataFrame:
     """texts: one column text. t: keys of the terms that give an entity away."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,30 +155,32 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
     alone = near.filter("t = 0").select(F.col("e").alias("_e"), F.col("n_both").alias("n_entity"))
     both = near.filter((F.col("t") != 0) & (F.col("contexts") >= support)).join(alone, F.col("e") == F.col("_e")).select("t", "n_both", "n_entity")
     both = materialize(both, "supported-terms")
-    terms = both.select("t").distinct()
-    slices = max(1, math.ceil(terms.count() / SLICE))
-    counted, weighed = None, _copies(texts)
-    for k in range(slices):
-        wanted = np.array(sorted(r[0] for r in terms.filter(F.pmod("t", F.lit(slices)) == k).toLocalIterator()), np.int64)
-        if not len(wanted):
-            continue
-        told = texts.sparkSession.sparkContext.broadcast(wanted)  # at most SLICE numbers
-
-        def count(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            wanted, totals = told.value, defaultdict(Counter)
-            known = _Membership(wanted)
-            for batch in batches:
-                for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if text:
-                        totals[copies].update(filter(None, {known[w] for w in set(TERM.findall(text))}))
+    terms = materialize(both.select("t").distinct(), "terms")
+    few = terms.limit(most_told + 1).count() <= most_told
+    told = _told(terms, few)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, totals, size = _Membership(told.value if few else None), defaultdict(Counter), 0
+
+        def tell() -> Iterator[pa.RecordBatch]:
             for copies, total in totals.items():
                 yield pa.RecordBatch.from_arrays([_signed(list(total)), pa.array([copies] * len(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["t", "copies", "n"])
+            totals.clear()
 
-        part = weighed.mapInArrow(count, "t long, copies long, n long")
-        counted = part if counted is None else counted.unionByName(part)
-    if counted is None:
-        return terms
-    counted = counted.groupBy("t", "copies").agg(F.expr("sum(n) div copies").alias("n"))  # all copies of a text hold its terms
+        for batch in batches:
+            for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text:
+                    own = set(map(known.__getitem__, set(TERM.findall(text))))
+                    own.discard(0)
+                    totals[copies].update(own)
+                    size += len(own)
+            if size > COUNTED:  # a bound on what a task holds
+                yield from tell()
+                size = 0
+        yield from tell()
+
+    # one pass over all texts: of the wanted terms alone where their keys can be told to all tasks, else of all terms, which then meet the wanted ones
+    counted = _copies(texts).mapInArrow(count, "t long, copies long, n long").groupBy("t", "copies").agg(F.expr("sum(n) div copies").alias("n"))  # all copies of a text hold its terms
     counted = counted.groupBy("t").agg(F.sum("n").alias("n_term")).withColumnRenamed("t", "_t")
     n = max(2, texts.count())
     information = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
@@ -185,6 +188,12 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
     return both.join(counted, F.col("t") == F.col("_t")).filter((content > 0) & (information >= disclosure * content)).select("t").distinct()
 
 
+def _told(terms: DataFrame, few: bool):
+    """The sorted keys of terms, broadcast; nothing where there are too many."""
+    keys = terms.toArrow().column("t").to_numpy() if few else np.empty(0, np.int64)  # at most TOLD numbers
+    return terms.sparkSession.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
+
+
 def _copies(texts: DataFrame) -> DataFrame:
     """text, copies: how many rows have the same text. Only hashes of repeated texts are joined, up to COPIED by broadcast."""
     own = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -194,14 +203,16 @@ def _copies(texts: DataFrame) -> DataFrame:
 
 
 class _Membership(dict):
-    """word -> its key if that is wanted, else 0; forgets when it has grown large."""
+    """word -> its key if that is among the wanted (sorted), else 0; every key is wanted if wanted is None. Forgets when it has grown large."""
 
-    def __init__(self, wanted: Iterable[int]):
-        self.wanted = {int(x) & 0xFFFFFFFFFFFFFFFF for x in wanted}
+    def __init__(self, wanted: np.ndarray | None):
+        self.wanted = wanted
 
     def __missing__(self, word: str) -> int:
         key = _key(word)
-        key = key if key in self.wanted else 0
+        if self.wanted is not None:
+            at = int(np.searchsorted(self.wanted, np.uint64(key)))
+            key = key if at < len(self.wanted) and int(self.wanted[at]) == key else 0
         if len(word) <= LONGEST_REMEMBERED:
             if len(self) > 300_000:
                 self.clear()
@@ -229,13 +240,13 @@ def _own_terms(plain: DataFrame, terms: DataFrame) -> DataFrame:
     return keyed.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_t") == F.col("h")), "left").select("doc_id", "text", "_own")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int = REACH, most_told: int = SLICE) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined) for each row."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int = REACH, most_told: int = TOLD) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined) and n_spans, their number, for each row."""
+    kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    terms = materialize(disclosing_terms(texts, disclosure, support, reach), "disclosing")
+    terms = materialize(disclosing_terms(texts, disclosure, support, reach, most_told), "disclosing")
     few = terms.limit(most_told + 1).count() <= most_told
-    told = spark.sparkContext.broadcast(np.array([r[0] for r in terms.toLocalIterator()] if few else [], np.int64))  # at most most_told numbers
+    told = _told(terms, few)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not few:
         plain = _own_terms(plain, terms)
@@ -244,14 +255,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
         known = _Membership(told.value)
         joined = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
         for batch in batches:
-            counts, shas, every = [[], [], [], []], [], []
+            counts, shas, every, total = [[], [], [], []], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 text = text or ""
                 base = base_spans(text)
                 spans = base
                 if not few:
-                    known = _Membership(batch.column(2)[k].as_py() or [])
-                if known.wanted:
+                    known = _Membership(np.sort(np.array(batch.column(2)[k].as_py() or [], np.int64).view(np.uint64)))
+                if len(known.wanted):
                     covered = _Covered(base)
                     more = [(m.start(), 4, m.end()) for m in TERM.finditer(text) if known[m[0]] and not covered.overlaps(*m.span())]
                     spans = sorted(base + more) if more else base
@@ -259,9 +270,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
                     counts[i].append(sum(k == i for _, k, _ in base))
                 shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 every.append(joined(spans))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(every, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                total.append(len(spans))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(every, pa.string()), pa.array(total, pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return plain.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return plain.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def sanitise(text: str | None, spans: str) -> str:
