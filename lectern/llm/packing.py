@@ -6,7 +6,8 @@ best-fit the remaining gaps, longest first. The plan is a list of runs of ranks,
 bin by its rank among the pieces of its length. Nothing the driver sees grows with the number of documents.
 
 Defined cases: a null or empty text is the closing id alone; a null doc_id sorts first; repeated rows are
-packed one by one; an empty table gives an empty result; other columns are not looked at.
+packed one by one; texts may be of any length; an empty table gives an empty result; other columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ _BYTE_LEVEL = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
 class _Ids(dict):
-    """White-space separated chunk of UTF-8 -> its ids as little-endian unsigned 32-bit bytes.
+    """White-space separated chunk of UTF-8 -> its ids as little-endian unsigned 32-bit bytes, for the vocabulary VOCABULARY alone.
 
-    The tokenizer drops white space and never joins across it, so chunks are encoded by themselves. A new chunk of
+    Its tokenizer drops white space and never joins across it, so chunks are encoded by themselves. A new chunk of
     plain characters is put together from its parts, which are far fewer; any other goes through the whole tokenizer.
     """
 
@@ -61,6 +62,11 @@ class _Ids(dict):
                 self.parts[text] = out
         return out
 
+    def of(self, text: bytes) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
+
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8")
         if _PLAIN.fullmatch(text) and "<|" not in text:
@@ -72,6 +78,18 @@ class _Ids(dict):
         return out
 
 
+class _WholeIds:
+    """Ids of texts by any other vocabulary: whole texts go through its tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def of(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -84,13 +102,11 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabular
     kind = docs.schema[id_col].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(vocabulary_path(vocabulary))
+        ids = (_Ids if vocabulary == VOCABULARY else _WholeIds)(vocabulary_path(vocabulary))
         for batch in batches:
             rows, numbers, starts, lengths, crcs = [], [], [], [], []
             for k, text in enumerate(batch.column(1).cast(pa.large_binary())):
-                if len(ids) > REMEMBERED:
-                    ids.clear()
-                blob = b"".join(map(ids.__getitem__, (text.as_py() or b"").split())) + closing
+                blob = ids.of(text.as_py() or b"") + closing
                 for j, at in enumerate(range(0, len(blob), 4 * capacity)):
                     part = blob[at : at + 4 * capacity]
                     rows.append(k)
@@ -168,7 +184,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, spread: int | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece. vocabulary: a file of public_tokenizers."""
     spark = docs.sparkSession
     cut = materialize(pieces(docs, id_col, text_col, capacity, vocabulary), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
