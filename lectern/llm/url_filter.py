@@ -4,14 +4,19 @@ Rules are (host, path) pairs; a rule fits its host and all subdomains if the url
 and the longest fitting rule decides. The 64-bit xxhash keys of all rules lie sorted in a file that workers
 map into memory and probe by vectorised binary search; a hit counts only if the stored rule is the same string.
 
-Defined cases: a null url, or one without ://, has an empty host and path; without a fitting rule the verdict
-is `default`; repeated rows each get their row; other columns are not looked at.
+Defined cases: a null or empty url, or one without ://, has an empty host and path; without a fitting rule the verdict
+is `default`; length is that of host and path together, and of fitting rules equally long the one with the longer host
+decides; of rules with the same host and path the last one given counts; without rules all get `default`; repeated rows
+and null page_ids each get their row; urls may be of any length; an empty table gives an empty result; other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -25,18 +30,32 @@ from pyspark.sql import functions as F
 from ._common import ascii_lower
 
 
+_FOLDER: list[str] = []  # of this process, for the files that it serves to executors; removed at its end
+
+
+def _served(name: str, blob: bytes) -> str:
+    """The path of a file of that content; written once, and complete as soon as it bears its name."""
+    if not _FOLDER:
+        _FOLDER.append(os.path.realpath(tempfile.mkdtemp(prefix="lectern-rules-")))
+        atexit.register(shutil.rmtree, _FOLDER[0], ignore_errors=True)
+    path = os.path.join(_FOLDER[0], name)
+    if not os.path.exists(path):
+        handle, part = tempfile.mkstemp(dir=_FOLDER[0])
+        with open(handle, "wb") as f:
+            f.write(blob)
+        os.replace(part, path)
+    return path
+
+
 def build(spark: SparkSession, rules: list[tuple[str, str, str]]) -> tuple[str, list[int]]:
     """rules: (verdict, host, path). Ships the digest file to all executors; returns its name and the path lengths in use."""
-    rules = sorted({(h + p): (v, h, p) for v, h, p in rules}.values(), key=lambda r: xxhash.xxh64_intdigest(r[1] + r[2]))
+    rules = sorted({(h, p): (v, h, p) for v, h, p in rules}.values(), key=lambda r: xxhash.xxh64_intdigest(r[1] + r[2]))
     keys = np.array([xxhash.xxh64_intdigest(h + p) for _, h, p in rules], "<u8")
     strings = [f"{v}\0{h}\0{p}".encode() for v, h, p in rules]
     ends = np.cumsum([len(s) for s in strings], dtype="<u8")
     blob = np.array([len(rules)], "<u8").tobytes() + keys.tobytes() + ends.tobytes() + b"".join(strings)
     name = f"lectern-rules-{hashlib.sha256(blob).hexdigest()[:16]}.bin"
-    path = os.path.join(tempfile.gettempdir(), name)
-    with open(path, "wb") as f:
-        f.write(blob)
-    spark.sparkContext.addFile(os.path.realpath(path))
+    spark.sparkContext.addFile(_served(name, blob))
     return name, sorted({len(p) for _, _, p in rules})
 
 
@@ -66,6 +85,7 @@ class Digests:
                 if not at:
                     break
         found: list[tuple[str, str] | None] = [None] * len(hosts)
+        best = [(-1, -1)] * len(hosts)
         if not keys or not len(self.keys):
             return found
         probe = np.array(keys, np.uint64)
@@ -78,7 +98,8 @@ class Digests:
                 verdict, h, q = self.rule(p)
                 if (h, q) == (host, path):
                     i = owner[k]
-                    if found[i] is None or len(h + q) > len(found[i][0]):
+                    if (len(h + q), len(h)) > best[i]:
+                        best[i] = (len(h + q), len(h))
                         found[i] = (h + q, verdict)
                 p += 1
         return found
