@@ -3,11 +3,14 @@
 For radius r, each of the 64 bit places gets a vector of r + 1 bits, and each nonzero vector v gives a mask of the
 places whose vector has odd inner product with v. Any r places lie in some hyperplane, so two fingerprints within the
 radius agree under some mask: 2^(r+1) - 1 tables lose no pair. Equal fingerprints are one node from the start.
-A cell with more than `cell` distinct fingerprints is dealt out again by a second family over the same places,
-which covers again, until cells are small; a cell hands on a spanning forest of its links and never all pairs.
+A cell hands on a spanning forest of its links and never all pairs: it is searched breadth first, each fingerprint once
+against those not yet found, 8 bytes each. Only a cell of more than `cell` distinct fingerprints, whose search would
+take seconds, is dealt out again by a second family over the same places, which covers again, until cells are small; each
+such level makes 15 rows of one, as the first does of all.
 
 Defined cases: null and wordless texts have fingerprint zero and link like others; a null doc_id counts as larger
-than all; repeated rows share a component; an empty table gives an empty result; other columns are not looked at.
+than all; repeated rows share a component; texts may be of any length; of several texts with the smallest doc_id one
+stays; an empty table gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import boxed, materialize, text_or_empty, unboxed
 from .components import components
 
-RADIUS, SHINGLE, SEED, CELL, LEVELS = 3, 3, 42, 2048, 5
+RADIUS, SHINGLE, SEED, CELL, LEVELS = 3, 3, 42, 16384, 5
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -76,24 +79,22 @@ def masks(radius: int, level: int) -> list[int]:
 
 
 def forest(cell: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a cell within the radius."""
-    up = list(range(len(cell)))
-    words = cell.view(np.uint64)
-    out = []
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for i in range(1, len(cell)):
-        for j in np.flatnonzero(np.bitwise_count(words[:i] ^ words[i]) <= radius).tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                out.append((int(cell[i]), int(cell[j])))
-    return out
+    """A spanning forest of the pairs of a cell (distinct fingerprints) within the radius, found breadth first."""
+    left = cell.view(np.uint64)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(left):
+        queue, left, at = [left[:1]], left[1:], 0
+        while at < len(queue) and len(left):
+            for word in queue[at]:
+                near = np.bitwise_count(left ^ word) <= radius
+                if near.any():
+                    found, left = left[near], left[~near]
+                    out.append((np.full(len(found), word), found))
+                    queue.append(found)
+            at += 1
+    if not out:
+        return []
+    return list(zip(*(np.concatenate([o[i] for o in out]).view(np.int64).tolist() for i in (0, 1))))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL, levels: int = LEVELS) -> DataFrame:
