@@ -142,3 +142,208 @@ def op10_base(text):
     out.sort()
     n = Counter(k for _, _, k, _ in out)
     return (n["email"], n["ip"], n["card"], n["phone"], sha(",".join(f"{k}:{s}:{e}" for s, _, k, e in out)))
+
+
+M64 = (1 << 64) - 1
+SPREAD, LEVEL_KEY = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def crc_remainder(doc_id, n):
+    return zlib.crc32(str(doc_id).encode()) % n
+
+
+def shape_pieces(token, runs=8):
+    """Runs of like characters, `runs` of them to a piece: (text of the piece, its shape)."""
+    kind = lambda c: "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+    found = []
+    for c in token:
+        if found and kind(found[-1][0]) == kind(c):
+            found[-1] += c
+        else:
+            found.append(c)
+    told = lambda r: kind(r[0]) + ("+" if len(r) > 1 and kind(r[0]) != "a" else "")
+    return [("".join(found[k : k + runs]), "".join(map(told, found[k : k + runs]))) for k in range(0, len(found), runs)]
+
+
+def op4_features(text, bits=20, levels=(0.0, 0.01, 0.05, 0.15, 0.4)):
+    tokens = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not tokens:
+        return {0}
+    place = lambda k: (((k ^ k >> 31) * SPREAD) & M64) >> (64 - bits)
+    words = [xxhash.xxh64_intdigest(low(t).encode(), 5) for t in tokens]
+    out = {place(w) for w in words} | {place(((a * SPREAD & M64) ^ b) + 1 & M64) for a, b in zip(words, words[1:])}
+    parts = [(p, xxhash.xxh64_intdigest(s)) for t in tokens for p, s in shape_pieces(t)]
+    count = Counter(s for _, s in parts)
+    for (p, a), (q, b) in zip(parts, parts[1:]):
+        count[(a * SPREAD & M64) ^ b ^ (0xA5A5A5A5 if p == q else 0)] += 1
+        if p == q:
+            count[77] += 1
+    for k, n in count.items():
+        for i, level in enumerate(levels):
+            if n / len(parts) > level:
+                out.add(place(k + i * LEVEL_KEY & M64))
+    return out
+
+
+def op4(docs, labels, bits=20, c=0.1, rounds=15):
+    """doc_id -> score. labels: doc_id -> 0 or 1."""
+    import math
+
+    import numpy as np
+
+    text = dict(docs)
+    known = [d for d in text if d in labels and crc_remainder(d, 4) != 2]
+    rows = sorted((labels[d], np.array(sorted(op4_features(text[d])), np.int32).tobytes()) for d in known)
+    xs, ys = [np.frombuffer(b, np.int32).tolist() for _, b in rows], [2 * y - 1 for y, _ in rows]
+    part = np.random.RandomState(11).randint(0, 5, len(rows))
+
+    def fitted(use):
+        seen = {s: Counter(k for i in use if ys[i] == s for k in xs[i]) for s in (1, -1)}
+        total = {s: sum(seen[s].values()) + (1 << bits) for s in seen}
+        ratio = lambda k: math.log((seen[1][k] + 1) / total[1]) - math.log((seen[-1][k] + 1) / total[-1])
+        w, bias, alpha, random = defaultdict(float), 0.0, [0.0] * len(use), np.random.RandomState(3)
+        r = {k: ratio(k) for i in use for k in xs[i]}
+        for _ in range(rounds):
+            moved = 0.0
+            for j in random.permutation(len(use)):
+                x, y = xs[use[j]], ys[use[j]]
+                g = y * (sum(w[k] * r[k] for k in x) + bias) - 1
+                new = min(max(alpha[j] - g / (sum(r[k] ** 2 for k in x) + 1), 0.0), c)
+                step, alpha[j] = (new - alpha[j]) * y, new
+                moved = max(moved, abs(step))
+                for k in x:
+                    w[k] += step * r[k]
+                bias += step
+            if moved < 1e-4 * c:
+                break
+        return lambda x: sum(w[k] * (r[k] if k in r else ratio(k)) for k in x) + bias
+
+    rest = [i for i in range(len(rows)) if part[i] == 0]
+    margin, final = fitted([i for i in range(len(rows)) if part[i] != 0]), fitted(list(range(len(rows))))
+    pos, neg = sum(y > 0 for y in ys), sum(y < 0 for y in ys)
+    assert pos and neg and rest and len({ys[i] for i in rest}) == 2
+    m = [margin(xs[i]) for i in rest]
+    a, b = 1.0, 0.0
+    for _ in range(300):  # Newton for the two numbers; all labelled rows are in the fit, so both classes weigh the same
+        p = [1 / (1 + math.exp(-max(-30, min(30, a * v + b)))) for v in m]
+        e = [q - (ys[i] > 0) for q, i in zip(p, rest)]
+        h = [q * (1 - q) + 1e-6 for q in p]
+        ga, gb = sum(x * v for x, v in zip(e, m)) + 1e-3 * (a - 1), sum(e) + 1e-3 * b
+        haa, hab, hbb = sum(x * v * v for x, v in zip(h, m)) + 1e-3, sum(x * v for x, v in zip(h, m)), sum(h) + 1e-3
+        det = haa * hbb - hab * hab
+        da, db = (ga * hbb - gb * hab) / det, (gb * haa - ga * hab) / det
+        a, b = a - da, b - db
+        if max(abs(da), abs(db)) < 1e-6:
+            break
+    return {d: 1 / (1 + math.exp(-max(-30, min(30, max(a, 1e-3) * final(op4_features(t)) + b)))) for d, t in docs}
+
+
+def letters(text):
+    """Runs of letters, lower-cased."""
+    return "".join(c if c.isalpha() else " " for c in (text or "").replace("İ", "i").lower()).split()
+
+
+def op5(docs, langs, word_bits=18, gram_bits=16, penalty=4.0, floor=0.01):
+    """doc_id -> (lang_pred, score), for texts in Latin letters. langs: doc_id -> lang or None."""
+    import math
+
+    h = lambda s, bits: xxhash.xxh32_intdigest(s) >> (32 - bits)
+    grams = lambda w: [h(f"^{w}$"[i : i + 3], gram_bits) for i in range(len(w))]
+    names = sorted({langs[d] for d, _ in docs if langs[d] and crc_remainder(d, 5)})
+    words, tri = {x: Counter() for x in names}, {x: Counter() for x in names}
+    for d, t in docs:
+        if langs[d] and crc_remainder(d, 5):
+            for w in letters(t):
+                words[langs[d]][h(w, word_bits)] += 1
+                tri[langs[d]].update(grams(w))
+    n_words, n_tri = {x: sum(words[x].values()) for x in names}, {x: sum(tri[x].values()) for x in names}
+    scale = max(1.0, sum(n_words.values()) / len(names))
+
+    def scores(w):
+        guess = [sum(math.log((tri[x][g] + 0.5) / (n_tri[x] + 0.5 * 2**gram_bits)) for g in grams(w)) for x in names]
+        guess = [math.exp(g - max(guess)) for g in guess]
+        mass = [words[x][h(w, word_bits)] / max(1, n_words[x]) * scale + 2 * g / sum(guess) for x, g in zip(names, guess)]
+        return [math.log(max(m / sum(mass), floor)) for m in mass]
+
+    known, out = {}, {}
+    for d, t in docs:
+        path, back = None, []
+        for w in letters(t):
+            if w not in known:
+                known[w] = scores(w)
+            if path is None:
+                path = list(known[w])
+                continue
+            top = max(range(len(names)), key=lambda k: path[k])
+            came = [top if path[top] - penalty > path[k] else k for k in range(len(names))]
+            path = [path[came[k]] - (penalty if came[k] != k else 0) + known[w][k] for k in range(len(names))]
+            back.append(came)
+        if path is None:
+            out[d] = ("und", 0.0)
+            continue
+        at = max(range(len(names)), key=lambda k: path[k])
+        labels = [at]
+        for came in reversed(back):
+            at = came[at]
+            labels.append(at)
+        count = Counter(labels)
+        best = min(count, key=lambda k: (-count[k], k))
+        out[d] = (names[best], count[best] / len(labels))
+    return out
+
+
+def op10_found(text):
+    text, out = text or "", []
+    kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    for k, pattern in enumerate(kinds):
+        for m in re.finditer(pattern, text):
+            d = re.sub(r"[^0-9]", "", m[0])
+            if k == 0 or (k == 1 and all(int(p) <= 255 for p in m[0].split("."))) or (k == 2 and 12 <= len(d) <= 19 and luhn(d)) or (k == 3 and 9 <= len(d) <= 15):
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def op10_spans(docs, disclosure, support, reach):
+    """doc_id -> spans. docs: (doc_id, text)."""
+    import math
+
+    term = re.compile(r"[^\W\d_]{3,}")
+    entity_texts, term_texts, both_texts, contexts = defaultdict(set), defaultdict(list), defaultdict(set), defaultdict(set)
+    free = lambda m, base: all(m.end() <= a or m.start() >= b for a, _, b in base)
+    for _, t in docs:
+        for w in {m[0].lower() for m in term.finditer(t or "")}:
+            term_texts[w].append(t)
+    for t in {t or "" for _, t in docs}:
+        base = op10_found(t)
+        near = [m for m in term.finditer(t) if free(m, base)]
+        for a, k, b in base:
+            name = (k, t[a:b].lower() if k == 0 else t[a:b] if k == 1 else re.sub(r"[^0-9]", "", t[a:b]))
+            around = [m[0].lower() for m in near if m.end() <= a][-reach:] + [m[0].lower() for m in near if m.start() >= b][:reach]
+            entity_texts[name].add(t)
+            for w in set(around):
+                both_texts[name, w].add(t)
+                contexts[name, w].add(tuple(around))
+    n, told = max(2, len(docs)), set()
+    for (name, w), texts in both_texts.items():
+        content = math.log(n / len(entity_texts[name]))
+        if len(contexts[name, w]) >= support and content > 0 and math.log(n * len(texts) / (len(entity_texts[name]) * len(set(term_texts[w])))) >= disclosure * content - 1e-12:
+            told.add(w)
+    out = {}
+    for d, t in docs:
+        base = op10_found(t)
+        spans = sorted(base + [(m.start(), 4, m.end()) for m in term.finditer(t or "") if m[0].lower() in told and free(m, base)])
+        out[d] = ",".join(f"{('email', 'ip', 'card', 'phone', 'term')[k]}:{a}:{b}" for a, k, b in spans)
+    return out
+
+
+def first_fit_decreasing(lengths, capacity):
+    """The number of bins of another packing."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        for k, g in enumerate(gaps):
+            if g >= n:
+                gaps[k] -= n
+                break
+        else:
+            gaps.append(capacity - n)
+    return len(gaps)

@@ -33,7 +33,7 @@ def test_links_of_crowded_cells(spark):
     fps |= {int(x) for x in r.randint(0, 2**62, 50)}
     distinct = spark.createDataFrame([(f,) for f in fps], "fp long")
     want = roots(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3])
-    for cell in (2048, 8):  # 8: cells are dealt out again
+    for cell in (16384, 8):  # 8: cells are dealt out again
         pairs = [(p["u"], p["v"]) for p in simhash.links(distinct, cell=cell).collect()]
         assert all((a ^ b).bit_count() <= 3 for a, b in pairs)
         assert roots(fps, pairs) == want
@@ -85,8 +85,10 @@ def test_resharding_is_even_and_rewrites(spark, tmp_path):
     assert set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= largest
     for r in placed.groupBy("shard").agg({"slot": "max", "size": "count"}).collect():
         assert r["max(slot)"] == r["count(size)"] - 1
-    touched = resharding.rewrite(docs, placed, str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == placed.filter(placed.shard.isin(touched)).count()
+    touched = resharding.rewrite(docs, str(tmp_path / "shards"), 24, 16)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == placed.filter(placed.shard.isin(touched)).count()
+    assert {tuple(r) for r in back.select("doc_id", "_shard").collect()} == {tuple(r) for r in placed.filter(placed.shard.isin(touched)).select("doc_id", "shard").collect()}
 
 
 def test_quality_on_held_out_labels(spark):
@@ -99,11 +101,20 @@ def test_quality_on_held_out_labels(spark):
 
 
 def test_shapes_read_whole_tokens():
-    found = lambda text: set(quality.features(text.encode(), quality._Shapes()).tolist())
+    class Silent(quality._Words):
+        def __missing__(self, token):
+            return 0
+
+    every = lambda text: set(quality.features(text.encode(), quality._Shapes(), quality._Words()).tolist())
+    found = lambda text: set(quality.features(text.encode(), quality._Shapes(), Silent()).tolist())  # noqa: E731  shapes alone
     assert found("x" * 64) == found("x" * 350_000) != found("x" * 64 + "$$$%%%###" * 9)
     assert found("a1b2c3d4") != found("a1b2c3d4!") != found("a1b2c3d4!?")
     cjk = "天地玄黄，宇宙洪荒。" * 40
     assert found(cjk) != found(cjk + "@@##") and found("天地，") == found("玄黄宇，")
+    # words count beside shapes, wherever they stand
+    assert found("the cat sat on mat") == found("zzq xkk vvw qq rrt") and every("the cat sat on mat") != every("zzq xkk vvw qq rrt")
+    assert every("x" * 64 + "1") != every("x" * 64 + "!!!!" * 500) and every("w " * 70_000 + "end") != every("w " * 70_000 + "fin")
+    assert every("a b") != every("b a") and every("The End") == every("The End") != every("the end")
     token = "Ab1-" * 5_000 + "é✓"
     parts, keys = quality.pieces(token.encode())
     assert b"".join(parts).decode() == token and len(parts) == len(keys) == 2_501
@@ -125,6 +136,20 @@ def test_language_spans_of_mixed_text(spark):
     assert (out[1001]["lang_pred"], out[1001]["score"]) == ("und", 0.0)
 
 
+def test_language_looks_at_letters_and_at_all_their_scripts(spark):
+    en, ru = "the cat sat on the mat and saw the dog", "мама мыла раму и папа читал газету"
+    odd = [(1001, "½ ² 12 Ⅷ ①", None), (1002, "İstanbul the cat", None), (1003, "the the the the the the the the мама the the the the", None), (1004, "cатs", None), (1005, "中文", None), (1006, None, None)]
+    docs = spark.createDataFrame([(i, en if i % 2 else ru, "en" if i % 2 else "ru") for i in range(40)] + odd, "doc_id long, text string, lang string")
+    spans = {r["doc_id"]: r for r in langid.identify(docs, with_spans=True).collect()}
+    plain = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert {d: (r["lang_pred"], r["score"]) for d, r in spans.items()} == {d: (r["lang_pred"], r["score"]) for d, r in plain.items()}
+    assert (plain[1001]["lang_pred"], plain[1001]["score"]) == ("und", 0.0) and plain[1006]["lang_pred"] == "und"
+    assert spans[1003]["spans"].split(",")[1].startswith("ru:")  # one word in another script is not the first language's
+    assert langid.scripts("cатs") == sorted({langid._LATIN, langid.SCRIPTS.index("cyrillic")}) and langid.scripts("é") == [langid._LATIN]
+    assert langid.found_words(langid.lowered("A½b ²C٣dⅧe")) == ["a", "b", "c", "d", "e"]
+    assert all(len(langid.lowered(chr(c))) == 1 for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
 def test_viterbi_against_plain_decoding():
     r = np.random.RandomState(4)
     rows = r.randn(50, 3).astype(np.float32)
@@ -166,6 +191,44 @@ def test_contexts_of_one_long_document_all_count(spark):
     assert f"term:{at}:{at + 8}" in out[200].split(",")
 
 
+def test_terms_pair_however_far_they_stand(spark):
+    fill = [f"plain words number {k} about nothing" for k in range(200)]
+    told = [f"{w} reach Zorblatt " + "- " * 400 + f"zed@corp.example for {w} things" for w in ("kilo", "lima", "mike", "november")]
+    out = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate([*fill, *told, "Zorblatt is here"])), "doc_id long, text string")).collect()}
+    assert out[204] == "term:0:8"
+    assert list(pii._near("abcdefghij" + " " * 300 + "a@b.cd", [(310, 0, 316)], 6))[0][1] == [pii._key("abcdefghij")]  # a whole term or none
+
+
+def planted(seed: int, entities: int = 40, plain: int = 1500):
+    """Texts of common words, and for each entity a name that stands near it in several of them and now and then alone."""
+    r = np.random.RandomState(seed)
+    common = ["".join(map(chr, r.randint(97, 123, r.randint(3, 9)))) for _ in range(600)]
+    says = lambda n: [common[k] for k in (600 * r.rand(n) ** 2).astype(int)]
+    texts, names = [" ".join(says(r.randint(20, 80))) for _ in range(plain)], []
+    for k in range(entities):
+        name = "N" + "".join(map(chr, r.randint(97, 123, 8)))
+        value = [f"{name[1:4]}.{k}@mail{k}.example.com", f"+1 555 {k:03d} {r.randint(1000, 9999)}", f"10.{k}.{r.randint(0, 255)}.7"][k % 3]
+        names.append(name)
+        for _ in range(r.randint(3, 7)):
+            near = [*says(r.randint(0, 4)), name, *says(r.randint(0, 4)), value]
+            texts.append(" ".join([*says(r.randint(10, 40)), *(near if r.rand() < 0.5 else near[::-1]), *says(r.randint(10, 40))]))
+        texts += [" ".join([*says(15), name, *says(15)]) for _ in range(r.randint(0, 3))]
+    return texts, names
+
+
+def test_planted_disclosing_terms_are_found_and_clean_texts_left_alone(spark):
+    for seed in (1, 2):
+        texts, names = planted(seed)
+        out = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        terms = [{texts[d][int(a) : int(b)] for k, a, b in (s.split(":") for s in spans.split(",") if s) if k == "term"} for d, spans in sorted(out.items())]
+        hit = [(d, n) for d, t in enumerate(texts) for n in names if n in t.split()]
+        caught = sum(n in terms[d] for d, n in hit) / len(hit)
+        clean = [d for d, t in enumerate(texts) if not any(n in t.split() for n in names)]
+        left = sum(not terms[d] for d in clean) / len(clean)
+        print(f"planted terms caught {caught:.3f}, clean texts left alone {left:.3f}")
+        assert caught >= 0.9 and left >= 0.99
+
+
 def test_copies_neither_show_nor_hide_terms(spark, monkeypatch):
     fill = [f"plain words number {w} about nothing" for w in ("alpha", "beta", "gamma", "delta", "epsilon") for _ in range(40)]
     told = [f"{w} reach Zorblatt under zed@corp.example for {w} things" for w in ("kilo", "lima", "mike", "november")]
