@@ -9,6 +9,10 @@ neither show nor hide anything. Pairs and term counts are aggregated before they
 one pass over the texts. Up to `most_told` keys of terms are broadcast, 8 bytes each, as a sorted array that tasks search;
 more of them meet the documents' own terms in a join, with equal results.
 
+A string that carries much information by itself is a span of kind `secret`: a run of at least 16 ASCII letters and digits,
+both among them and eight of them different, that is all upper case or changes between letters and digits three times
+(keys, tokens, hashed passwords). Runs inside a fixed pattern's span are none.
+
 Defined cases: a null text is empty and has no spans; repeated rows each get their row; a null doc_id is a value like
 others; copies of a text count once; texts may be of any length; a term equal to part of an entity is no span inside it;
 an empty table gives an empty result; other columns, whatever their names, are not looked at.
@@ -33,7 +37,7 @@ from ._common import LONGEST_REMEMBERED, materialize
 DISCLOSURE, SUPPORT, REACH, TOLD, COUNTED = 0.9, 3, 6, 4_000_000, 2_000_000
 #: Hashes of repeated texts are broadcast up to this many, 16 bytes each; beyond it they are joined by shuffle.
 COPIED = 1_000_000
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
 LOCAL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
 #: A match can only begin where a run of digits begins, and takes each run whole: one pass, however long the runs are.
@@ -41,6 +45,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
+RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+")
+CHANGE = re.compile(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -85,6 +91,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _is_secret(run: str) -> bool:
+    if run.isalpha() or run.isdigit() or len(set(run)) < 8:
+        return False
+    return run.isupper() or len(CHANGE.findall(run)) >= 3
+
+
+def secrets(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Strings of much information outside the base spans, as those are."""
+    found = [(m.start(), 4, m.end()) for m in RUN.finditer(text) if _is_secret(m[0])]
+    covered = _Covered(base) if found else None
+    return [x for x in found if not covered.overlaps(x[0], x[2])]
+
+
 def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.lower())
 
@@ -259,13 +278,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
             for k, text in enumerate(batch.column(1).to_pylist()):
                 text = text or ""
                 base = base_spans(text)
-                spans = base
+                spans = sorted(base + more) if (more := secrets(text, base)) else base
                 if not few:
                     known = _Membership(np.sort(np.array(batch.column(2)[k].as_py() or [], np.int64).view(np.uint64)))
                 if len(known.wanted):
-                    covered = _Covered(base)
-                    more = [(m.start(), 4, m.end()) for m in TERM.finditer(text) if known[m[0]] and not covered.overlaps(*m.span())]
-                    spans = sorted(base + more) if more else base
+                    covered = _Covered(spans)
+                    more = [(m.start(), 5, m.end()) for m in TERM.finditer(text) if known[m[0]] and not covered.overlaps(*m.span())]
+                    spans = sorted(spans + more) if more else spans
                 for i in range(4):
                     counts[i].append(sum(k == i for _, k, _ in base))
                 shas.append(hashlib.sha256(joined(base).encode()).hexdigest())

@@ -331,8 +331,12 @@ def op10_spans(docs, disclosure, support, reach):
     out = {}
     for d, t in docs:
         base = op10_found(t)
-        spans = sorted(base + [(m.start(), 4, m.end()) for m in term.finditer(t or "") if m[0].lower() in told and free(m, base)])
-        out[d] = ",".join(f"{('email', 'ip', 'card', 'phone', 'term')[k]}:{a}:{b}" for a, k, b in spans)
+        for m in re.finditer(r"[A-Za-z0-9]+", t or ""):
+            kinds = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "0", m[0]))
+            if len(m[0]) >= 16 and len(set(m[0])) >= 8 and len(kinds) > 1 and (m[0] == m[0].upper() or len(kinds) > 3) and free(m, op10_found(t)):
+                base.append((m.start(), 4, m.end()))
+        spans = sorted(base + [(m.start(), 5, m.end()) for m in term.finditer(t or "") if m[0].lower() in told and free(m, base)])
+        out[d] = ",".join(f"{('email', 'ip', 'card', 'phone', 'secret', 'term')[k]}:{a}:{b}" for a, k, b in spans)
     return out
 
 
