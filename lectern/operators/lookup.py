@@ -310,3 +310,11 @@ def lookup_batch(queries: DataFrame, drugs: DataFrame | Store, top_k: int = C.TO
 def lookup_one(spark: SparkSession, query: str, drugs: DataFrame | Store | None = None, **options) -> dict:
     """The answer to one query, from the store of init_store() unless drugs are given."""
     return lookup_batch(spark.createDataFrame([(query,)], "query string"), init_store(spark) if drugs is None else drugs, **options).first().asDict(recursive=True)
+
+
+def lookup_json(spark: SparkSession, query: str, drugs: DataFrame | Store | None = None, **options) -> str:
+    """The answer to one query of at least one character as JSON; missing side effects have no field. ValueError for an empty query."""
+    if not query:
+        raise ValueError("a query of at least one character is needed")
+    asked = spark.createDataFrame([(query,)], "query string")
+    return lookup_batch(asked, init_store(spark) if drugs is None else drugs, **options).select(F.to_json(F.struct("*"))).first()[0]

@@ -358,6 +358,10 @@ def test_lookup_equals_the_cascade_row_by_row(spark):
     assert [m["drug_id"] for m in out["ibuprofen c"]["matches"]].count("") == 2  # blank ids are never one drug
     shown = out["Panadol"]["matches"][0].asDict()
     assert (shown["brand_names"], shown["route"], shown["indications"], shown["drug_class"], shown["side_effects_buckets"]) == ("Calpol, Other", "Oral, IV", "For pain relief of many kinds in adults.", "analgesic", {"common": "common: nausea"})
+    told = json.loads(lookup.lookup_json(spark, "zzzzzz", store))
+    assert (told["status"], told["matches"], told.get("best_match")) == ("no_match", [], None)
+    with pytest.raises(ValueError):
+        lookup.lookup_json(spark, "", store)
     exact = lookup.lookup_one(spark, "Ibuprofen", store)["matches"][0]
     assert (exact["indications"], exact["side_effects_buckets"]) == ("", None)
 
