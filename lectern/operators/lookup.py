@@ -165,10 +165,16 @@ def candidates(queries: DataFrame, grams: DataFrame) -> DataFrame:
     asked = asked.groupBy("q", "_length").agg(F.array_sort(F.collect_list("_x")).alias("_g")).select("q", "_length", F.posexplode("_g").alias("_at", "_x"))  # a query's own grams
     asked = asked.select("q", "_length", F.col("_x.gram").alias("_gram"), (F.col("_at") < _prefix("q", "_length")).alias("_first"))
     asked = asked.select("q", "_length", "_gram", _rare("_gram", "_length", "_first").alias("_rare"), _told_twice("q").alias("_twice"), _need("q").alias("_need"))
-    meet = (F.col("_gram") == F.col("gram")) & (F.col("_twice") | F.col("twice") | F.when(F.col("_length") <= F.col("length"), F.col("_rare")).otherwise(F.col("rare")))
+    asked = sinks.materialize(asked, "lookup-asked")
+    shorter, same = F.col("_length") <= F.col("length"), F.col("_gram") == F.col("gram")
+    # each case is a join of its own, so that grams nobody is looked for by, such as common letters, meet nothing
+    met = [
+        asked.filter("_rare and not _twice").join(grams.filter("not twice"), same & shorter), asked.filter("not _twice").join(grams.filter("rare and not twice"), same & ~shorter),
+        asked.filter("_twice").join(grams, same), asked.filter("not _twice").join(grams.filter("twice"), same),
+    ]
     alone = F.col("_twice") | F.col("twice") | F.col("gram").startswith("w:") | (F.least("_length", "length") == 1)
     need = F.when(F.col("_length") <= F.col("length"), F.col("_need")).otherwise(F.col("need"))
-    met = asked.join(grams, meet).groupBy("q", F.col("key").alias("match")).agg(F.max(alone).alias("_alone"), F.count("*").alias("_n"), F.max(need).alias("_least"))
+    met = reduce(DataFrame.unionByName, met).groupBy("q", F.col("key").alias("match")).agg(F.max(alone).alias("_alone"), F.count("*").alias("_n"), F.max(need).alias("_least"))
     return met.filter(F.col("_alone") | (F.col("_n") >= F.col("_least"))).select("q", "match")
 
 
