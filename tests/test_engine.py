@@ -107,6 +107,9 @@ def test_cleaners():
     assert T.clean_warnings("Do not use with any other medicine here. Do not use with any other medicine here.") == "Do not use:\nwith any other medicine here"
     assert T.alike("Same text here", "same  text, here") and not T.alike("", "")
     assert T.coverage("x" * 30, "x" * 90) == 0.0
+    assert T.alike("abcd", "abce", 0.75) and not T.alike("abcd", "abce", 0.76)  # three of four characters on both sides
+    words = " ".join(f"{c}{c}{c}{c}{c}" for c in "abcdefghijkl")  # 71 characters
+    assert T.coverage(words, f"{words} and more") == 1.0 and T.coverage(words, words.replace("a", "z")) == pytest.approx(66 / 71)
     assert T.merge_sections("A:\nthis body is told twice in the text\n\nB:\nthis body is told twice in the text!!") == "B:\nthis body is told twice in the text!!"
     long = "Warnings:\n" + "word " * 300
     assert len(T.cap_sections(long)) <= 1200 and T.cap_sections(long).endswith("…")
