@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,13 @@ def power_of_two(n: int, least: int, most: int) -> int:
     return max(least, min(most, 1 << max(0, int(n) - 1).bit_length()))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of whole texts in parts of at most `rows` rows, so that what a worker makes of one at a time stays small. Nothing is copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def boxed(docs: DataFrame) -> Column:
     """All columns of docs as one struct column, so that none clashes with an operator's own."""
     return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_box")

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import sliced
 from .quality import remainder
 
 WORD_BITS, GRAM_BITS, PENALTY, FLOOR = 18, 16, 4.0, 0.01
@@ -54,7 +55,9 @@ def lowered(text: str) -> str:
 
 
 def found_words(low: str) -> list[str]:
-    return (WORD if low.isascii() else LETTERS).findall(low)
+    """Runs of letters. The pattern without number signs is slow, and asked only for texts in which there are some."""
+    out = WORD.findall(low)
+    return out if low.isascii() or not out or "".join(out).isalpha() else LETTERS.findall(low)
 
 
 def scripts(word: str) -> list[int]:
@@ -90,7 +93,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["lang", "place", "n"])
 
         read = 0
-        for batch in batches:
+        for batch in sliced(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
                     words[lang].update(found_words(lowered(text)))
@@ -234,7 +237,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             held.clear()
 
         n = 0
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [lowered(x or "") for x in batch.column(2).to_pylist()]
             words = [found_words(t) for t in texts]
             held.append((batch, texts, words if langs else [[] for _ in words]))
