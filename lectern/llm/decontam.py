@@ -26,8 +26,8 @@ from . import bloom
 from ._common import ascii_lower, boxed, materialize, text_or_empty, unboxed
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower-cased.
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_WINDOWS, SALTS = 250_000, 16
 
 
@@ -85,7 +85,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, window, gram, broadcast_windows)
     text = text_or_empty(docs, text_col)
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_t"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_t"), F.size(F.array_remove(F.split(text, RAW_SEPARATORS), "")).cast("long").alias("n_words"))
     out = plain.join(found.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_dt"), "n_hit", "n_items", "items_sha256"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_dt")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
