@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -259,16 +260,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     sampled = F.xxhash64("a")
     some = bloom.probe(runs, sampled, bloom.repeated_filter(runs.select("a"), sampled, bits, 1), bits, "_maybe", 1).filter("_maybe").drop("_maybe")
 
-    named = some.groupBy("a", "r").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "i", "n")).alias("one"))
-    shapes = named.groupBy("a").agg(F.count("*").alias("shapes")).withColumnRenamed("a", "_a")
-    named = named.join(shapes, F.col("a") == F.col("_a")).filter("times > 1 or shapes > 1").drop("_a")
-    named = materialize(named, "named-runs")
     often = total // OFTEN
-    hot = F.broadcast(named.filter(F.col("times") > often).select(F.col("a").alias("_ha"), F.col("r").alias("_hr"), F.lit(True).alias("_hot")))  # at most OFTEN rows
-    dealt = some.join(hot, (F.col("a") == F.col("_ha")) & (F.col("r") == F.col("_hr")), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("d", "t", "i"), F.lit(SALTS)).cast("int")).otherwise(0))
-    salts = F.when(F.col("times") > often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    twice = named.filter("times > 1").select(F.col("a").alias("_a"), F.col("r").alias("_r"), F.explode(salts).alias("_s"))
-    whole = dealt.join(twice, (F.col("a") == F.col("_a")) & (F.col("r") == F.col("_r")) & (F.col("_salt") == F.col("_s")), "left_semi")
+    named = materialize(some.groupBy("a", "r").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "i", "n")).alias("one")), "all-named-runs")
+    shapes = materialize(named.groupBy("a").agg(F.count("*").alias("shapes")), "shapes")
+    named = _dealt(named, shapes, ["a"], F.col("shapes") > often, F.xxhash64("r"), "inner").filter("times > 1 or shapes > 1")
+    named = materialize(named.select("a", "r", "times", "one", "shapes"), "named-runs")
+    twice = named.filter("times > 1").select("a", "r", "times")
+    whole = _dealt(some, twice, ["a", "r"], F.col("times") > often, F.xxhash64("d", "t", "i"), "left_semi")
     spans = whole.select("d", "t", F.col("i").alias("s"), (F.col("i") + F.col("n") - 1 + length).alias("e"))
 
     # the borders: every run that is alone of its name, and one of each repeated run beside them, with their texts
@@ -345,6 +343,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     return same.unionByName(changed)
 
 
+def _dealt(rows: DataFrame, side: DataFrame, keys: list[str], heavy: Column, by: Column, how: str) -> DataFrame:
+    """rows joined with side, a table with one row for each key; rows of its heavy keys, at most OFTEN, are dealt over SALTS tasks each."""
+    hot = F.broadcast(side.filter(heavy).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot")))
+    same = lambda prefix: reduce(Column.__and__, [F.col(k) == F.col(prefix + k) for k in keys])
+    salted = rows.join(hot, same("_hot_"), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(by, F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    other = side.select(*[F.col(k).alias(f"_side_{k}") for k in keys], *[c for c in side.columns if c not in rows.columns], F.explode(salts).alias("_of"))
+    out = salted.join(other, same("_side_") & (F.col("_salt") == F.col("_of")), how)
+    return out.select(*rows.columns, *([] if how == "left_semi" else [c for c in side.columns if c not in rows.columns]))
+
+
 def _only(plain: DataFrame, keys: DataFrame) -> DataFrame:
     """Documents whose key may be among keys (_d, _t); the others stay out of the shuffle."""
     bits = bloom.bits_for(plain.count())
