@@ -19,6 +19,7 @@ columns, whatever their names, are not looked at.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,42 +35,52 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL_KEYS = np.arange(len(LEVELS), dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _runs(token: str) -> tuple[list[str], list[int]]:
-    """The shapes of the runs of like characters, and where each begins."""
-    out: list[str] = []
-    starts: list[int] = []
-    for at, c in enumerate(token):
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1][0] != k:
-            out.append(k)
-            starts.append(at)
-        elif len(out[-1]) == 1 and k != "a":
-            out[-1] += "+"
-    return out, starts
+class _Kinds(dict):
+    """code point -> the kind of its character: A, a, 0, or the character itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        out = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return out
+
+
+_RUN = re.compile(r"(.)\1*", re.S)
+
+
+def _runs(kinds: str) -> list[str]:
+    """The shapes of the runs of like kinds."""
+    return [m[1] if m[1] == "a" or m.end() - m.start() == 1 else m[1] + "+" for m in _RUN.finditer(kinds)]
 
 
 def shape(token: str) -> str:
-    return "".join(_runs(token)[0])
+    return "".join(_runs(token.translate(_Kinds())))
 
 
 def pieces(token: bytes) -> tuple[list[bytes], list[int]]:
     """The whole token in consecutive pieces of at most RUNS runs, and the key of each piece's shape."""
     text = token.decode("utf-8", "replace")
-    runs, starts = _runs(text)
-    cuts = [*starts[::RUNS], len(text)]
+    kinds = text.translate(_Kinds())
+    runs, cuts = _runs(kinds), [*[m.start() for m in _RUN.finditer(kinds)][::RUNS], len(text)]
     return [text[a:b].encode() for a, b in zip(cuts, cuts[1:])], [xxhash.xxh64_intdigest("".join(runs[k : k + RUNS])) for k in range(0, len(runs), RUNS)]
 
 
 class _Shapes(dict):
-    """token -> the key of its shape, or SEVERAL if it has more than one piece."""
+    """token -> the key of its shape, or SEVERAL if it has more than one piece. Tokens of the same kinds share one."""
+
+    def __init__(self):
+        self.kinds, self.keys_of = _Kinds(), {}
 
     def __missing__(self, token: bytes) -> int:
-        keys = pieces(token)[1]
-        out = keys[0] if len(keys) == 1 else SEVERAL
+        kinds = token.decode("utf-8", "replace").translate(self.kinds)
+        out = self.keys_of.get(kinds)
+        if out is None:
+            runs = _runs(kinds)
+            out = xxhash.xxh64_intdigest("".join(runs)) if len(runs) <= RUNS else SEVERAL
         if len(token) <= LONGEST_REMEMBERED:
-            if len(self) > 300_000:
-                self.clear()
-            self[token] = out
+            for known, key in ((self, token), (self.keys_of, kinds)):
+                if len(known) > 300_000:
+                    known.clear()
+                known[key] = out
         return out
 
 
