@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LONGEST_REMEMBERED, materialize
+from ._common import LONGEST_REMEMBERED, materialize, sliced
 
 DISCLOSURE, SUPPORT, REACH, TOLD, COUNTED = 0.9, 3, 6, 4_000_000, 2_000_000
 #: Hashes of repeated texts are broadcast up to this many, 16 bytes each; beyond it they are joined by shuffle.
@@ -149,7 +149,7 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lambda *lists: pa.RecordBatch.from_arrays([_signed(x) for x in lists], names=["e", "t", "c", "h"])
-        for batch in batches:
+        for batch in sliced(batches):
             e, t, c, h = [], [], [], []
             for text in batch.column(0).to_pylist():
                 once, digest = set(), None
@@ -186,7 +186,7 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
                 yield pa.RecordBatch.from_arrays([_signed(list(total)), pa.array([copies] * len(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["t", "copies", "n"])
             totals.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
                     own = set(map(known.__getitem__, set(TERM.findall(text))))
@@ -226,12 +226,20 @@ class _Membership(dict):
 
     def __init__(self, wanted: np.ndarray | None):
         self.wanted = wanted
+        if wanted is not None:  # a byte for each of many ranges of keys tells that it holds none, before the search
+            self.shift = 64 - min(25, max(8, len(wanted).bit_length() + 3))
+            flags = np.zeros(1 << (64 - self.shift), np.uint8)
+            flags[(np.asarray(wanted, np.uint64) >> np.uint64(self.shift)).astype(np.int64)] = 1
+            self.flags = flags.tobytes()
 
     def __missing__(self, word: str) -> int:
         key = _key(word)
         if self.wanted is not None:
-            at = int(np.searchsorted(self.wanted, np.uint64(key)))
-            key = key if at < len(self.wanted) and int(self.wanted[at]) == key else 0
+            if self.flags[key >> self.shift]:
+                at = int(np.searchsorted(self.wanted, np.uint64(key)))
+                key = key if at < len(self.wanted) and int(self.wanted[at]) == key else 0
+            else:
+                key = 0
         if len(word) <= LONGEST_REMEMBERED:
             if len(self) > 300_000:
                 self.clear()
@@ -245,7 +253,7 @@ def _own_terms(plain: DataFrame, terms: DataFrame) -> DataFrame:
     keyed = plain.withColumn("_t", F.xxhash64("text"))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             row, found = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 keys = {_key(w) for w in set(TERM.findall(text or ""))}
@@ -273,7 +281,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Membership(told.value)
         joined = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, shas, every, total = [[], [], [], []], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 text = text or ""
