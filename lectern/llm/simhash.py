@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from ._common import boxed, materialize, text_or_empty, unboxed
 from .components import components
 
@@ -148,7 +149,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radiu
 
     Rows equal in doc_id and text stay or go together.
     """
-    first = _placed(fingerprints(docs, id_col, text_col, hashed=True), radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = first.groupBy("_component").agg(F.min("component_id").alias("_stay"), F.min("_t").alias("_st")).select("_stay", "_st")
+    placed = _placed(fingerprints(docs, id_col, text_col, hashed=True), radius).select("doc_id", "_t", "component_id", "_component")
+    placed = materialize(placed, "placed")
+    chosen = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("_t")))
+    several = placed.groupBy(F.col("_component").alias("_of")).agg(F.count("*").alias("_n"), F.min("component_id").alias("_stay"), chosen.alias("_st")).filter("_n > 1")
+    several = materialize(several, "components")  # a table of its own, so that a hot component's rows can be split in the join
+    lost = placed.join(several, F.col("_component") == F.col("_of")).filter(~(F.col("doc_id").eqNullSafe(F.col("_stay")) & (F.col("_t") == F.col("_st"))))
+    lost = materialize(lost.select(F.col("doc_id").alias("_lost"), F.col("_t").alias("_lt")).distinct(), "lost")
+    # texts that cannot be among the lost stay where they are
+    bits = bloom.bits_for(lost.count())
     own = docs.select(boxed(docs), docs[id_col].alias("_id"), _text_hash(docs, text_col).alias("_t"))
-    return unboxed(own.join(stay, F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_t") == F.col("_st")), "left_semi"), docs)
+    own = bloom.probe(own, F.xxhash64("_id", "_t"), bloom.member_filter(lost.select(F.xxhash64("_lost", "_lt").alias("_h")), F.col("_h"), bits), bits, "_maybe")
+    left = own.filter("_maybe").join(lost, F.col("_id").eqNullSafe(F.col("_lost")) & (F.col("_t") == F.col("_lt")), "left_anti")
+    return unboxed(own.filter("not _maybe").unionByName(left), docs)
