@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LONGEST_REMEMBERED, materialize, power_of_two
+from ._common import LONGEST_REMEMBERED, materialize, power_of_two, sliced
 
 CAPACITY, CLOSING_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Chunks between white space whose ids a task remembers at a time.
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabular
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = (_Ids if vocabulary == VOCABULARY else _WholeIds)(vocabulary_path(vocabulary))
-        for batch in batches:
+        for batch in sliced(batches):
             rows, numbers, starts, lengths, crcs = [], [], [], [], []
             for k, text in enumerate(batch.column(1).cast(pa.large_binary())):
                 blob = ids.of(text.as_py() or b"") + closing

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LONGEST_REMEMBERED
+from ._common import LONGEST_REMEMBERED, sliced
 
 BITS, PER_CLASS, THRESHOLD, LEVELS, RUNS, SEVERAL = 20, 4000, 0.7, (0.0, 0.01, 0.05, 0.15, 0.4), 8, 0
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, words = _Shapes(), _Words()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [features(t.as_py(), shapes, words, bits).astype(np.int32).tobytes() for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["y", "x"])
 
@@ -232,7 +232,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = _scorer(told.value)
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([rate(t.as_py()) for t in batch.column(2).cast(pa.large_binary())], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -247,7 +247,7 @@ def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = _scorer(told.value)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([rate(t.as_py()) >= threshold for t in batch.column(place).cast(pa.large_binary())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

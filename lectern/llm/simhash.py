@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from ._common import boxed, materialize, text_or_empty, unboxed
+from ._common import boxed, materialize, sliced, text_or_empty, unboxed
 from .components import components
 
 RADIUS, SHINGLE, SEED, CELL, LEVELS = 3, 3, 42, 16384, 5
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [fingerprint(t.as_py()) for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
