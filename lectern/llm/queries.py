@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, langid, packing, pii, quality, resharding, simhash, suffix_dedup, url_filter
+from . import decontam, exact_dedup, langid, packing, pii, prefix_trie, quality, resharding, simhash, suffix_dedup, url_filter
 from ._common import table
 
 
@@ -52,6 +52,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.branched(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # stands at the top of the repository
 
@@ -84,6 +88,18 @@ ORACLE = {
         its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op11_prefix_trie": """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+            lambda acc, x: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, xor(acc, x)), 4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (SELECT k.conv_id, 0 AS part, p, role, text FROM k JOIN t ON t.conv_id = base AND p < h UNION ALL SELECT conv_id, 1, p, role, text FROM k JOIN t USING (conv_id) WHERE p >= h),
+        s AS (SELECT conv_id, coalesce(list({'role': role, 'text': text} ORDER BY part, p) FILTER (WHERE p IS NOT NULL), []) AS seq FROM k LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+        pre AS (SELECT conv_id, d, seq[1:d] AS pre, len(seq) = d AS ends FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM s)),
+        n AS (SELECT pre, d, min(conv_id) AS c, count(*) AS k, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS e FROM pre GROUP BY pre, d),
+        ch AS (SELECT pre[1:d - 1] AS pre, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+        w AS (SELECT n.pre, n.d, c, k, e, coalesce(ch.n, 0) AS children, CASE WHEN n.d = 0 THEN 0 ELSE (k - 1) * length(n.pre[n.d].text) END AS saved FROM n LEFT JOIN ch USING (pre, d)),
+        sub AS (SELECT pre[1:i] AS pre, i AS d, count(*) FILTER (WHERE children = 0) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM w) GROUP BY ALL)
+        SELECT w.c AS conv_id, w.d AS depth, up.c AS parent_conv_id, w.k AS n_convs, w.children AS n_children, leaves AS n_leaves, sub.saved::BIGINT AS saved_tokens, w.e AS ends_sha256
+        FROM w JOIN sub USING (pre, d) LEFT JOIN n AS up ON w.d > 0 AND up.pre = w.pre[1:w.d - 1] AND up.d = w.d - 1""",
 }
 
 
