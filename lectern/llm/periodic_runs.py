@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import sliced
+from .suffix_automaton import automaton
 
 LEAST = 12
 #: Bytes of texts whose words are looked at together, and bytes that are split into words at a time.
@@ -148,39 +149,9 @@ class Places:
         return before, after
 
 
-def automaton(words: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """The suffix automaton: length and suffix link of each state, and the state of each prefix."""
-    length, link, following, prefix, last = [0], [-1], [{}], [], 0
-    for i, c in enumerate(words):
-        now, p = len(length), last
-        length.append(i + 1)
-        following.append({})
-        while p >= 0 and c not in following[p]:
-            following[p][c] = now
-            p = link[p]
-        if p < 0:
-            link.append(0)
-        else:
-            q = following[p][c]
-            if length[q] == length[p] + 1:
-                link.append(q)
-            else:
-                link.append(now + 1)
-                length.append(length[p] + 1)
-                following.append(following[q].copy())
-                link.append(link[q])
-                while p >= 0 and following[p].get(c) == q:
-                    following[p][c] = now + 1
-                    p = link[p]
-                link[q] = now + 1
-        prefix.append(now)
-        last = now
-    return length, link, prefix
-
-
 def squares(words: list[int], least: int) -> Iterator[tuple[int, int, int]]:
     """(x, q, m): the m words up to and with x stand q words before too, q <= m. m is at least `least` / 2, as it is for some square of every run."""
-    length, link, prefix = automaton(words)
+    length, link, prefix = automaton(words)[:3]
     ends: list[list[int] | Places | None] = [None] * len(length)
     for i, state in enumerate(prefix):
         ends[state] = [i]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, langid, packing, periodic_runs, pii, prefix_trie, quality, resharding, simhash, suffix_dedup, url_filter
+from . import decontam, exact_dedup, langid, license_scan, packing, periodic_runs, pii, prefix_trie, quality, resharding, simhash, suffix_dedup, url_filter
 from ._common import table
 
 
@@ -56,6 +56,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.branched(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find(table(spark, sf_dir, "documents"), loop=periodic_runs.loop_tail)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -351,3 +352,99 @@ def first_fit_decreasing(lengths, capacity):
         else:
             gaps.append(capacity - n)
     return len(gaps)
+
+
+def rebuilt(rows, family=100, most=6):
+    """rows: (conv_id, turn, role, text). Each conversation as the contract of op11 rebuilds it: conv_id -> list of (role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, *digests(role or "", text or ""), role or "", text or ""))
+    own = {c: [t[-2:] for t in sorted(turns)] for c, turns in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % most
+        out[c] = own.get(c - int(math.fmod(c, family)), [])[:h] + turns[h:]
+    return out
+
+
+def digests(role, text):
+    """Spark's xxhash64 of (role, text) and of (text, role, 1), signed: the order of turns with the same number."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = xxhash.xxh64_intdigest
+    a = h(text.encode(), h(role.encode(), 42))
+    b = h((1).to_bytes(4, "little"), h(role.encode(), h(text.encode(), 42)))
+    return signed(a), signed(b)
+
+
+def op11(conversations):
+    """conv_id -> list of turns. (conv_id, depth) -> the other columns."""
+    members = defaultdict(list)
+    for c, turns in sorted(conversations.items()):
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, own in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(own) - 1) * len(p[-1][1]) if p else 0
+    out = {}
+    for p, own in members.items():
+        ends = ",".join(str(c) for c in own if len(conversations[c]) == len(p))
+        out[own[0], len(p)] = (members[p[:-1]][0] if p else None, len(own), children[p], leaves[p], saved[p], sha(ends))
+    return out
+
+
+SPLIT12 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def op12_base(text, phrases):
+    words = re.findall(SPLIT12, low(text))
+    at = [(i, label) for phrase, label in phrases for n in [len(phrase.split())] for i in range(len(words) - n + 1) if words[i : i + n] == phrase.split()]
+    return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def op12_matches(words, templates, least):
+    """templates: lists of words, phrases among them as (words, False). (template, start, end, at) of every match."""
+
+    def longest(i):
+        for n in range(i + 1, 0, -1):
+            part = words[i + 1 - n : i + 1]
+            ends = {(k, j + n) for k, (t, _) in enumerate(templates) for j in range(len(t) - n + 1) if t[j : j + n] == part}
+            if ends:
+                return n, {e for e in ends if templates[e[0]][1]}
+        return 0, set()
+
+    known = [longest(i) for i in range(len(words))] + [(0, set())]
+    return {(k, i + 1 - n, i + 1, e - n) for i, (n, ends) in enumerate(known[:-1]) if n >= least for k, e in ends if known[i + 1][0] != n + 1 or (k, e + 1) not in known[i + 1][1]}
+
+
+def runs(words, least=12):
+    """(start, length, period) of every run, from all pairs of equal words at each distance."""
+    out, n = {}, len(words)
+    for q in range(1, n // 2 + 1):
+        j = 0
+        while j + q < n:
+            s = j
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j - s + q >= max(least, 2 * q):
+                out.setdefault((s, j - s + q), q)  # distances ascend, so the first is the smallest period
+            j += j == s
+    return sorted((s, n, q) for (s, n), q in out.items())
+
+
+def op13(doc_id, text, looped=True):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if looped and doc_id is not None and h % 10 == 0 and words:
+        g, n = h // 10, len(words)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+    found = runs(words)
+    best = max(found, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    return (len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2], sha("".join(f"{s},{n},{q}\n" for s, n, q in found)), sha(kept))
