@@ -300,6 +300,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         one = each.filter(F.col("shapes") > crowd).drop("shapes").mapInArrow(lambda batches: _windows(batches, length), f"d {kind}, t long, a long, h long, s long, w long")
         one = materialize(one, "border-windows")
         met = one.groupBy("a", "h").agg(F.sum("w").alias("much")).filter("much > 1").select(F.col("a").alias("_a"), F.col("h").alias("_h"))
+        met = materialize(met, "met-windows")  # a table of its own, so that the rows of a window in very many documents can be split in the join
         single = one.filter("w = 1").join(met, (F.col("a") == F.col("_a")) & (F.col("h") == F.col("_h")), "left_semi")
         spans = spans.unionByName(single.select("d", "t", "s", (F.col("s") + length).alias("e")))
     found = spans.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("x"))
