@@ -1,7 +1,8 @@
 """Connected components of a distributed edge list, by alternating large-star and small-star rounds.
 
 Every round is a fixed set of shuffles and ends in a table in the shared folder; the number of rounds grows
-with the logarithm of the longest chain. Hubs are the build side of joins with one row per key.
+with the logarithm of the longest chain. The least neighbour of each node is counted map-side first and is a table of its own before it is
+joined, so that adaptive execution can split the edges of a hub, of which one may have very many: its one row goes to each part.
 
 Defined cases: null ends link nothing; repeated edges and loops count once and not at all; without edges the result is
 empty; other columns are not looked at.
@@ -27,8 +28,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds if last[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        low = materialize(low, "least")
         large = both.filter("v > u").join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large-star")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         tied = large.join(low.withColumnRenamed("u", "n"), F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         now = materialize(tied.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         new = _digest(now)

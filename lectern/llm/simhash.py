@@ -79,6 +79,16 @@ def masks(radius: int, level: int) -> list[int]:
     return out
 
 
+def uncovered(radius: int, levels: int) -> int:
+    """The most places that no mask covers on any way down the levels. Fingerprints of a cell agree in all others, so a cell has at most 2 to
+    this power: 9 after LEVELS levels, 12 after one less, so that no cell is larger than CELL there."""
+    left = np.array([(1 << 64) - 1], np.uint64)
+    for level in range(levels):
+        own = np.array([m & (1 << 64) - 1 for m in masks(radius, level)], np.uint64)
+        left = np.unique(left[:, None] & ~own)
+    return int(np.bitwise_count(left).max())
+
+
 def forest(cell: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of a cell (distinct fingerprints) within the radius, found breadth first."""
     left = cell.view(np.uint64)
@@ -114,8 +124,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL, levels: i
         dealt = rows.select("fp", "_cell", F.explode(family).alias("_t"))
         dealt = dealt.select("fp", F.xxhash64("_cell", "_t.k", F.col("fp").bitwiseAND(F.col("_t.m"))).alias("_cell"))  # cells that a hash merges only cost time
         sizes = dealt.groupBy("_cell").agg(F.count("*").alias("_n")).filter("_n > 1").withColumnRenamed("_cell", "_c")
+        sizes = materialize(sizes, "cell-sizes")  # a table of its own, so that a large cell's rows can be split in the join
         dealt = materialize(dealt.join(sizes, F.col("_cell") == F.col("_c")).select("fp", "_cell", "_n"), "cells")
-        last = level == levels - 1  # cells of the last level differ in two places or so
+        last = level == levels - 1  # its cells are small: see uncovered()
         small = dealt if last else dealt.filter(F.col("_n") <= cell)
         cells = small.groupBy("_cell").agg(F.array_sort(F.collect_list("fp")).alias("_m")).select("_m").distinct()
         pairs = cells.mapInArrow(run, "u long, v long")
