@@ -74,9 +74,9 @@ def init_store(spark: SparkSession, path: str | None = None) -> Store:
     it, whatever path they name. Raises FileNotFoundError, or ValueError where a required column is missing."""
     known = _STORES.get(spark.sparkContext.applicationId)
     if known is None:
-        drugs = readers.read_csv(spark, path or readers.resolve_path("DRUG_DATASET_PATH", "data/processed/drug_knowledge_bot_ready_clean.csv"))
+        drugs = readers.read_csv(spark, path or readers.resolve_path("DRUG_DATASET_PATH", "data/processed/drug_knowledge_bot_ready_clean.csv"), row_no="row_no")
         readers.require_columns(drugs, ["drug_id", "generic_name", "generic_name_clean"])
-        drugs = sinks.materialize(readers.add_missing(drugs, ["brand_names"]).withColumn("row_no", F.monotonically_increasing_id()), "catalogue")
+        drugs = sinks.materialize(readers.add_missing(drugs, ["brand_names"]), "catalogue")
         known = _STORES[spark.sparkContext.applicationId] = build_store(drugs)
     return known
 

@@ -279,6 +279,36 @@ def s8_xml_classes(t):
     return readers.read_class_xml(_spark(part), path)
 
 
+def _unequal(part: DataFrame) -> DataFrame:
+    """part in the order of its keys, dealt to six files of which each is about twice as large as the one before."""
+    return part.repartitionByRange(6, F.floor(F.log2("p_partkey"))).sortWithinPartitions("p_partkey")
+
+
+@query("SELECT lower(p_name) AS generic_name, arg_min(p_type, p_partkey) AS drug_class FROM part GROUP BY lower(p_name)")
+def s8_a6_first_record_over_files(t):
+    record = F.struct(F.col("p_type").alias("direct-parent"))
+    part = _unequal(t("part")).select(F.initcap("p_name").alias("name"), record.alias("classification"))
+    path = sinks.scratch(_spark(part), "xml-files")
+    part.write.format("xml").option("rowTag", "drug").option("rootTag", "drugs").save(path)
+    return readers.read_class_xml(_spark(part), path)
+
+
+@query("SELECT p_partkey::VARCHAR AS part, p_name AS name, row_number() OVER (ORDER BY p_partkey) - 1 AS row_no FROM part")
+def s1_w8_rows_over_files(t):
+    part = _unequal(t("part").select("p_partkey", F.col("p_partkey").alias("part"), F.col("p_name").alias("name"))).drop("p_partkey")
+    path = sinks.scratch(_spark(part), "csv-files")
+    sinks.write_csv(part, path)
+    return readers.read_csv(_spark(part), path, split=True, row_no="row_no")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents")
+def s1_s2_split_csv(t):
+    docs = t("documents").select("doc_id", "text", "lang")
+    path = sinks.scratch(_spark(docs), "split-csv")
+    sinks.write_csv(docs, path)
+    return readers.read_csv(_spark(docs), path, split=True)
+
+
 # lookup -----------------------------------------------------------------------------------------
 
 
@@ -321,7 +351,7 @@ def t13_sections(t):
 
 @query()
 def t19_clean_table(t):
-    listed = F.concat(F.regexp_replace(F.left("text", F.lit(300)), " ", ", "), F.lit(";x"))
+    listed = F.concat(F.regexp_replace("text", " ", ", "), F.lit(";x"))
     return T.clean_table(t("documents").select("doc_id", *[F.col("text").alias(c) for c in T.CLEANERS], listed.alias("brand_names"), F.lit("oral, ORAL|nasal").alias("route"), listed.alias("rare_side_effects"), F.lit("  as it is ").alias("other")))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import order, split_csv
+
 #: What a NULL-aware text scan takes for missing; fixed values.
 NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
@@ -64,17 +66,33 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     return rows.columns
 
 
-def read_csv(spark: SparkSession, path: str, na: str = "keep", columns: list[str] | None = None) -> DataFrame:
+def _size(spark: SparkSession, path: str) -> int:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
+
+def read_csv(spark: SparkSession, path: str, na: str = "keep", columns: list[str] | None = None, split: bool | None = None, row_no: str | None = None) -> DataFrame:
     """All columns as strings. na="keep": nothing is missing, blanks are empty strings; na="null": NA_VALUES are NULL.
 
-    Bytes that are not UTF-8 become U+FFFD. Quoted line breaks stay in their cell.
+    Bytes that are not UTF-8 become U+FFFD. Quoted line breaks stay in their cell. split: many tasks read a file (see split_csv), one
+    reads a file as a whole otherwise, with equal rows; None: if there are more than SMALL_BYTES. row_no: a column of that name
+    numbers the rows from 0 on, by the names of files and the order in each.
     """
     names = columns or _header(spark, require_path(spark, path), ",")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    df = strip_names(spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path))
-    if na == "keep":
-        return df.select([F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in df.columns])
-    return df.select([F.when(~F.col(f"`{c}`").isin(NA_VALUES), F.col(f"`{c}`")).alias(c) for c in df.columns])
+    options = {"header": "true", "multiLine": "true", "escape": '"'}
+    if split or split is None and _size(spark, path) > SMALL_BYTES:
+        cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(len(names))), {"multiLine": "true", "escape": '"', "maxColumns": "20480"})
+        df = split_csv.records(spark, path).select("block", "row", cells.alias("cells"))
+        df = df.select(F.struct(*[F.col(f"cells.c{i}").alias(n.strip()) for i, n in enumerate(names)]).alias("cells"), "block", "row")
+    else:
+        df = spark.read.schema(schema).options(**options).csv(path)
+        df = df.select(F.struct(*[F.col(f"`{n}`").alias(n.strip()) for n in names]).alias("cells"), order.place().alias("_place"))
+        df = df.select("cells", F.col("_place.file").alias("block"), F.col("_place.row").alias("row"))  # one block a file
+    if row_no:
+        df = order.number_rows(df, row_no, "block", "row")
+    cell = (lambda c: F.coalesce(c, F.lit(""))) if na == "keep" else (lambda c: F.when(~c.isin(NA_VALUES), c))
+    return df.select([cell(F.col("cells").getField(n.strip())).alias(n.strip()) for n in names] + ([F.col(row_no)] if row_no else []))
 
 
 def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -102,9 +120,10 @@ def first_and_last(df: DataFrame, k: int, names: tuple[str, str]) -> DataFrame:
 
 
 def read_class_xml(spark: SparkSession, path: str, row_tag: str = "drug") -> DataFrame:
-    """generic_name, drug_class of each record with a name; names once, with the class of their first record."""
+    """generic_name, drug_class of each record with a name; names once, with the class of their first record, by the names of files and the order in each."""
     schema = "name STRING, classification STRUCT<`direct-parent`: STRING>"
     df = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(require_path(spark, path))
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    df = df.filter("name IS NOT NULL").select(strip(F.lower("name")).alias("generic_name"), F.coalesce(strip(F.col("classification.direct-parent")), F.lit("")).alias("drug_class"), F.monotonically_increasing_id().alias("_row"))
+    df = df.select("name", "classification", order.place().alias("_row")).filter("name IS NOT NULL")
+    df = df.select(strip(F.lower("name")).alias("generic_name"), F.coalesce(strip(F.col("classification.direct-parent")), F.lit("")).alias("drug_class"), "_row")
     return df.groupBy("generic_name").agg(F.min_by("drug_class", "_row").alias("drug_class"))
