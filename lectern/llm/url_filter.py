@@ -47,8 +47,8 @@ def _served(name: str, blob: bytes) -> str:
     return path
 
 
-def build(spark: SparkSession, rules: list[tuple[str, str, str]]) -> tuple[str, list[int]]:
-    """rules: (verdict, host, path). Ships the digest file to all executors; returns its name and the path lengths in use."""
+def build(spark: SparkSession, rules: list[tuple[str, str, str]]) -> tuple[str, list[tuple[int, int]]]:
+    """rules: (verdict, host, path). Ships the digest file to all executors; returns its name and the lengths of hosts and paths in use."""
     rules = sorted({(h, p): (v, h, p) for v, h, p in rules}.values(), key=lambda r: xxhash.xxh64_intdigest(r[1] + r[2]))
     keys = np.array([xxhash.xxh64_intdigest(h + p) for _, h, p in rules], "<u8")
     strings = [f"{v}\0{h}\0{p}".encode() for v, h, p in rules]
@@ -56,7 +56,7 @@ def build(spark: SparkSession, rules: list[tuple[str, str, str]]) -> tuple[str,
     blob = np.array([len(rules)], "<u8").tobytes() + keys.tobytes() + ends.tobytes() + b"".join(strings)
     name = f"lectern-rules-{hashlib.sha256(blob).hexdigest()[:16]}.bin"
     spark.sparkContext.addFile(_served(name, blob))
-    return name, sorted({len(p) for _, _, p in rules})
+    return name, sorted({(len(h), len(p)) for _, h, p in rules})
 
 
 class Digests:
@@ -70,20 +70,16 @@ class Digests:
         a, b = (int(self.ends[i - 1]) if i else 0), int(self.ends[i])
         return self.file[self.base + a : self.base + b].tobytes().decode().split("\0")
 
-    def match(self, hosts: list[str], paths: list[str], lengths: list[int]) -> list[tuple[str, str] | None]:
-        """The longest fitting rule of each url as (rule, verdict)."""
+    def match(self, hosts: list[str], paths: list[str], lengths: list[tuple[int, int]]) -> list[tuple[str, str] | None]:
+        """The longest fitting rule of each url as (rule, verdict). Only ends of a host that are as long as some rule's are asked for, so a host of very many labels costs no more."""
         owner, keys, asked = [], [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            at = 0
-            while host:
-                for n in lengths:
-                    if n <= len(path):
-                        owner.append(i)
-                        asked.append((host[at:], path[:n]))
-                        keys.append(xxhash.xxh64_intdigest(host[at:] + path[:n]))
-                at = host.find(".", at) + 1
-                if not at:
-                    break
+            size = len(host)
+            for m, n in lengths:
+                if host and n <= len(path) and (m == size or m < size and host[size - m - 1] == "."):
+                    owner.append(i)
+                    asked.append((host[size - m :], path[:n]))
+                    keys.append(xxhash.xxh64_intdigest(host[size - m :] + path[:n]))
         found: list[tuple[str, str] | None] = [None] * len(hosts)
         best = [(-1, -1)] * len(hosts)
         if not keys or not len(self.keys):

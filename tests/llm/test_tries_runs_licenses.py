@@ -11,7 +11,7 @@ from test_contracts import AWKWARD
 
 from pyspark.sql import functions as F
 
-from lectern.llm import bloom, components, license_scan, periodic_runs, prefix_trie, queries, simhash
+from lectern.llm import bloom, components, license_scan, periodic_runs, prefix_trie, queries, simhash, url_filter
 
 SF = "/root/testdata/sf0.001"
 NODE = ["parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -286,3 +286,19 @@ def test_filters_of_awkward_hashes(spark):
     assert {r["id"]: r["_maybe"] for r in told.collect()} == {1: False, 2: True, 3: True, 4: False, 5: False}
     nobody = bloom.member_filter(rows.limit(0), F.col("h"), bits)
     assert not any(r["_maybe"] for r in bloom.probe(rows, F.col("h"), nobody, bits, "_maybe").collect())
+
+
+def test_hosts_of_very_many_labels_cost_no_more(spark):
+    import time
+
+    host = "a." * 150_000 + "example.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, "http://" + "a." * 150_000 + "org/"), (3, "http://com./x"), (4, "http://example.com./en/")], "page_id long, url string")
+    url_filter.judge(pages.filter("page_id = 3"), queries.URL_RULES).collect()
+    began = time.process_time()
+    out = {r["page_id"]: r["rule"] for r in url_filter.judge(pages, queries.URL_RULES).collect()}
+    assert out == {1: "example.com/en/", 2: None, 3: None, 4: None} and time.process_time() - began < 5
+    name, lengths = url_filter.build(spark, queries.URL_RULES)
+    digests = url_filter.Digests(url_filter.SparkFiles.get(name))
+    began = time.process_time()
+    assert digests.match([host], ["/en/x"], lengths) == [("example.com/en/", "block")]
+    assert time.process_time() - began < 0.5
