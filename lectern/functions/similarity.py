@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 
 
@@ -74,59 +76,119 @@ def weighted_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
     return best if best >= cutoff else 0.0
 
 
-def _counts(names: list[str], letters: dict[str, int]) -> np.ndarray:
-    """How often each name has each letter."""
-    out = np.zeros((len(names), len(letters)), np.int16)
-    for i, name in enumerate(names):
-        for c in name:
-            out[i, letters[c]] += 1
-    return out
-
-
-def _told_twice(name: str) -> bool:
-    words = name.split()
-    return len(set(words)) < len(words)
-
-
-def _at_most(query: str, own: np.ndarray, counts: np.ndarray, lengths: np.ndarray, loose: np.ndarray) -> np.ndarray:
-    """What the weighted ratio of a query with each key can reach at most: a common subsequence is no longer than the letters
-    in common. loose: keys that have a word in common with the query, or a word twice, whose token ratios can be anything."""
-    n, common = len(query), np.minimum(counts, own).sum(axis=1).astype(float)
-    short, long = np.minimum(lengths, n), np.maximum(lengths, n)
-    plain = 200.0 * common / (lengths + n)
-    fit = np.minimum(common, short)
-    part = 200.0 * fit / np.maximum(short + fit, 1)  # a stretch is at least as long as what it has in common
-    near = long < 1.5 * short
-    scale = np.where(near, 1.0, np.where(long <= 8 * short, 0.9, 0.6))
-    words = np.where(loose, 100.0, np.where(near, plain, part))
-    return np.maximum(plain, scale * np.maximum(0.95 * words, np.where(near, 0.0, part)))
+def _joined(words) -> str:
+    return " ".join(sorted(words))
+
+
+class _Names:
+    """Names as rows of numbers of their characters, longest first, for subsequences with one other name at a time."""
+
+    LONGEST = 64  # characters of a name that fit a machine word
+
+    def __init__(self, names: list[str], letters: dict[str, int]):
+        self.size = np.array([len(n) for n in names], np.int64)
+        self.order = np.argsort(-self.size, kind="stable")
+        self.codes = np.full((int(self.size.max(initial=0)), len(names)), len(letters), np.int32)  # a column for each name
+        for column, i in enumerate(self.order.tolist()):
+            self.codes[: len(names[i]), column] = [letters[c] for c in names[i]]
+        self.live = np.searchsorted(-self.size[self.order], -np.arange(len(self.codes)), "left").tolist()  # names longer than t
+        self.letters = letters
+
+    def lcs(self, name: str) -> np.ndarray:
+        """Length of the longest common subsequence with each name; of what name has beyond 64 characters, all may count (an upper bound)."""
+        head = name[: self.LONGEST]
+        places = np.zeros(len(self.letters) + 1, np.uint64)
+        for i, c in enumerate(head):
+            if c in self.letters:
+                places[self.letters[c]] |= np.uint64(1 << i)
+        full = np.uint64((1 << len(head)) - 1)
+        row = np.full(len(self.order), full)
+        for t, m in enumerate(self.live):
+            hit = row[:m] & places[self.codes[t, :m]]
+            row[:m] = row[:m] + hit | row[:m] - hit
+        out = np.empty(len(row), np.int64)
+        out[self.order] = len(head) - np.bitwise_count(row & full).astype(np.int64)
+        return np.minimum(out + len(name) - len(head), self.size)
+
+
+class Block:
+    """Keys that many queries meet. What the weighted ratio with each key is, or can reach at most, comes from subsequences
+    with all keys at once; only keys that may be among the best are scored one by one."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+        self.letters = {c: i for i, c in enumerate(sorted({c for k in keys for c in k}))}
+        self.plain = _Names(keys, self.letters)
+        self.turned = _Names([_joined(k.split()) for k in keys], self.letters)
+        self.length = self.plain.size
+        words = [k.split() for k in keys]
+        self.twice = np.array([len(set(w)) < len(w) for w in words], bool)
+        self.holders: dict[str, list[int]] = {}
+        for i, own in enumerate(words):
+            for w in set(own):
+                self.holders.setdefault(w, []).append(i)
+        self.rest: dict[str, tuple[np.ndarray, _Names]] = {}  # of a word: its holders, and what else they say
+        self.scored = 0
+
+    def _without(self, word: str) -> tuple[np.ndarray, _Names]:
+        if word not in self.rest:
+            at = self.holders[word]
+            self.rest[word] = np.array(at), _Names([_joined(set(self.keys[i].split()) - {word}) for i in at], self.letters)
+        return self.rest[word]
+
+    def bound(self, query: str) -> np.ndarray:
+        """What the weighted ratio of query with each key is at most."""
+        words, n = set(query.split()), len(query)
+        both = np.zeros(len(self.keys), np.int64)  # characters of words in common, and a blank for each
+        often = np.zeros(len(self.keys), np.int64)
+        for w in words:
+            at = self.holders.get(w, [])
+            both[at] += len(w) + 1
+            often[at] += 1
+        common = self.plain.lcs(query)
+        total = self.length + n
+        ratio = 200.0 * common / np.maximum(total, 1)
+        tokens = 200.0 * self.turned.lcs(_joined(query.split())) / np.maximum(total, 1)
+        for w in words:  # of keys with one word in common: the rest compared, and the word with each side
+            if w in self.holders:
+                at, names = self._without(w)
+                rest = _joined(words - {w})
+                mine, theirs = len(w) + 1 + len(rest), len(w) + 1 + names.size
+                got = 200.0 * (len(w) + 1 + names.lcs(rest)) / (mine + theirs)
+                got = np.maximum(got, np.maximum(200.0 * len(w) / (len(w) + mine), 200.0 * len(w) / (len(w) + theirs)))
+                got[(names.size == 0) | (not rest)] = 100.0
+                one = often[at] == 1
+                tokens[at[one]] = np.maximum(tokens[at[one]], got[one])
+        loose = (often > 1) | self.twice | (len(words) < len(query.split()))
+        tokens[loose] = 100.0
+        short, long = np.minimum(self.length, n), np.maximum(self.length, n)
+        near = long < 1.5 * short
+        scale = np.where(long <= 8 * short, 0.9, 0.6)
+        part = 200.0 * np.minimum(common, short) / np.maximum(short + np.minimum(common, short), 1)  # a stretch is at least as long as what it has in common
+        common = np.minimum(self.turned.lcs(_joined(query.split())), short)
+        turned = 200.0 * common / np.maximum(short + common, 1)
+        far = np.maximum(scale * part, 0.95 * scale * np.where((often > 0) | loose, 100.0, turned))
+        return np.maximum(ratio, np.where(near, 0.95 * tokens, far))
+
+    def best(self, query: str, cutoff: float, limit: int) -> list[tuple[int, float]]:
+        """The places of the best keys with their scores, best first, equal scores in the order of keys."""
+        if not query or not self.keys:
+            return []
+        bound = self.bound(query)  # by the formulas of the score itself, so that equal values are equal
+        some = np.flatnonzero(bound >= cutoff)
+        found: list[tuple[float, int]] = []
+        for i in some[np.argsort(-bound[some], kind="stable")].tolist():
+            if len(found) == limit and (-bound[i], i) > found[-1]:
+                break
+            self.scored += 1
+            score = weighted_ratio(query, self.keys[i])
+            if score >= cutoff and (len(found) < limit or (-score, i) < found[-1]):
+                insort(found, (-score, i))
+                del found[limit:]
+        return [(i, -s) for s, i in found]
 
 
 def best_of_all(queries: list[str], keys: list[str], cutoff: float, limit: int) -> list[tuple[str, list[tuple[int, float]]]]:
-    """For each query the places of its best keys with their scores, best first, equal scores in the order of keys. Keys
-    are scored from the highest score possible downwards, until no other can be among the best."""
-    letters = {c: i for i, c in enumerate(sorted({c for s in (*queries, *keys) for c in s}))}
-    counts, lengths = _counts(keys, letters), np.array([len(k) for k in keys])
-    twice = np.array([_told_twice(k) for k in keys], bool)
-    words: dict[str, list[int]] = {}
-    for i, k in enumerate(keys):
-        for w in set(k.split()):
-            words.setdefault(w, []).append(i)
-    out = []
-    for q in queries:
-        if not q or not keys:
-            out.append((q, []))
-            continue
-        loose = twice | _told_twice(q)
-        for w in set(q.split()):
-            loose[words.get(w, [])] = True
-        bound = _at_most(q, _counts([q], letters)[0], counts, lengths, loose) + 1e-9
-        best: list[tuple[float, int]] = []
-        for i in np.argsort(-bound, kind="stable").tolist():
-            if bound[i] < cutoff or len(best) == limit and bound[i] < -best[-1][0]:
-                break
-            score = weighted_ratio(q, keys[i])
-            if score >= cutoff:
-                best = sorted([*best, (-score, i)])[:limit]
-        out.append((q, [(i, -s) for s, i in best]))
-    return out
+    """For each query the places of its best keys with their scores, best first, equal scores in the order of keys."""
+    block = Block(keys)
+    return [(q, block.best(q, cutoff, limit)) for q in queries]

@@ -1,15 +1,19 @@
 """Name lookup: exact, then alias, then fuzzy, for many queries at a time, against a store of keys.
 
 The store is made once: rows ready for display, keys with their rows, and what the keys are found by. Queries that neither
-an exact key nor an alias answers look for candidates by shared grams, in a join; only candidates are scored, pair by pair.
-That loses no match (see grams()) from a least score of 80 on. Suggestions have a lower one, at which no gram need be
-shared: there, queries meet all keys of the pool in blocks of bounded size, best possible scores first.
-No key travels in a closure and nothing is collected but counts.
+an exact key nor an alias answers search the keys for the best scores (nearest()), in bands:
+
+1. Scores of 80 or more, by posting lists. Names that reach 80 share rare grams (see grams_of()), which a join finds. Grams that
+   very many keys hold take no part in it: names that share nothing rarer meet in blocks, salted by gram. Keys that share a
+   word with a query, but are half as long again or more, tie: of those, each word's list gives only the first in order.
+2. A query that has as many matches by then as are asked for leaves. The others, if a lower score is asked for, meet the keys in blocks.
+
+In a block, what each key can reach at most comes from common subsequences with all keys at once, and only keys that may be among the
+best are scored. No key travels in a closure and nothing is collected but counts.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from typing import NamedTuple
 
@@ -26,8 +30,12 @@ from ..sources import readers, sinks
 BLOCK_KEYS, BLOCK_QUERIES = 20_000, 1_000
 #: Of the pairs of characters that a match must share, so many are asked for.
 SHARED = 3
-#: The least score from which candidates are joined by grams; below it, all keys are scanned.
+#: The least score from which posting lists lose no match.
 JOINED_FROM = 80.0
+#: Up to so many keys are one block from the start, for which posting lists are not made.
+SMALL_POOL = 2_000
+#: Keys that hold a gram, beyond which names that share nothing rarer meet in blocks.
+HEAVY = 500
 MATCHES = "array<struct<match: string, score: double, row_no: bigint>>"
 SHOWN = ["drug_id", "generic_name", "generic_name_clean", "brand_names", "drug_class", "route", *C.TEXT_LIMITS, "sources", "last_updated"]
 
@@ -36,11 +44,15 @@ SHOWN = ["drug_id", "generic_name", "generic_name_clean", "brand_names", "drug_c
 
 
 class Store(NamedTuple):
-    """rows: row_no and the columns of an answer. keys: key, row_no, is_primary, name. grams: gram, key, length, rare, twice, need."""
+    """rows: row_no and the columns of an answer. keys: key, row_no, is_primary, name. grams: posting lists of the keys, see postings().
+    pool: what suggestions are made of, match, rank and name; pool_grams: its posting lists. large: whether posting lists are used."""
 
     rows: DataFrame
     keys: DataFrame
     grams: DataFrame
+    pool: DataFrame
+    pool_grams: DataFrame
+    large: bool
 
 
 def build_keys(drugs: DataFrame) -> DataFrame:
@@ -58,12 +70,12 @@ def build_store(drugs: DataFrame) -> Store:
     named = rows.select(F.col("row_no").alias("_r"), F.coalesce(F.nullif("generic_name_clean", F.lit("")), F.nullif("generic_name_raw", F.lit(""))).alias("name"))
     keys = build_keys(drugs)
     keys = sinks.materialize(keys.join(named, F.col("row_no") == F.col("_r")).select("key", "row_no", "is_primary", F.coalesce("name", "key").alias("name")), "lookup-keys")
-    grams = sinks.materialize(keys.select("key", F.length("key").alias("length"), F.explode(grams_of(F.col("key"))).alias("gram")), "lookup-grams")
-    common = grams.groupBy("gram").agg(F.count("*").alias("_n"))
-    grams = grams.join(common, "gram").groupBy("key", "length").agg(F.array_sort(F.collect_list(F.struct("_n", "gram"))).alias("_g"))  # a key's own grams
-    grams = grams.select("key", "length", F.posexplode("_g").alias("_at", "_x")).select("key", "length", F.col("_x.gram").alias("gram"), (F.col("_at") < _prefix("key", "length")).alias("_first"))
-    grams = grams.withColumns({"rare": _rare("gram", "length", "_first"), "twice": _told_twice("key"), "need": _need("key")}).drop("_first")
-    return Store(rows, keys, sinks.materialize(grams, "lookup-rare"))
+    pool = sinks.materialize(suggestion_pool(keys), "lookup-pool")
+    large = keys.count() > SMALL_POOL
+    grams, pool_grams = postings(keys.select("key", F.col("key").alias("rank"))), postings(pool.select(F.col("match").alias("key"), "rank"))
+    if large:
+        grams, pool_grams = sinks.materialize(grams, "lookup-grams"), sinks.materialize(pool_grams, "lookup-pool-grams")
+    return Store(rows, keys, grams, pool, pool_grams, large)
 
 
 _STORES: dict[str, Store] = {}
@@ -124,21 +136,35 @@ def _need(name: str) -> Column:
     return F.least(_left(name), F.lit(SHARED))
 
 
-def _prefix(name: str, length: str) -> Column:
-    """How many of the first grams of a name, its rarest, must be looked at; characters and words in between only add to them."""
-    others = F.size(F.array_distinct(F.split(F.col(name), ""))) + F.size(F.array_distinct(F.split(F.col(name), " ")))
-    return F.col(length) + 1 - _left(name) + _need(name) + others
-
-
 def _told_twice(name: str) -> Column:
     words = F.split(F.col(name), " ")
     return F.size(F.array_distinct(words)) < F.size(words)
 
 
-def _rare(gram: str, length: str, first: str) -> Column:
-    """Whether a shorter name is looked for by this gram."""
-    g = F.col(gram)
-    return g.startswith("w:") | F.when(F.col(length) == 1, g.startswith("c:")).otherwise(F.col(first) & ~g.startswith("c:"))
+def _ranked(names: DataFrame, common: DataFrame) -> DataFrame:
+    """names: key and other columns; common: gram, n, how many keys hold it. A row for each gram of each name, with n and
+    length; rare: the name looks for longer ones by it; need: how many of those it must share; word; twice: it says a word twice."""
+    own = [c for c in names.columns if c != "key"]
+    each = names.select("key", *own, F.explode(grams_of(F.col("key"))).alias("gram")).join(common, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    each = each.groupBy("key", *own).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("_g"))  # a name's own grams
+    length = F.length("key")
+    by = lambda x: F.when(length == 1, x["gram"].startswith("c:")).otherwise(~x["gram"].startswith("c:") & ~x["gram"].startswith("w:"))
+    each = each.withColumns({"length": length, "need": _need("key"), "twice": _told_twice("key"), "_by": F.filter("_g", by), "_others": F.filter("_g", lambda x: ~by(x))})
+    looks = F.when(length == 1, 1).otherwise(length + 1 - _left("key") + F.col("need"))
+    placed = F.concat(F.transform("_by", lambda x, i: F.struct(x["gram"].alias("gram"), x["n"].alias("n"), (i < looks).alias("rare"))), F.transform("_others", lambda x: F.struct(x["gram"].alias("gram"), x["n"].alias("n"), F.lit(False).alias("rare"))))
+    return each.select("key", *own, "length", "need", "twice", F.explode(placed).alias("_x")).select("key", *own, "length", "need", "twice", "_x.*", F.col("_x.gram").startswith("w:").alias("word"))
+
+
+def postings(names: DataFrame) -> DataFrame:
+    """The posting lists of names: key and rank, by which equal scores are ordered."""
+    common = names.select(F.explode(grams_of(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return _ranked(names, common)
+
+
+def _asked(queries: DataFrame, grams: DataFrame) -> DataFrame:
+    common = grams.select("gram", "n").distinct()
+    asked = _ranked(queries.select(F.col("q").alias("key")), common).withColumnRenamed("key", "q")
+    return sinks.materialize(asked.select([F.col(c).alias(c if c == "q" else f"_{c}") for c in asked.columns]), "lookup-asked")
 
 
 def _score(cutoff: float):
@@ -157,35 +183,54 @@ def _best(pairs: DataFrame, limit: int, order: list[Column]) -> DataFrame:
     return ranked.groupBy("q").agg(top.alias("_top"))  # at most `limit` rows each
 
 
-def candidates(queries: DataFrame, grams: DataFrame) -> DataFrame:
-    """queries: q, once each. q, match: pairs among which are all with a score of JOINED_FROM or more. The shorter name is looked for by its rare grams."""
-    asked = queries.select("q", F.length("q").alias("_length"), F.explode(grams_of(F.col("q"))).alias("_gram"))
-    common = grams.groupBy(F.col("gram").alias("_common")).agg(F.count("*").alias("_n"))
-    asked = asked.join(common, F.col("_gram") == F.col("_common"), "left").select("q", "_length", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram")).alias("_x"))
-    asked = asked.groupBy("q", "_length").agg(F.array_sort(F.collect_list("_x")).alias("_g")).select("q", "_length", F.posexplode("_g").alias("_at", "_x"))  # a query's own grams
-    asked = asked.select("q", "_length", F.col("_x.gram").alias("_gram"), (F.col("_at") < _prefix("q", "_length")).alias("_first"))
-    asked = asked.select("q", "_length", "_gram", _rare("_gram", "_length", "_first").alias("_rare"), _told_twice("q").alias("_twice"), _need("q").alias("_need"))
-    asked = sinks.materialize(asked, "lookup-asked")
-    shorter, same = F.col("_length") <= F.col("length"), F.col("_gram") == F.col("gram")
+def _same() -> Column:
+    return F.col("_gram") == F.col("gram")
+
+
+def _shared(asked: DataFrame, grams: DataFrame, bounded: bool) -> DataFrame:
+    """q, match: pairs of names, neither of which says a word twice, with as many rare grams of the shorter one in common as a
+    score of JOINED_FROM needs. bounded: without heavy grams, so that only pairs that share no heavy one are sure to be found."""
+    plain, known = asked.filter("not _twice"), grams.filter("not twice")
+    shorter = F.col("_length") <= F.col("length")
+    light = lambda df, n: df.filter(F.col(n) <= HEAVY) if bounded else df
     # each case is a join of its own, so that grams nobody is looked for by, such as common letters, meet nothing
-    met = [
-        asked.filter("_rare and not _twice").join(grams.filter("not twice"), same & shorter), asked.filter("not _twice").join(grams.filter("rare and not twice"), same & ~shorter),
-        asked.filter("_twice").join(grams, same), asked.filter("not _twice").join(grams.filter("twice"), same),
-    ]
-    alone = F.col("_twice") | F.col("twice") | F.col("gram").startswith("w:") | (F.least("_length", "length") == 1)
-    need = F.when(F.col("_length") <= F.col("length"), F.col("_need")).otherwise(F.col("need"))
-    met = reduce(DataFrame.unionByName, met).groupBy("q", F.col("key").alias("match")).agg(F.max(alone).alias("_alone"), F.count("*").alias("_n"), F.max(need).alias("_least"))
-    return met.filter(F.col("_alone") | (F.col("_n") >= F.col("_least"))).select("q", "match")
+    ahead = light(plain.filter("_rare"), "_n").join(known, _same() & shorter).select("q", "key", F.col("_need").alias("least"))
+    back = light(plain, "_n").join(light(known.filter("rare"), "n"), _same() & ~shorter).select("q", "key", F.col("need").alias("least"))
+    met = ahead.unionByName(back).groupBy("q", F.col("key").alias("match")).agg(F.count("*").alias("_k"), F.max("least").alias("_least"))
+    return met.filter("_k >= _least").select("q", "match")
 
 
-def scan(queries: DataFrame, pool: DataFrame, cutoff: float, limit: int) -> DataFrame:
-    """queries: q, once each; pool: match, rank. The best of the pool for each query, ties by rank: every query meets every
-    block of keys, a bounded number of both in a task, and hands on its best of the block."""
-    blocks = max(1, math.ceil(pool.count() / BLOCK_KEYS))
-    chunks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select("q", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int").alias("chunk"), every(blocks).alias("block"))
-    known = pool.select("match", "rank", F.pmod(F.xxhash64("match"), F.lit(blocks)).cast("int").alias("block"), every(chunks).alias("chunk"))
+def candidates(queries: DataFrame, grams: DataFrame) -> DataFrame:
+    """queries: q, once each. q, match: pairs among which are all with a score of JOINED_FROM or more; so many that share a
+    common word. For the best few of each query, see nearest()."""
+    asked = _asked(queries, grams)
+    words = asked.filter("_word and not _twice").join(grams.filter("word and not twice"), _same()).select("q", F.col("key").alias("match"))
+    twice = asked.filter("_twice").join(grams, _same()).unionByName(asked.filter("not _twice").join(grams.filter("twice"), _same())).select("q", F.col("key").alias("match"))
+    return _shared(asked, grams, False).unionByName(words).unionByName(twice).distinct()
+
+
+def _tied(asked: DataFrame, grams: DataFrame, limit: int) -> DataFrame:
+    """q, match: of the keys that share a word with q and are 1.5 to 8 times as long, or short, the first `limit` by rank of each word. By
+    the word alone they all have the same score; one that has a higher one shares rare grams too. Lists of a word are cut to `limit`
+    keys of each length before they meet a length of queries, and to `limit` before they meet queries."""
+    first = lambda df, *by: df.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy("rank"))).filter(F.col("_p") <= limit).drop("_p")
+    lists = first(grams.filter("word").select("gram", "length", "key", "rank"), "gram", "length")
+    words = asked.filter("_word").select("_gram", "_length").distinct()
+    long, short = F.greatest("length", "_length"), F.least("length", "_length")
+    met = first(words.join(lists, _same() & (long >= 1.5 * short) & (long <= 8 * short)), "_gram", "_length")
+    met = met.select(F.col("_gram").alias("_g"), F.col("_length").alias("_l"), F.col("key").alias("match"))
+    return asked.filter("_word").join(met, (F.col("_gram") == F.col("_g")) & (F.col("_length") == F.col("_l"))).select("q", "match")
+
+
+def _meet(asked: DataFrame, known: DataFrame, cutoff: float, limit: int) -> DataFrame:
+    """asked: part, q; known: part, match, rank. The best keys of each part for each of its queries, ties by rank. A part is dealt
+    over blocks of keys and chunks of queries; a task has one of each, a bounded number, and hands on its best of the block."""
+    sizes = asked.groupBy("part").agg(F.count("*").alias("_q")).join(known.groupBy("part").agg(F.count("*").alias("_k")), "part")
+    sizes = sizes.select("part", F.ceil(F.col("_q") / BLOCK_QUERIES).cast("int").alias("chunks"), F.ceil(F.col("_k") / BLOCK_KEYS).cast("int").alias("blocks"))
+    sizes = sinks.materialize(sizes, "lookup-blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(sizes, "part").select("part", "q", F.pmod(F.xxhash64("q"), "chunks").cast("int").alias("chunk"), every("blocks").alias("block"))
+    known = known.join(sizes, "part").select("part", "match", "rank", F.pmod(F.xxhash64("match"), "blocks").cast("int").alias("block"), every("chunks").alias("chunk"))
 
     def meet(some: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
         keys = keys.sort_values("rank", kind="stable")
@@ -193,24 +238,54 @@ def scan(queries: DataFrame, pool: DataFrame, cutoff: float, limit: int) -> Data
         found = [(q, names[i], ranks[i], s) for q, best in similarity.best_of_all(some["q"].tolist(), names, cutoff, limit) for i, s in best]
         return pd.DataFrame(found, columns=["q", "match", "rank", "score"])
 
-    return asked.groupBy("block", "chunk").cogroup(known.groupBy("block", "chunk")).applyInPandas(meet, "q string, match string, rank string, score double")
+    at = ["part", "block", "chunk"]
+    return asked.groupBy(*at).cogroup(known.groupBy(*at)).applyInPandas(meet, "q string, match string, rank string, score double")
+
+
+def scan(queries: DataFrame, pool: DataFrame, cutoff: float, limit: int) -> DataFrame:
+    """queries: q, once each; pool: match, rank. q, match, rank, score: the best of the pool for each query, ties by rank; every query meets every block of keys."""
+    return _meet(queries.select(F.lit("").alias("part"), "q"), pool.select(F.lit("").alias("part"), "match", "rank"), cutoff, limit)
+
+
+def _by_postings(queries: DataFrame, pool: DataFrame, grams: DataFrame, cutoff: float, limit: int) -> DataFrame:
+    """As scan(), for a cutoff of JOINED_FROM or more. Names that say a word twice, in which grams tell nothing, meet all others in blocks."""
+    asked = _asked(queries, grams)
+    pairs = _shared(asked, grams, True).unionByName(_tied(asked, grams, limit)).distinct()
+    scored = pairs.withColumn("score", _score(cutoff)("q", "match")).filter(F.col("score") >= cutoff)
+    part = lambda name: F.concat(F.lit(name), F.col("gram")).alias("part")
+    told = asked.select([F.col(c).alias(c.removeprefix("_")) for c in asked.columns])
+    heavy, known = told.filter((F.col("n") > HEAVY) & ~F.col("twice")), grams.filter((F.col("n") > HEAVY) & ~F.col("twice"))
+    all_q, all_k = F.lit("every query").alias("part"), F.lit("every key").alias("part")
+    ask = [heavy.filter("rare").select(part("ahead "), "q"), heavy.select(part("back "), "q"), told.filter("twice").select(all_k, "q").distinct(), queries.select(all_q, "q")]
+    have = [known.select(part("ahead "), F.col("key").alias("match"), "rank"), known.filter("rare").select(part("back "), F.col("key").alias("match"), "rank"), pool.select(all_k, "match", "rank"), grams.filter("twice").select(all_q, F.col("key").alias("match"), "rank").distinct()]
+    met = _meet(reduce(DataFrame.unionByName, ask), reduce(DataFrame.unionByName, have), cutoff, limit)
+    ranks = pool.select(F.col("match").alias("_m"), "rank")
+    return scored.join(ranks, F.col("match") == F.col("_m")).select("q", "match", "rank", "score").unionByName(met).dropDuplicates(["q", "match"])
+
+
+def nearest(queries: DataFrame, pool: DataFrame, grams: DataFrame, cutoff: float, limit: int, large: bool = True) -> DataFrame:
+    """queries: q, once each; pool: match, rank; grams: its posting lists. q, match, rank, score: among which are the best `limit` of each query, ties by rank."""
+    if not large:
+        return scan(queries, pool, cutoff, limit)
+    if cutoff >= JOINED_FROM:
+        return _by_postings(queries, pool, grams, cutoff, limit)
+    found = sinks.materialize(_by_postings(queries, pool, grams, JOINED_FROM, limit), "lookup-near")
+    enough = sinks.materialize(found.groupBy("q").agg(F.count("*").alias("_k")).filter(F.col("_k") >= limit).select("q"), "lookup-enough")
+    rest = sinks.materialize(queries.join(enough, "q", "left_anti"), "lookup-far")
+    return found.join(enough, "q", "left_semi").unionByName(scan(rest, pool, cutoff, limit))
 
 
 def fuzzy_top(queries: DataFrame, column: str, store: Store, cutoff: float = C.MIN_SCORE, limit: int = 10) -> DataFrame:
     """column, _top: for each of queries the best keys (match, score), best first, ties by key."""
     asked = queries.select(F.col(column).alias("q")).distinct()
-    if cutoff >= JOINED_FROM:
-        found = candidates(asked, store.grams)
-        found = found.withColumn("score", _score(cutoff)("q", "match")).filter(F.col("score") >= cutoff)
-    else:
-        found = scan(asked, store.keys.select(F.col("key").alias("match"), F.col("key").alias("rank")), cutoff, limit).drop("rank")
-    return _best(found, limit, [F.col("match")]).withColumnRenamed("q", column)
+    found = nearest(asked, store.keys.select(F.col("key").alias("match"), F.col("key").alias("rank")), store.grams, cutoff, limit, store.large)
+    return _best(found.drop("rank"), limit, [F.col("match")]).withColumnRenamed("q", column)
 
 
-def suggestion_pool(store: Store) -> DataFrame:
+def suggestion_pool(keys: DataFrame) -> DataFrame:
     """match, rank, name: names of rows in order, then the aliases that are none."""
-    primary = store.keys.filter("is_primary").select(F.col("key").alias("match"), F.concat(F.lit("0"), "key").alias("rank"), "name")
-    aliases = store.keys.sparkSession.createDataFrame([(a, f"1{i:03d}") for i, a in enumerate(C.ALIASES)], "match string, rank string").withColumn("name", F.col("match"))
+    primary = keys.filter("is_primary").select(F.col("key").alias("match"), F.concat(F.lit("0"), "key").alias("rank"), "name")
+    aliases = keys.sparkSession.createDataFrame([(a, f"1{i:03d}") for i, a in enumerate(C.ALIASES)], "match string, rank string").withColumn("name", F.col("match"))
     own = aliases.select(F.col("match").alias("_a"), F.lit(True).alias("_own"))
     primary = primary.join(F.broadcast(own), F.col("match") == F.col("_a"), "left").select("match", "rank", F.when(F.col("_own"), F.col("match")).otherwise(F.col("name")).alias("name"))
     return primary.unionByName(aliases.join(primary.select(F.col("match").alias("_p")), F.col("match") == F.col("_p"), "left_anti"))
@@ -218,9 +293,9 @@ def suggestion_pool(store: Store) -> DataFrame:
 
 def suggest(queries: DataFrame, column: str, store: Store, cutoff: float, top_k: int = C.TOP_K) -> DataFrame:
     """column, suggestions: names of the rows whose keys come nearest, normalised, each once, at most top_k."""
-    pool = suggestion_pool(store)
-    found = scan(queries.select(F.col(column).alias("q")).distinct(), pool, cutoff, max(top_k, 15))
-    named = found.join(pool.select(F.col("match").alias("_m"), "name"), F.col("match") == F.col("_m")).select("q", "match", "score", "rank", "name")
+    asked = queries.select(F.col(column).alias("q")).distinct()
+    found = nearest(asked, store.pool.select("match", "rank"), store.pool_grams, cutoff, max(top_k, 15), store.large)
+    named = found.join(store.pool.select(F.col("match").alias("_m"), "name"), F.col("match") == F.col("_m")).select("q", "match", "score", "rank", "name")
     best = _best(named, max(top_k, 15), [F.col("rank")])
     names = E.distinct_keep_first(F.transform("_top", lambda x: E.normalize_text(x["name"])), lambda k: k)
     return best.select(F.col("q").alias(column), F.slice(names, 1, top_k).alias("suggestions"))
