@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import exprs as E
+from ..sources import sinks
+from . import relational as R
+
 
 def last_wins(names: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """One value for each key: that of the last row."""
@@ -25,9 +28,25 @@ def resolve_names(facts: DataFrame, names: DataFrame, first: str, second: str, k
 def side_effect_facts(all_effects: DataFrame, label_effects: DataFrame, core_names: DataFrame) -> DataFrame:
     """generic_name_clean, side_effect, term_type, source, distinct, for names of the core table only."""
     columns = ["generic_name_clean", "side_effect", "term_type"]
-    both = all_effects.select(*columns, F.lit("all").alias("source")).unionByName(label_effects.select(*columns, F.lit("label_confirmed").alias("source")))
-    core = core_names.select(E.clean_generic("generic_name_clean").alias("generic_name_clean")).distinct()
-    return both.join(core, "generic_name_clean", "left_semi").dropDuplicates([*columns, "source"])
+    core = R.unique_set(core_names, E.clean_generic("generic_name_clean"), "generic_name_clean")
+    both = {"all": all_effects.select(*columns), "label_confirmed": label_effects.select(*columns)}
+    return R.tagged_distinct({source: R.semi_join(df, core, "generic_name_clean") for source, df in both.items()}, "source")
+
+
+def mart(all_effects: DataFrame, label_effects: DataFrame, names: DataFrame, core_names: DataFrame) -> DataFrame:
+    """The facts of the core table from raw ones: all_effects and label_effects have flat, stereo (ids), side_effect, term_type; names has
+    id, name and place, of which the last counts.
+
+    The names are a table before they are joined, a row for each id: a few ids carry most facts, and adaptive execution splits
+    theirs, which it cannot do where the other side is an aggregate of the same stage.
+    """
+    one = sinks.materialize(last_wins(names, "id", "name", "place"), "fact-names")
+
+    def named(df: DataFrame) -> DataFrame:
+        out = resolve_names(df, one, "flat", "stereo", "id", "name").withColumn("generic_name_clean", E.clean_generic("name"))
+        return out.filter("generic_name_clean <> ''").select("generic_name_clean", "side_effect", "term_type")
+
+    return side_effect_facts(named(all_effects), named(label_effects), core_names)
 
 
 def label_terms(facts: DataFrame, strict: bool = True) -> DataFrame:
@@ -49,9 +68,14 @@ def ordered_concat(facts: DataFrame, key: str, rank: str, term: str) -> DataFram
 
 
 def bucket_top_k(facts: DataFrame, key: str, bucket: str, term: str, sizes: dict[str, int] = C.BUCKET_SIZES) -> DataFrame:
-    """For each key a column per bucket: the first k of its distinct terms, alphabetically. One pass, no pivot."""
-    pick = lambda b: F.array_sort(F.collect_set(F.when(F.col(bucket) == b, F.col(term))))
-    return facts.groupBy(key).agg(*[F.array_join(F.slice(pick(b), 1, k), ", ").alias(f"{b}_terms") for b, k in sizes.items()])
+    """For each key a column per bucket: the first k of its distinct terms, alphabetically. Keys without a term in any bucket stay. No
+    set is gathered whole, and there is no pivot."""
+    known = F.col(bucket).isin(*sizes)
+    told = facts.select(F.col(key).alias("_key"), F.when(known, F.col(bucket)).alias("_bucket"), F.when(known, F.col(term)).alias("_term"))
+    some = R.first_k(told, ["_key", "_bucket"], "_term", max(sizes.values()))
+    pick = lambda b: F.array_sort(F.collect_list(F.when(F.col("_bucket") == b, F.col("_term"))))
+    out = some.groupBy("_key").agg(*[F.array_join(F.slice(pick(b), 1, k), ", ").alias(f"{b}_terms") for b, k in sizes.items()])  # at most max(sizes) each
+    return out.withColumnRenamed("_key", key)
 
 
 def left_join_filled(core: DataFrame, side: DataFrame, key: str, texts: list[str], counts: list[str] = ()) -> DataFrame:

@@ -25,6 +25,7 @@ from ..functions import constants as C
 from ..functions import exprs as E
 from ..functions import similarity
 from ..sources import readers, sinks
+from . import relational as R
 
 #: Keys and queries that meet in one task of a scan.
 BLOCK_KEYS, BLOCK_QUERIES = 20_000, 1_000
@@ -63,21 +64,51 @@ def build_keys(drugs: DataFrame) -> DataFrame:
     return out.groupBy("key").agg(F.min(F.struct("row_no", "pos")).alias("_f"), F.max("is_primary").alias("is_primary")).select("key", F.col("_f.row_no").alias("row_no"), "is_primary")
 
 
-def build_store(drugs: DataFrame) -> Store:
-    """The store of a table of drugs (row_no, generic_name_clean, generic_name, brand_names, and what else an answer shows)."""
+TABLES = ["rows", "keys", "grams", "pool", "pool_grams"]
+
+
+def build_store(drugs: DataFrame, folder: str | None = None) -> Store:
+    """The store of a table of drugs (row_no, generic_name_clean, generic_name, brand_names, and what else an answer shows). folder: where
+    its tables go, to stay; otherwise they go with the application, and small ones have no posting lists."""
+    spark = drugs.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if folder is None:
+            return sinks.materialize(df, f"lookup-{name}")
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     drugs = readers.add_missing(drugs, [c for c in SHOWN if c != "route"] + ["route"])
-    rows = sinks.materialize(match_rows(drugs).withColumn("generic_name_raw", E.text("generic_name")), "lookup-rows")
+    rows = kept(match_rows(drugs).withColumn("generic_name_raw", E.text("generic_name")), "rows")
     named = rows.select(F.col("row_no").alias("_r"), F.coalesce(F.nullif("generic_name_clean", F.lit("")), F.nullif("generic_name_raw", F.lit(""))).alias("name"))
     keys = build_keys(drugs)
-    keys = sinks.materialize(keys.join(named, F.col("row_no") == F.col("_r")).select("key", "row_no", "is_primary", F.coalesce("name", "key").alias("name")), "lookup-keys")
-    pool = sinks.materialize(suggestion_pool(keys), "lookup-pool")
+    keys = kept(keys.join(named, F.col("row_no") == F.col("_r")).select("key", "row_no", "is_primary", F.coalesce("name", "key").alias("name")), "keys")
+    pool = kept(suggestion_pool(keys), "pool")
     large = keys.count() > SMALL_POOL
     grams, pool_grams = postings(keys.select("key", F.col("key").alias("rank"))), postings(pool.select(F.col("match").alias("key"), "rank"))
-    if large:
-        grams, pool_grams = sinks.materialize(grams, "lookup-grams"), sinks.materialize(pool_grams, "lookup-pool-grams")
+    if large or folder:
+        grams, pool_grams = kept(grams, "grams"), kept(pool_grams, "pool_grams")
     return Store(rows, keys, grams, pool, pool_grams, large)
 
 
+def open_store(spark: SparkSession, path: str, folder: str) -> Store:
+    """The store of the catalogue at path, kept in folder for all applications. It is made if there is none, or if the files at path are
+    others than those it was made from, by their names, lengths and times. A new version is written beside the old one and takes its
+    place by one rename, so whoever has the old one open keeps it, and a failure leaves it in place."""
+    files = readers.fingerprint(spark, path)
+    told = sinks.manifest(spark, folder)
+    if told is None or told.get("files") != files:
+        drugs = readers.read_csv(spark, path, row_no="row_no")
+        readers.require_columns(drugs, ["drug_id", "generic_name", "generic_name_clean"])
+        drugs = sinks.materialize(readers.add_missing(drugs, ["brand_names"]), "catalogue")
+        version = sinks.new_version(folder)
+        store = build_store(drugs, f"{folder}/{version}")
+        sinks.commit(spark, folder, version, files=files, large=store.large)
+        return store
+    tables = [spark.read.parquet(f"{folder}/{told['version']}/{name}") for name in TABLES]
+    return Store(*tables, told["large"])
+
+
 _STORES: dict[str, Store] = {}
 
 
@@ -283,12 +314,14 @@ def fuzzy_top(queries: DataFrame, column: str, store: Store, cutoff: float = C.M
 
 
 def suggestion_pool(keys: DataFrame) -> DataFrame:
-    """match, rank, name: names of rows in order, then the aliases that are none."""
-    primary = keys.filter("is_primary").select(F.col("key").alias("match"), F.concat(F.lit("0"), "key").alias("rank"), "name")
-    aliases = keys.sparkSession.createDataFrame([(a, f"1{i:03d}") for i, a in enumerate(C.ALIASES)], "match string, rank string").withColumn("name", F.col("match"))
-    own = aliases.select(F.col("match").alias("_a"), F.lit(True).alias("_own"))
-    primary = primary.join(F.broadcast(own), F.col("match") == F.col("_a"), "left").select("match", "rank", F.when(F.col("_own"), F.col("match")).otherwise(F.col("name")).alias("name"))
-    return primary.unionByName(aliases.join(primary.select(F.col("match").alias("_p")), F.col("match") == F.col("_p"), "left_anti"))
+    """match, rank, name: names of rows in order, then the aliases that are none. An alias is its own name."""
+    aliases = keys.sparkSession.createDataFrame([(a, f"{i:03d}") for i, a in enumerate(C.ALIASES)], "match string, place string")
+    primary = keys.filter("is_primary").select(F.col("key").alias("match"), F.col("key").alias("place"))
+    pool = R.ordered_union([primary, aliases], "match", "place").select("match", F.concat(F.col("part").cast("string"), "place").alias("rank"))
+    named = keys.select(F.col("key").alias("_k"), F.col("name").alias("_name"))
+    own = F.broadcast(aliases.select(F.col("match").alias("_a")))  # fixed, a few
+    pool = pool.join(named, F.col("match") == F.col("_k"), "left").join(own, F.col("match") == F.col("_a"), "left")
+    return pool.select("match", "rank", F.when(F.col("_a").isNull(), F.col("_name")).otherwise(F.col("match")).alias("name"))
 
 
 def suggest(queries: DataFrame, column: str, store: Store, cutoff: float, top_k: int = C.TOP_K) -> DataFrame:
@@ -346,11 +379,9 @@ def _fuzzy(rest: DataFrame, store: Store, top_k: int, min_score: float) -> DataF
     """The best keys, a drug once: of equal, not blank drug_ids the first counts. Without a match only suggestions are left."""
     top = fuzzy_top(rest, "normalized_query", store, min_score, max(top_k, 10)).select(F.col("normalized_query").alias("_q"), F.posexplode("_top").alias("_place", "_m"))
     top = top.join(store.keys.select("key", "row_no"), F.col("_m.match") == F.col("key")).join(store.rows.select(F.col("row_no").alias("_r"), "drug_id", "generic_name_clean"), F.col("row_no") == F.col("_r"))
-    listed = F.array_sort(F.collect_list(F.struct("_place", F.col("_m.match").alias("match"), F.col("_m.score").alias("score"), "row_no", "drug_id", "generic_name_clean")))  # at most ten
+    top = R.ranked_dedupe(top, "_q", "drug_id", [F.col("_place")], max(top_k, 10), top_k)
+    listed = F.array_sort(F.collect_list(F.struct("place", F.col("_m.match").alias("match"), F.col("_m.score").alias("score"), "row_no", "drug_id", "generic_name_clean")))  # at most top_k
     top = top.groupBy("_q").agg(listed.alias("_l"))
-    ids = F.transform("_l", lambda x: x["drug_id"])
-    once = F.filter("_l", lambda x, i: (x["drug_id"] == "") | (F.array_position(ids, x["drug_id"]) == i + 1))
-    top = top.select("_q", F.slice(once, 1, top_k).alias("_l"))
     near = suggest(rest, "normalized_query", store, max(0.0, min_score - 35), top_k).withColumnRenamed("normalized_query", "_s")
     out = rest.join(top, F.col("normalized_query") == F.col("_q"), "left").join(near, F.col("normalized_query") == F.col("_s"), "left")
     first = F.get("_l", F.lit(0))

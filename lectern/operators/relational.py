@@ -80,9 +80,20 @@ def ranked_dedupe(df: DataFrame, group: str, row: str, order: list[Column], fetc
     return once.withColumn("place", place(group)).filter(F.col("place") <= keep)
 
 
+def first_k(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
+    """keys and value: of each group its first k different values in order, a row each; a group of nulls only has one row, of null.
+
+    Values are made different in a shuffle by themselves, and each task hands on at most k of a group before the next one, so
+    no group's set is gathered whole, however many values it has.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+    return df.select(*keys, value).distinct().withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k).drop("_place")
+
+
 def first_of_sorted_set(df: DataFrame, key: str, value: Column, k: int, name: str) -> DataFrame:
     """The first k different values of each key, in order, comma-joined."""
-    return df.groupBy(key).agg(F.array_join(F.slice(F.array_sort(F.collect_set(value)), 1, k), ", ").alias(name))
+    some = first_k(df.select(key, value.alias(name)), [key], name, k)
+    return some.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(name)), ", ").alias(name))  # at most k
 
 
 def share_known(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -279,6 +279,22 @@ def s8_xml_classes(t):
     return readers.read_class_xml(_spark(part), path)
 
 
+@query("SELECT count(*) AS row_count, count(lang) FILTER (WHERE trim(lang) <> '') AS lang_filled, count(text) FILTER (WHERE trim(text) <> '') AS text_filled FROM documents")
+def k5_a10_measured_write(t):
+    docs = t("documents")
+    told = sinks.write_measured(docs, sinks.scratch(_spark(docs), "measured"), ["lang", "text"])
+    return _spark(docs).createDataFrame([tuple(told.values())], ", ".join(f"{k} long" for k in told))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name ELSE 'new ' || p_name END AS name FROM part WHERE p_size <> 7")
+def k1_replaced_table(t):
+    part = t("part").select("p_partkey", F.col("p_name").alias("name"), "p_size")
+    path = sinks.scratch(_spark(part), "replaced")
+    old = sinks.replace(part, path)
+    changed = old.filter("p_size <> 7").withColumn("name", F.when(F.col("p_size") > 25, F.col("name")).otherwise(F.concat(F.lit("new "), "name")))
+    return sinks.replace(changed.drop("p_size"), path)
+
+
 def _unequal(part: DataFrame) -> DataFrame:
     """part in the order of its keys, dealt to six files of which each is about twice as large as the one before."""
     return part.repartitionByRange(6, F.floor(F.log2("p_partkey"))).sortWithinPartitions("p_partkey")

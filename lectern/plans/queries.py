@@ -301,6 +301,21 @@ def a5_distinct_union(t):
     return R.tagged_distinct({"all": own.drop("l_linestatus"), "label_confirmed": own.filter("l_linestatus = 'F'").drop("l_linestatus")}, "source")
 
 
+@query(f"""WITH n AS (SELECT 'p' || p_partkey % 97 AS id, arg_max(p_name, p_partkey) AS name FROM part WHERE p_partkey % 97 % 3 <> 0 GROUP BY 1 UNION ALL SELECT 's' || s_suppkey, arg_max(lower(s_name), s_suppkey) FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1),
+    f AS (SELECT l.*, CASE WHEN l_orderkey % 3 = 0 THEN 'p1' ELSE 'p' || l_partkey % 97 END AS flat, 's' || l_suppkey AS stereo FROM lineitem l),
+    r AS (SELECT {_sql('generic', "coalesce(nullif(a.name, ''), nullif(b.name, ''))")} AS g, 'effect ' || l_quantity::INT AS side_effect, l_returnflag AS term_type, l_linestatus FROM f LEFT JOIN n a ON flat = a.id LEFT JOIN n b ON stereo = b.id),
+    c AS (SELECT {_sql('generic', 'p_name')} AS g FROM part WHERE p_size > 10 UNION SELECT {_sql('generic', 'lower(s_name)')} FROM supplier WHERE s_acctbal > 0)
+    SELECT DISTINCT g AS generic_name_clean, side_effect, term_type, source FROM (SELECT g, side_effect, term_type, 'all' AS source FROM r UNION ALL SELECT g, side_effect, term_type, 'label_confirmed' FROM r WHERE l_linestatus = 'F') WHERE g <> '' AND g IN (SELECT g FROM c)""")
+def j4_a5_j5_mart(t):
+    part, supplier = t("part"), t("supplier")
+    names = part.filter("p_partkey % 97 % 3 <> 0").select(F.concat(F.lit("p"), F.col("p_partkey") % 97).alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("place"))
+    names = R.union_all(names, supplier.filter("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lower("s_name").alias("name"), F.col("s_suppkey").alias("place")))
+    flat = F.when(F.col("l_orderkey") % 3 == 0, "p1").otherwise(F.concat(F.lit("p"), F.col("l_partkey") % 97))  # a third of all facts have one id
+    raw = t("lineitem").select(flat.alias("flat"), F.concat(F.lit("s"), "l_suppkey").alias("stereo"), F.concat(F.lit("effect "), F.col("l_quantity").cast("int")).alias("side_effect"), F.col("l_returnflag").alias("term_type"), "l_linestatus")
+    core = R.union_all(part.filter("p_size > 10").select(F.col("p_name").alias("generic_name_clean")), supplier.filter("s_acctbal > 0").select(F.lower("s_name").alias("generic_name_clean")))
+    return facts.mart(raw.drop("l_linestatus"), raw.filter("l_linestatus = 'F'").drop("l_linestatus"), names, core)
+
+
 @query("SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
 def a8_count_distinct(t):
     return R.count_distinct(t("lineitem"), {"l_partkey": "parts", "l_suppkey": "suppliers"})

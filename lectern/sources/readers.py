@@ -71,6 +71,16 @@ def _size(spark: SparkSession, path: str) -> int:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
 
 
+def fingerprint(spark: SparkSession, path: str) -> list[list]:
+    """Name, length and time of change of each file at path, in order. FileNotFoundError if there is nothing."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(require_path(spark, path))
+    files, found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return sorted(found)
+
+
 def read_csv(spark: SparkSession, path: str, na: str = "keep", columns: list[str] | None = None, split: bool | None = None, row_no: str | None = None) -> DataFrame:
     """All columns as strings. na="keep": nothing is missing, blanks are empty strings; na="null": NA_VALUES are NULL.
 
