@@ -13,6 +13,9 @@ Defined cases: null and letterless texts (digits, number signs, punctuation) are
 learn from all is `und`; a word in scripts that no language is written in favours none; ties go to the language that
 sorts first; repeated rows each get their row; a null doc_id is learned from and not held out; texts may be of any
 length; an empty table gives an empty result; other columns, whatever their names, are not looked at.
+
+What a task holds does not grow with a text's words times the languages: long texts are decoded in parts, forwards with the scores of
+paths noted where parts begin, then backwards, part by part.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ from ._common import sliced
 from .quality import remainder
 
 WORD_BITS, GRAM_BITS, PENALTY, FLOOR = 18, 16, 4.0, 0.01
-#: Words whose scores a task remembers at a time, and their characters.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 20_000_000
+#: Scores that a task remembers at a time (a word has one for each language), and characters of their words.
+REMEMBERED, REMEMBERED_CHARS = 1_200_000, 20_000_000
+#: Scores that are looked at together: of words times languages. A text of more characters is decoded in parts.
+TOGETHER = 4_000_000
 #: Characters of text a task counts words of before it hands its counts on.
 COUNTED_CHARS = 100_000_000
 #: Log score of a language that a word's scripts exclude.
@@ -130,12 +135,17 @@ class _Scores:
 
     def prepare(self, words: list[list[str]]) -> None:
         """Make sure that every word has a row."""
-        if len(self.at) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+        n = max(1, self.rows.shape[1])
+        if len(self.at) * n > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.at.clear()
             self.chars = 0
+            self.rows = self.rows[:1024].copy() if self.rows.size > 4 * REMEMBERED else self.rows
         new = list(set().union(*words).difference(self.at))
-        if not new:
-            return
+        step = max(1, 4 * REMEMBERED // n)
+        for k in range(0, len(new), step):
+            self._add(new[k : k + step])
+
+    def _add(self, new: list[str]) -> None:
         found = [places(w) for w in new]
         grams = np.fromiter((g for _, gs, _ in found for g in gs), np.int64)
         starts = np.cumsum([0, *(len(gs) for _, gs, _ in found[:-1])])
@@ -168,7 +178,7 @@ def viterbi(words: list[np.ndarray], rows: np.ndarray, penalty: float) -> list[n
     n = rows.shape[1]
     while order:
         longest = len(words[order[0]])
-        take = max(1, min(512, 1_000_000 // longest))
+        take = max(1, min(512, TOGETHER // (longest * max(1, n))))
         some, order = order[:take], order[take:]
         ends = np.array([len(words[k]) for k in some])
         s = np.zeros((longest, len(some), n), np.float32)
@@ -198,6 +208,61 @@ def viterbi(words: list[np.ndarray], rows: np.ndarray, penalty: float) -> list[n
     return out
 
 
+def parts_of(text: str, size: int) -> list[tuple[int, int]]:
+    """Cuts of a text, about `size` characters apart, none inside a word."""
+    cuts, at = [], 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and text[end].isalnum():
+            end += 1
+        cuts.append((at, min(end, len(text))))
+        at = end
+    return cuts
+
+
+def long_path(text: str, scores: _Scores, penalty: float, size: int) -> np.ndarray:
+    """As viterbi(), of one lower-cased text, whose words are made and scored `size` characters at a time."""
+
+    def scored(a: int, b: int) -> np.ndarray:
+        words = found_words(text[a:b])
+        scores.prepare([words])
+        return scores.rows[scores.of(words)]
+
+    def step(now: np.ndarray, own: np.ndarray) -> tuple[int, np.ndarray]:
+        top = int(now.argmax())
+        switched = now[top] - np.float32(penalty)
+        jump = switched > now
+        np.maximum(now, switched, out=now)
+        now += own
+        return top, jump
+
+    cuts, begins, best = parts_of(text, size), [], None
+    for a, b in cuts:
+        begins.append(None if best is None else best.copy())
+        for own in scored(a, b):
+            if best is None:
+                best = own.copy()
+            else:
+                step(best, own)
+    if best is None:
+        return np.empty(0, np.int16)
+    at, paths = int(best.argmax()), []
+    for (a, b), now in zip(reversed(cuts), reversed(begins)):
+        s = scored(a, b)
+        came, jump, path = np.full(len(s), -1, np.int32), np.zeros(s.shape, bool), np.empty(len(s), np.int16)
+        for t, own in enumerate(s):
+            if now is None:
+                now = own.copy()
+            else:
+                came[t], jump[t] = step(now, own)
+        for t in range(len(s) - 1, -1, -1):
+            path[t] = at
+            if came[t] >= 0 and jump[t, at]:
+                at = int(came[t])
+        paths.append(path)
+    return np.concatenate(paths[::-1])
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", penalty: float = PENALTY, with_spans: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score (and with_spans: spans, lang:start:end in code points, comma-joined) for each row."""
     told = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col))
@@ -208,6 +273,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         model = told.value
         langs, scores = model["langs"], _Scores(model)
         held: list[tuple[pa.RecordBatch, list[str], list]] = []
+        long = max(1, TOGETHER // max(4, len(langs)))  # characters
 
         def label() -> Iterator[pa.RecordBatch]:
             lists = [w for _, _, words in held for w in words]
@@ -215,6 +281,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             some = [k for k, w in enumerate(lists) if w]
             paths = dict(zip(some, viterbi([scores.of(lists[k]) for k in some], scores.rows, penalty)))
             k = 0
+            every = [t for _, texts, _ in held for t in texts]
+            for j, t in enumerate(every):
+                if langs and len(t) > long:
+                    path = long_path(t, scores, penalty, long)
+                    if len(path):
+                        paths[j] = path
             for batch, texts, words in held:
                 preds, shares, spans = [], [], []
                 for text in texts:
@@ -239,10 +311,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         n = 0
         for batch in sliced(batches):
             texts = [lowered(x or "") for x in batch.column(2).to_pylist()]
-            words = [found_words(t) for t in texts]
-            held.append((batch, texts, words if langs else [[] for _ in words]))
+            words = [found_words(t) if langs and len(t) <= long else [] for t in texts]
+            held.append((batch, texts, words))
             n += sum(map(len, words))
-            if n > 1_000_000:  # the longer the run, the fewer steps with few documents
+            if n * max(1, len(langs)) > TOGETHER:  # the longer the run, the fewer steps with few documents
                 yield from label()
                 n = 0
         yield from label()

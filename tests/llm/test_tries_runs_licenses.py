@@ -11,7 +11,7 @@ from test_contracts import AWKWARD
 
 from pyspark.sql import functions as F
 
-from lectern.llm import bloom, components, license_scan, periodic_runs, prefix_trie, queries, simhash, url_filter
+from lectern.llm import bloom, components, langid, license_scan, periodic_runs, prefix_trie, queries, simhash, url_filter
 
 SF = "/root/testdata/sf0.001"
 NODE = ["parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -302,3 +302,54 @@ def test_hosts_of_very_many_labels_cost_no_more(spark):
     began = time.process_time()
     assert digests.match([host], ["/en/x"], lengths) == [("example.com/en/", "block")]
     assert time.process_time() - began < 0.5
+
+
+# long texts of languages ------------------------------------------------------------------------
+
+
+def _model(n, r):
+    table = np.zeros((langid._SCRIPT_AT + len(langid.SCRIPTS), n), np.float32)
+    table[: langid._SCRIPT_AT] = r.poisson(0.3, (langid._SCRIPT_AT, n))
+    table[langid._SCRIPT_AT :] = 100
+    return {"langs": [f"l{i:03d}" for i in range(n)], "table": table}
+
+
+def test_long_texts_are_decoded_in_parts_with_equal_paths():
+    r = np.random.RandomState(6)
+    scores = langid._Scores(_model(5, r))
+    words = ["".join(map(chr, r.randint(97, 103, r.randint(1, 5)))) for _ in range(300)]
+    for penalty in (0.3, 2.0, 4.0):
+        text = " ".join(words[i] for i in r.randint(0, 300, 4000)) + " é² x"
+        own = langid.found_words(text)
+        scores.prepare([own])
+        want = langid.viterbi([scores.of(own)], scores.rows, penalty)[0]
+        for size in (37, 500, 10**6):
+            assert langid.long_path(text, scores, penalty, size).tolist() == want.tolist()
+    assert len(langid.long_path(" 12 ... ", scores, 4.0, 3)) == 0
+    assert "".join("ab cd²ef 9"[a:b] for a, b in langid.parts_of("ab cd²ef 9", 1)) == "ab cd²ef 9"
+
+
+def test_memory_of_a_long_text_with_many_languages_is_bounded():
+    """400,000 words, all different, in 100 languages: words times languages would be 160 MB of scores alone, and a table of jumps."""
+    import tracemalloc
+
+    scores = langid._Scores(_model(100, np.random.RandomState(1)))
+    text = " ".join("".join(chr(97 + int(c)) for c in str(i)) for i in range(400_000))
+    tracemalloc.start()
+    path = langid.long_path(text, scores, 4.0, langid.TOGETHER // 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(path) == 400_000 and peak < 200e6
+
+
+@pytest.mark.parametrize("long", [10**9, 50])
+def test_labels_of_awkward_rows_equal_the_restatement(spark, monkeypatch, long):
+    """Values, ties and null ids included; with texts in parts of 50 characters too."""
+    texts = [(i, t, "xx" if i % 3 else "yy") for i, t in AWKWARD if i not in (11, 12)] + [(100 + i, f"der die das und nicht {i} mit" if i % 2 else f"the and of with {i} not", "de" if i % 2 else "en") for i in range(40)]
+    texts += [(200, "der the", "de"), (201, "the der", None), (202, "qqq", None)]
+    monkeypatch.setattr(langid, "TOGETHER", 4 * long if long < 10**9 else langid.TOGETHER)
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    want = brute.op5([(d, t) for d, t, _ in texts], {d: lang for d, _, lang in texts})
+    for r in langid.identify(df).collect():
+        assert (r["lang_pred"], pytest.approx(r["score"], abs=1e-6)) == want[r["doc_id"]], r["doc_id"]
+        assert r["held_out"] == (brute.crc_remainder(r["doc_id"], 5) == 0)
