@@ -65,7 +65,11 @@ SPACING = [(r"\s+([,.;:!?])", r"\1"), (r"\s+([\)\]\}])", r"\1"), (r"([\(\[\{])\s
 BULLETS = "[■▪•]"
 #: Remarks that go from long texts if there are at least so many of them.
 REMARKS = [(r"(?i)\bclick (?:or tap )?here to enter text\.?\b", 0), (r"\(\s*\d+(?:\.\d+)*\s*\)", 3), (r"(?i)\[\s*see [^\]]+\]", 2)]
-CUT_NAMES = r"(?i)\bcetamin(?:ophen|o)\b"
+#: A name that lost its first letter, whole and cut, in any case; and what it is. What is left of an ellipsis, and what it was.
+CUT_NAMES, WHOLE_NAME = [r"\bcetaminophen\b", r"\bcetamino\b"], "acetaminophen"
+CUT_ELLIPSIS, ELLIPSIS = r"â.{1,2}", "..."
+#: A number before a heading, where a heading stands, and what follows it; what follows one with a number.
+HEADING_NUMBER, HEADING_PLACE, HEADING_END, NUMBERED_END = r"(?:\d+(?:\.\d+)*\s+)?", rf"(?:(?<=^)|(?<=\n)|{SENTENCE_END})\s*", r"\s*:?\s*", r"[,.\-]*\s*"
 ONLY_PUNCTUATION, LEADING_PUNCTUATION = r"^[:;\-–—•\.\s]+$", r"^\s*[:;\-–—•]+\s*"
 SHOWN_TEXT, SHOWN_LINE = 1500, 20
 SIDE_EFFECT_BUCKETS = ["common", "less_common", "rare", "postmarketing", "unknown_frequency"]

@@ -85,8 +85,9 @@ def fix_mojibake(c: Column | str) -> Column:
 
 def fix_truncations(c: Column | str) -> Column:
     base = F.replace(text(c), F.lit("�"), F.lit(""))
-    base = sub(sub(base, r"(?iu)\bcetaminophen\b", "acetaminophen"), r"(?iu)\bcetamino\b", "acetaminophen")
-    base = sub(replace_all(base, C.TRUNCATIONS), "â.{1,2}", "...")
+    for name in C.CUT_NAMES:
+        base = sub(base, f"(?iu){name}", C.WHOLE_NAME)
+    base = sub(replace_all(base, C.TRUNCATIONS), C.CUT_ELLIPSIS, C.ELLIPSIS)
     return strip(sub(sub(sub(base, r"[ \t]+"), r"(?U)\s+\n", "\n"), r"(?U)\n\s+", "\n"))
 
 
