@@ -13,7 +13,7 @@ from ..functions import textclean as T
 from ..operators import core, facts, lookup
 from ..operators import relational as R
 from ..sources import readers, sinks
-from .queries import _BUCKETS, _LIST, _SHOWN, _answered, _asked, _docs, _drugs, _first_of_each, _sql, query
+from .queries import _BUCKETS, _LIST, _SHOWN, _answered, _asked, _docs, _drugs, _first_of_each, _shown, _sql, query
 
 
 def _quoted(text: str) -> str:
@@ -350,6 +350,21 @@ def q8_match_rows(t):
     return rows.select([F.to_json(c).alias(c) if rows.schema[c].dataType.typeName() in ("struct", "map", "array") else F.col(c) for c in rows.columns])
 
 
+_INDICATIONS = "'For pain of ' || c || ':' || chr(10) || '..' || chr(10) || 'too short' || chr(10) || '- Take one of ' || c || ' in the   morning' || repeat(' and one more', k % 150)"
+
+
+@query(f"""WITH d AS (SELECT p_name AS c, min(p_partkey) + 10 AS k FROM part GROUP BY p_name UNION ALL SELECT 'acetaminophen', 1), a AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'acetaminophen' ELSE p_name END AS c FROM part)
+    SELECT p_partkey, c AS match, k AS row_no, 'DRUG_' || k AS drug_id, 'class' AS drug_class, 'Oral, IV' AS route, {_shown(_INDICATIONS)} AS indications, c || ', itch' AS common, CASE WHEN k % 2 = 0 THEN 'rash of ' || c END AS rare FROM a JOIN d USING (c)""")
+def q8_w4_answer_rows(t):
+    k, name = F.col("row_no"), F.col("generic_name_clean")
+    shown = {"drug_id": F.concat(F.lit("DRUG_"), k), "drug_class": F.lit("class"), "route": F.lit("oral/iv"), "indications": F.expr(_INDICATIONS.replace("k %", "int(row_no) %").replace(" c ", " generic_name_clean ").replace("chr(10)", "char(10)"))}
+    drugs = _drugs(t).withColumns(shown | {"common_side_effects": F.concat(name, F.lit(" , itch, Itch")), "rare_side_effects": F.when(k % 2 == 0, F.concat(F.lit("rash of "), name))})
+    asked = t("part").select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, "Panadol 500 mg").otherwise(F.upper("p_name")).alias("query"))
+    out = lookup.lookup_batch(asked.select("query").distinct(), drugs).select("query", F.get("matches", F.lit(0)).alias("m"))
+    effects = F.col("m.side_effects_buckets")
+    return asked.join(out, "query").select("p_partkey", "m.match", "m.row_no", "m.drug_id", "m.drug_class", "m.route", "m.indications", effects["common"].alias("common"), effects["rare"].alias("rare"))
+
+
 # text cleaners -------------------------------------------------------
 
 _SECTION = "CASE WHEN contains(b, ':' || chr(10)) THEN {0} ELSE {1} END"

@@ -448,7 +448,24 @@ def t17_clean_long_text(t):
     return t("documents").select("doc_id", T.cleaner(T.clean_long_text)("text").alias("clean"))
 
 
-@query()
+def _shown(c: str) -> str:
+    """Display text in SQL, of a column or value c; the steps are columns of one row."""
+    strip = lambda e: f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+    joined = lambda e: strip(f"regexp_replace(array_to_string({e}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+    lines = lambda e: f"list_transform(string_split({e}, chr(10)), lambda x: {strip('x')})"
+    text = strip(f"regexp_replace(coalesce({c}, ''), '\\r\\n?', chr(10), 'g')")
+    text = strip(f"regexp_replace(regexp_replace(replace({text}, '\\n', chr(10)), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+    bare = f"CASE WHEN x = '' THEN x ELSE {strip(f"regexp_replace(x, '{C.LEADING_PUNCTUATION}', '')")} END"
+    text = joined(f"list_transform(list_filter({lines(text)}, lambda x: NOT regexp_matches(x, '{C.ONLY_PUNCTUATION}')), lambda x: {bare})")
+    for again, end in (("\\b[: ]*", ":' || chr(10) || '"), (":\\s*$", ":")):
+        for x in sorted(C.LABELS, key=len, reverse=True):
+            text = f"regexp_replace({text}, '(?mi)^{x}:\\s*\\n\\s*{x}{again}', '{x}{end}', 'g')"
+    text = joined(f"list_transform({lines(text)}, lambda x: {strip("regexp_replace(x, '[ \\t]+', ' ', 'g')")})")
+    text = joined(f"list_filter({lines(text)}, lambda x: x = '' OR length(x) >= {C.SHOWN_LINE} OR ends_with(x, ':'))")
+    return f"(SELECT CASE WHEN length(s) > {C.SHOWN_TEXT} THEN regexp_replace(left(s, {C.SHOWN_TEXT}), '\\s+$', '') || '…' ELSE s END FROM (SELECT {text} AS s))"
+
+
+@query(f"SELECT doc_id, {_shown('text')} AS clean FROM documents")
 def t18_display_text(t):
     return t("documents").select("doc_id", E.display_text("text").alias("clean"))
 
