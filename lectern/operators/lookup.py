@@ -45,31 +45,80 @@ SHOWN = ["drug_id", "generic_name", "generic_name_clean", "brand_names", "drug_c
 
 
 class Store(NamedTuple):
-    """rows: row_no and the columns of an answer. keys: key, row_no, is_primary, name. grams: posting lists of the keys, see postings().
-    pool: what suggestions are made of, match, rank and name; pool_grams: its posting lists. large: whether posting lists are used."""
+    """rows: row_no and the columns of an answer. keys: key, row_no, is_primary, name. pool: what suggestions are made of, match, rank
+    and name. lists: tables of the posting lists of keys and pool, see postings(); a small store that goes with the application has
+    none, and makes them if they are asked for. large: whether posting lists are used."""
 
     rows: DataFrame
     keys: DataFrame
-    grams: DataFrame
     pool: DataFrame
-    pool_grams: DataFrame
+    lists: tuple[DataFrame, DataFrame] | None
     large: bool
 
+    @property
+    def grams(self) -> DataFrame:
+        return self.lists[0] if self.lists else postings(_by_key(self.keys))
+
+    @property
+    def pool_grams(self) -> DataFrame:
+        return self.lists[1] if self.lists else postings(_by_rank(self.pool))
+
+
+def _by_key(keys: DataFrame) -> DataFrame:
+    return keys.select("key", F.col("key").alias("rank"))
+
+
+def _by_rank(pool: DataFrame) -> DataFrame:
+    return pool.select(F.col("match").alias("key"), "rank")
+
+
+def row_names() -> Column:
+    """What a row is found by, in order: clean name, generic name, short brand; none of them if it has neither name."""
+    names = F.array(E.normalize_text("generic_name_clean"), E.normalize_text("generic_name"), E.short_brand_key("brand_names"))
+    return E._let(names, lambda a: F.when((a[0] != "") | (a[1] != ""), a).otherwise(F.array().cast("array<string>")))
+
+
+def _first_rows(named: DataFrame) -> DataFrame:
+    """key, row_no, is_primary of row_no and row_names()."""
+    out = named.select("row_no", F.posexplode("_names").alias("pos", "key")).filter("key <> ''")
+    return out.groupBy("key").agg(F.min("row_no").alias("row_no"), F.max(F.col("pos") < 2).alias("is_primary"))
+
 
 def build_keys(drugs: DataFrame) -> DataFrame:
     """key, row_no, is_primary: first row wins; within a row clean name, generic name, short brand. drugs: row_no, generic_name_clean, generic_name, brand_names."""
-    names = [E.normalize_text("generic_name_clean"), E.normalize_text("generic_name")]
-    keys = F.array(*[F.struct(F.lit(i).alias("pos"), k.alias("key"), F.lit(i < 2).alias("is_primary")) for i, k in enumerate([*names, E.short_brand_key("brand_names")])])
-    out = drugs.filter((names[0] != "") | (names[1] != "")).select("row_no", F.explode(keys).alias("_k")).select("row_no", "_k.*").filter("key <> ''")
-    return out.groupBy("key").agg(F.min(F.struct("row_no", "pos")).alias("_f"), F.max("is_primary").alias("is_primary")).select("key", F.col("_f.row_no").alias("row_no"), "is_primary")
+    return _first_rows(drugs.select("row_no", row_names().alias("_names")))
+
+
+#: Of a store's tables; to be raised with every change of what they hold, so that no older ones are carried over.
+FORMAT = 2
 
 
-TABLES = ["rows", "keys", "grams", "pool", "pool_grams"]
+def _digested(drugs: DataFrame) -> DataFrame:
+    """row_no and _digest, of all other cells."""
+    cells = F.struct(*[F.col(f"`{c}`") for c in sorted(drugs.columns) if c != "row_no"])
+    return drugs.withColumn("_digest", F.sha2(F.to_json(cells, {"ignoreNullFields": "false"}), 256))
 
 
-def build_store(drugs: DataFrame, folder: str | None = None) -> Store:
+def _shown_rows(drugs: DataFrame, since: str, old: Store | None) -> DataFrame:
+    """drugs with what answers show of them, _names, by which they are found, and _since: for which version of the store that was made.
+    Of rows with the same cells as one of old's, wherever they stand, it is taken from there."""
+
+    def made(some: DataFrame) -> DataFrame:
+        return match_rows(some.withColumn("_raw", E.text("generic_name")).withColumn("_names", row_names())).withColumnRenamed("_raw", "generic_name_raw").withColumn("_since", F.lit(since))
+
+    drugs = _digested(drugs)
+    if old is None:
+        return made(drugs)
+    known = sinks.materialize(old.rows.groupBy("_digest").agg(F.min("row_no").alias("_old")), "lookup-known")  # one row for each: narrow
+    same = drugs.select("row_no", "_digest").join(known, "_digest").select(F.col("row_no").alias("_new"), "_old")
+    taken = old.rows.join(same, F.col("row_no") == F.col("_old")).drop("row_no", "_old").withColumnRenamed("_new", "row_no")
+    return made(drugs.join(known.select("_digest"), "_digest", "left_anti")).unionByName(taken)
+
+
+def build_store(drugs: DataFrame, folder: str | None = None, old: Store | None = None) -> Store:
     """The store of a table of drugs (row_no, generic_name_clean, generic_name, brand_names, and what else an answer shows). folder: where
-    its tables go, to stay; otherwise they go with the application, and small ones have no posting lists."""
+    its tables go, to stay; otherwise they go with the application, and small ones have no posting lists. old: a store of a table with
+    the same columns, from which the work on equal rows, and on keys that are still there, is taken over."""
     spark = drugs.sparkSession
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -79,34 +128,41 @@ def build_store(drugs: DataFrame, folder: str | None = None) -> Store:
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     drugs = readers.add_missing(drugs, [c for c in SHOWN if c != "route"] + ["route"])
-    rows = kept(match_rows(drugs).withColumn("generic_name_raw", E.text("generic_name")), "rows")
+    rows = kept(_shown_rows(drugs, (folder or "").rpartition("/")[2], old), "rows")
     named = rows.select(F.col("row_no").alias("_r"), F.coalesce(F.nullif("generic_name_clean", F.lit("")), F.nullif("generic_name_raw", F.lit(""))).alias("name"))
-    keys = build_keys(drugs)
+    keys = _first_rows(rows.select("row_no", "_names"))
     keys = kept(keys.join(named, F.col("row_no") == F.col("_r")).select("key", "row_no", "is_primary", F.coalesce("name", "key").alias("name")), "keys")
     pool = kept(suggestion_pool(keys), "pool")
-    large = keys.count() > SMALL_POOL
-    grams, pool_grams = postings(keys.select("key", F.col("key").alias("rank"))), postings(pool.select(F.col("match").alias("key"), "rank"))
+    large, lists = keys.count() > SMALL_POOL, None
     if large or folder:
-        grams, pool_grams = kept(grams, "grams"), kept(pool_grams, "pool_grams")
-    return Store(rows, keys, grams, pool, pool_grams, large)
+        before = old.lists if old and old.lists else (None, None)
+        lists = tuple(kept(_renewed(names, b), name) for names, b, name in ((_by_key(keys), before[0], "grams"), (_by_rank(pool), before[1], "pool_grams")))
+    return Store(rows, keys, pool, lists, large)
 
 
 def open_store(spark: SparkSession, path: str, folder: str) -> Store:
     """The store of the catalogue at path, kept in folder for all applications. It is made if there is none, or if the files at path are
-    others than those it was made from, by their names, lengths and times. A new version is written beside the old one and takes its
-    place by one rename, so whoever has the old one open keeps it, and a failure leaves it in place."""
+    others than those it was made from, by their names, lengths and times; then only rows that no file held before are cleaned, and only
+    keys that are new get posting lists. A new version is written beside the old one and takes its place by one rename, so whoever has
+    the old one open keeps it, and a failure leaves it in place."""
     files = readers.fingerprint(spark, path)
     told = sinks.manifest(spark, folder)
-    if told is None or told.get("files") != files:
-        drugs = readers.read_csv(spark, path, row_no="row_no")
-        readers.require_columns(drugs, ["drug_id", "generic_name", "generic_name_clean"])
-        drugs = sinks.materialize(readers.add_missing(drugs, ["brand_names"]), "catalogue")
-        version = sinks.new_version(folder)
-        store = build_store(drugs, f"{folder}/{version}")
-        sinks.commit(spark, folder, version, files=files, large=store.large)
-        return store
-    tables = [spark.read.parquet(f"{folder}/{told['version']}/{name}") for name in TABLES]
-    return Store(*tables, told["large"])
+    told = told if told and told.get("format") == FORMAT else None
+    present = _opened(spark, folder, told) if told else None
+    if told and told["files"] == files:
+        return present
+    drugs = readers.read_csv(spark, path, row_no="row_no")
+    readers.require_columns(drugs, ["drug_id", "generic_name", "generic_name_clean"])
+    drugs = sinks.materialize(readers.add_missing(drugs, ["brand_names"]), "catalogue")
+    version, columns = sinks.new_version(folder), sorted(drugs.columns)
+    store = build_store(drugs, f"{folder}/{version}", present if told and told["columns"] == columns else None)
+    sinks.commit(spark, folder, version, files=files, large=store.large, columns=columns, format=FORMAT)
+    return store
+
+
+def _opened(spark: SparkSession, folder: str, told: dict) -> Store:
+    rows, keys, pool, *lists = [spark.read.parquet(f"{folder}/{told['version']}/{name}") for name in ("rows", "keys", "pool", "grams", "pool_grams")]
+    return Store(rows, keys, pool, tuple(lists), told["large"])
 
 
 _STORES: dict[str, Store] = {}
@@ -192,6 +248,25 @@ def postings(names: DataFrame) -> DataFrame:
     return _ranked(names, common)
 
 
+def _renewed(names: DataFrame, old: DataFrame | None) -> DataFrame:
+    """The posting lists of names (a table), those of old taken over for names that are there.
+
+    n, by which a name's grams are in order of rarity, need only be the same for all holders of a gram, not exact: so a gram
+    that old knows keeps its n. Once a gram that counts as light is held by over twice HEAVY names, all lists are made anew.
+    """
+    if old is None:
+        return postings(names)
+    there = sinks.materialize(old.join(names, ["key", "rank"], "left_semi"), "lookup-there")
+    new = sinks.materialize(names.join(there.select("key", "rank").distinct(), ["key", "rank"], "left_anti"), "lookup-new")
+    known = there.groupBy("gram").agg(F.min("n").alias("_n"), F.count("*").alias("_there"))
+    added = new.select(F.explode(grams_of(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("_new"))
+    common = added.join(known, "gram", "left").select("gram", F.coalesce("_n", "_new").alias("n"), (F.coalesce("_there", F.lit(0)) + F.col("_new")).alias("_held"))
+    common = sinks.materialize(common, "lookup-common")
+    if not common.filter((F.col("n") <= HEAVY) & (F.col("_held") > 2 * HEAVY)).isEmpty():
+        return postings(names)
+    return there.unionByName(_ranked(new, common.select("gram", "n")))
+
+
 def _asked(queries: DataFrame, grams: DataFrame) -> DataFrame:
     common = grams.select("gram", "n").distinct()
     asked = _ranked(queries.select(F.col("q").alias("key")), common).withColumnRenamed("key", "q")
@@ -294,8 +369,8 @@ def _by_postings(queries: DataFrame, pool: DataFrame, grams: DataFrame, cutoff:
     return scored.join(ranks, F.col("match") == F.col("_m")).select("q", "match", "rank", "score").unionByName(met).dropDuplicates(["q", "match"])
 
 
-def nearest(queries: DataFrame, pool: DataFrame, grams: DataFrame, cutoff: float, limit: int, large: bool = True) -> DataFrame:
-    """queries: q, once each; pool: match, rank; grams: its posting lists. q, match, rank, score: among which are the best `limit` of each query, ties by rank."""
+def nearest(queries: DataFrame, pool: DataFrame, grams: DataFrame | None, cutoff: float, limit: int, large: bool = True) -> DataFrame:
+    """queries: q, once each; pool: match, rank; grams: its posting lists, if large. q, match, rank, score: among which are the best `limit` of each query, ties by rank."""
     if not large:
         return scan(queries, pool, cutoff, limit)
     if cutoff >= JOINED_FROM:
@@ -309,7 +384,7 @@ def nearest(queries: DataFrame, pool: DataFrame, grams: DataFrame, cutoff: float
 def fuzzy_top(queries: DataFrame, column: str, store: Store, cutoff: float = C.MIN_SCORE, limit: int = 10) -> DataFrame:
     """column, _top: for each of queries the best keys (match, score), best first, ties by key."""
     asked = queries.select(F.col(column).alias("q")).distinct()
-    found = nearest(asked, store.keys.select(F.col("key").alias("match"), F.col("key").alias("rank")), store.grams, cutoff, limit, store.large)
+    found = nearest(asked, store.keys.select(F.col("key").alias("match"), F.col("key").alias("rank")), store.grams if store.large else None, cutoff, limit, store.large)
     return _best(found.drop("rank"), limit, [F.col("match")]).withColumnRenamed("q", column)
 
 
@@ -327,7 +402,7 @@ def suggestion_pool(keys: DataFrame) -> DataFrame:
 def suggest(queries: DataFrame, column: str, store: Store, cutoff: float, top_k: int = C.TOP_K) -> DataFrame:
     """column, suggestions: names of the rows whose keys come nearest, normalised, each once, at most top_k."""
     asked = queries.select(F.col(column).alias("q")).distinct()
-    found = nearest(asked, store.pool.select("match", "rank"), store.pool_grams, cutoff, max(top_k, 15), store.large)
+    found = nearest(asked, store.pool.select("match", "rank"), store.pool_grams if store.large else None, cutoff, max(top_k, 15), store.large)
     named = found.join(store.pool.select(F.col("match").alias("_m"), "name"), F.col("match") == F.col("_m")).select("q", "match", "score", "rank", "name")
     best = _best(named, max(top_k, 15), [F.col("rank")])
     names = E.distinct_keep_first(F.transform("_top", lambda x: E.normalize_text(x["name"])), lambda k: k)

@@ -81,3 +81,41 @@ def test_a_store_outlives_its_application_and_notices_new_files(spark, tmp_path,
     assert sinks.manifest(spark, folder)["files"][-1][0].endswith("b.csv")
     with pytest.raises(FileNotFoundError):
         lookup.open_store(spark, str(tmp_path / "none"), folder)
+
+
+def test_a_changed_catalogue_takes_over_what_is_still_there(spark, tmp_path, monkeypatch):
+    """Rows that move, go, come and repeat; the store equals one made anew but for the order of grams, and only new rows and keys are worked on."""
+    catalogue, folder = tmp_path / "catalogue", str(tmp_path / "store")
+    catalogue.mkdir()
+    head = "drug_id,generic_name,generic_name_clean,brand_names,warnings\n"
+    two = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    line = lambda i: f"D{i},Name {two(i)}xol,name {two(i)}xol,Brand {two(i)}zin,May harm {i}\n"
+    (catalogue / "b.csv").write_text(head + "".join(map(line, range(60))))
+    lookup.open_store(spark, str(catalogue), folder)
+    (catalogue / "a.csv").write_text(head + line(100) + line(7) + line(100))  # before all others: every row gets another number
+    (catalogue / "b.csv").write_text(head + "".join(map(line, range(3, 61))))
+    ranked, plain = [], lookup._ranked
+    monkeypatch.setattr(lookup, "_ranked", lambda names, common: ranked.append(names.count()) or plain(names, common))
+    got = lookup.open_store(spark, str(catalogue), folder)
+    assert ranked == [4, 2]  # keys and names of suggestions that are new: of rows 60 and 100, and their brands
+    version = sinks.manifest(spark, folder)["version"]
+    assert sorted(r["drug_id"] for r in got.rows.filter(F.col("_since") == version).collect()) == ["D100", "D100", "D60"]
+    new = lookup.build_store(readers.read_csv(spark, str(catalogue), row_no="row_no"))
+    tell = lambda df, *drop: sorted(map(str, (sorted(r.asDict().items()) for r in df.drop(*drop).collect())))
+    assert tell(got.rows, "_since") == tell(new.rows, "_since") and tell(got.keys) == tell(new.keys) and tell(got.pool) == tell(new.pool)
+    assert tell(got.grams.select("key", "gram", "rank", "need")) == tell(new.grams.select("key", "gram", "rank", "need"))
+    assert got.grams.select("gram", "n").distinct().count() == got.grams.select("gram").distinct().count()  # one order for all
+    monkeypatch.setattr(lookup, "SMALL_POOL", 0)
+    asked = spark.createDataFrame([("nam aexol",), ("name daxl",), ("brnd aczin",), ("name aaxol",), ("mane",)], "query string")
+    large, small = (tell(lookup.lookup_batch(asked, s)) for s in (got._replace(large=True), new._replace(large=False)))
+    assert large == small and len(large) == 5
+
+
+def test_lists_are_made_anew_when_a_light_gram_has_grown_heavy(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "HEAVY", 3)
+    names = lambda n: lookup.sinks.materialize(spark.createDataFrame([(f"q{chr(98 + i)}", f"q{chr(98 + i)}") for i in range(n)], "key string, rank string"), "names")
+    first = lookup.sinks.materialize(lookup.postings(names(3)), "first")
+    held = lambda df: df.filter("gram = ' q0'").agg(F.min("n"), F.max("n"), F.count("*")).first()
+    assert tuple(held(lookup._renewed(names(6), first))) == (3, 3, 6)  # as it was noted
+    assert tuple(held(lookup._renewed(names(7), first))) == (7, 7, 7)  # over twice HEAVY: counted again
+    assert lookup._renewed(names(7).limit(0), first).count() == 0
