@@ -5,7 +5,9 @@ among the `reach` terms on either side of an entity, however far they are, discl
 information, measured over all documents; a term whose information reaches the share `disclosure` of the entity's own
 information content, in at least `support` different contexts, gives the entity away and is a span of kind `term`
 wherever it occurs. Pairs, entities and terms count once for each distinct text that holds them, so copies of a document
-neither show nor hide anything. Pairs and term counts are aggregated before they are shuffled, and terms are counted in
+neither show nor hide anything. With `classes`, what a value belongs to is an entity as well: the domain of an address, the
+first three parts of an ip, the first six digits of a card, a phone number but for its last four digits. So a name that stands
+near different addresses of one domain gives that away, though no address is told often enough. Pairs and term counts are aggregated before they are shuffled, and terms are counted in
 one pass over the texts. Up to `most_told` keys of terms are broadcast, 8 bytes each, as a sorted array that tasks search;
 more of them meet the documents' own terms in a join, with equal results.
 
@@ -112,6 +114,14 @@ def _entity(text: str, kind: int) -> int:
     return xxhash.xxh64_intdigest(text.lower() if kind == 0 else text if kind == 1 else NOT_DIGIT.sub("", text), kind)
 
 
+def _class(text: str, kind: int) -> int:
+    """What a value belongs to, as the key of an entity of its own kind."""
+    if kind < 2:
+        return xxhash.xxh64_intdigest(text.lower().rpartition("@")[2] if kind == 0 else text.rpartition(".")[0], 10 + kind)
+    digits = NOT_DIGIT.sub("", text)
+    return xxhash.xxh64_intdigest(digits[:6] if kind == 2 else digits[:-4], 10 + kind)
+
+
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -134,18 +144,18 @@ class _Covered:
         return k >= 0 and self.ends[k] > a
 
 
-def _near(text: str, spans: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[int, list[int]]]:
-    """Each entity of a text with the keys of the `reach` terms before it and the `reach` after it, however far they are; terms inside a span do not count."""
+def _near(text: str, spans: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[int, list[int], int]]:
+    """Each entity of a text with the keys of the `reach` terms before it and the `reach` after it, however far they are, and its class; terms inside a span do not count."""
     covered = _Covered(spans)
     terms = [m.span() for m in TERM.finditer(text) if not covered.overlaps(*m.span())] if spans else []
     starts = [t[0] for t in terms]
     for a, kind, b in spans:
         k = bisect_left(starts, a)
-        yield _entity(text[a:b], kind), [_key(text[x:y]) for x, y in terms[max(0, k - reach) : k] + terms[bisect_left(starts, b) :][:reach]]
+        yield _entity(text[a:b], kind), [_key(text[x:y]) for x, y in terms[max(0, k - reach) : k] + terms[bisect_left(starts, b) :][:reach]], _class(text[a:b], kind)
 
 
-def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: int, most_told: int = TOLD) -> DataFrame:
-    """texts: one column text. t: keys of the terms that give an entity away."""
+def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: int, most_told: int = TOLD, classes: bool = False) -> DataFrame:
+    """texts: one column text. t: keys of the terms that give an entity away, or with classes a class of them."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lambda *lists: pa.RecordBatch.from_arrays([_signed(x) for x in lists], names=["e", "t", "c", "h"])
@@ -153,16 +163,17 @@ def disclosing_terms(texts: DataFrame, disclosure: float, support: int, reach: i
             e, t, c, h = [], [], [], []
             for text in batch.column(0).to_pylist():
                 once, digest = set(), None
-                for entity, terms in _near(text, base_spans(text), reach) if text else ():
+                for value, terms, kin in _near(text, base_spans(text), reach) if text else ():
                     digest = digest or xxhash.xxh64_intdigest(text)
                     context = xxhash.xxh64_intdigest(np.array(terms, np.uint64).tobytes())
-                    for term in {0, *terms}:  # 0 stands for the entity itself
-                        if (entity, term, context) not in once:
-                            once.add((entity, term, context))
-                            e.append(entity)
-                            t.append(term)
-                            c.append(context)
-                            h.append(digest)
+                    for entity in (value, kin) if classes else (value,):
+                        for term in {0, *terms}:  # 0 stands for the entity itself
+                            if (entity, term, context) not in once:
+                                once.add((entity, term, context))
+                                e.append(entity)
+                                t.append(term)
+                                c.append(context)
+                                h.append(digest)
                 if len(e) > 100_000:
                     yield made(e, t, c, h)
                     e, t, c, h = [], [], [], []
@@ -267,11 +278,11 @@ def _own_terms(plain: DataFrame, terms: DataFrame) -> DataFrame:
     return keyed.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_t") == F.col("h")), "left").select("doc_id", "text", "_own")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int = REACH, most_told: int = TOLD) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int = REACH, most_told: int = TOLD, classes: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined) and n_spans, their number, for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    terms = materialize(disclosing_terms(texts, disclosure, support, reach, most_told), "disclosing")
+    terms = materialize(disclosing_terms(texts, disclosure, support, reach, most_told, classes), "disclosing")
     few = terms.limit(most_told + 1).count() <= most_told
     told = _told(terms, few)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

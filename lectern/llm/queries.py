@@ -49,7 +49,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(table(spark, sf_dir, "documents"), classes=True)
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

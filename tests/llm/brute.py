@@ -304,7 +304,7 @@ def op10_found(text):
     return sorted(out)
 
 
-def op10_spans(docs, disclosure, support, reach):
+def op10_spans(docs, disclosure, support, reach, classes=False):
     """doc_id -> spans. docs: (doc_id, text)."""
     import math
 
@@ -320,10 +320,12 @@ def op10_spans(docs, disclosure, support, reach):
         for a, k, b in base:
             name = (k, t[a:b].lower() if k == 0 else t[a:b] if k == 1 else re.sub(r"[^0-9]", "", t[a:b]))
             around = [m[0].lower() for m in near if m.end() <= a][-reach:] + [m[0].lower() for m in near if m.start() >= b][:reach]
-            entity_texts[name].add(t)
-            for w in set(around):
-                both_texts[name, w].add(t)
-                contexts[name, w].add(tuple(around))
+            kin = ("class", k, [lambda v: v.split("@")[1], lambda v: ".".join(v.split(".")[:3]), lambda v: v[:6], lambda v: v[:-4]][k](name[1])) if classes else name
+            for x in {name, kin}:
+                entity_texts[x].add(t)
+                for w in set(around):
+                    both_texts[x, w].add(t)
+                    contexts[x, w].add(tuple(around))
     n, told = max(2, len(docs)), set()
     for (name, w), texts in both_texts.items():
         content = math.log(n / len(entity_texts[name]))

@@ -5,7 +5,8 @@ import time
 from collections import Counter
 
 import numpy as np
-from brute import op6, op9, roots
+import pytest
+from brute import op6, op9, op10_spans, roots
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -238,6 +239,48 @@ def test_planted_disclosing_terms_are_found_and_clean_texts_left_alone(spark):
         assert caught >= 0.9 and left >= 0.99
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_terms_planted_in_documents_of_the_table_are_found_by_their_classes(spark, seed):
+    """Names told near values of which none is told twice, in whole documents of the table; other documents get no term span."""
+    r = np.random.RandomState(seed)
+    docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    texts, free, names = dict(docs), [d for d, t in docs if t], {}
+    r.shuffle(free)
+    for k in range(24):
+        name = "Q" + "".join(map(chr, r.randint(97, 123, 8)))
+        for m in range(r.randint(3, 6)):
+            last = r.randint(1000, 9999)
+            value = [f"{'abcdef'[m]}.{last}@{name[2:6]}.example.org", f"172.{k}.9.{m + 10}", f"+49 (30{k:02d}) 77-{last}"][k % 3]
+            d = free.pop()
+            words = texts[d].split(" ")
+            at = r.randint(0, len(words) + 1)
+            texts[d] = " ".join([*words[:at], *([name, value] if r.rand() < 0.5 else [value, "for", name]), *words[at:]])
+            names[d] = name
+        for d in [free.pop() for _ in range(r.randint(0, 3))]:  # alone
+            texts[d], names[d] = f"{texts[d]} {name}", name
+    frame = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    out = {x["doc_id"]: x["spans"] for x in pii.find(frame, classes=True).collect()}
+    terms = {d: {texts[d][int(a) : int(b)] for k, a, b in (s.split(":") for s in spans.split(",") if s) if k == "term"} for d, spans in out.items()}
+    caught = sum(n in terms[d] for d, n in names.items()) / len(names)
+    others = [d for d, _ in docs if d not in names]
+    print(f"caught {caught:.3f} of {len(names)}; of {len(others)} other documents {sum(bool(terms[d]) for d in others)} with a term span")
+    assert caught >= 0.9 and not any(terms[d] for d in others)
+    assert not any("term:" in x["spans"] for x in pii.find(frame).collect())  # no value by itself is told often enough
+
+
+def test_classes_equal_plain_restatement(spark):
+    texts, _ = planted(3, 30, 200)
+    texts += [f"{w} Zorblatt {v} near {w}" for w, v in zip(("kilo", "lima", "mike", "none", "oscar"), ("a@Zed.example", "b@zed.example", "c@zed.example", "d@zed.example", "@zed.example"))]
+    texts += [f"{w} Quuxter {v} by" for w, v in (("one", "10.0.7.1"), ("two", "10.0.7.2"), ("three", "10.0.7.3"), ("four", "4111 1111 1111 1111"), ("five", "4111 1122 2222 2222"))] + ["Zorblatt", "quuxter Quuxter", "", None, texts[-1], texts[0]]
+    every = list(enumerate(texts))
+    frame = spark.createDataFrame(every, "doc_id long, text string")
+    for support, disclosure in ((pii.SUPPORT, pii.DISCLOSURE), (2, 0.6)):
+        want = op10_spans(every, disclosure, support, pii.REACH, classes=True)
+        assert {x["doc_id"]: x["spans"] for x in pii.find(frame, support=support, disclosure=disclosure, classes=True).collect()} == want
+    assert pii._class("A@B.cd", 0) == pii._class("x@b.CD", 0) != pii._class("x@c.cd", 0) and pii._class("1.2.3.4", 1) != pii._class("1.2.4.4", 1) and pii._class("+1 2345 678-9012", 3) == pii._class("+12345678 9999", 3)
+    assert pii.find(frame.limit(0), classes=True).count() == 0
+
+
 def test_copies_neither_show_nor_hide_terms(spark, monkeypatch):
     fill = [f"plain words number {w} about nothing" for w in ("alpha", "beta", "gamma", "delta", "epsilon") for _ in range(40)]
     told = [f"{w} reach Zorblatt under zed@corp.example for {w} things" for w in ("kilo", "lima", "mike", "november")]
