@@ -80,3 +80,9 @@ FREQUENCY_WORDS = {"common": ["very common", "common", "frequent"], "less_common
 ROUTE_CODES = ["iv", "im", "sc", "sq", "po"]
 NAME_PREFIXES = [r"^\(.*?\)\s*", r"^\d+(\.\d+)?%\s*", r"\bto deliver\b"]
 NAME_CHARS, GENERIC_CHARS = r"[^a-z0-9\s\-]+", r"[^a-z0-9\s\-/+.]"
+#: Texts that a cleaner remembers, and how long they are at most; rows of a batch of which results are strings of Python's at once.
+KEPT_TEXTS, KEPT_CHARS, PART_ROWS = 256, 4096, 250
+#: Without one of these words a pattern finds nothing: of units, of a cut name, of each warning section. Words of a window that are compared first.
+UNIT_STARTS = ("keep out of reach of children", "keep away from fire", "for external use only", "warning", "precautions", "do not use", "when using this product", "ask a doctor before use", "ask a doctor or pharmacist before use", "stop use and ask", "if swallowed", "in case of overdose", "poison control")
+CUT_NAME, WINDOW_PART = "cetamino", 6
+WARNING_WORDS = {title: ("pregnan", "breast") if "Pregnancy" in title else (title.lower().removesuffix(" and ask a doctor if"),) for title, _ in WARNING_SECTIONS}

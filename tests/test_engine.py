@@ -5,6 +5,7 @@ import random
 import re
 import subprocess
 import sys
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -175,6 +176,51 @@ def test_cleaners_by_hand(f, x, want):
     assert f(x) == want
 
 
+def test_blocks_reach_as_difflib_says():
+    """Decided without SequenceMatcher, with equal results: short and long keys, frequent characters, edges of blocks."""
+    r = random.Random(1)
+    words = ["".join(r.choice("eettaaoinshrdlucmfwypvbgkjqxz") for _ in range(r.randint(1, 8))) for _ in range(30)]
+    for k in (1, 5, 15, 40, 60, 200) * 6:
+        a = " ".join(r.choice(words) for _ in range(k))
+        b = list(r.choice((a, " ".join(r.choice(words) for _ in range(2 * k)))))
+        for _ in range(r.choice((0, 3, 20))):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 9)] = r.choice(words)
+        b = "".join(b)
+        found = sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+        for least in (1, found // 2, found, found + 1):
+            assert S.blocks_reach(a, b, least, S.seeds_of(b)) is (found >= least)
+        for ratio, cover in ((0.88, 0.55), (0.92, None), (None, 0.7)):
+            by_cover = cover is not None and min(len(a), len(b)) >= C.COVERED_LEAST and T.coverage(a, b) >= cover
+            assert T.same_keys(a, b, ratio, cover) is (ratio is not None and SequenceMatcher(None, a, b).ratio() >= ratio or by_cover)
+
+
+def test_twins_of_long_texts_take_no_matcher(monkeypatch):
+    """Neighbours that say different things are told apart by counts and subsequences: no matching blocks are looked for."""
+    asked = []
+    monkeypatch.setattr(T, "blocks_reach", lambda *a: asked.append(a) or S.blocks_reach(*a))
+    said = [" ".join(f"{c}{d}{c}{e}" for e in "aeiou" for d in "xyz") + "." for c in "bcdfghjklmnp"]
+    assert T.dedupe_sentences(" ".join(said * 2)) == " ".join(said) and not asked
+
+
+def test_equal_columns_are_cleaned_once(spark):
+    """One column function for each cleaner: Spark runs it once for the columns that share a text."""
+    out = T.clean_table(spark.createDataFrame([("Use it.", "Use it.")], "t string, other string").selectExpr("t AS indications", "t AS contraindications", "t AS dosage_and_administration"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("run(t#") == 1 and tuple(out.first()) == ("Use it.",) * 3
+
+
+def test_cleaner_in_parts(spark, monkeypatch):
+    """A batch is worked on in parts, and only short texts are remembered."""
+    texts = [f"{i} " + "word " * (i % 7) for i in range(2 * C.PART_ROWS + 3)] + [None, "x " * C.KEPT_CHARS]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", T.cleaner(T.flat)("t").alias("c")).collect()
+    assert [r.c for r in sorted(got)] == [T.flat(t or "") for t in texts]
+    T._KEYS.clear()
+    for t in texts:
+        T.key_of(t)
+    assert len(T._KEYS) <= C.KEPT_TEXTS and max(map(len, T._KEYS)) <= C.KEPT_CHARS
+
+
 @pytest.mark.parametrize(
     ("x", "want"),
     [
