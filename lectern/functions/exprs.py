@@ -147,15 +147,28 @@ def join_sections(a: Column) -> Column:
 
 
 def distinct_keep_first(a: Column, key=F.lower, cap: int | None = None) -> Column:
-    """The array kernel: first of each key, blanks dropped, in order, at most cap. Sorting by key and place keeps it n log n."""
+    """The array kernel: first of each key, blanks dropped, in order, at most cap. With a cap the first keys are found by hashing and
+    their items by place; without one, sorting by key and place keeps it n log n."""
 
     def firsts(s: Column) -> Column:
         new = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"]))
         return F.transform(F.array_sort(F.transform(new, lambda x: F.struct(x["i"], x["p"]))), lambda x: x["p"])
 
+    if cap is not None:
+        return first_of_each(a, key, lambda items, keys, distinct: items_of(items, keys, F.slice(distinct, 1, cap)))
     placed = F.transform(F.filter(a, lambda p: p != ""), lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p.alias("p")))
-    out = _let(F.array_sort(placed), firsts)
-    return out if cap is None else F.slice(out, 1, cap)
+    return _let(F.array_sort(placed), firsts)
+
+
+def first_of_each(a: Column, key, body) -> Column:
+    """body(items without blanks, their keys, the distinct keys in order)."""
+    keyed = lambda items: _let(F.transform(items, key), lambda keys: _let(F.array_distinct(keys), lambda distinct: body(items, keys, distinct)))
+    return _let(F.array_remove(a, ""), keyed)
+
+
+def items_of(items: Column, keys: Column, some: Column) -> Column:
+    """The first item of each of some keys."""
+    return F.transform(some, lambda k: F.get(items, (F.array_position(keys, k) - 1).cast("int")))
 
 
 def _parts(c: Column, pattern: str, clean=strip) -> Column:
@@ -187,24 +200,26 @@ def normalize_route_service(c: Column | str) -> Column:
 
 
 def trim_brand_names(c: Column | str, cap: int = C.MAX_BRANDS) -> Column:
-    parts = distinct_keep_first(_parts(sub(F.replace(text(c), F.lit("|"), F.lit(",")), r"(?U)\s*;\s*", ","), ",", squeeze))
+    def told(items: Column, keys: Column, distinct: Column) -> Column:
+        joined, n = F.array_join(items_of(items, keys, F.slice(distinct, 1, cap)), ", "), F.size(distinct)
+        return F.when(n > cap, F.concat(joined, F.lit(", ... (+"), (n - cap).cast("string"), F.lit(" more)"))).otherwise(joined)
 
-    def told(a: Column) -> Column:
-        joined = F.array_join(F.slice(a, 1, cap), ", ")
-        return F.when(F.size(a) > cap, F.concat(joined, F.lit(", ... (+"), (F.size(a) - cap).cast("string"), F.lit(" more)"))).otherwise(joined)
-
-    return _let(parts, told)
+    base = sub(F.replace(F.replace(text(c), F.lit("|"), F.lit(",")), F.lit(";"), F.lit(",")), r"(?U)\s+")
+    return first_of_each(_parts(base, ","), F.lower, told)
 
 
 def clean_side_effects_text(c: Column | str, cap: int = 120) -> Column:
     base = squeeze(F.replace(fix_truncations(c), F.lit("|"), F.lit(",")))
-    return F.array_join(distinct_keep_first(_parts(base, ",", lambda p: F.btrim(p, F.lit(" .;"))), cap=cap), ", ")
+    return F.array_join(_effects(base, cap), ", ")
 
 
 def clean_list(c: Column | str, cap: int = 80) -> Column:
     base = squeeze(F.replace(text(c), F.lit("|"), F.lit(",")))
-    out = F.array_join(distinct_keep_first(_parts(base, ",", lambda p: F.btrim(p, F.lit(" .;"))), cap=cap), ", ")
-    return F.when(out == "", base).otherwise(out)
+    return _let(base, lambda t: F.coalesce(F.nullif(F.array_join(_effects(t, cap), ", "), F.lit("")), t))
+
+
+def _effects(c: Column, cap: int) -> Column:
+    return distinct_keep_first(_parts(c, ",", lambda p: F.btrim(p, F.lit(" .;"))), cap=cap)
 
 
 def side_effect_map(columns: dict[str, Column]) -> Column:
@@ -215,7 +230,7 @@ def side_effect_map(columns: dict[str, Column]) -> Column:
 
 
 def dedupe_path(a: Column) -> Column:
-    return F.filter(a, lambda p, i: (normalize_text(p) != "") & (F.array_position(F.transform(a, normalize_text), normalize_text(p)) == i + 1))
+    return first_of_each(a, normalize_text, lambda items, keys, distinct: items_of(items, keys, F.array_remove(distinct, "")))
 
 
 # values -----------------------------------------------------------------------------------------

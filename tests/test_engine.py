@@ -221,6 +221,18 @@ def test_cleaner_in_parts(spark, monkeypatch):
     assert len(T._KEYS) <= C.KEPT_TEXTS and max(map(len, T._KEYS)) <= C.KEPT_CHARS
 
 
+def test_lists_hash_keys_once(spark):
+    """Capped lists and paths sort nothing and normalise each item once."""
+    cell = ",".join(f"w{i % 300}" for i in range(20000))
+    for f, want in ((lambda c: E.clean_list(c), 80), (lambda c: E.clean_side_effects_text(c), 120), (lambda c: E.limit_csv_list(c, 250), 250)):
+        assert one(spark, f, cell) == ", ".join(f"w{i}" for i in range(want))
+        assert "array_sort" not in str(f("x"))
+    path = E.dedupe_path(F.split("x", ">"))
+    assert one(spark, lambda _: F.array_join(path, ">"), "Aspirin 500mg>aspirin>>10 mg>Zinc> ZINC") == "Aspirin 500mg>Zinc"
+    assert str(path).count("btrim") <= str(E.normalize_text("x")).count("btrim")
+    assert one(spark, lambda c: E.clean_list(c), " ;| .") == ";, ." and one(spark, E.trim_brand_names, "a ;A|b  c,\x1c") == "a, b c"
+
+
 @pytest.mark.parametrize(
     ("x", "want"),
     [
