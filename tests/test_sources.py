@@ -130,3 +130,15 @@ def test_numbers_are_dense_over_blocks(spark):
     df = spark.createDataFrame([("b", 7, "x"), ("a", 3, "y"), ("b", 8, "z"), ("c", -1, "w")], "block string, row long, v string")
     assert {r["v"]: r["n"] for r in order.number_rows(df, "n", "block", "row").collect()} == {"y": 0, "x": 1, "z": 2, "w": 3}
     assert order.number_rows(df.limit(0), "n", "block", "row").count() == 0
+
+
+def test_few_row_groups_are_dealt(spark, tmp_path, monkeypatch):
+    """A large file is split by bytes, but a row group has one reader: its rows are dealt, those of many files are not."""
+    monkeypatch.setattr(readers, "SMALL_BYTES", 0)
+    few, many = str(tmp_path / "few"), str(tmp_path / "many")
+    spark.range(1000).coalesce(1).write.parquet(few)
+    spark.range(1000).repartition(8).write.option("parquet.block.size", 1024).parquet(many)
+    dealt = readers.deal(spark.read.parquet(few))
+    assert dealt.rdd.getNumPartitions() >= 8 and sorted(r.id for r in dealt.collect()) == list(range(1000))
+    whole = spark.read.parquet(many)
+    assert readers.deal(whole) is whole
