@@ -12,7 +12,7 @@ from ..functions import exprs as E
 from ..functions import textclean as T
 from ..operators import core, facts, lookup, profile
 from ..operators import relational as R
-from ..sources import readers
+from ..sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -401,7 +401,8 @@ _FIELDS = ["normalized", "match_type", "status", "confidence", "best_score", "be
 
 def _answered(asked: DataFrame, drugs: DataFrame, key: str) -> DataFrame:
     """Every field of the answers, lists joined, and what the first match shows."""
-    out = lookup.lookup_batch(asked.select("query").distinct(), drugs)
+    words, drugs = sinks.materialize(asked.select("query").distinct(), "asked"), sinks.materialize(drugs, "drugs")  # small, and read by many jobs: the large table is read once for each
+    out = lookup.lookup_batch(words, drugs)
     m = F.get("matches", F.lit(0))
     shown = [m[c].alias(f"match_{c}") for c in ("match", "score", "row_no", "drug_id", "generic_name", "generic_name_clean", "brand_names", "drug_class", "route", "indications")]
     out = out.select("query", *_FIELDS, F.array_join("resolution_path", " > ").alias("resolution_path"), F.array_join("suggestions", "|").alias("suggestions"), F.size("matches").alias("n_matches"), *shown)

@@ -119,3 +119,22 @@ def test_lists_are_made_anew_when_a_light_gram_has_grown_heavy(spark, monkeypatc
     assert tuple(held(lookup._renewed(names(6), first))) == (3, 3, 6)  # as it was noted
     assert tuple(held(lookup._renewed(names(7), first))) == (7, 7, 7)  # over twice HEAVY: counted again
     assert lookup._renewed(names(7).limit(0), first).count() == 0
+
+
+def test_alias_query_reads_its_table_once_for_each_use(spark, monkeypatch):
+    """What many jobs of a lookup read is a small table, not the large one again."""
+    from lectern.plans import queries as plans
+
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def lookup_batch(asked, drugs):
+        seen.extend(asked.inputFiles() + drugs.inputFiles())
+        raise Stop
+
+    monkeypatch.setattr(plans.lookup, "lookup_batch", lookup_batch)
+    with pytest.raises(Stop):
+        plans.QUERIES["q5_alias_branch"](spark, "/root/testdata/sf0.001")
+    assert seen and not any("part.parquet" in f for f in seen)
