@@ -203,6 +203,82 @@ def test_twins_of_long_texts_take_no_matcher(monkeypatch):
     assert T.dedupe_sentences(" ".join(said * 2)) == " ".join(said) and not asked
 
 
+def test_passes_drop_what_pairs_say(monkeypatch):
+    """Units dropped by counts and subsequences with all kept keys at once are those that each pair drops, and few pairs are looked at alone."""
+    r, alone = random.Random(3), []
+    monkeypatch.setattr(T, "lcs", lambda *a: alone.append(1) or S.lcs(*a))
+    words = ["".join(r.choice("eettaaoinshrdlu") for _ in range(r.randint(1, 9))) for _ in range(200)]
+    for step in (T.SENTENCES, T.UNITS, T.HEADLINES, T.LINES):
+        units = []
+        for k in range(120):
+            unit = " ".join(r.choice(words) for _ in range(r.choice((2, 5, 15, 30)) if k % 40 else 400))
+            if units and r.random() < 0.3:
+                unit = r.choice(units[-12:])
+                cut = r.randrange(len(unit))
+                unit = unit[:cut] + r.choice(("", "é ", " of it ", unit[:30])) + unit[cut + r.choice((0, 3, 20)) :]
+            units.append(r.choice(("", "", "Warning: ", "warnings ")) + unit + r.choice(("", ".", " " * 3)))
+        units += ["", " . ", "é"]
+        alone.clear()
+        got, asked = step.left(units), len(alone)
+        kept, keys = [], set()
+        for u in units:
+            key = T.key_of(u)
+            if step.once and (not key or key in keys or step.tiny and T._is_tiny(u)):
+                continue
+            near = [(t, k) for t in step.twins if t.begins(u) for k in kept[-t.look :] if not t.among or t.begins(k)]
+            if not any(T.same_keys(key, T.key_of(k), t.ratio, t.cover) for t, k in near):
+                keys.add(key)
+                kept.append(u)
+        assert got == kept and len(got) < len(units)
+        assert asked < 4 * len(units)
+    told = [" ".join(r.choice(words) for _ in range(20)) for _ in range(60)]
+    alone.clear()
+    assert T.SENTENCES.left(told) == told and len(alone) < 6  # 596 pairs when each is looked at by itself
+
+
+def test_bounds_of_many_keys_lose_nothing():
+    """Subsequences beside each other are those of each; grams and counts are never under what blocks reach."""
+    r = random.Random(4)
+    line = lambda n: "".join(r.choice("etaoin shrdlu0") for _ in range(n))
+    beside, told = S.Beside(), []
+    for k in range(60):
+        told.append(line(r.choice((0, 1, 30, 63, 64, 65, 300))))
+        beside.add(told[-1])
+        if k % 3 == 2:
+            beside.leave(1 + k % 2)
+            told = told[1 + k % 2 :]
+        b = r.choice((line(80), told[-1][3:] + "z"))
+        assert beside.lcs(b) == [S.lcs(a, b) for a in told]
+    for _ in range(150):
+        a = line(r.randint(200, 900))
+        b = list(a)
+        for _ in range(r.choice((0, 2, 9, 40))):
+            b[(at := r.randrange(len(b))) : at + r.randint(0, 6)] = line(r.randint(0, 6))
+        b = "".join(b)
+        found = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        assert S.grams_reach(a, b, found)
+        (x, over), (y, beyond) = T._marks(a), T._marks(b)
+        assert (x & y).bit_count() + min(over, beyond) >= found
+    assert not S.grams_reach(line(600), line(600), 560)
+
+
+def test_counts_of_a_dropped_unit_are_forgotten():
+    """The unit kept after a dropped one is not compared by the counts of that one."""
+    near = T.Near(T.Twin(10, 0.88, 0.70))
+    near.keep("", a := "x" * 40 + "y" * 40)
+    assert near.drops("", a[:-1]) and not near.drops("", b := "short of it")
+    near.keep("", b)
+    assert near.drops("", b + "s") and T.SENTENCES(f"{BODY}. {BODY} it. qqqq 777 zzzz jjjj 9. qqqq 777 zzzz jjjj 98.") == f"{BODY}. qqqq 777 zzzz jjjj 9."
+
+
+def test_words_of_any_text():
+    assert T.dedupe_headlines("a Warnİng: one") == "a\nWarnİng: one"  # which re takes for an i
+    r = random.Random(6)
+    for _ in range(300):
+        text = "".join(r.choice("aZ09 \n.-éİıſK\x1c\xa0\u3000漢😀_") for _ in range(60))
+        assert T._low_words(text) == re.findall(r"[a-z0-9]+", text.lower())
+
+
 def test_equal_columns_are_cleaned_once(spark):
     """One column function for each cleaner: Spark runs it once for the columns that share a text."""
     out = T.clean_table(spark.createDataFrame([("Use it.", "Use it.")], "t string, other string").selectExpr("t AS indications", "t AS contraindications", "t AS dosage_and_administration"))
